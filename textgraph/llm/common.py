@@ -62,3 +62,18 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def slots(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def chosen(docs: DataFrame, ids: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """The rows of docs whose doc_id is among `most` of ids, taken in the order of a seeded hash, with the columns of ids.
+
+    At most `most` ids are broadcast, so the size of that side is fixed by the parameter.
+    """
+    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    few = ids.filter(F.col("doc_id").isNotNull()).orderBy(order, "doc_id").limit(most)
+    return docs.join(F.broadcast(few), "doc_id")
+
+
+def remainder(doc_id: Column, by: int) -> Column:
+    """crc32 of the id as text, modulo by; of a null id, that of the empty string."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(by))

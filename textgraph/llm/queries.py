@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, sentencepiece_codec, sharding, token_store
+from . import decontamination, line_dedup, quality_rules, sentencepiece_codec, sharding, token_store, toxicity
 from .common import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_learned_decision_list": quality_rules.registered,
         "op2_proportional_interleaving": lambda s, d: sharding.query(s, documents(s, d)),
         "op5_sentencepiece_merge_rounds": lambda s, d: sentencepiece_codec.query(s, documents(s, d)),
+        "op7_positive_unlabelled_toxicity": toxicity.registered,
         "op8_line_dedup_runs": lambda s, d: line_dedup.query(s, documents(s, d)),
         "op9_addressable_token_files": lambda s, d: token_store.query(s, documents(s, d)),
         "op10_containment_search": lambda s, d: decontamination.query(s, documents(s, d), documents(s, d, "benchmark")),
