@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, quality_rules, sentencepiece_codec, sharding, token_store, toxicity
+from . import decontamination, line_dedup, near_dedup, quality_rules, sentencepiece_codec, sharding, token_store, toxicity
 from .common import documents
 
 
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_learned_decision_list": quality_rules.registered,
         "op2_proportional_interleaving": lambda s, d: sharding.query(s, documents(s, d)),
+        "op3_lsh_forest_near_dedup": lambda s, d: near_dedup.query(s, documents(s, d)),
         "op5_sentencepiece_merge_rounds": lambda s, d: sentencepiece_codec.query(s, documents(s, d)),
         "op7_positive_unlabelled_toxicity": toxicity.registered,
         "op8_line_dedup_runs": lambda s, d: line_dedup.query(s, documents(s, d)),
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup_runs": line_dedup.SQL, "op10_containment_search": decontamination.SQL}
+    return {"op3_lsh_forest_near_dedup": near_dedup.SQL, "op8_line_dedup_runs": line_dedup.SQL, "op10_containment_search": decontamination.SQL}

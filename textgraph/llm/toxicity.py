@@ -32,7 +32,7 @@ POSITIVES, UNLABELLED, CALIBRATION = 3_000, 6_000, 4_000
 WORDS_KEPT, Z_LEAST, SHARE_LEAST = 200, 4.0, 0.01
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6, 7)
+PREFIXES = (3, 4, 5, 6, 7)
 
 
 def marks(word: str) -> list[int]:
