@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, near_dedup, pii, quality_rules, sentencepiece_codec, sharding, token_store, toxicity
+from . import decontamination, language_model, line_dedup, near_dedup, pii, quality_rules, sentencepiece_codec, sharding, token_store, toxicity
 from .common import documents
 
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_learned_decision_list": quality_rules.registered,
         "op2_proportional_interleaving": lambda s, d: sharding.query(s, documents(s, d)),
         "op3_lsh_forest_near_dedup": lambda s, d: near_dedup.query(s, documents(s, d)),
+        "op4_gated_recurrent_lm": lambda s, d: language_model.query(s, documents(s, d)),
         "op5_sentencepiece_merge_rounds": lambda s, d: sentencepiece_codec.query(s, documents(s, d)),
         "op6_candidate_boosting_pii": lambda s, d: pii.query(s, documents(s, d)),
         "op7_positive_unlabelled_toxicity": toxicity.registered,
