@@ -1,0 +1,137 @@
+"""Code: file enumeration, file and symbol chunks, structure by parser or pattern."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import code_entity_id, edge_id, language_of, location_uri, matches_any
+
+LEAST, MOST, PART_LINES, PASSTHROUGH = 100, 4000, 100, 256 * 1024
+# fixed values
+EXCLUDED = ["**/target/**", "**/node_modules/**", "**/.git/**", "**/dist/**", "**/build/**", "**/vendor/**", "**/.venv/**", "**/__pycache__/**", "**/*.min.js", "**/*.lock"]
+TEXT_TYPES = ["json", "yaml", "yml", "toml", "tf", "sql", "html", "sh", "css", "md"]
+#: Item heads of languages that have no parser here, at the start of a line.
+HEADS = r"(?m)^(?:export\s+|pub(?:\([^)]*\))?\s+|default\s+|async\s+|abstract\s+|final\s+|unsafe\s+|public\s+|private\s+|protected\s+|static\s+)*(fn|function|func|class|struct|enum|trait|interface|impl|mod|type)\s+\*?(?:\([^)]*\)\s*)?([A-Za-z_]\w*)"
+KINDS = {"fn": "function", "function": "function", "func": "function", "class": "class", "struct": "class", "enum": "class", "impl": "class", "trait": "interface", "interface": "interface", "type": "interface", "mod": "module"}
+
+
+def read_files(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] = EXCLUDED) -> DataFrame:
+    """(path, content) below root, by globs of the relative path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base, name = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/"), root.rstrip("/")
+    rel = F.when(base.startswith(f"{name}/"), F.substring(base, len(name) + 2, 4096)).otherwise(base)
+    out = files.select(rel.alias("path"), F.decode("content", "UTF-8").alias("content")).filter(~matches_any(F.col("path"), exclude))
+    return out.filter(matches_any(F.col("path"), include)) if include else out
+
+
+def item_kind(keyword: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv)), keyword), F.lit("item"))
+
+
+def symbol_of(text: Column) -> Column:
+    """The name after the first item keyword, else the first identifier."""
+    named = F.regexp_extract(text, r"\b(?:fn|function|func|def|class|struct|enum|trait|interface|mod|type)\s+([A-Za-z_]\w*)", 1)
+    return F.coalesce(F.nullif(named, F.lit("")), F.nullif(F.regexp_extract(text, r"([A-Za-z_]\w*)", 1), F.lit("")))
+
+
+def vue_script(text: Column) -> Column:
+    """The script blocks of a single-file component, one after another."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(?s)<script\b[^>]*>(.*?)</script>"), 1), lambda s: F.trim(s)), "\n")
+
+
+def passthrough(files: DataFrame, corpus: str) -> DataFrame:
+    """File chunks of plain text types, cut at 256 KiB with a mark; byte_length is that of the whole."""
+    rows = files.filter(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(TEXT_TYPES))
+    cut = F.when(F.octet_length("content") > PASSTHROUGH, F.concat(F.substring("content", 1, PASSTHROUGH), F.lit("\n[truncated]"))).otherwise(F.col("content"))
+    return rows.select(F.lit(corpus).alias("corpus_id"), F.concat(F.lit("src/"), "path").alias("path"), F.lit(None).cast("string").alias("parent_path"), F.lit("file").alias("kind"), cut.alias("content"), F.octet_length("content").cast("long").alias("byte_length"))
+
+
+def line_parts(df: DataFrame, key: str, text: str, lines: int = PART_LINES) -> DataFrame:
+    """(key, part, content): parts of so many lines."""
+    each = F.split(text, "\n")
+    starts = F.sequence(F.lit(0), F.floor((F.size(each) - 1) / lines).cast("int"))
+    return df.select(key, F.posexplode(F.transform(starts, lambda k: F.array_join(F.slice(each, k * lines + 1, lines), "\n"))).alias("part", "content"))
+
+
+def structure(files: DataFrame) -> DataFrame:
+    """(path, symbol, kind, start, end, calls, imports, bases, doc): top-level items; Python by its parser, others by patterns."""
+
+    def run(batches):
+        import ast
+        import re
+
+        import pandas as pd
+
+        def python(path, text):
+            try:
+                tree = ast.parse(text)
+            except (SyntaxError, ValueError):
+                return
+            imports = [a.name for n in tree.body if isinstance(n, ast.Import) for a in n.names] + [n.module or "" for n in tree.body if isinstance(n, ast.ImportFrom)]
+            yield path, None, "file", 0, text.count("\n") + 1, [], imports, [], ast.get_docstring(tree)
+            for n in tree.body:
+                if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                    called = [getattr(c.func, "id", getattr(c.func, "attr", "")) for c in ast.walk(n) if isinstance(c, ast.Call)]
+                    bases = [ast.unparse(b) for b in n.bases] if isinstance(n, ast.ClassDef) else []
+                    yield path, n.name, "class" if isinstance(n, ast.ClassDef) else "function", n.lineno - 1, n.end_lineno, called, [], bases, ast.get_docstring(n)
+
+        def others(path, text):
+            imports = re.findall(r"(?m)^\s*(?:import\s.*?from\s+|import\s+|use\s+|require\s*\(?\s*)['\"(]*([\w./:@\\-]+)", text)
+            yield path, None, "file", 0, text.count("\n") + 1, [], imports, [], None
+            heads = list(re.finditer(HEADS, text))
+            for m, nxt in zip(heads, [*heads[1:], None]):
+                body = text[m.start() : nxt.start() if nxt else len(text)]
+                bases = re.findall(r"\b(?:extends|implements)\s+([A-Za-z_][\w\\]*)", body.split("{")[0])
+                at = text.count("\n", 0, m.start())
+                doc = re.search(r"((?:^[ \t]*(?:///|//|\*|/\*\*).*\n)+)\Z", text[: m.start()], re.M)
+                yield path, m[2], KINDS[m[1]], at, at + body.rstrip().count("\n") + 1, re.findall(r"\b([A-Za-z_]\w+)\s*\(", body[m.end() - m.start() :]), [], bases, doc[1].strip() if doc else None
+
+        for pdf in batches:
+            rows = [r for path, text in zip(pdf["path"], pdf["content"], strict=True) for r in (python if path.endswith(".py") else others)(path, text or "")]
+            made = pd.DataFrame(rows, columns=["path", "symbol", "kind", "start", "end", "calls", "imports", "bases", "doc"])
+            made["calls"] = [[c for c in dict.fromkeys(x) if len(c) >= 2 and not c[0].isdigit()] for x in made["calls"]]
+            yield made
+
+    return files.select("path", "content").mapInPandas(run, "path string, symbol string, kind string, start int, end int, calls array<string>, imports array<string>, bases array<string>, doc string")
+
+
+def file_chunks(files: DataFrame, corpus: str) -> DataFrame:
+    """file, symbol and part chunks of files in known languages; symbols under LEAST bytes go, those over MOST are parted by lines."""
+    known = files.withColumn("content", F.when(F.col("path").endswith(".vue"), F.concat(F.col("content"), F.lit(""))).otherwise(F.col("content"))).filter(language_of(F.col("path")).isNotNull())
+    where = F.concat(F.lit("src/"), "path")
+    whole = known.select(F.lit(corpus).alias("corpus_id"), where.alias("path"), F.lit(None).cast("string").alias("parent_path"), F.lit("file").alias("kind"), "content")
+    parsed = known.withColumn("content", F.when(F.col("path").endswith(".vue"), vue_script(F.col("content"))).otherwise(F.col("content")))
+    items = structure(parsed).filter("symbol is not null").join(parsed, "path")
+    body = F.array_join(F.slice(F.split("content", "\n"), F.col("start") + 1, F.col("end") - F.col("start")), "\n")
+    items = items.select("path", F.concat(where, F.lit("#"), "symbol").alias("at"), "kind", body.alias("body")).filter(F.octet_length("body") >= LEAST)
+    parent = location_uri(F.lit(corpus), where)
+    short = items.filter(F.octet_length("body") <= MOST).select(F.lit(corpus), "at", parent, "kind", "body")
+    long = items.filter(F.octet_length("body") > MOST).withColumn("key", F.struct("path", "at", "kind"))
+    parts = line_parts(long, "key", "body").filter(F.octet_length("content") >= LEAST)
+    return whole.union(short).union(parts.select(F.lit(corpus), F.concat("key.at", F.lit("/part"), F.col("part") + 1), location_uri(F.lit(corpus), F.concat(F.lit("src/"), "key.path")), "key.kind", "content"))
+
+
+def entities(items: DataFrame, corpus: str) -> DataFrame:
+    """File, symbol and import entities of structure()."""
+    c = F.lit(corpus)
+    uri = location_uri(c, F.concat(F.lit("src/"), "path"))
+    files = items.filter("kind = 'file'").select(code_entity_id(c, F.col("path")).alias("id"), F.col("path").alias("canonical_name"), "kind", uri.alias("first_location_uri"), F.lit(1.0).alias("confidence"))
+    symbols = items.filter("symbol is not null").select(code_entity_id(c, F.col("symbol")), "symbol", "kind", F.concat(uri, F.lit("#"), "symbol"), F.lit(0.9))
+    imports = items.select(F.explode("imports").alias("i"), uri.alias("u")).select(code_entity_id(c, F.col("i")), "i", F.lit("module"), "u", F.lit(0.95))
+    every = files.union(symbols).union(imports)
+    one = every.groupBy("id").agg(F.min_by(F.struct(*every.columns[1:]), F.struct(-F.col("confidence"), "first_location_uri", "canonical_name")).alias("r"), F.count("*").alias("appearance_count"))
+    return one.select("id", c.alias("corpus_id"), "r.*", "appearance_count")
+
+
+def edges(items: DataFrame, corpus: str) -> DataFrame:
+    """defines, calls, imports and extends edges, with hashed ids."""
+    c = F.lit(corpus)
+    uri = location_uri(c, F.concat(F.lit("src/"), "path"))
+    own = code_entity_id(c, F.coalesce("symbol", "path"))
+    defines = items.filter("symbol is not null").select(code_entity_id(c, F.col("path")).alias("a"), own.alias("b"), F.lit("defines").alias("kind"), uri.alias("location_uri"))
+    out = defines
+    for column, kind in (("calls", "calls"), ("imports", "imports"), ("bases", "extends")):
+        out = out.union(items.select(own.alias("a"), F.explode(column).alias("x"), uri.alias("u")).select("a", code_entity_id(c, F.col("x")), F.lit(kind), "u"))
+    out = out.distinct()
+    return out.select(edge_id(c, F.col("a"), F.col("b"), F.col("kind"), F.col("location_uri")).alias("id"), c.alias("corpus_id"), F.col("a").alias("from_entity_id"), F.col("b").alias("to_entity_id"), "kind", "location_uri", F.lit(0.9).alias("confidence"))
