@@ -29,6 +29,8 @@ from .common import slots, written
 
 END = 2
 FILE_TOKENS = 1 << 20
+#: Starts of this many files at most are broadcast; beyond, the join shuffles.
+BROADCAST_FILES = 500_000
 BLOCK = 512
 # fixed values: the word pattern of byte-level BPE
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -160,7 +162,9 @@ def write_files(docs: DataFrame, path: str | None = None, end: int = END, file_t
     # one small row a file of about a million tokens
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("file_no", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first_token"))
-    return files.join(starts, "file_no")
+    # 16 bytes a file; the files themselves stay where they are unless there are too many
+    few = files.count() <= BROADCAST_FILES
+    return files.join(F.broadcast(starts) if few else starts, "file_no")
 
 
 def read_files(files: DataFrame) -> DataFrame:
