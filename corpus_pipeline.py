@@ -18,8 +18,8 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """All documents, without the lines that many share; n_chars follows the text."""
     out = line_dedup.dedup_lines(docs)
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        kind, n_dropped = docs.schema["n_chars"].dataType, out.columns[-1]
+        out = out.withColumn("n_chars", F.when(F.col(n_dropped) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

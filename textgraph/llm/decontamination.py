@@ -7,7 +7,8 @@ shingles that hit no sketch go no further. Candidates are verified on the exact
 
 A text of fewer than five words is one shingle as a whole; a text without words has none and matches nothing. A null
 text counts as empty. Repeated item ids with different texts are one item with the union of the sets. Documents with the
-same doc_id and text are reported once; with different texts, their sets are united.
+same doc_id and text are reported once; with different texts, their sets are united. A row without doc_id can't be named
+in a pair and isn't reported. Other columns aren't read, and `decontaminate` keeps them; empty tables give no pairs.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ anti-join, which tells the keys that no earlier batch held, and adds its own run
 runs is compacted into one run of the next level, so there are only O(fanout * log(batches)) runs to merge at any time.
 
 Edge cases: a null or empty text is one empty line and never dropped; rows that share a doc_id count as one document;
-a null doc_id counts as one document, below every other; extra columns are kept; an empty table gives an empty result.
+a null doc_id counts as one document, below every other; extra columns are kept, and a new column whose name is taken gets
+a trailing underscore; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -98,7 +99,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     A shared line stays in the largest doc_id that holds it. Every other line stays as it is.
     """
     spark = docs.sparkSession
-    drop, held, n_lines, n_dropped = (free_name(docs, c) for c in ("drop_keys", "held_lines", "n_lines", "n_dropped"))
+    drop, held, whose, n_lines, n_dropped = (free_name(docs, c) for c in ("drop_keys", "held_lines", "drop_doc", "n_lines", "n_dropped"))
     pairs = written(line_pairs(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches))), "line-pairs")
     store = LineRuns(spark)
     for b in range(batches):
@@ -106,8 +107,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     shared = written(store.totals().filter(F.col("n_docs") >= min_docs).select("key", "last_doc"), "line-shared")
     # a key may be held by a third of all documents: a plain join of two tables, whose hot keys adaptive execution splits
     lost = pairs.join(shared, "key").filter(F.coalesce(F.col("doc") < F.col("last_doc"), F.col("last_doc").isNotNull()))
-    lost = lost.groupBy("doc").agg(F.collect_set("key").alias(drop))
-    joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["doc"]), "left").drop("doc")
+    lost = lost.groupBy(F.col("doc").alias(whose)).agg(F.collect_set("key").alias(drop))
+    joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost[whose]), "left").drop(whose)
     kept = F.when(F.col(drop).isNull(), F.col(held)).otherwise(F.filter(F.col(held), lambda x: ~F.array_contains(F.col(drop), key_hash(line_key(x))) | (F.length(line_key(x)) < min_chars)))
     out = joined.withColumn(held, lines(F.col("text"))).withColumn(n_lines, F.size(held).cast("long")).withColumn(held, kept)
     out = out.withColumn(n_dropped, F.col(n_lines) - F.size(held))

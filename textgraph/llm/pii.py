@@ -245,10 +245,10 @@ def train(spark: SparkSession) -> dict[str, tuple[Trees, float]]:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with columns base and spans: arrays of (k, s, e), by kind and start."""
+    """docs with columns base and spans (with an underscore more where docs has these): arrays of (k, s, e), by kind and start."""
     models = train(docs.sparkSession)
-    text = free_name(docs, "pii_text")
-    df = docs.withColumn(text, F.coalesce("text", F.lit("")))
+    text = "p__text"
+    df = docs.select(F.struct("*").alias("p__row"), F.coalesce("text", F.lit("")).alias(text))
     for k, (kind, pattern) in enumerate(BASE.items()):
         hint = F.col(text).contains(HINT[kind]) if HINT[kind] else F.lit(True)
         df = _found(df, text, pattern, k, f"b__{kind}", hint & F.col(text).rlike("[0-9]") if kind != "email" else hint)
@@ -260,7 +260,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     df = df.withColumn("p__values", F.expr(f"transform({apart}, x -> named_struct('s', x.s, 'e', x.e, 'f', {_values('x')}))"))
     df = df.withColumn("p__best", F.expr(f"transform(p__values, v -> named_struct('best', array_max(array({', '.join(logits)})), 's', v.s, 'e', v.e))"))
     taken = "aggregate(array_sort(filter(p__best, v -> v.best.l >= 0), (u, v) -> CASE WHEN u.best.l > v.best.l THEN -1 WHEN u.best.l < v.best.l THEN 1 WHEN u.s < v.s THEN -1 WHEN u.s > v.s THEN 1 WHEN u.e > v.e THEN -1 WHEN u.e < v.e THEN 1 ELSE 0 END), base, (t, v) -> CASE WHEN exists(t, y -> v.s < y.e AND y.s < v.e) THEN t ELSE concat(t, array(named_struct('k', v.best.k, 's', v.s, 'e', v.e))) END)"
-    return df.withColumn("spans", F.expr(f"array_sort({taken})")).drop(text, "p__all", "p__values", "p__best")
+    return df.select("p__row.*", F.col("base").alias(free_name(docs, "base")), F.expr(f"array_sort({taken})").alias(free_name(docs, "spans")))
 
 
 def listed(column: str) -> Column:
@@ -270,11 +270,11 @@ def listed(column: str) -> Column:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets."""
-    df = with_spans(docs)
+    df, base, spans = with_spans(docs), free_name(docs, "base"), free_name(docs, "spans")
     names = "array(" + ", ".join(f"'[{k}]'" for k in KINDS) + ")"
-    order = "array_sort(transform(spans, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k)))"
+    order = f"array_sort(transform({spans}, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k)))"
     fold = f"aggregate({order}, named_struct('p', 0, 'o', ''), (t, x) -> named_struct('p', x.e, 'o', concat(t.o, substr(text, t.p + 1, x.s - t.p), {names}[x.k])), t -> concat(t.o, substr(text, t.p + 1)))"
-    return df.withColumn("text", F.expr(f"CASE WHEN size(spans) > 0 THEN {fold} ELSE text END")).drop("base", "spans")
+    return df.withColumn("text", F.expr(f"CASE WHEN size({spans}) > 0 THEN {fold} ELSE text END")).drop(base, spans)
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
