@@ -120,7 +120,7 @@ def language_of(path: Column) -> Column:
 def fenced_json(text: Column) -> Column:
     """The JSON in a model's answer: a fenced block, else from the first brace to the last, else from bracket to bracket."""
     tries = [F.regexp_extract(text, p, 1) for p in (r"(?s)```(?:json)?\s*\n(.*?)```", r"(?s)(\{.*\})", r"(?s)(\[.*\])")]
-    return F.coalesce(*(F.nullif(F.trim(t), F.lit("")) for t in tries))
+    return F.coalesce(*(F.nullif(F.btrim(t, F.lit(" \t\r\n")), F.lit("")) for t in tries))
 
 
 def prompt_seed(prompt: Column) -> Column:

@@ -23,7 +23,7 @@ def query_terms(df: DataFrame, query: str) -> list[str]:
     return list(dict.fromkeys(w for w in words if w))
 
 
-def keyword(chunks: DataFrame, query: str, limit: int = 20, position: str | None = None, corpus: str | None = None) -> DataFrame:
+def keyword(chunks: DataFrame, query: str, limit: int = 20, position: str | None = None, corpus: str | None = None, within: DataFrame | None = None) -> DataFrame:
     """(uri, score, relevance): the best `limit` chunks by BM25 that hold all terms (any, with OR), by rank; those after position are then dropped.
 
     Only the terms of the query leave the scan: a chunk contributes one row, its length and the counts of the terms, so
@@ -51,6 +51,7 @@ def keyword(chunks: DataFrame, query: str, limit: int = 20, position: str | None
         hit = (hit | h) if " OR " in f" {query} " else (hit & h)
     found = scored.filter(hit)
     found = found.filter(F.col("corpus_id") == corpus) if corpus else found
+    found = found.join(within, "corpus_id", "left_semi") if within is not None else found
     top = found.select(F.col("location_uri").alias("uri"), F.round(score, 6).alias("score")).orderBy(F.desc("score"), "uri").limit(limit)
     return scoped(normalised(top), position)
 
