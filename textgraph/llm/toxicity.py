@@ -5,7 +5,7 @@ presence of words and word prefixes is fitted in numpy by minimising the class-p
     pi * E_p[l(+)] + max(0, E_u[l(-)] - pi * E_p[l(-)])
 and, when the second term falls below zero, by stepping against it. The prior pi is the toxic share of the labelled rows.
 Candidate words are those whose document frequency among the positives exceeds that among the unlabelled by a z-score.
-A monotone calibration on the training labels maps the logit to a probability.
+A monotone calibration on the training labels maps the logit to a probability, THRESHOLD at the cut of the best F1.
 
 Only rows whose crc32(doc_id) modulo 3 is not 1 are learned from; lang, source, labels and ids are no inputs of a score.
 Fitting takes at most POSITIVES, UNLABELLED and CALIBRATION rows and runs on the driver; every row is scored, whole.
@@ -81,7 +81,7 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-4, seed: int = 3) -> tuple[np.ndarray, float]:
+def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 1000, rate: float = 0.05, l2: float = 1e-4, seed: int = 3) -> tuple[np.ndarray, float]:
     """Weights and bias of the non-negative risk, by Adam on mini-batches; logistic loss."""
     chance = np.random.default_rng(seed)
     w = np.zeros(xp.shape[1] + 1)
@@ -102,7 +102,7 @@ def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rate: f
 
 
 def calibrate(logits: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope (positive) and offset of Platt's sigmoid, by Newton steps on smoothed targets."""
+    """Slope (positive) and offset of a sigmoid: the slope is Platt's, by Newton steps on smoothed targets; the offset puts THRESHOLD at the cut of the best F1."""
     n1, n0 = toxic.sum(), (~toxic).sum()
     if not n1 or not n0:
         return 1.0, 0.0
@@ -113,7 +113,15 @@ def calibrate(logits: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
         s = _sigmoid(x @ w)
         h = (x * (s * (1 - s))[:, None]).T @ x + 1e-6 * np.eye(2)
         w = w - np.clip(np.linalg.solve(h, x.T @ (s - y)), -2, 2)
-    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+    slope = float(w[0]) if w[0] > 0 else 1.0
+    order = np.argsort(-logits, kind="stable")
+    down, hits = logits[order], np.cumsum(toxic[order])
+    # a cut lies between two different logits, nearer to the toxic side
+    ends = np.flatnonzero(np.diff(down, append=-np.inf) < 0)
+    f1 = 2 * hits[ends] / (ends + 1 + n1)
+    k = ends[int(np.argmax(f1))]
+    cut = (3 * down[k] + down[k + 1]) / 4 if k + 1 < len(down) else down[k] - 1.0
+    return slope, float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * cut)
 
 
 def _hashed(rows: DataFrame, extra: str, kind: str) -> list[tuple]:
