@@ -343,3 +343,17 @@ def test_writes(spark):
     assert sorted(map(tuple, writes.inserted(t, new, ["id"]).collect())) == [("a", 1), ("b", 2), ("c", 4)]
     assert sorted(map(tuple, writes.replaced(t, new.distinct(), ["id"]).collect())) == [("a", 1), ("b", 3), ("c", 4)]
     assert ids(writes.deleted(t, new, ["id"])) == ["a"] and writes.updated(t, F.col("id") == "a", x=F.lit(9)).filter("x = 9").count() == 1
+
+
+def test_small_operators(spark):
+    from textgraph.operators import writes
+
+    corpora = spark.createDataFrame([("a", 0), ("a-2", 3)], "id string, pipeline_version int")
+    assert writes.free_id(corpora, "a") == "a-3" and writes.free_id(corpora, "b") == "b"
+    ran = []
+    assert writes.upgraded(corpora, "a", {k: lambda k=k: ran.append(k) for k in (1, 2, 3)}).filter("pipeline_version = 3").count() == 2 and ran == [1, 2, 3]
+    blocks = spark.createDataFrame([("b1", "e", "v1"), ("b2", "e", "v2")], "id string, entity_id string, derived_at_version string")
+    themes = spark.createDataFrame([("t", None)], "id string, derived_at_version string")
+    assert sorted(map(tuple, lookups.head_versions(entity_blocks=blocks, themes=themes).collect())) == [("entity_blocks", "e", "v2"), ("themes", "t", "")]
+    php = F.lit("class A { public function run() { return new \\App\\Thing(); } function &go () {} }")
+    assert one(spark, extraction.php_methods(php)) == ["run", "go"] and one(spark, extraction.instantiated(php)) == ["Thing"]

@@ -143,3 +143,13 @@ def is_unsafe(text: Column) -> Column:
 def discarded_callee(line: Column) -> Column:
     """The function whose result a line throws away, or null."""
     return F.nullif(F.regexp_extract(line, r"let _ = (?:\w+(?:::|\.))*(\w+)\(", 1), F.lit(""))
+
+
+def php_methods(text: Column) -> Column:
+    """Names of a PHP class's methods."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\bfunction\s+&?([A-Za-z_]\w*)\s*\("), 1))
+
+
+def instantiated(text: Column) -> Column:
+    """Classes that a text makes instances of, by their last name."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\bnew\s+(?:\w*\\)*([A-Za-z_]\w*)"), 1))

@@ -92,3 +92,24 @@ def run_totals(runs: DataFrame) -> DataFrame:
     """Processed, skipped and failed items of each pass, from the statistics' JSON."""
     s = F.from_json("stats", "processed long, skipped long, failed long, cost double")
     return runs.withColumn("s", s).groupBy("pass").agg(*(F.sum(F.coalesce(f"s.{c}", F.lit(0))).alias(c) for c in ("processed", "skipped", "failed", "cost")))
+
+
+def head_versions(**tables: DataFrame) -> DataFrame:
+    """(table, key, version) of each head row, '' where none is known; blocks count once an entity, by their highest."""
+    parts = []
+    for name, df in tables.items():
+        key = "entity_id" if "entity_id" in df.columns else "id"
+        version = F.coalesce("derived_at_version", F.lit(""))
+        rows = df.select(F.lit(name).alias("table"), F.col(key).alias("key"), version.alias("version"))
+        parts.append(rows.groupBy("table", "key").agg(F.max("version").alias("version")) if name == "entity_blocks" else rows)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def default_contracts(entities: DataFrame, model: str) -> DataFrame:
+    """The row that an entity without content, or whose model failed, gets: no flag set."""
+    flags = ["is_public", "is_fallible", "is_nullable", "mutates_state", "is_unsafe", "is_deprecated", "must_use", "is_incomplete", "is_test", "discards_result"]
+    none = F.array().cast("array<string>")
+    return entities.select(F.col("id").alias("entity_id"), "corpus_id", *(F.lit(False).alias(f) for f in flags), F.lit(0).cast("long").alias("panic_call_count"), *(none.alias(a) for a in ("debt_markers", "assumptions", "risks")), F.lit(model).alias("model"))

@@ -67,3 +67,25 @@ def stamped(table: DataFrame, corpora: DataFrame) -> DataFrame:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(Column.__or__, conditions, F.lit(False))
+
+
+def free_id(corpora: DataFrame, wanted: str) -> str:
+    """wanted, or wanted-2, wanted-3, ... where it is taken."""
+    taken = {r[0] for r in corpora.filter((F.col("id") == wanted) | F.col("id").startswith(f"{wanted}-")).select("id").collect()}
+    k = 2
+    out = wanted
+    while out in taken:
+        out, k = f"{wanted}-{k}", k + 1
+    return out
+
+
+PIPELINE_VERSION = 3
+
+
+def upgraded(corpora: DataFrame, corpus: str, steps: dict[int, object] | None = None) -> DataFrame:
+    """A corpus brought to PIPELINE_VERSION: each step from its own version on runs once, in order."""
+    row = corpora.filter(F.col("id") == corpus).select("pipeline_version").first()
+    for k in range((row[0] or 0) + 1 if row else 1, PIPELINE_VERSION + 1):
+        if steps and k in steps:
+            steps[k]()
+    return updated(corpora, F.col("id") == corpus, pipeline_version=F.lit(PIPELINE_VERSION))

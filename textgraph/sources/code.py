@@ -135,3 +135,14 @@ def edges(items: DataFrame, corpus: str) -> DataFrame:
         out = out.union(items.select(own.alias("a"), F.explode(column).alias("x"), uri.alias("u")).select("a", code_entity_id(c, F.col("x")), F.lit(kind), "u"))
     out = out.distinct()
     return out.select(edge_id(c, F.col("a"), F.col("b"), F.col("kind"), F.col("location_uri")).alias("id"), c.alias("corpus_id"), F.col("a").alias("from_entity_id"), F.col("b").alias("to_entity_id"), "kind", "location_uri", F.lit(0.9).alias("confidence"))
+
+
+def listed_files(spark: SparkSession, root: str, use_git: bool = True) -> DataFrame:
+    """(path) of a repository's tracked files, else of all files below root. The list of names is made on the driver; contents are not."""
+    import subprocess
+
+    if use_git:
+        out = subprocess.run(["git", "-C", root, "ls-files", "-z"], capture_output=True, text=True)
+        if out.returncode == 0:
+            return spark.createDataFrame([(p,) for p in out.stdout.split("\0") if p], "path string")
+    return read_files(spark, root).select("path")
