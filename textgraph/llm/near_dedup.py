@@ -3,7 +3,7 @@
 1. Each text's set of five-word shingles (64-bit hashes) gives a 128-value MinHash signature and a digest of the set.
    Equal sets are one class from here on, so exact copies cost nothing, however many there are.
 2. The forest has 16 trees, each the classes in the order of the signature rotated to another start. The classes that
-   share a prefix of a tree are a region; depths 4 to 64 are looked at. Classes alone in all regions of depth 4 are done.
+   share a prefix of a tree are a region; depths 4 to 32 are looked at. Classes alone in all regions of depth 4 are done.
 3. Pivots: a region's pivot is the class that shares the most deep regions (the text from which copies were edited has
    the commonest minima). Each class is a candidate with the pivot of each of its regions, so a dense region of m classes
    costs m candidates, not m * m.
@@ -31,7 +31,7 @@ from .common import UPPER, written
 
 WORDS, PERCENT = 5, 85
 VALUES, TREES = 128, 16
-DEPTHS = (4, 8, 16, 32, 64)
+DEPTHS = (4, 8, 16, 32)
 LEAF, WINDOW = 24, 5
 #: Pairs of one class are dealt over so many parts.
 SALTS = 1024
@@ -85,43 +85,50 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
+def prefix_keys(signatures: np.ndarray, tree: int, depths: tuple[int, ...]) -> list[np.ndarray]:
+    """For each signature (row) a hash of its prefix in the tree at each depth."""
+    at = np.roll(signatures.astype(np.uint64), -tree * (VALUES // TREES), axis=1)
+    h, keys = np.full(len(at), tree + 1, np.uint64), []
+    with np.errstate(over="ignore"):
+        for d in range(max(depths)):
+            h = (h ^ (h >> np.uint64(31))) * _MIX + at[:, d]
+            if d + 1 in depths:
+                keys.append((h ^ (h >> np.uint64(32))).astype(np.int64))
+    return keys
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (null without shingles) and sig of each row."""
+    """doc_id, n_shingles, digest and tops (the keys of depth DEPTHS[0], a tree each) of each row; both null without shingles."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         own = Shingler()
         for batch in batches:
-            n, digest, sig = [], [], []
-            for text in batch.column("text").to_pylist():
-                s = own(text)
-                n.append(len(s))
-                digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                sets = [own(t) for t in part.column("text").to_pylist()]
+                sig = np.stack([signature(x) for x in sets])
+                tops = np.stack([prefix_keys(sig, tree, DEPTHS[:1])[0] for tree in range(TREES)], 1)
+                digest = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+                top = pa.array([t if len(x) else None for t, x in zip(tops, sets, strict=True)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), top], names=["doc_id", "n_shingles", "digest", "tops"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, tops array<long>")
 
 
-def forest(classes: DataFrame, depths: tuple[int, ...]) -> DataFrame:
-    """(digest, n, tree, keys): for each class and tree a hash of the prefix at each depth."""
+def forest(sets: DataFrame) -> DataFrame:
+    """(digest, n, tree, keys): each class in each tree with the hash of its prefix at each depth."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.stack([np.frombuffer(s, np.uint32) for s in batch.column("sig").to_pylist()]).astype(np.uint64)
+            sig = np.stack([np.frombuffer(x, np.uint32) for x in batch.column("sig").to_pylist()])
             for tree in range(TREES):
-                at = np.roll(sig, -tree * (VALUES // TREES), axis=1)
-                h, keys = np.full(len(at), tree + 1, np.uint64), []
-                with np.errstate(over="ignore"):
-                    for d in range(max(depths)):
-                        h = (h ^ (h >> np.uint64(31))) * _MIX + at[:, d]
-                        if d + 1 in depths:
-                            keys.append((h ^ (h >> np.uint64(32))).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("n"), pa.array(np.full(len(at), tree, np.int32)), *map(pa.array, keys)], names=["digest", "n", "tree", *(f"k{d}" for d in depths)])
+                keys = prefix_keys(sig, tree, DEPTHS)
+                yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("n"), pa.array(np.full(len(sig), tree, np.int32)), *map(pa.array, keys)], names=["digest", "n", "tree", *(f"k{d}" for d in DEPTHS)])
 
-    return classes.select("digest", "n", "sig").mapInArrow(run, "digest binary, n long, tree int, " + ", ".join(f"k{d} long" for d in depths))
+    return sets.select("digest", F.size("shingles").cast("long").alias("n"), "sig").mapInArrow(run, "digest binary, n long, tree int, " + ", ".join(f"k{d} long" for d in DEPTHS))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -154,7 +161,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(digest, shingles) of the wanted (rep, digest)."""
+    """(digest, shingles, sig) of the wanted (rep, digest)."""
 
     def run(batches):
         own = Shingler()
@@ -163,11 +170,11 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 part = batch.slice(k, 500)
                 sets = [own(t) for t in part.column("text").to_pylist()]
                 right = [xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, part.column("digest").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["digest", "shingles"]).filter(pa.array(right))
+                yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([signature(s).tobytes() for s in sets], pa.binary())], names=["digest", "shingles", "sig"]).filter(pa.array(right))
 
     small = wanted.count() <= BROADCAST_ROWS
     rows = docs.join(F.broadcast(wanted) if small else wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("digest", "text")
-    found = rows.mapInArrow(run, "digest binary, shingles array<bigint>")
+    found = rows.mapInArrow(run, "digest binary, shingles array<bigint>, sig binary")
     return written(found, "near-sets")
 
 
@@ -175,24 +182,25 @@ def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
     rows = written(signed(docs), "near-signed")
     some = rows.filter("n_shingles > 0")
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    classes = written(classes, "near-classes")
-    top = written(forest(classes, DEPTHS[:1]), "near-top")
-    first = f"k{DEPTHS[0]}"
-    shared = written(top.groupBy(first).agg(F.count("*").alias("m")).filter("m > 1").select(first), "near-shared")
-    alike = top.join(shared, first, "left_semi").select("digest").distinct()
-    alike = written(classes.join(alike, "digest", "left_semi"), "near-alike")
+    # which classes share a key with another: by 64-bit stand-ins, whose rare collisions only admit a class too many
+    stand_in = F.xxhash64("digest").alias("h")
+    top = some.select(stand_in, F.explode("tops").alias("key"))
+    shared = top.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")
+    near = written(top.join(shared, "key", "left_semi").select("h").distinct(), "near-shared")
+    classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumn("h", stand_in), "near-classes")
+    few = near.count() <= BROADCAST_ROWS
+    alike = written(classes.join(F.broadcast(near) if few else near, "h", "left_semi").select("digest", "rep"), "near-alike")
+    sets = shingle_sets(docs, alike)
     # every class in every region that it lies in, unless it is alone there
-    trees = written(forest(alike, DEPTHS), "near-forest")
+    trees = written(forest(sets), "near-forest")
     in_region = trees.select("digest", "n", F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), F.col(f"k{d}").alias("key")) for d in DEPTHS))).alias("r")).select("digest", "n", "r.depth", "r.key")
     sizes = written(in_region.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "near-regions")
     placed = written(in_region.join(sizes, "key"), "near-placed")
     score = written(placed.filter(F.col("depth") == DEPTHS[1]).groupBy("digest").agg(F.sum("m").alias("score")), "near-score")
-    ranked = placed.join(score, "digest", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("score", F.lit(0)).alias("score"), "digest", "n")).alias("p"))
+    ranked = placed.join(F.broadcast(score) if few else score, "digest", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("score", F.lit(0)).alias("score"), "digest", "n")).alias("p"))
     pivots = written(ranked.select("key", F.col("p.digest").alias("b"), F.col("p.n").alias("nb")), "near-pivots")
     pairs = placed.join(pivots, "key").filter((F.col("digest") != F.col("b")) & _fits(F.col("n"), F.col("nb")))
     pairs = written(pairs.select(F.col("digest").alias("a"), "b").distinct(), "near-pairs")
-    sets = shingle_sets(docs, alike.select("rep", "digest"))
     links = confirmed(pairs, sets)
     found = components(links)
     # the neighbours in each tree's order, within the shallowest region that is small enough
