@@ -643,3 +643,28 @@ def narrative(m):
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def event_windows(m):
     return reindex.event_windows(m.raw("events")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("SELECT 'text://chat/conv/1/turn/' || turn AS location_uri, role AS kind FROM conversations WHERE conv_id = 1")
+def children(m):
+    c = m.raw("conversations")
+    parent = F.concat(F.lit("conv/"), "conv_id")
+    chunks = c.select(parent.alias("parent_path"), fn.location_uri(F.lit("chat"), F.concat(parent, F.lit("/turn/"), "turn")).alias("location_uri"), F.col("role").alias("kind"))
+    return lookups.children(chunks, "conv/1").select("location_uri", "kind")
+
+
+@query("SELECT id FROM (SELECT to_entity_id AS id, min(location_uri) AS a, max(location_uri) AS b FROM edges GROUP BY 1) WHERE a = 'text://star/order/1' OR b = 'text://star/order/1'", "edges")
+def read_location(m):
+    seen = m.edges.groupBy(F.col("to_entity_id").alias("id")).agg(F.min("location_uri").alias("first_location_uri"), F.max("location_uri").alias("last_location_uri"))
+    return lookups.entities_at(seen, "text://star/order/1").select("id")
+
+
+@query("SELECT id, string_agg(k, ',' ORDER BY k) AS aliases FROM (SELECT DISTINCT 'user:' || user_id AS id, event_type AS k FROM events WHERE event_type <> 'error') GROUP BY 1")
+def alias_overlay(m):
+    e = m.raw("events")
+    entities = e.select(F.concat(F.lit("user:"), "user_id").alias("id"), F.array(F.lit("error")).alias("aliases")).distinct()
+    who = e.select(F.concat(F.lit("user:"), "user_id").alias("entity_id"), "event_type", "event_id")
+    added = who.filter("event_type <> 'error'").select(F.lit("alias_add").alias("type"), "entity_id", F.col("event_type").alias("alias"), F.lit("1").alias("applied_at"), F.col("event_id").alias("id"))
+    gone = who.select(F.lit("alias_remove").alias("type"), "entity_id", F.lit("error").alias("alias"), F.lit("2").alias("applied_at"), F.col("event_id").alias("id"))
+    out = overlay.apply_aliases(entities, added.union(gone))
+    return out.select("id", F.array_join(F.array_sort("aliases"), ",").alias("aliases")).filter("aliases <> ''")
