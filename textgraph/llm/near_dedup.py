@@ -10,7 +10,7 @@
 4. Neighbours: in each tree a class belongs to the shallowest region of at most LEAF classes (so the depth adapts to
    each region's density), and its next WINDOW neighbours there, in order of longest common prefix, are candidates,
    unless the pivots have joined them already.
-5. Candidates are confirmed on full sets (100 * intersection >= 85 * union), and confirmed links give components by
+5. Candidates whose one-byte sketches agree in LIKELY of 128 places are confirmed on full sets (100 * intersection >= 85 * union), and confirmed links give components by
    min-label propagation with pointer jumping.
 
 Two sets of similarity 0.85 miss each other in all trees at depth 4 with probability (1 - 0.85**4)**16 < 1e-5.
@@ -33,6 +33,8 @@ WORDS, PERCENT = 5, 85
 VALUES, TREES = 128, 16
 DEPTHS = (4, 8, 16, 32)
 LEAF, WINDOW = 24, 5
+#: Sketch values that a pair worth confirming has in common: at similarity 0.85, five standard deviations below the mean.
+LIKELY = 88
 #: Pairs of one class are dealt over so many parts.
 SALTS = 1024
 #: Ids of classes under comparison are broadcast up to this number (about 16 MB); beyond, the join shuffles.
@@ -150,18 +152,30 @@ def _fits(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets pass. A class with very many pairs is dealt over SALTS parts."""
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """The pairs with the values va and vb of their two classes. A class with very many pairs is dealt over SALTS parts."""
     salted = pairs.select("a", "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
-    left = salted.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), "a")
-    right = salted.select("b", "salt").distinct().join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = left.join(right, ["b", "salt"])
-    shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
+    left = salted.join(table.select(F.col("digest").alias("a"), F.col(value).alias("va")), "a")
+    right = salted.select("b", "salt").distinct().join(table.select(F.col("digest").alias("b"), F.col(value).alias("vb")), "b")
+    return left.join(right, ["b", "salt"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets pass. Sets are fetched only for pairs whose sketches agree in LIKELY places."""
+    equal = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
+    likely = written(_both(pairs, sets, "sketch").filter(equal >= LIKELY).select("a", "b"), "near-likely")
+    named = written(likely.select(F.col("a").alias("digest")).union(likely.select("b")).distinct(), "near-named")
+    some = sets.join(_small(named), "digest", "left_semi")
+    shared = _both(likely, some, "shingles").select("a", "b", F.size(F.array_intersect("va", "vb")).alias("i"), (F.size("va") + F.size("vb")).alias("t"))
     return written(shared.filter(F.col("i") * 100 >= (F.col("t") - F.col("i")) * PERCENT).select("a", "b"), "near-links")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(digest, shingles, sig) of the wanted (rep, digest)."""
+    """(digest, shingles, sig, sketch) of the wanted (rep, digest); the sketch is the low byte of each signature value."""
 
     def run(batches):
         own = Shingler()
@@ -170,11 +184,13 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 part = batch.slice(k, 500)
                 sets = [own(t) for t in part.column("text").to_pylist()]
                 right = [xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, part.column("digest").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([signature(s).tobytes() for s in sets], pa.binary())], names=["digest", "shingles", "sig"]).filter(pa.array(right))
+                sigs = [signature(s) for s in sets]
+                sketch = pa.array([s.astype(np.uint8).view(np.int8) for s in sigs], pa.list_(pa.int8()))
+                made = [part.column("digest"), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sigs], pa.binary()), sketch]
+                yield pa.RecordBatch.from_arrays(made, names=["digest", "shingles", "sig", "sketch"]).filter(pa.array(right))
 
-    small = wanted.count() <= BROADCAST_ROWS
-    rows = docs.join(F.broadcast(wanted) if small else wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("digest", "text")
-    found = rows.mapInArrow(run, "digest binary, shingles array<bigint>, sig binary")
+    rows = docs.join(_small(wanted), docs["doc_id"].eqNullSafe(wanted["rep"])).select("digest", "text")
+    found = rows.mapInArrow(run, "digest binary, shingles array<bigint>, sig binary, sketch array<tinyint>")
     return written(found, "near-sets")
 
 
@@ -188,8 +204,7 @@ def groups(docs: DataFrame) -> DataFrame:
     shared = top.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")
     near = written(top.join(shared, "key", "left_semi").select("h").distinct(), "near-shared")
     classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumn("h", stand_in), "near-classes")
-    few = near.count() <= BROADCAST_ROWS
-    alike = written(classes.join(F.broadcast(near) if few else near, "h", "left_semi").select("digest", "rep"), "near-alike")
+    alike = written(classes.join(_small(near), "h", "left_semi").select("digest", "rep"), "near-alike")
     sets = shingle_sets(docs, alike)
     # every class in every region that it lies in, unless it is alone there
     trees = written(forest(sets), "near-forest")
@@ -197,7 +212,7 @@ def groups(docs: DataFrame) -> DataFrame:
     sizes = written(in_region.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "near-regions")
     placed = written(in_region.join(sizes, "key"), "near-placed")
     score = written(placed.filter(F.col("depth") == DEPTHS[1]).groupBy("digest").agg(F.sum("m").alias("score")), "near-score")
-    ranked = placed.join(F.broadcast(score) if few else score, "digest", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("score", F.lit(0)).alias("score"), "digest", "n")).alias("p"))
+    ranked = placed.join(_small(score), "digest", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("score", F.lit(0)).alias("score"), "digest", "n")).alias("p"))
     pivots = written(ranked.select("key", F.col("p.digest").alias("b"), F.col("p.n").alias("nb")), "near-pivots")
     pairs = placed.join(pivots, "key").filter((F.col("digest") != F.col("b")) & _fits(F.col("n"), F.col("nb")))
     pairs = written(pairs.select(F.col("digest").alias("a"), "b").distinct(), "near-pairs")
