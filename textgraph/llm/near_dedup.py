@@ -210,11 +210,11 @@ def groups(docs: DataFrame) -> DataFrame:
     trees = written(forest(sets), "near-forest")
     in_region = trees.select("digest", "n", F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), F.col(f"k{d}").alias("key")) for d in DEPTHS))).alias("r")).select("digest", "n", "r.depth", "r.key")
     sizes = written(in_region.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "near-regions")
-    placed = written(in_region.join(sizes, "key"), "near-placed")
+    placed = written(in_region.join(_small(sizes), "key"), "near-placed")
     score = written(placed.filter(F.col("depth") == DEPTHS[1]).groupBy("digest").agg(F.sum("m").alias("score")), "near-score")
     ranked = placed.join(_small(score), "digest", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("score", F.lit(0)).alias("score"), "digest", "n")).alias("p"))
     pivots = written(ranked.select("key", F.col("p.digest").alias("b"), F.col("p.n").alias("nb")), "near-pivots")
-    pairs = placed.join(pivots, "key").filter((F.col("digest") != F.col("b")) & _fits(F.col("n"), F.col("nb")))
+    pairs = placed.join(_small(pivots), "key").filter((F.col("digest") != F.col("b")) & _fits(F.col("n"), F.col("nb")))
     pairs = written(pairs.select(F.col("digest").alias("a"), "b").distinct(), "near-pairs")
     links = confirmed(pairs, sets)
     found = components(links)
@@ -242,9 +242,11 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with all its columns, one document of each group: the smallest doc_id."""
-    out = groups(docs.select("doc_id", "text")).filter("doc_id = component_id or component_id is null")
-    keep = written(out.select("doc_id").distinct(), "near-kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
+    out = groups(docs.select("doc_id", "text"))
+    # the ids that go are far fewer than those that stay; texts are shuffled only where even these are too many
+    gone = out.groupBy("doc_id").agg(F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).alias("kept")).filter("not kept")
+    gone = written(gone.select(F.col("doc_id").alias("gone_id")), "near-gone")
+    return docs.join(_small(gone), docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
