@@ -159,8 +159,9 @@ def _small(df: DataFrame) -> DataFrame:
 def _both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     """The pairs with the values va and vb of their two classes. A class with very many pairs is dealt over SALTS parts."""
     salted = pairs.select("a", "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+    salted = _small(salted)
     left = salted.join(table.select(F.col("digest").alias("a"), F.col(value).alias("va")), "a")
-    right = salted.select("b", "salt").distinct().join(table.select(F.col("digest").alias("b"), F.col(value).alias("vb")), "b")
+    right = _small(salted.select("b", "salt").distinct()).join(table.select(F.col("digest").alias("b"), F.col(value).alias("vb")), "b")
     return left.join(right, ["b", "salt"])
 
 
