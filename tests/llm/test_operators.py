@@ -171,6 +171,32 @@ def test_near_dedup_dense_groups(spark):
     compare_groups(spark, spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def template_rows(n, planted):
+    """n texts that share a passage, a similarity of about 0.80 to each other, and pairs of about 0.87 among them."""
+    passage, rows = prose(66, 180), []
+    for k in range(n):
+        own = prose(7000 + k, 22).split()
+        if k % 2 and k < 2 * planted:
+            own = rows[-1][1].split()[180:188] + own[8:]
+        rows.append((k, f"{passage} {' '.join(own)}"))
+    return rows
+
+
+def test_near_dedup_template(spark):
+    rows = template_rows(500, 60)
+    found = [r for r in brute_components(rows) if r[0] != r[2]]
+    assert 50 <= len(found) <= 70
+    compare_groups(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_near_dedup_blocks(spark, monkeypatch):
+    for name, value in {"SMALL": 8, "BLOCK": 16}.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    rows = template_rows(160, 30)
+    rows += [(1000 + k, rows[7][1] + f" end{k}") for k in range(40)]
+    compare_groups(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_language_model(spark, docs, empty):
     out = rows_of(language_model.query(spark, docs))
     assert len(out) == docs.count()

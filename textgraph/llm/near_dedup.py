@@ -7,9 +7,9 @@
 3. Pivots: a region's pivot is the class that shares the most deep regions (the text from which copies were edited has
    the commonest minima). Each class is a candidate with the pivot of each of its regions, so a dense region of m classes
    costs m candidates, not m * m.
-4. Neighbours: in each tree a class belongs to the shallowest region of at most LEAF classes (so the depth adapts to
-   each region's density), and its next WINDOW neighbours there, in order of longest common prefix, are candidates,
-   unless the pivots have joined them already.
+4. Regions of depth 4 that still hold several components are compared in full: in those of at most SMALL classes all
+   pairs across components are candidates; larger ones are cut into blocks of about BLOCK classes, and each pair of
+   blocks gets its exact intersections from one matrix product, of which the links that join components are kept.
 5. Candidates whose one-byte sketches agree in LIKELY of 128 places are confirmed on full sets (100 * intersection >= 85 * union), and confirmed links give components by
    min-label propagation with pointer jumping.
 
@@ -32,7 +32,9 @@ from .common import UPPER, written
 WORDS, PERCENT = 5, 85
 VALUES, TREES = 128, 16
 DEPTHS = (4, 8, 16, 32)
-LEAF, WINDOW = 24, 5
+SMALL, BLOCK = 64, 512
+#: Shingles of one matrix product.
+COLUMNS = 4096
 #: Sketch values that a pair worth confirming has in common: at similarity 0.85, five standard deviations below the mean.
 LIKELY = 88
 #: Pairs of one class are dealt over so many parts.
@@ -175,6 +177,90 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(shared.filter(F.col("i") * 100 >= (F.col("t") - F.col("i")) * PERCENT).select("a", "b"), "near-links")
 
 
+def block_links(rows: pa.Table) -> pa.Table:
+    """Links (a, b) that join the components of the classes of side 0 with those of side 1, or of side 0 with each other."""
+    lists = rows.column("shingles").combine_chunks()
+    n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    label = np.unique(np.array([x.hex() for x in rows.column("label").to_pylist()]), return_inverse=True)[1]
+    first = rows.column("side").to_numpy() == 0
+    alone = bool(first.all())
+    left = np.flatnonzero(first)
+    right = left if alone else np.flatnonzero(~first)
+    place = np.empty(len(n), np.int64)
+    place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+    names, col = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    row = np.repeat(np.arange(len(n)), n)
+    at = first[row]
+    in_left = np.bincount(col[at], minlength=len(names))
+    shared = in_left > 1 if alone else (in_left > 0) & (np.bincount(col[~at], minlength=len(names)) > 0)
+    kept = shared[col]
+    col, row = (np.cumsum(shared) - 1)[col[kept]], row[kept]
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(shared.sum()), COLUMNS):
+        span = slice(*np.searchsorted(col, [start, start + COLUMNS]))
+        c, r = col[span] - start, row[span]
+        x = np.zeros((len(left), COLUMNS), np.float32)
+        x[place[r[first[r]]], c[first[r]]] = 1
+        y = x
+        if not alone:
+            y = np.zeros((len(right), COLUMNS), np.float32)
+            y[place[r[~first[r]]], c[~first[r]]] = 1
+        both += x @ y.T
+    i, j = np.nonzero((100 + PERCENT) * both.astype(np.int64) >= PERCENT * (n[left][:, None] + n[right][None]))
+    i, j = left[i], right[j]
+    i, j = i[label[i] != label[j]], j[label[i] != label[j]]
+    one = np.unique(np.minimum(label[i], label[j]) * (len(n) + 1) + np.maximum(label[i], label[j]), return_index=True)[1]
+    # of the links that remain, those that join what isn't joined yet
+    root = list(range(len(n)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    made = []
+    for k in one:
+        p, q = find(int(label[i[k]])), find(int(label[j[k]]))
+        if p != q:
+            root[p] = q
+            made.append((int(i[k]), int(j[k])))
+    digest = rows.column("digest").to_pylist()
+    return pa.table({"a": pa.array([digest[x] for x, _ in made], pa.binary()), "b": pa.array([digest[y] for _, y in made], pa.binary())})
+
+
+def across(placed: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) between components within the regions (key) of the placed classes: every pair is looked at."""
+    labelled = placed.join(found, F.col("digest") == F.col("node"), "left").select("key", "digest", "n", "m", F.coalesce("label", "digest").alias("label"))
+    several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    rows = written(labelled.join(_small(written(several, "near-several")), "key"), "near-open")
+    x = rows.filter(F.col("m") <= SMALL)
+    y = x.select("key", F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    pairs = x.join(y, "key").filter((F.col("digest") < F.col("b")) & (F.col("label") != F.col("lb")) & _fits(F.col("n"), F.col("nb")))
+    few = confirmed(written(pairs.select(F.col("digest").alias("a"), "b").distinct(), "near-across"), sets)
+    # large regions: a component that fills blocks has blocks of its own, which needn't be compared with each other
+    large = rows.filter(F.col("m") > SMALL)
+    if large.isEmpty():
+        return few
+    counts = large.groupBy("key", "label").agg(F.count("*").alias("c"))
+    own = written(counts.filter(F.col("c") >= BLOCK), "near-own")
+    rest = written(counts.filter(F.col("c") < BLOCK).groupBy("key").agg(F.sum("c").alias("r")), "near-rest")
+    dealt = large.join(_small(own), ["key", "label"], "left").join(_small(rest), "key", "left")
+    size = F.coalesce("c", "r")
+    part = F.pmod(F.xxhash64("digest"), F.ceil(size / BLOCK))
+    dealt = dealt.withColumn("own", F.when(F.col("c").isNotNull(), F.col("label"))).withColumn("block", F.xxhash64("own", part))
+    dealt = written(dealt.select("key", "digest", "label", "own", "block"), "near-dealt")
+    blocks = written(dealt.select("key", "own", "block").distinct(), "near-blocks")
+    other = blocks.select("key", F.col("own").alias("own_b"), F.col("block").alias("pb"))
+    met = blocks.withColumnRenamed("block", "pa").join(other, "key").filter((F.col("pa") <= F.col("pb")) & F.coalesce(F.col("own") != F.col("own_b"), F.lit(True)))
+    met = met.select("key", "pa", "pb")
+    sides = met.select("*", F.col("pa").alias("block"), F.lit(0).alias("side")).union(met.filter("pa <> pb").select("*", F.col("pb").alias("block"), F.lit(1).alias("side")))
+    sent = written(dealt.join(_small(written(sides, "near-sides")), ["key", "block"]).select("key", "pa", "pb", "side", "digest", "label"), "near-sent")
+    full = sets.select("digest", "shingles").join(_small(sent), "digest")
+    return written(few.union(full.groupBy("key", "pa", "pb").applyInArrow(block_links, "a binary, b binary").distinct()), "near-more")
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(digest, shingles, sig, sketch) of the wanted (rep, digest); the sketch is the low byte of each signature value."""
 
@@ -219,17 +305,7 @@ def groups(docs: DataFrame) -> DataFrame:
     pairs = written(pairs.select(F.col("digest").alias("a"), "b").distinct(), "near-pairs")
     links = confirmed(pairs, sets)
     found = components(links)
-    # the neighbours in each tree's order, within the shallowest region that is small enough
-    flags = trees.select("digest", "n", "tree", *(f"k{d}" for d in DEPTHS), F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), F.col(f"k{d}").alias("key")) for d in DEPTHS))).alias("r"))
-    small = sizes.filter(F.col("m") <= LEAF).select(F.col("key"))
-    flags = flags.join(small, F.col("r.key") == small["key"]).groupBy("digest", "n", "tree").agg(F.min(F.struct("r.depth", "r.key", *(f"k{d}" for d in DEPTHS))).alias("leaf"))
-    order = Window.partitionBy("leaf.key").orderBy(*(f"leaf.k{d}" for d in DEPTHS), "digest")
-    labelled = flags.join(found, F.col("digest") == F.col("node"), "left").withColumn("c", F.coalesce("label", "digest"))
-    ahead = [F.lead(F.struct(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), k).over(order) for k in range(1, WINDOW + 1)]
-    near = labelled.select("digest", "n", "c", F.array(*ahead).alias("ahead")).select("digest", "n", "c", F.explode("ahead").alias("x"))
-    near = near.filter(F.col("x").isNotNull() & (F.col("c") != F.col("x.cb")) & _fits(F.col("n"), F.col("x.nb")))
-    near = near.select(F.least("digest", "x.b").alias("a"), F.greatest("digest", "x.b").alias("b")).distinct()
-    more = confirmed(written(near, "near-neighbours"), sets)
+    more = across(placed.filter(F.col("depth") == DEPTHS[0]).select("key", "digest", "n", "m"), found, sets)
     if not more.isEmpty():
         found = components(links.union(more))
     label = classes.select("digest", "rep").join(found, F.col("digest") == F.col("node"), "left").select("digest", "rep", F.coalesce("label", "digest").alias("label"))
