@@ -227,6 +227,16 @@ def test_language_model_is_a_distribution_and_learns():
     assert np.allclose(model.log10(cycle[:3], window=7), model.log10(cycle[:3], window=64), rtol=1e-4)
 
 
+def test_language_model_learns_from_every_training_document(spark):
+    words = [f"own{k}" for k in range(60)]
+    table = language_model.chunks(spark.createDataFrame([(k, f"{w} " * 60) for k, w in enumerate(words)], "doc_id long, text string").coalesce(1))
+    make = lambda: language_model.Model(words, np.ones(60), np.ones(language_model.RARE), 5)
+    before, after = make(), language_model.fit(table, make())
+    changed = [bool((before.p["emb"][before.index[w]] != after.p["emb"][after.index[w]]).any()) for w in words]
+    assert changed == [zlib.crc32(str(k).encode()) % 10 != 0 for k in range(60)]
+    assert make().train([np.array([60, 61, 0])] * 101) == 303
+
+
 def test_sentencepiece(spark, docs, empty):
     import sentencepiece
 

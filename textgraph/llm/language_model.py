@@ -8,7 +8,7 @@ The model's symbols are the end, the TOP most frequent words and RARE classes of
 letters). A gated recurrent network predicts the next symbol through a class-factored softmax: a class of symbols, then
 the symbol within it. Within a rare class, words follow their smoothed counts. Weights are fitted by truncated
 backpropagation through windows of WINDOW steps, with the state carried from window to window, in every partition on
-TRAIN_SHARE of its training documents (so the data used grow with the corpus), and averaged by token counts.
+its training documents, and averaged by token counts: once after a first TRAIN_SHARE of them, and after all the rest.
 
 Scoring runs whole documents side by side, longest first, in windows that hand on their state.
 Edge cases: a null or empty text is the end token alone; a null doc_id counts as held out; without training documents
@@ -31,7 +31,7 @@ TOP, RARE = 1500, 48
 EMBED, HIDDEN = 12, 24
 CHUNK_TOKENS = 1_500_000
 WINDOW, STREAMS = 16, 384
-TRAIN_SHARE = (0.05, 0.2)
+TRAIN_SHARE = (0.05, 0.95)
 RATE, CLIP = 0.01, 1.0
 SEED = 17
 
@@ -206,9 +206,9 @@ class Model:
         previous = np.r_[0, flat[:-1]]
         previous[start] = 0
         streams = int(min(STREAMS, max(1, len(flat) // (WINDOW * 8))))
-        steps = len(flat) // streams
-        used = steps * streams
-        shape = lambda a: a[:used].reshape(streams, steps).T
+        steps = -(-len(flat) // streams)
+        # the last stream is filled up from the start, so that no token is left out
+        shape = lambda a: np.resize(a, steps * streams).reshape(streams, steps).T
         x, y, fresh = shape(previous), shape(flat), shape(start)
         fresh = fresh.copy()
         fresh[0] = True
@@ -224,7 +224,7 @@ class Model:
                 m[k] += 0.1 * (a - m[k])
                 v[k] += 0.01 * (a * a - v[k])
                 self.p[k] -= RATE * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.99**n)) + 1e-8)
-        return used
+        return len(flat)
 
     def log10(self, documents: list[np.ndarray], batch: int = 512, window: int = 32) -> np.ndarray:
         """log10 P of each document of symbols, whole."""
