@@ -364,6 +364,24 @@ def test_token_files(spark, docs, empty):
     assert sorted((r["start"], r["ids_crc32"]) for r in small) == [(w[1], w[3]) for w in want]
 
 
+def test_token_files_with_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from textgraph.llm.queries import queries
+
+    t = Tokenizer.from_file(token_store.default_tokenizer())
+    r = np.random.default_rng(8)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", *TEXTS.values()] + ["".join(r.choice(["<|endoftext|>", " ", "\n", "word", "<|", "1", "é"], 12)) for _ in range(100)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want, start = [], 0
+    for d, text in enumerate(texts):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    out = queries()["op9_addressable_token_files"](spark, str(tmp_path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    assert sorted(map(tuple, out.collect())) == want
+
+
 def test_token_file_access():
     ids = np.random.default_rng(2).integers(0, 1 << 20, 5000).astype(np.uint32)
     ids[::3] %= 256

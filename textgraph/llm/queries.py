@@ -20,7 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_candidate_boosting_pii": lambda s, d: pii.query(s, documents(s, d)),
         "op7_positive_unlabelled_toxicity": toxicity.registered,
         "op8_line_dedup_runs": lambda s, d: line_dedup.query(s, documents(s, d)),
-        "op9_addressable_token_files": lambda s, d: token_store.query(s, documents(s, d)),
+        "op9_addressable_token_files": lambda s, d: token_store.query(s, documents(s, d), added=True),
         "op10_containment_search": lambda s, d: decontamination.query(s, documents(s, d), documents(s, d, "benchmark")),
     }
 

@@ -10,7 +10,9 @@ and ceil(n / 512) u64 directory entries. Files are cells of a Parquet table (fil
 store that Spark writes can hold and whose commit survives lost executors. They follow each other in ascending doc_id.
 
 Edge cases: a null or empty text has only the end id; a null doc_id comes first; rows of equal doc_id follow each other,
-ordered by text; an empty table gives no files; other columns aren't stored. Special tokens in a text are ordinary text.
+ordered by text; an empty table gives no files; other columns aren't stored. Added tokens
+of the tokenizer file (<|endoftext|>) that occur in a text are ordinary text, or with `added` get their own ids, as the
+tokenizers library does unless told otherwise; the registered query has `added`.
 """
 
 from __future__ import annotations
@@ -117,15 +119,18 @@ def encoding(spec: str):
     """The tokenizer of a byte-level BPE file of the tokenizers library, whose ids are in merge order, as tiktoken's (the same ids, several times as fast)."""
     import tiktoken
 
-    model = json.loads(spec)["model"]
+    whole = json.loads(spec)
+    model, tokens = whole["model"], whole.get("added_tokens") or []
+    if any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that take in or depend on what surrounds them aren't supported")
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
     merged = {"".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"]}
     ranks = {bytes(byte_of[c] for c in piece): i for piece, i in model["vocab"].items() if len(piece) == 1 or piece in merged}
-    return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in tokens})
 
 
-def write_files(docs: DataFrame, path: str | None = None, end: int = END, file_tokens: int = FILE_TOKENS) -> DataFrame:
+def write_files(docs: DataFrame, path: str | None = None, end: int = END, file_tokens: int = FILE_TOKENS, added: bool = False) -> DataFrame:
     """The table of files (file_no, n_tokens, first_token, data) in ascending doc_id order."""
     with open(path or default_tokenizer(), encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -133,7 +138,7 @@ def write_files(docs: DataFrame, path: str | None = None, end: int = END, file_t
     def run(batches):
         from pyspark import TaskContext
 
-        own = encoding(spec.value)
+        own, allowed = encoding(spec.value), "all" if added else set()
         part, seq = TaskContext.get().partitionId(), 0
         ids, docs_in, held = [], [], 0
 
@@ -147,7 +152,7 @@ def write_files(docs: DataFrame, path: str | None = None, end: int = END, file_t
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                x = np.append(np.asarray(own.encode_to_numpy(text or "", disallowed_special=()), np.uint32), np.uint32(end))
+                x = np.append(np.asarray(own.encode_to_numpy(text or "", allowed_special=allowed, disallowed_special=()), np.uint32), np.uint32(end))
                 ids.append(x)
                 docs_in.append(doc_id)
                 held += len(x)
@@ -181,5 +186,5 @@ def read_files(files: DataFrame) -> DataFrame:
     return files.select("data", "first_token").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return read_files(write_files(docs))
+def query(spark: SparkSession, docs: DataFrame, added: bool = False) -> DataFrame:
+    return read_files(write_files(docs, added=added))
