@@ -10,22 +10,37 @@ from pyspark.sql import functions as F
 
 from .schema import HEAD, schema
 
+_OWN: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a local one where the session names none, as in tests."""
+    """The folder of this application in spark.checkpoint.dir, which all executors share; it goes when the driver ends.
+
+    Where the session names none, a local one serves a local master, as in tests; a cluster must name one.
+    """
+    context = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        known = context._jsc.sc().getCheckpointDir()
         if known.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textgraph-"))
-            known = spark.sparkContext._jsc.sc().getCheckpointDir()
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="textgraph-"))
+            known = context._jsc.sc().getCheckpointDir()
         at = known.get()
-    return at.rstrip("/")
+    own = f"{at.rstrip('/')}/textgraph-{context.applicationId}"
+    if own not in _OWN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _OWN.add(own)
+    return own
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
