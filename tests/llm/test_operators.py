@@ -231,12 +231,39 @@ def test_language_model_learns_from_every_training_document(spark):
     words = [f"own{k}" for k in range(60)]
     table = language_model.chunks(spark.createDataFrame([(k, f"{w} " * 60) for k, w in enumerate(words)], "doc_id long, text string").coalesce(1))
     make = lambda: language_model.Model(words, np.ones(60), np.ones(language_model.RARE), 5)
-    before, after = make(), language_model.fit(table, make())
+    before, after = make(), language_model.fit(table, make(), 3000)
     changed = [bool((before.p["emb"][before.index[w]] != after.p["emb"][after.index[w]]).any()) for w in words]
     assert changed == [zlib.crc32(str(k).encode()) % 10 != 0 for k in range(60)]
     assert make().train([np.array([60, 61, 0])] * 101) == 303
 
 
+def test_language_model_scores_like_a_plain_recurrence_and_whatever_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "GROUP_TOKENS", 2500)
+    monkeypatch.setattr(language_model, "FAN_IN", 2)
+    r = np.random.default_rng(6)
+    texts = {k: " ".join(WORDS[i] for i in np.cumsum(r.integers(0, 3, 1 + k % 90)) % len(WORDS)) for k in range(400)}
+    df = spark.createDataFrame([*texts.items(), (900, None), (None, "nobody's words"), (7, texts[7])], "doc_id long, text string")
+    made = [{r["doc_id"]: r["score"] for r in rows_of(language_model.query(spark, df.repartition(n)))} for n in (1, 5)]
+    assert all(math.isclose(made[0][d], made[1][d], rel_tol=1e-6) for d in made[0])
+    model = language_model.Model(WORDS[:15], np.arange(15, 0, -1.0), np.ones(language_model.RARE), 5)
+    model.train([np.append(np.arange(60, 64), 0)] * 500)
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    H = language_model.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for doc in ([0], [60, 61, 5, 62, 0], [*r.integers(1, 64, 100), 0]):
+        h, last, total = np.zeros(H), 0, 0.0
+        for s in doc:
+            gates, u = p["emb"][last] @ p["wx"] + p["b"], h @ p["wh"]
+            z, g = sigmoid(gates[:H] + u[:H]), sigmoid(gates[H : 2 * H] + u[H : 2 * H])
+            n = np.tanh(gates[2 * H :] + g * u[2 * H :])
+            h = (1 - z) * n + z * h
+            c = model.kls[s]
+            of_class, within = np.exp(h @ p["wc"] + p["bc"]), np.exp(h @ p["ww"][c] + p["bw"][c])
+            total += np.log10(of_class[c] / of_class.sum() * within[model.slot[s]] / within.sum())
+            last = s
+        assert math.isclose(model.log10([np.array(doc)])[0], total, rel_tol=1e-4)
+
+
 def test_sentencepiece(spark, docs, empty):
     import sentencepiece
 

@@ -7,8 +7,10 @@ counts come back to each chunk as one array. Everything that is counted covers a
 The model's symbols are the end, the TOP most frequent words and RARE classes of other words (by their last two
 letters). A gated recurrent network predicts the next symbol through a class-factored softmax: a class of symbols, then
 the symbol within it. Within a rare class, words follow their smoothed counts. Weights are fitted by truncated
-backpropagation through windows of WINDOW steps, with the state carried from window to window, in every partition on
-its training documents, and averaged by token counts: once after a first TRAIN_SHARE of them, and after all the rest.
+backpropagation through windows of WINDOW steps, with the state carried from window to window, on all training
+documents: these are dealt by a hash of their ids into groups of about GROUP_TOKENS tokens, each group is read once in
+the order of that hash, BUFFER tokens at a time, and the groups' weights are averaged by token counts, once after a
+first TRAIN_SHARE and again after all the rest. The groups depend on the documents alone, not on how files are split.
 
 Scoring runs whole documents side by side, longest first, in windows that hand on their state.
 Edge cases: a null or empty text is the end token alone; a null doc_id counts as held out; without training documents
@@ -25,13 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, remainder, written
+from .common import UPPER, one_thread, remainder, written
 
 TOP, RARE = 1500, 48
 EMBED, HIDDEN = 12, 24
 CHUNK_TOKENS = 1_500_000
 WINDOW, STREAMS = 16, 384
 TRAIN_SHARE = (0.05, 0.95)
+GROUP_TOKENS, BUFFER = 2_500_000, 500_000
+#: Weight vectors that one task adds up.
+FAN_IN = 32
 RATE, CLIP = 0.01, 1.0
 SEED = 17
 
@@ -54,27 +59,28 @@ def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
 
         part, seq = TaskContext.get().partitionId(), 0
         ids: dict[bytes, int] = {}
-        own, keep, at, held = [], [], [], 0
+        own, marks, keep, at, held = [], [], [], [], 0
 
         def row():
-            nonlocal seq, ids, own, keep, at, held
+            nonlocal seq, ids, own, marks, keep, at, held
             flat = np.concatenate(at)
             lens = np.array([len(a) for a in at], np.int64)
             train = np.repeat(np.array(keep, bool), lens)
             n = np.bincount(flat[train], minlength=len(ids))
             # words hold no space
             made = pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + seq], pa.int64()), pa.array([b" ".join(ids).decode()]), pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([flat.astype("<u4").tobytes()], pa.binary()), pa.array([lens.tobytes()], pa.binary()), pa.array([np.array(keep, np.uint8).tobytes()], pa.binary()), pa.array([own], pa.list_(batch.schema.field("doc_id").type))],
-                names=["chunk", "words", "n_train", "flat", "lens", "train", "ids"],
+                [pa.array([(part << 32) + seq], pa.int64()), pa.array([b" ".join(ids).decode()]), pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([flat.astype("<u4").tobytes()], pa.binary()), pa.array([lens.tobytes()], pa.binary()), pa.array([np.array(keep, np.uint8).tobytes()], pa.binary()), pa.array([np.array(marks, "<i8").tobytes()], pa.binary()), pa.array([own], pa.list_(batch.schema.field("doc_id").type))],
+                names=["chunk", "words", "n_train", "flat", "lens", "train", "marks", "ids"],
             )
-            seq, ids, own, keep, at, held = seq + 1, {}, [], [], [], 0
+            seq, ids, own, marks, keep, at, held = seq + 1, {}, [], [], [], [], 0
             return made
 
         for batch in batches:
-            for doc_id, train, text in zip(batch.column("doc_id").to_pylist(), batch.column("train").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc_id, mark, train, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "train", "text")), strict=True):
                 words = (text or "").encode().translate(_LOWER).split()
                 at.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)))
                 own.append(doc_id)
+                marks.append(mark)
                 keep.append(train)
                 held += len(words) + 1
                 if held >= tokens:
@@ -82,8 +88,8 @@ def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
         if own:
             yield row()
 
-    rows = docs.select("doc_id", (remainder(F.col("doc_id"), 10) != 0).alias("train"), "text")
-    return rows.mapInArrow(run, f"chunk long, words string, n_train array<long>, flat binary, lens binary, train binary, ids array<{kind.simpleString()}>")
+    rows = docs.select("doc_id", F.xxhash64(F.lit(SEED), "doc_id").alias("mark"), (remainder(F.col("doc_id"), 10) != 0).alias("train"), "text")
+    return rows.mapInArrow(run, f"chunk long, words string, n_train array<long>, flat binary, lens binary, train binary, marks binary, ids array<{kind.simpleString()}>")
 
 
 # the network
@@ -111,6 +117,8 @@ class Model:
             "emb": draw(n, EMBED), "wx": draw(EMBED, 3 * HIDDEN), "wh": draw(HIDDEN, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN, np.float32),
             "wc": draw(HIDDEN, self.n_classes) * 0, "bc": np.log(mass / mass.sum()).astype(np.float32), "ww": draw(self.n_classes, HIDDEN, self.size) * 0, "bw": within,
         }
+        self.moments: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.steps = 0
 
     def table(self) -> np.ndarray:
         """What each symbol adds to the gates."""
@@ -119,85 +127,110 @@ class Model:
     @staticmethod
     def step(gates: np.ndarray, h: np.ndarray, wh: np.ndarray):
         u = h @ wh
-        zr = 1 / (1 + np.exp(-(gates[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])))
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(gates[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-        return n + z * (h - n), z, r, n, u[:, 2 * HIDDEN :]
+        zr = gates[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, r, un = zr[:, :HIDDEN], zr[:, HIDDEN:], u[:, 2 * HIDDEN :]
+        n = r * un
+        n += gates[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, un
 
     def output(self, h: np.ndarray, symbols: np.ndarray, grad: bool = False):
-        """ln P of each symbol; with grad, also the gradients of its mean negative: of h, and of the output weights."""
+        """ln P of each symbol; with grad, also the gradients of its mean negative: of h, and of the output weights.
+
+        Logits lie far within the range of 32-bit exponentials (they are clipped at 60), so none is subtracted.
+        """
         p, kls, slot = self.p, self.kls[symbols], self.slot[symbols]
-        a = h @ p["wc"] + p["bc"]
-        a -= a.max(1, keepdims=True)
-        ea = np.exp(a)
-        sa = ea.sum(1)
+        ones_c, ones_s = np.ones(self.n_classes, np.float32), np.ones(self.size, np.float32)
         rows = np.arange(len(h))
-        logp = a[rows, kls] - np.log(sa)
+        ea = h @ p["wc"]
+        ea += p["bc"]
+        np.minimum(ea, 60, out=ea)
+        logp = ea[rows, kls]
+        np.exp(ea, out=ea)
+        sa = ea @ ones_c
+        logp -= np.log(sa)
         if grad:
-            ga = ea / sa[:, None]
-            ga[rows, kls] -= 1
-            ga /= len(h)
-            g = {"wc": h.T @ ga, "bc": ga.sum(0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-            gh = ga @ p["wc"].T
+            ea *= (1 / (sa * len(h)))[:, None]
+            ea[rows, kls] -= np.float32(1 / len(h))
+            g = {"wc": h.T @ ea, "bc": ea.sum(0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
+            gh = ea @ p["wc"].T
         order = np.argsort(kls, kind="stable")
         bounds = np.searchsorted(kls[order], np.arange(self.n_classes + 1))
+        h_in, slot_in = h[order], slot[order]
+        within = np.empty(len(h), np.float32)
+        gh_in = np.empty_like(h) if grad else None
         for c in range(self.n_classes):
-            at = order[bounds[c] : bounds[c + 1]]
-            if not len(at):
+            at = slice(bounds[c], bounds[c + 1])
+            hc, sc = h_in[at], slot_in[at]
+            if not len(hc):
                 continue
-            hc, sc = h[at], slot[at]
-            e = hc @ p["ww"][c] + p["bw"][c]
-            e -= e.max(1, keepdims=True)
-            ee = np.exp(e)
-            se = ee.sum(1)
-            k = np.arange(len(at))
-            logp[at] += e[k, sc] - np.log(se)
+            e = hc @ p["ww"][c]
+            e += p["bw"][c]
+            np.minimum(e, 60, out=e)
+            k = rows[: len(hc)]
+            own = e[k, sc]
+            np.exp(e, out=e)
+            se = e @ ones_s
+            within[at] = own - np.log(se)
             if grad:
-                ge = ee / se[:, None]
-                ge[k, sc] -= 1
-                ge /= len(h)
-                g["ww"][c], g["bw"][c] = hc.T @ ge, ge.sum(0)
-                gh[at] += ge @ p["ww"][c].T
-        return (logp, gh, g) if grad else logp
+                e *= (1 / (se * len(h)))[:, None]
+                e[k, sc] -= np.float32(1 / len(h))
+                g["ww"][c], g["bw"][c] = hc.T @ e, e.sum(0)
+                gh_in[at] = e @ p["ww"][c].T
+        logp[order] += within
+        if not grad:
+            return logp
+        gh[order] += gh_in
+        return logp, gh, g
 
     def window(self, symbols: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray):
         """One truncated window (steps, streams): mean loss, gradients and the state after it. fresh marks a document's start."""
-        p, steps = self.p, len(symbols)
+        p, (steps, streams) = self.p, symbols.shape
         x = p["emb"][symbols]
         gates = x @ p["wx"] + p["b"]
-        states, tape = [], []
+        carry = (~fresh).astype(np.float32)[:, :, None]
+        befores, states, zs, rs, ns, us = (np.empty((steps, streams, HIDDEN), np.float32) for _ in range(6))
         for t in range(steps):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            new, z, r, n, un = self.step(gates[t], h, p["wh"])
-            tape.append((h, z, r, n, un))
-            h = new
-            states.append(h)
-        flat = np.concatenate(states)
-        logp, gflat, g = self.output(flat, targets.reshape(-1), grad=True)
-        gout = gflat.reshape(steps, -1, HIDDEN)
-        ggates, gh = np.empty_like(gates), np.zeros_like(h)
-        gwh = np.zeros_like(p["wh"])
+            befores[t] = h * carry[t]
+            states[t], zs[t], rs[t], ns[t], us[t] = self.step(gates[t], befores[t], p["wh"])
+            h = states[t]
+        logp, gout, g = self.output(states.reshape(-1, HIDDEN), targets.reshape(-1), grad=True)
+        gout = gout.reshape(steps, streams, HIDDEN)
+        # what a state's gradient is multiplied by on its way to each gate
+        to_n = (1 - zs) * (1 - ns * ns)
+        to_z = (befores - ns) * zs * (1 - zs)
+        to_r = us * rs * (1 - rs)
+        gu, gh, wht = np.empty((steps, streams, 3 * HIDDEN), np.float32), np.zeros((streams, HIDDEN), np.float32), np.ascontiguousarray(p["wh"].T)
         for t in reversed(range(steps)):
-            before, z, r, n, un = tape[t]
-            gh = gh + gout[t]
-            gn = gh * (1 - z) * (1 - n * n)
-            gz = gh * (before - n) * z * (1 - z)
-            gr = gn * un * r * (1 - r)
-            ggates[t] = np.concatenate([gz, gr, gn], 1)
-            gu = np.concatenate([gz, gr, gn * r], 1)
-            gwh += before.T @ gu
-            gh = np.where(fresh[t][:, None], np.float32(0), gh * z + gu @ p["wh"].T)
-        gg, xx = ggates.reshape(-1, 3 * HIDDEN), x.reshape(-1, EMBED)
-        g |= {"wh": gwh, "wx": xx.T @ gg, "b": gg.sum(0)}
-        gx, flat_symbols = gg @ p["wx"].T, symbols.reshape(-1)
+            gh += gout[t]
+            gn, own = to_n[t], gu[t]
+            gn *= gh
+            np.multiply(gh, to_z[t], out=own[:, :HIDDEN])
+            np.multiply(gn, to_r[t], out=own[:, HIDDEN : 2 * HIDDEN])
+            np.multiply(gn, rs[t], out=own[:, 2 * HIDDEN :])
+            gh *= zs[t]
+            gh += own @ wht
+            gh *= carry[t]
+        flat_gu = gu.reshape(-1, 3 * HIDDEN)
+        g["wh"] = befores.reshape(-1, HIDDEN).T @ flat_gu
+        gu[:, :, 2 * HIDDEN :] = to_n
+        g |= {"wx": x.reshape(-1, EMBED).T @ flat_gu, "b": flat_gu.sum(0)}
+        gx, flat_symbols = flat_gu @ p["wx"].T, symbols.reshape(-1)
         order = np.argsort(flat_symbols, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(flat_symbols[order]) > 0])
         g["emb"] = np.zeros_like(p["emb"])
         g["emb"][flat_symbols[order][first]] = np.add.reduceat(gx[order], first)
-        return -float(logp.mean()), g, h
+        return -float(logp.mean()), g, states[-1]
 
     def train(self, documents: list[np.ndarray]) -> int:
-        """One pass over documents of symbols (the end last); the number of tokens used."""
+        """One pass over documents of symbols (the end last); the number of tokens used. Steps continue from the last call."""
         if not documents:
             return 0
         flat = np.concatenate(documents)
@@ -208,22 +241,27 @@ class Model:
         streams = int(min(STREAMS, max(1, len(flat) // (WINDOW * 8))))
         steps = -(-len(flat) // streams)
         # the last stream is filled up from the start, so that no token is left out
-        shape = lambda a: np.resize(a, steps * streams).reshape(streams, steps).T
+        shape = lambda a: np.ascontiguousarray(np.resize(a, steps * streams).reshape(streams, steps).T)
         x, y, fresh = shape(previous), shape(flat), shape(start)
-        fresh = fresh.copy()
         fresh[0] = True
         h = np.zeros((streams, HIDDEN), np.float32)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(a) for k, a in self.p.items()}
-        for n, t in enumerate(range(0, steps, WINDOW), 1):
+        if not self.moments:
+            self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+        for t in range(0, steps, WINDOW):
             _, g, h = self.window(x[t : t + WINDOW], y[t : t + WINDOW], fresh[t : t + WINDOW], h)
-            norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
+            self.steps += 1
+            norm = np.sqrt(sum(float(np.vdot(a, a)) for a in g.values()))
             scale = np.float32(min(1.0, CLIP / (norm + 1e-9)))
+            unbias = np.float32(np.sqrt(1 - 0.99**self.steps))
+            rate = np.float32(RATE / (1 - 0.9**self.steps)) * unbias
             for k, a in g.items():
                 a *= scale
-                m[k] += 0.1 * (a - m[k])
-                v[k] += 0.01 * (a * a - v[k])
-                self.p[k] -= RATE * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.99**n)) + 1e-8)
+                m, v = self.moments[k]
+                m += np.float32(0.1) * (a - m)
+                a *= a
+                a -= v
+                v += np.float32(0.01) * a
+                self.p[k] -= rate * m / (np.sqrt(v) + np.float32(1e-8) * unbias)
         return len(flat)
 
     def log10(self, documents: list[np.ndarray], batch: int = 512, window: int = 32) -> np.ndarray:
@@ -272,41 +310,99 @@ def _symbols(model: Model, words: list[str]) -> np.ndarray:
 
 def _documents(symbols: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> list[np.ndarray]:
     """Each document's symbols and the end."""
-    at = np.r_[0, np.cumsum(lens)]
-    all_symbols = symbols[flat] if len(flat) else np.zeros(0, np.int64)
-    return [np.append(all_symbols[a:b], 0) for a, b in zip(at[:-1], at[1:])]
+    ends = np.cumsum(lens + 1)
+    every = np.zeros(int(lens.sum()) + len(lens), symbols.dtype)
+    inside = np.ones(len(every), bool)
+    inside[ends - 1] = False
+    every[inside] = symbols[flat]
+    return np.split(every, ends[:-1]) if len(lens) else []
 
 
 def _row(r: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
     return r["words"].split(" ") if r["words"] else [], np.frombuffer(r["flat"], "<u4"), np.frombuffer(r["lens"], np.int64)
 
 
-def fit(table: DataFrame, model: Model) -> Model:
-    """The model after a round of training for each share, averaged over the partitions by tokens."""
+def symbol_rows(table: DataFrame, model: Model) -> DataFrame:
+    """(mark, symbols) of each training document; symbols are 16-bit numbers, the end last."""
+    sent = table.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+
+    def run(batches):
+        own = pickle.loads(sent.value)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1)
+                words, flat, lens = _row({k: r.column(k)[0].as_py() for k in ("words", "flat", "lens")})
+                train = np.flatnonzero(np.frombuffer(r.column("train")[0].as_py(), np.uint8))
+                every = _documents(_symbols(own, words).astype("<u2"), flat, lens)
+                marks = np.frombuffer(r.column("marks")[0].as_py(), "<i8")
+                for k in range(0, len(train), 2000):
+                    part = train[k : k + 2000]
+                    yield pa.RecordBatch.from_arrays([pa.array(marks[part]), pa.array([every[d].tobytes() for d in part], pa.binary())], names=["mark", "symbols"])
+
+    return table.select("words", "flat", "lens", "train", "marks").mapInArrow(run, "mark long, symbols binary")
+
+
+def averaged(parts: DataFrame) -> np.ndarray | None:
+    """The mean of the vectors p (64-bit floats) of (part, used, p), weighted by used. FAN_IN at most are added in one place."""
+
+    def add(batches):
+        part, used, total = None, 0, None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if part is not None and r["up"] != part:
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([used], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "used", "p"])
+                    used, total = 0, None
+                own = np.frombuffer(r["p"], "<f8")
+                part, used, total = r["up"], used + r["used"], own.copy() if total is None else total + own
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([used], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "used", "p"])
+
+    while (n := parts.count()) > FAN_IN:
+        up = parts.withColumn("up", F.expr(f"part div {FAN_IN}")).repartition(-(-n // FAN_IN), "up").sortWithinPartitions("up", "part")
+        parts = written(up.select("up", "part", "used", "p").mapInArrow(add, "part long, used long, p binary"), "lm-averaged")
+    found = parts.orderBy("part").collect()
+    used = sum(r["used"] for r in found)
+    return sum(np.frombuffer(r["p"], "<f8") for r in found) / used if used else None
+
+
+def fit(table: DataFrame, model: Model, tokens: int) -> Model:
+    """The model after a round of training for each share of the documents; tokens is their number in all."""
     spark = table.sparkSession
+    rows = symbol_rows(table, model)
     lower = 0.0
     for share in TRAIN_SHARE:
-        sent, span = spark.sparkContext.broadcast(pickle.dumps(model)), (lower, lower + share)
+        sent = spark.sparkContext.broadcast(pickle.dumps(model))
+        groups = max(1, round(share * tokens / GROUP_TOKENS))
+        place = F.pmod(F.xxhash64("mark"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        picked = rows.filter((place >= lower) & (place < lower + share)) if lower + share < 1 else rows.filter(place >= lower)
+        picked = picked.withColumn("part", F.pmod(F.xxhash64(F.lit(2), "mark"), F.lit(groups)))
         lower += share
 
-        def run(batches, sent=sent, span=span):
-            own, docs = pickle.loads(sent.value), []
+        def run(batches, sent=sent):
+            one_thread()
+            part, used, held, own, docs = None, 0, 0, None, []
+
+            def row():
+                n = used + own.train(docs)
+                return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([(own.vector().astype("<f8") * n).tobytes()], pa.binary())], names=["part", "used", "p"])
+
             for batch in batches:
-                for r in batch.to_pylist():
-                    words, flat, lens = _row(r)
-                    train = np.frombuffer(r["train"], np.uint8) > 0
-                    pick = np.array([span[0] <= zlib.crc32(f"{SEED}:{i}".encode()) / 2**32 < span[1] for i in r["ids"]])
-                    every = _documents(_symbols(own, words), flat, lens)
-                    docs += [every[k] for k in np.flatnonzero(train & pick)]
-            used = own.train(docs)
-            if used:
-                yield pa.RecordBatch.from_arrays([pa.array([used], pa.int64()), pa.array([own.vector()], pa.list_(pa.float32()))], names=["used", "p"])
-
-        parts = table.select("words", "flat", "lens", "train", "ids").mapInArrow(run, "used long, p array<float>")
-        each = parts.select("used", F.posexplode("p").alias("k", "v"))
-        mean = each.groupBy("k").agg((F.sum(F.col("v") * F.col("used")) / F.sum("used")).alias("v")).toPandas()
-        if len(mean):
-            model.load(mean.sort_values("k")["v"].to_numpy())
+                for group, symbols in zip(batch.column("part").to_pylist(), batch.column("symbols").to_pylist(), strict=True):
+                    if group != part:
+                        if part is not None:
+                            yield row()
+                        part, used, held, own, docs = group, 0, 0, pickle.loads(sent.value), []
+                    docs.append(np.frombuffer(symbols, "<u2").astype(np.int64))
+                    held += len(docs[-1])
+                    if held >= BUFFER:
+                        used, held, docs = used + own.train(docs), 0, []
+            if part is not None:
+                yield row()
+
+        dealt = picked.repartition(groups, "part").sortWithinPartitions("part", "mark", "symbols")
+        vector = averaged(written(dealt.select("part", "symbols").mapInArrow(run, "part long, used long, p binary"), "lm-weights"))
+        if vector is not None:
+            model.load(vector)
     return model
 
 
@@ -326,22 +422,24 @@ def scores(docs: DataFrame) -> DataFrame:
         rare[int(r["k"])] = r["v"], r["c"]
     for r in top:
         rare[rare_class(r["word"])] -= 1, r["c"]
-    model = fit(table, Model([r["word"] for r in top], np.array([r["c"] for r in top], float), rare[:, 1], n_docs))
+    model = fit(table, Model([r["word"] for r in top], np.array([r["c"] for r in top], float), rare[:, 1], n_docs), n)
     # log10 of what the counts of each rare class are divided by
     below = np.log10(rare[:, 1] + 0.1 * (rare[:, 0] + 1))
     sent = spark.sparkContext.broadcast(pickle.dumps((model, below, n, v, n_docs)))
-    back = words.join(counts, "word").groupBy("chunk").agg(F.collect_list(F.struct("pos", "c")).alias("known"))
+    # most words are of one chunk alone, which knows their count
+    back = words.join(counts, "word").filter("c <> n").groupBy("chunk").agg(F.collect_list(F.struct("pos", "c")).alias("known"))
     back = written(back.select("chunk", F.col("known.pos").alias("pos"), F.col("known.c").alias("c")), "lm-known")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        one_thread()
         own, below, n, v, n_docs = pickle.loads(sent.value)
         base_z = np.log10(n + 0.1 * (v + 1))
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1)
                 words, flat, lens = _row({k: r.column(k)[0].as_py() for k in ("words", "flat", "lens")})
-                c = np.zeros(len(words))
+                c = np.array(r.column("n_train")[0].values, float) if words else np.zeros(0)
                 if r.column("pos")[0].is_valid:
                     c[r.column("pos")[0].values.to_numpy()] = r.column("c")[0].values.to_numpy()
                 symbols = _symbols(own, words)
@@ -357,7 +455,7 @@ def scores(docs: DataFrame) -> DataFrame:
                 m = len(lens)
                 yield pa.RecordBatch.from_arrays([r.column("ids")[0].values, pa.array(held), pa.array(lens + 1), pa.array(known), pa.array(np.full(m, n, np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    joined = table.select("chunk", "words", "flat", "lens", "train", "ids").join(back, "chunk", "left")
+    joined = table.select("chunk", "words", "n_train", "flat", "lens", "train", "ids").join(back, "chunk", "left")
     return joined.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
