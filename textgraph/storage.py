@@ -45,6 +45,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, order: bool = False) -> DataFrame:
+    """df as a table in the shared folder, in buckets by key (each sorted by it, if so wanted): joins on key with as many partitions don't shuffle it."""
+    made = f"{name}-{uuid.uuid4().hex}"
+    path, table = f"{shared_dir(df.sparkSession)}/{made}", made.replace("-", "_")
+    writer = df.write.format("parquet").bucketBy(buckets, key)
+    (writer.sortBy(key) if order else writer).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 class Catalog:
     """Head and history tables under one folder. A commit writes every changed table of a version, then a one-row pointer, so readers see all of it or nothing."""
 
