@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import bucketed as bucketed
 from ..storage import written as written
 
 #: The bytes that end a word or are stripped from a line: space and \t \n \v \f \r.

@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, one_thread, remainder, written
+from .common import UPPER, bucketed, one_thread, remainder, slots, written
 
 TOP, RARE = 1500, 48
 EMBED, HIDDEN = 12, 24
-CHUNK_TOKENS = 1_500_000
+FIRST, CLASSES = 40, 20
+CHUNK_TOKENS = 3_000_000
 WINDOW, STREAMS = 16, 384
 TRAIN_SHARE = (0.05, 0.95)
 GROUP_TOKENS, BUFFER = 2_500_000, 500_000
@@ -78,7 +79,7 @@ def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
         for batch in batches:
             for doc_id, mark, train, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "train", "text")), strict=True):
                 words = (text or "").encode().translate(_LOWER).split()
-                at.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)))
+                at.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.uint32, len(words)))
                 own.append(doc_id)
                 marks.append(mark)
                 keep.append(train)
@@ -102,12 +103,15 @@ class Model:
         self.index = {w: RARE + 1 + k for k, w in enumerate(top)}
         freq = np.concatenate([[end], rare_counts, counts]).astype(float) + 1.0
         n = len(freq)
-        self.size = max(1, round(n**0.5))
         order = np.argsort(-freq, kind="stable")
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
-        self.kls, self.slot = place // self.size, place % self.size
+        # the most frequent symbols are a small class of their own, the others CLASSES of one size
+        self.size = max(FIRST, -(-(n - FIRST) // CLASSES))
+        self.kls = np.where(place < FIRST, 0, 1 + (place - FIRST) // self.size).astype(np.uint8)
+        self.slot = np.where(place < FIRST, place, (place - FIRST) % self.size)
         self.n_classes = int(self.kls.max()) + 1
+        self.width = np.bincount(self.kls, minlength=self.n_classes).tolist()
         chance = np.random.default_rng(SEED)
         draw = lambda *s: (chance.standard_normal(s) * 0.1).astype(np.float32)
         mass = np.bincount(self.kls, freq)
@@ -144,22 +148,25 @@ class Model:
     def output(self, h: np.ndarray, symbols: np.ndarray, grad: bool = False):
         """ln P of each symbol; with grad, also the gradients of its mean negative: of h, and of the output weights.
 
-        Logits lie far within the range of 32-bit exponentials (they are clipped at 60), so none is subtracted.
+        States lie between -1 and 1, so the sum of the weights bounds the logits; only where that leaves the range of
+        32-bit exponentials are they clipped.
         """
+        clip = max(float((np.abs(self.p[w]).sum(-2) + self.p[b]).max()) for w, b in (("wc", "bc"), ("ww", "bw"))) > 80
         p, kls, slot = self.p, self.kls[symbols], self.slot[symbols]
-        ones_c, ones_s = np.ones(self.n_classes, np.float32), np.ones(self.size, np.float32)
+        ones, each = np.ones(max(self.n_classes, self.size), np.float32), np.ones(len(h), np.float32)
         rows = np.arange(len(h))
         ea = h @ p["wc"]
         ea += p["bc"]
-        np.minimum(ea, 60, out=ea)
+        if clip:
+            np.minimum(ea, 80, out=ea)
         logp = ea[rows, kls]
         np.exp(ea, out=ea)
-        sa = ea @ ones_c
+        sa = ea @ ones[: self.n_classes]
         logp -= np.log(sa)
         if grad:
             ea *= (1 / (sa * len(h)))[:, None]
             ea[rows, kls] -= np.float32(1 / len(h))
-            g = {"wc": h.T @ ea, "bc": ea.sum(0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
+            g = {"wc": h.T @ ea, "bc": each @ ea, "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
             gh = ea @ p["wc"].T
         order = np.argsort(kls, kind="stable")
         bounds = np.searchsorted(kls[order], np.arange(self.n_classes + 1))
@@ -171,19 +178,21 @@ class Model:
             hc, sc = h_in[at], slot_in[at]
             if not len(hc):
                 continue
-            e = hc @ p["ww"][c]
-            e += p["bw"][c]
-            np.minimum(e, 60, out=e)
+            ww = p["ww"][c, :, : self.width[c]]
+            e = hc @ ww
+            e += p["bw"][c, : self.width[c]]
+            if clip:
+                np.minimum(e, 80, out=e)
             k = rows[: len(hc)]
             own = e[k, sc]
             np.exp(e, out=e)
-            se = e @ ones_s
+            se = e @ ones[: self.width[c]]
             within[at] = own - np.log(se)
             if grad:
                 e *= (1 / (se * len(h)))[:, None]
                 e[k, sc] -= np.float32(1 / len(h))
-                g["ww"][c], g["bw"][c] = hc.T @ e, e.sum(0)
-                gh_in[at] = e @ p["ww"][c].T
+                g["ww"][c, :, : self.width[c]], g["bw"][c, : self.width[c]] = hc.T @ e, each[: len(e)] @ e
+                gh_in[at] = e @ ww.T
         logp[order] += within
         if not grad:
             return logp
@@ -221,10 +230,10 @@ class Model:
         flat_gu = gu.reshape(-1, 3 * HIDDEN)
         g["wh"] = befores.reshape(-1, HIDDEN).T @ flat_gu
         gu[:, :, 2 * HIDDEN :] = to_n
-        g |= {"wx": x.reshape(-1, EMBED).T @ flat_gu, "b": flat_gu.sum(0)}
-        gx, flat_symbols = flat_gu @ p["wx"].T, symbols.reshape(-1)
+        g |= {"wx": x.reshape(-1, EMBED).T @ flat_gu, "b": np.ones(len(flat_gu), np.float32) @ flat_gu}
+        gx, flat_symbols = flat_gu @ p["wx"].T, symbols.reshape(-1).astype(np.uint16)
         order = np.argsort(flat_symbols, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(flat_symbols[order]) > 0])
+        first = np.flatnonzero(np.r_[True, flat_symbols[order][1:] != flat_symbols[order][:-1]])
         g["emb"] = np.zeros_like(p["emb"])
         g["emb"][flat_symbols[order][first]] = np.add.reduceat(gx[order], first)
         return -float(logp.mean()), g, states[-1]
@@ -264,7 +273,7 @@ class Model:
                 self.p[k] -= rate * m / (np.sqrt(v) + np.float32(1e-8) * unbias)
         return len(flat)
 
-    def log10(self, documents: list[np.ndarray], batch: int = 512, window: int = 32) -> np.ndarray:
+    def log10(self, documents: list[np.ndarray], batch: int = 1024, window: int = 32) -> np.ndarray:
         """log10 P of each document of symbols, whole."""
         total = np.zeros(len(documents))
         table, wh = self.table(), self.p["wh"]
@@ -409,7 +418,8 @@ def fit(table: DataFrame, model: Model, tokens: int) -> Model:
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark = docs.sparkSession
-    table = written(chunks(docs), "lm-chunks")
+    # in buckets by chunk, so that the counts come to the chunks and not the other way
+    table = bucketed(chunks(docs), "lm-chunks", "chunk", slots(spark))
     words = table.filter("words <> ''").select("chunk", F.posexplode(F.arrays_zip(F.split("words", " ").alias("w"), F.col("n_train").alias("n"))).alias("pos", "x")).select("chunk", "pos", F.col("x.w").alias("word"), F.col("x.n").alias("n"))
     counts = written(words.filter("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
     n_docs = docs.filter(remainder(F.col("doc_id"), 10) != 0).count()
@@ -428,7 +438,7 @@ def scores(docs: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(pickle.dumps((model, below, n, v, n_docs)))
     # most words are of one chunk alone, which knows their count
     back = words.join(counts, "word").filter("c <> n").groupBy("chunk").agg(F.collect_list(F.struct("pos", "c")).alias("known"))
-    back = written(back.select("chunk", F.col("known.pos").alias("pos"), F.col("known.c").alias("c")), "lm-known")
+    back = back.select("chunk", F.col("known.pos").alias("pos"), F.col("known.c").alias("c"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -442,10 +452,10 @@ def scores(docs: DataFrame) -> DataFrame:
                 c = np.array(r.column("n_train")[0].values, float) if words else np.zeros(0)
                 if r.column("pos")[0].is_valid:
                     c[r.column("pos")[0].values.to_numpy()] = r.column("c")[0].values.to_numpy()
-                symbols = _symbols(own, words)
+                symbols = _symbols(own, words).astype(np.uint16)
                 log_c = np.log10(c + 0.1)
                 is_rare = symbols <= RARE
-                extra = np.where(is_rare, log_c - below[np.where(is_rare, symbols - 1, 0)], 0.0)
+                extra = np.where(is_rare, log_c - below[np.where(is_rare, symbols, 1) - 1], 0.0)
                 doc = np.repeat(np.arange(len(lens)), lens)
                 total = lambda x: np.bincount(doc, x[flat], len(lens))  # noqa: B023, E731
                 base = total(log_c) + np.log10(n_docs + 0.1) - (lens + 1) * base_z
