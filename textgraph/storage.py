@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,15 +46,64 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str, buckets: int, order: bool = False) -> DataFrame:
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, order: bool = False, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder, in buckets by key (each sorted by it, if so wanted): joins on key with as many partitions don't shuffle it."""
     made = f"{name}-{uuid.uuid4().hex}"
-    path, table = f"{shared_dir(df.sparkSession)}/{made}", made.replace("-", "_")
+    path, table = path or f"{shared_dir(df.sparkSession)}/{made}", made.replace("-", "_")
     writer = df.write.format("parquet").bucketBy(buckets, key)
     (writer.sortBy(key) if order else writer).option("path", path).saveAsTable(table)
     return df.sparkSession.table(table)
 
 
+def reopened(spark: SparkSession, path: str, columns: str, key: str, buckets: int) -> DataFrame:
+    """A table that `bucketed` wrote in order, with the names and types of its columns."""
+    table = f"{path.rstrip('/').rsplit('/', 1)[-1]}-{uuid.uuid4().hex}".replace("-", "_")
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
+
+
+@contextmanager
+def sorted_scans(spark: SparkSession):
+    """Within, plans trust the order of bucketed tables, so that merge joins of them don't sort again."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class Folder:
+    """Small files in a folder of any file system that Spark reads."""
+
+    def __init__(self, spark: SparkSession, at: str):
+        self.at, self._path = at.rstrip("/"), spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.at).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._read = spark._jvm.org.apache.hadoop.io.IOUtils
+        self._buffer = spark._jvm.java.io.ByteArrayOutputStream
+
+    def names(self) -> list[str]:
+        at = self._path(self.at)
+        return sorted(s.getPath().getName() for s in self._files.listStatus(at)) if self._files.exists(at) else []
+
+    def put(self, name: str, text: str) -> bool:
+        """Writes a file as a whole; false where another writer was first."""
+        temporary = self._path(f"{self.at}/_{name}-{uuid.uuid4().hex}")
+        out = self._files.create(temporary)
+        out.write(bytearray(text.encode()))
+        out.close()
+        done = not self._files.exists(self._path(f"{self.at}/{name}")) and self._files.rename(temporary, self._path(f"{self.at}/{name}"))
+        if not done:
+            self._files.delete(temporary, False)
+        return done
+
+    def get(self, name: str) -> str:
+        source, to = self._files.open(self._path(f"{self.at}/{name}")), self._buffer()
+        self._read.copyBytes(source, to, 4096, True)
+        return bytes(to.toByteArray()).decode()
+
+
 class Catalog:
     """Head and history tables under one folder. A commit writes every changed table of a version, then a one-row pointer, so readers see all of it or nothing."""
 
