@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textgraph.llm import decontamination, language_model, line_dedup, near_dedup, pii, quality_rules, sentencepiece_codec, sharding, token_store, toxicity
 
@@ -362,22 +363,32 @@ def test_line_dedup(spark, docs, empty):
     assert whole.columns == [*docs.columns, "n_lines", "n_dropped_"]
 
 
-def test_line_runs_are_levelled(spark):
-    store = line_dedup.LineRuns(spark, fanout=2)
-    fresh = 0
-    for b in range(5):
-        run = store.add(spark.createDataFrame([(10 * b + k, bytes([k % 3, b % 2])) for k in range(6)], "doc long, key binary"))
+def test_line_runs_are_levelled_and_reopen(spark, tmp_path):
+    at, fresh = f"{tmp_path}/runs", 0
+    for b in range(5):  # each batch in a store opened anew
+        store = line_dedup.LineRuns(spark, at, fanout=2)
+        run = store.add(spark.createDataFrame([(100 - 10 * b - k, bytes([k % 3, b % 2])) for k in range(6)], "doc long, key binary"))
         fresh += run.filter("fresh").count()
     assert [len(level) for level in store.levels] == [1, 0, 1] and fresh == 6
-    totals = {bytes(r["key"]): (r["n_docs"], r["last_doc"]) for r in store.totals().collect()}
-    assert totals[b"\x00\x00"] == (6, 43) and len(totals) == 6
+    totals = {bytes(r["key"]): (r["n_docs"], r["holder"]) for r in line_dedup.LineRuns(spark, at).totals().collect()}
+    assert totals[b"\x00\x00"] == (6, 100) and totals[b"\x01\x01"] == (4, 89) and len(totals) == 6
+
+
+def test_line_runs_are_merged_in_order(spark):
+    store = line_dedup.LineRuns(spark)
+    pairs = spark.range(1000).select((2000 - F.col("id")).alias("doc"), F.unhex(F.md5((F.col("id") % 300).cast("string"))).alias("key"))
+    run = store.add(pairs)
+    with line_dedup.sorted_scans(spark):
+        other = store.add(pairs.withColumn("doc", F.col("doc") - 1000))
+        plan = other.select("key").join(run.hint("merge").select("key"), "key", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert other.filter("fresh").count() == 0 and run.filter("fresh").count() == 300
 
 
 def test_token_files(spark, docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_store.default_tokenizer())
-    t.encode_special_tokens = True
     rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     want, start = [], 0
     for d, text in rows:

@@ -70,7 +70,7 @@ def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
             n = np.bincount(flat[train], minlength=len(ids))
             # words hold no space
             made = pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + seq], pa.int64()), pa.array([b" ".join(ids).decode()]), pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([flat.astype("<u4").tobytes()], pa.binary()), pa.array([lens.tobytes()], pa.binary()), pa.array([np.array(keep, np.uint8).tobytes()], pa.binary()), pa.array([np.array(marks, "<i8").tobytes()], pa.binary()), pa.array([own], pa.list_(batch.schema.field("doc_id").type))],
+                [pa.array([(part << 32) + seq], pa.int64()), pa.array([b" ".join(ids).decode()]), pa.array([n], pa.list_(pa.int64())), pa.array([flat.astype("<u4").tobytes()], pa.binary()), pa.array([lens.tobytes()], pa.binary()), pa.array([np.array(keep, np.uint8).tobytes()], pa.binary()), pa.array([np.array(marks, "<i8").tobytes()], pa.binary()), pa.array([own], pa.list_(batch.schema.field("doc_id").type))],
                 names=["chunk", "words", "n_train", "flat", "lens", "train", "marks", "ids"],
             )
             seq, ids, own, marks, keep, at, held = seq + 1, {}, [], [], [], [], 0

@@ -1,7 +1,8 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a table of (key, n_docs, last_doc, fresh) sorted by key. A batch of documents is merged against the runs by an
-anti-join, which tells the keys that no earlier batch held, and adds its own run at level 0. A level that has `fanout`
+A run is a table of (key, n_docs, holder, fresh) in sorted buckets. Documents come in batches of falling ids. A batch is
+merged against the runs by an anti-join, which tells the keys that no earlier batch held: these get their holder, the
+largest document with the key, from this batch. The batch then adds its own run at level 0. A level that has `fanout`
 runs is compacted into one run of the next level, so there are only O(fanout * log(batches)) runs to merge at any time.
 
 Edge cases: a null or empty text is one empty line and never dropped; rows that share a doc_id count as one document;
@@ -11,12 +12,16 @@ a trailing underscore; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from .common import SPACE, ascii_lower, free_name, slots, written
+from ..storage import Folder, bucketed, reopened, shared_dir, sorted_scans, written
+from .common import SPACE, ascii_lower, free_name, slots
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -38,51 +43,72 @@ def key_hash(key: Column) -> Column:
 
 
 class LineRuns:
-    """The levelled store. Levels hold DataFrames over tables in the shared folder."""
+    """The levelled store in a folder; what `at` already holds is opened, in any later session.
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+    A run is a table in buckets by key, sorted in each: merges of runs and batches neither shuffle nor sort the runs.
+    """
+
+    def __init__(self, spark: SparkSession, at: str | None = None, fanout: int = FANOUT):
+        self.spark, self.fanout, self.levels, self.version = spark, fanout, [[]], 0
+        self.folder = Folder(spark, at or f"{shared_dir(spark)}/line-runs-{uuid.uuid4().hex}")
+        self.buckets, self.kind = slots(spark), None
+        versions = [n for n in self.folder.names() if n.startswith("levels-")]
+        if versions:
+            known = json.loads(self.folder.get(versions[-1]))
+            self.version, self.buckets, self.kind, self.fanout = int(versions[-1].split("-")[1]), known["buckets"], known["kind"], known["fanout"]
+            self.levels = [[(path, reopened(spark, path, self._columns(), "key", self.buckets)) for path in level] for level in known["levels"]]
+
+    def _columns(self) -> str:
+        return f"key binary, n_docs bigint, holder {self.kind}, fresh boolean"
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        return [run for level in self.levels for _, run in level]
 
     def add(self, pairs: DataFrame) -> DataFrame:
-        """pairs (doc, key), of documents that no earlier batch had: adds their run and returns it.
+        """pairs (doc, key), of documents below all that earlier batches had: adds their run and returns it.
 
-        fresh tells which keys are new to the store, by a merge anti-join against the runs.
+        A merge anti-join against the runs tells which keys are new to the store (fresh). The largest document that
+        holds a key is the largest of the batch where it was fresh, and needn't be looked at again.
         """
+        self.kind = self.kind or pairs.schema["doc"].dataType.simpleString()
         own = pairs.distinct().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc").alias("last_doc"))
-        seen = self.runs()
-        if seen:
-            own = written(own, "line-batch")
-            fresh = own
-            for run in seen:
-                fresh = fresh.join(run.select("key"), "key", "left_anti")
-            own = own.join(fresh.select("key", F.lit(True).alias("fresh")), "key", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
-        else:
-            own = own.withColumn("fresh", F.lit(True))
-        run = self._sorted(own)
-        self._push(0, run)
-        return run
-
-    def _sorted(self, run: DataFrame) -> DataFrame:
-        return written(run.sortWithinPartitions("key"), "line-run")
-
-    def _push(self, level: int, run: DataFrame) -> None:
+        own = self._table(own, "line-batch")[1]
+        with sorted_scans(self.spark):
+            fresh = own.select("key")
+            for run in self.runs():
+                fresh = fresh.join(run.hint("merge").select("key"), "key", "left_anti")
+            marked = own.join(fresh.hint("merge").withColumn("fresh", F.lit(True)), "key", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+            made = self._table(marked.select("key", "n_docs", F.when(F.col("fresh"), F.col("last_doc")).alias("holder"), "fresh"), "line-run")
+        self._push(0, made)
+        self._save()
+        return made[1]
+
+    def _table(self, rows: DataFrame, name: str) -> tuple[str, DataFrame]:
+        made = f"{self.folder.at}/{name}-{uuid.uuid4().hex}"
+        return made, bucketed(rows.repartition(self.buckets, "key"), name, "key", self.buckets, order=True, path=made)
+
+    def _push(self, level: int, run: tuple[str, DataFrame]) -> None:
         if len(self.levels) == level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = self._sorted(self._merge(self.levels[level]))
+            merged = self._table(self._merge([path for path, _ in self.levels[level]]), "line-run")
             self.levels[level] = []
             self._push(level + 1, merged)
 
-    @staticmethod
-    def _merge(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.max("fresh").alias("fresh"))
+    def _save(self) -> None:
+        known = {"buckets": self.buckets, "kind": self.kind, "fanout": self.fanout, "levels": [[path for path, _ in level] for level in self.levels]}
+        self.version += 1
+        if not self.folder.put(f"levels-{self.version:09}", json.dumps(known)):
+            raise RuntimeError(f"another writer changed {self.folder.at}")
+
+    def _merge(self, paths: list[str]) -> DataFrame:
+        # the files without their buckets: Spark 4.1 takes a union of bucketed scans for partitioned by the key, but then doesn't scan by buckets
+        rows = self.spark.read.schema(self._columns()).parquet(*paths)
+        return rows.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"), F.max("fresh").alias("fresh"))
 
     def totals(self) -> DataFrame:
-        return self._merge(self.runs())
+        return self._merge([path for level in self.levels for path, _ in level])
 
 
 def line_pairs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -93,6 +119,22 @@ def line_pairs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return rows.select("doc", F.explode("keys").alias("key"))
 
 
+def id_batches(docs: DataFrame, batches: int):
+    """Conditions on an id that deal documents into batches by falling id, null last; one batch where ids aren't numbers."""
+    bounds = []
+    if isinstance(docs.schema["doc_id"].dataType, NumericType):
+        found = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else None
+        bounds = sorted(set(found or []), reverse=True)
+    tops = [None, *bounds]
+    for top, low in zip(tops, [*bounds, None]):
+
+        def batch(doc: Column, top=top, low=low) -> Column:
+            below = F.lit(True) if top is None else F.coalesce(doc < top, F.lit(True))
+            return below if low is None else below & F.coalesce(doc >= low, F.lit(False))
+
+        yield batch
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """docs with text without the lines that min_docs documents or more share, and n_lines, n_dropped.
 
@@ -100,11 +142,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """
     spark = docs.sparkSession
     drop, held, whose, n_lines, n_dropped = (free_name(docs, c) for c in ("drop_keys", "held_lines", "drop_doc", "n_lines", "n_dropped"))
-    pairs = written(line_pairs(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches))), "line-pairs")
+    pairs = written(line_pairs(docs, min_chars), "line-pairs")
     store = LineRuns(spark)
-    for b in range(batches):
-        store.add(pairs.filter(F.col("batch") == b).select("doc", "key"))
-    shared = written(store.totals().filter(F.col("n_docs") >= min_docs).select("key", "last_doc"), "line-shared")
+    for batch in id_batches(docs, batches):
+        store.add(pairs.filter(batch(F.col("doc"))))
+    shared = written(store.totals().filter(F.col("n_docs") >= min_docs).select("key", F.col("holder").alias("last_doc")), "line-shared")
     # a key may be held by a third of all documents: a plain join of two tables, whose hot keys adaptive execution splits
     lost = pairs.join(shared, "key").filter(F.coalesce(F.col("doc") < F.col("last_doc"), F.col("last_doc").isNotNull()))
     lost = lost.groupBy(F.col("doc").alias(whose)).agg(F.collect_set("key").alias(drop))

@@ -10,9 +10,8 @@ and ceil(n / 512) u64 directory entries. Files are cells of a Parquet table (fil
 store that Spark writes can hold and whose commit survives lost executors. They follow each other in ascending doc_id.
 
 Edge cases: a null or empty text has only the end id; a null doc_id comes first; rows of equal doc_id follow each other,
-ordered by text; an empty table gives no files; other columns aren't stored. Added tokens
-of the tokenizer file (<|endoftext|>) that occur in a text are ordinary text, or with `added` get their own ids, as the
-tokenizers library does unless told otherwise; the registered query has `added`.
+ordered by text; an empty table gives no files; other columns aren't stored. Added tokens of the tokenizer file
+(<|endoftext|>) that occur in a text get their own ids, as in the tokenizers library, or without `added` are ordinary text.
 """
 
 from __future__ import annotations
@@ -130,7 +129,7 @@ def encoding(spec: str):
     return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in tokens})
 
 
-def write_files(docs: DataFrame, path: str | None = None, end: int = END, file_tokens: int = FILE_TOKENS, added: bool = False) -> DataFrame:
+def write_files(docs: DataFrame, path: str | None = None, end: int = END, file_tokens: int = FILE_TOKENS, added: bool = True) -> DataFrame:
     """The table of files (file_no, n_tokens, first_token, data) in ascending doc_id order."""
     with open(path or default_tokenizer(), encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -164,9 +163,13 @@ def write_files(docs: DataFrame, path: str | None = None, end: int = END, file_t
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange(slots(docs.sparkSession) * 2, "doc_id").sortWithinPartitions("doc_id", "text")
     files = written(ordered.mapInArrow(run, "file_no long, n_tokens long, data binary"), "token-files")
-    # one small row a file of about a million tokens
-    before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("file_no", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first_token"))
+    # the tokens before each partition of documents, and before each file within its partition
+    sizes = files.select("file_no", "n_tokens", F.shiftright("file_no", 32).alias("part"))
+    earlier = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
+    parts = parts.select("part", earlier(Window.orderBy("part")).alias("of_part"))
+    within = sizes.select("file_no", "part", earlier(Window.partitionBy("part").orderBy("file_no")).alias("of_file"))
+    starts = within.join(F.broadcast(parts), "part").select("file_no", (F.col("of_part") + F.col("of_file")).alias("first_token"))
     # 16 bytes a file; the files themselves stay where they are unless there are too many
     few = files.count() <= BROADCAST_FILES
     return files.join(F.broadcast(starts) if few else starts, "file_no")
@@ -186,5 +189,5 @@ def read_files(files: DataFrame) -> DataFrame:
     return files.select("data", "first_token").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def query(spark: SparkSession, docs: DataFrame, added: bool = False) -> DataFrame:
+def query(spark: SparkSession, docs: DataFrame, added: bool = True) -> DataFrame:
     return read_files(write_files(docs, added=added))
