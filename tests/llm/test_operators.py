@@ -152,6 +152,34 @@ def test_near_dedup_edges(spark, docs, empty):
     assert near_dedup.query(spark, empty).count() == 0
     kept = near_dedup.deduplicated(docs)
     assert kept.columns == docs.columns
+    groups = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
+    stay = {c for _, n, c in groups if n} | {d for d, n, _ in groups if not n}
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted(stay, key=repr)
+
+
+def test_near_dedup_rows_without_ids_and_repeated_rows(spark):
+    a, b, c = prose(31, 90), prose(32, 90), prose(33, 90)
+    rows = [(None, a)] * 40 + [(None, f"{prose(40 + k, 60)}") for k in range(30)] + [(5, a)] * 20 + [(6, b), (6, c), (6, c), (7, c), (None, b + " end"), (None, "x" * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    compare_groups(spark, df)
+    kept = [(r["doc_id"], r["text"]) for r in near_dedup.deduplicated(df).collect()]
+    assert sorted(kept, key=repr) == sorted({(5, a), (6, b), (6, c), (None, "x" * 30), *((None, prose(40 + k, 60)) for k in range(30))}, key=repr)
+
+
+@pytest.mark.parametrize(("clusters", "size", "edits", "own"), [(100, 4, 12, 2), (120, 3, 16, 2), (100, 4, 6, 2)])
+def test_near_dedup_loses_no_link_in_dense_regions(spark, clusters, size, edits, own):
+    """Clusters of near copies, all edited from one frame: alike to each other, but not as much as within a cluster."""
+    r, frame, rows = np.random.default_rng(clusters + edits), prose(55, 300).split(), []
+    for c in range(clusters):
+        base = list(frame)
+        for at in r.choice(300, edits, replace=False):
+            base[at] = f"c{c}x{at}"
+        for k in range(size):
+            w = list(base)
+            for at in r.choice(300, own, replace=False):
+                w[at] = f"o{c}y{k}z{at}"
+            rows.append((len(rows), " ".join(w)))
+    compare_groups(spark, spark.createDataFrame(rows, "doc_id long, text string"))
 
 
 def test_near_dedup_dense_groups(spark):
@@ -198,6 +226,20 @@ def test_near_dedup_blocks(spark, monkeypatch):
     compare_groups(spark, spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_decontamination_shared_prompt(spark):
+    """A line that all items share, and many documents, brings no pairs together; items of it alone are found."""
+    prompt = "please answer the following question about this passage in one short sentence and give reasons"
+    items = [(k, f"{prompt} {prose(k, 40)}") for k in range(300)] + [(1000, prompt)]
+    rows = [(k, f"{prose(5000 + k, 30)} {prompt} {prose(6000 + k, 30)}") for k in range(200)] + [(900 + k, f"start {items[k][1]} end") for k in range(5)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.query(spark, docs, bench).collect()}
+    assert found == {(d, 1000) for d, _ in rows} | {(900 + k, k) for k in range(5)}
+    sets = decontamination.shingles(F.col("text"))
+    sets = bench.select("item_id", F.explode(sets).alias("shingle")).withColumn("hash", F.xxhash64("shingle"))
+    sketch = decontamination.sketches(sets, 80).join(sets.groupBy("hash").agg(F.count("*").alias("held")), "hash")
+    assert sketch.filter("held > 2").select("item_id").distinct().collect() == [(1000,)]
+
+
 def test_language_model(spark, docs, empty):
     out = rows_of(language_model.query(spark, docs))
     assert len(out) == docs.count()

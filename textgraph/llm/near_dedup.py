@@ -7,16 +7,20 @@
 3. Pivots: a region's pivot is the class that shares the most deep regions (the text from which copies were edited has
    the commonest minima). Each class is a candidate with the pivot of each of its regions, so a dense region of m classes
    costs m candidates, not m * m.
-4. Regions of depth 4 that still hold several components are compared in full: in those of at most SMALL classes all
-   pairs across components are candidates; larger ones are cut into blocks of about BLOCK classes, and each pair of
-   blocks gets its exact intersections from one matrix product, of which the links that join components are kept.
+4. Regions of depth 4 that still hold several components are compared exactly: in those of at most SMALL classes all
+   pairs across components are candidates. The classes of larger ones are ordered by their rarest shingles: two sets of
+   similarity 0.85 share one of the rarest n - ceil(0.85 n) + 1 of each (a prefix filter, which misses nothing), so only
+   classes with such a shingle in common are compared, which a shared template isn't, unless it is all that they hold.
+   Shingles of at most SMALL such classes give pairs; beyond, the classes are cut into blocks of about BLOCK, and each
+   pair of blocks gets its exact intersections from one matrix product, of which the links that join components are kept.
 5. Candidates whose one-byte sketches agree in LIKELY of 128 places are confirmed on full sets (100 * intersection >= 85 * union), and confirmed links give components by
    min-label propagation with pointer jumping.
 
 Two sets of similarity 0.85 miss each other in all trees at depth 4 with probability (1 - 0.85**4)**16 < 1e-5.
 Edge cases: a text of fewer than five words has its whole sequence as one shingle; a null text, or one without words,
 has none and is linked with nothing; every row is a document of its own, and rows that share a doc_id and a text share
-all results; a null doc_id is never the smallest; extra columns are kept by `deduplicated`; empty tables work.
+all results; a null doc_id is never the smallest; `deduplicated` keeps extra columns and one row of each group, the
+smallest doc_id (of rows that share it and the text, any one; a null one where no other is); empty tables work.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import UPPER, written
+from .common import UPPER, free_name, written
 
 WORDS, PERCENT = 5, 85
 VALUES, TREES = 128, 16
@@ -39,8 +43,8 @@ COLUMNS = 4096
 LIKELY = 88
 #: Pairs of one class are dealt over so many parts.
 SALTS = 1024
-#: Ids of classes under comparison are broadcast up to this number (about 16 MB); beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Tables of ids (under 100 bytes a row) are broadcast up to this many rows; beyond, the join shuffles.
+BROADCAST_ROWS = 100_000
 
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -49,6 +53,11 @@ _A = _chance.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.u
 _B = _chance.integers(0, 1 << 63, VALUES, dtype=np.uint64)
 
 
+def text_mark() -> Column:
+    """Tells texts that share a doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 class Shingler:
     """Shingle hashes of texts; remembers the hashes of words."""
 
@@ -102,7 +111,7 @@ def prefix_keys(signatures: np.ndarray, tree: int, depths: tuple[int, ...]) -> l
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest and tops (the keys of depth DEPTHS[0], a tree each) of each row; both null without shingles."""
+    """doc_id, mark (a hash of the text), n_shingles, digest and tops (the keys of depth DEPTHS[0], a tree each) of each row; the last two null without shingles."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -115,9 +124,9 @@ def signed(docs: DataFrame) -> DataFrame:
                 tops = np.stack([prefix_keys(sig, tree, DEPTHS[:1])[0] for tree in range(TREES)], 1)
                 digest = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
                 top = pa.array([t if len(x) else None for t, x in zip(tops, sets, strict=True)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), top], names=["doc_id", "n_shingles", "digest", "tops"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), top], names=["doc_id", "mark", "n_shingles", "digest", "tops"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, tops array<long>")
+    return docs.select("doc_id", text_mark().alias("mark"), "text").mapInArrow(run, f"doc_id {kind}, mark long, n_shingles long, digest binary, tops array<long>")
 
 
 def forest(sets: DataFrame) -> DataFrame:
@@ -239,30 +248,56 @@ def across(placed: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     y = x.select("key", F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     pairs = x.join(y, "key").filter((F.col("digest") < F.col("b")) & (F.col("label") != F.col("lb")) & _fits(F.col("n"), F.col("nb")))
     few = confirmed(written(pairs.select(F.col("digest").alias("a"), "b").distinct(), "near-across"), sets)
-    # large regions: a component that fills blocks has blocks of its own, which needn't be compared with each other
     large = rows.filter(F.col("m") > SMALL)
     if large.isEmpty():
         return few
+    large = written(large.groupBy("digest").agg(F.first("n").alias("n"), F.first("label").alias("label")), "near-large")
+    rare = prefixes(sets.select("digest", "shingles").join(_small(large.select("digest")), "digest", "left_semi"))
+    rare = written(rare, "near-prefixes")
+    sizes = rare.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    placed = rare.join(large, "digest").join(sizes, "key")
+    several = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    rows = written(placed.join(written(several, "near-several"), "key", "left_semi"), "near-open")
+    x = rows.filter(F.col("m") <= SMALL).select("key", "digest", "n", "label")
+    y = x.select("key", F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    pairs = x.join(y, "key").filter((F.col("digest") < F.col("b")) & (F.col("label") != F.col("lb")) & _fits(F.col("n"), F.col("nb")))
+    more = confirmed(written(pairs.select(F.col("digest").alias("a"), "b").distinct(), "near-across"), sets)
+    return written(few.union(more).union(blocks(rows.filter(F.col("m") > SMALL), sets)).distinct(), "near-more")
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(key, digest): the rarest shingles of each set, of which two sets of similarity PERCENT have one in common."""
+    each = sets.select("digest", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    held = written(each.groupBy("key").agg(F.count("*").alias("held")), "near-held")
+    # a shingle of one set alone can't be shared; it takes its place in the prefix all the same
+    order = Window.partitionBy("digest").orderBy("held", "key")
+    ranked = each.join(held, "key").withColumn("rank", F.row_number().over(order))
+    return ranked.filter((F.col("held") > 1) & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).select("key", "digest")
+
+
+def blocks(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) that join components among the classes (digest, label) of each key, by pairs of blocks."""
+    # a component that fills blocks has blocks of its own, which needn't be compared with each other
     counts = large.groupBy("key", "label").agg(F.count("*").alias("c"))
     own = written(counts.filter(F.col("c") >= BLOCK), "near-own")
     rest = written(counts.filter(F.col("c") < BLOCK).groupBy("key").agg(F.sum("c").alias("r")), "near-rest")
-    dealt = large.join(_small(own), ["key", "label"], "left").join(_small(rest), "key", "left")
+    dealt = large.select("key", "digest", "label").join(_small(own), ["key", "label"], "left").join(_small(rest), "key", "left")
     size = F.coalesce("c", "r")
     part = F.pmod(F.xxhash64("digest"), F.ceil(size / BLOCK))
     dealt = dealt.withColumn("own", F.when(F.col("c").isNotNull(), F.col("label"))).withColumn("block", F.xxhash64("own", part))
     dealt = written(dealt.select("key", "digest", "label", "own", "block"), "near-dealt")
-    blocks = written(dealt.select("key", "own", "block").distinct(), "near-blocks")
-    other = blocks.select("key", F.col("own").alias("own_b"), F.col("block").alias("pb"))
-    met = blocks.withColumnRenamed("block", "pa").join(other, "key").filter((F.col("pa") <= F.col("pb")) & F.coalesce(F.col("own") != F.col("own_b"), F.lit(True)))
+    each = written(dealt.select("key", "own", "block").distinct(), "near-blocks")
+    other = each.select("key", F.col("own").alias("own_b"), F.col("block").alias("pb"))
+    met = each.withColumnRenamed("block", "pa").join(other, "key").filter((F.col("pa") <= F.col("pb")) & F.coalesce(F.col("own") != F.col("own_b"), F.lit(True)))
     met = met.select("key", "pa", "pb")
     sides = met.select("*", F.col("pa").alias("block"), F.lit(0).alias("side")).union(met.filter("pa <> pb").select("*", F.col("pb").alias("block"), F.lit(1).alias("side")))
     sent = written(dealt.join(_small(written(sides, "near-sides")), ["key", "block"]).select("key", "pa", "pb", "side", "digest", "label"), "near-sent")
     full = sets.select("digest", "shingles").join(_small(sent), "digest")
-    return written(few.union(full.groupBy("key", "pa", "pb").applyInArrow(block_links, "a binary, b binary").distinct()), "near-more")
+    return full.groupBy("key", "pa", "pb").applyInArrow(block_links, "a binary, b binary")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(digest, shingles, sig, sketch) of the wanted (rep, digest); the sketch is the low byte of each signature value."""
+    """(digest, shingles, sig, sketch) of the wanted (rep, mark, digest), once each; the sketch is the low byte of each signature value."""
 
     def run(batches):
         own = Shingler()
@@ -276,13 +311,17 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 made = [part.column("digest"), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sigs], pa.binary()), sketch]
                 yield pa.RecordBatch.from_arrays(made, names=["digest", "shingles", "sig", "sketch"]).filter(pa.array(right))
 
-    rows = docs.join(_small(wanted), docs["doc_id"].eqNullSafe(wanted["rep"])).select("digest", "text")
-    found = rows.mapInArrow(run, "digest binary, shingles array<bigint>, sig binary, sketch array<tinyint>")
-    return written(found, "near-sets")
+    n = wanted.count()
+    asked = wanted.withColumnRenamed("mark", "wanted_mark")
+    same = docs["doc_id"].eqNullSafe(asked["rep"]) & (text_mark() == F.col("wanted_mark"))
+    rows = docs.join(F.broadcast(asked) if n <= BROADCAST_ROWS else asked, same).select("digest", "text")
+    found = written(rows.mapInArrow(run, "digest binary, shingles array<bigint>, sig binary, sketch array<tinyint>"), "near-sets")
+    # rows that repeat a class's own row
+    return found if found.count() == n else written(found.dropDuplicates(["digest"]), "near-sets")
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row."""
+    """doc_id, mark, n_shingles, component_id and kept_mark (the text, among those of component_id, that stays) of each row."""
     rows = written(signed(docs), "near-signed")
     some = rows.filter("n_shingles > 0")
     # which classes share a key with another: by 64-bit stand-ins, whose rare collisions only admit a class too many
@@ -290,8 +329,9 @@ def groups(docs: DataFrame) -> DataFrame:
     top = some.select(stand_in, F.explode("tops").alias("key"))
     shared = top.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")
     near = written(top.join(shared, "key", "left_semi").select("h").distinct(), "near-shared")
-    classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumn("h", stand_in), "near-classes")
-    alike = written(classes.join(_small(near), "h", "left_semi").select("digest", "rep"), "near-alike")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("r")
+    classes = written(some.groupBy("digest").agg(first).select("digest", F.col("r.doc_id").alias("rep"), F.col("r.mark").alias("mark")).withColumn("h", stand_in), "near-classes")
+    alike = written(classes.join(_small(near), "h", "left_semi").select("digest", "rep", "mark"), "near-alike")
     sets = shingle_sets(docs, alike)
     # every class in every region that it lies in, unless it is alone there
     trees = written(forest(sets), "near-forest")
@@ -308,26 +348,36 @@ def groups(docs: DataFrame) -> DataFrame:
     more = across(placed.filter(F.col("depth") == DEPTHS[0]).select("key", "digest", "n", "m"), found, sets)
     if not more.isEmpty():
         found = components(links.union(more))
-    label = classes.select("digest", "rep").join(found, F.col("digest") == F.col("node"), "left").select("digest", "rep", F.coalesce("label", "digest").alias("label"))
+    label = classes.select("digest", "rep", "mark").join(found, F.col("digest") == F.col("node"), "left").select("digest", "rep", "mark", F.coalesce("label", "digest").alias("label"))
     label = written(label, "near-label")
-    smallest = written(label.groupBy("label").agg(F.min("rep").alias("component_id")), "near-smallest")
-    of = written(label.join(smallest, "label").select("digest", "component_id"), "near-components")
+    smallest = written(label.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "mark")).alias("r")), "near-smallest")
+    of = written(label.join(smallest, "label").select("digest", F.col("r.rep").alias("component_id"), F.col("r.mark").alias("kept_mark")), "near-components")
     # a third of all rows may be copies of one text: a plain join of two tables, whose hot keys adaptive execution splits
-    out = rows.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "mark", "n_shingles", "digest").join(of, "digest", "left")
+    return out.select("doc_id", "mark", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("kept_mark", "mark").alias("kept_mark"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with all its columns, one document of each group: the smallest doc_id."""
-    out = groups(docs.select("doc_id", "text"))
-    # the ids that go are far fewer than those that stay; texts are shuffled only where even these are too many
-    gone = out.groupBy("doc_id").agg(F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).alias("kept")).filter("not kept")
-    gone = written(gone.select(F.col("doc_id").alias("gone_id")), "near-gone")
-    return docs.join(_small(gone), docs["doc_id"] == gone["gone_id"], "left_anti")
+    """docs with all its columns, one row of each group: the smallest doc_id. Rows without words are no group and stay."""
+    mark = free_name(docs, "near_mark")
+    out = written(groups(docs.select("doc_id", "text")), "near-groups")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("kept_mark"))
+    # the rows that go are far fewer than those that stay; texts are shuffled only where even these are too many
+    gone = written(out.filter(~stays).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct(), "near-gone")
+    marked = docs.withColumn(mark, text_mark())
+    kept = marked.join(_small(gone), marked["doc_id"].eqNullSafe(gone["gone_id"]) & (F.col(mark) == F.col("gone_mark")), "left_anti")
+    again = out.filter(stays & (F.col("n_shingles") > 0)).groupBy("doc_id", "mark").agg(F.count("*").alias("m")).filter("m > 1")
+    again = written(again.select(F.col("doc_id").alias("again_id"), F.col("mark").alias("again_mark")), "near-again")
+    if again.isEmpty():
+        return kept.drop(mark)
+    # of rows with one doc_id and text, of which the first of each partition goes on, one stays
+    same = kept["doc_id"].eqNullSafe(again["again_id"]) & (F.col(mark) == F.col("again_mark"))
+    once = kept.join(_small(again), same, "left_semi").dropDuplicates(["doc_id", mark])
+    return kept.join(_small(again), same, "left_anti").unionByName(once).drop(mark)
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return groups(docs).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return groups(docs.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 SQL = f"""
