@@ -330,6 +330,9 @@ def test_sentencepiece_random_strings():
     r = random.Random(4)
     texts = ["".join(r.choice("abe  \nthinréßñ▁1.,日😀") for _ in range(r.randint(0, 60))) for _ in range(500)] + ["x" * 5000, " " * 3500, "ab" * 2500]
     assert list(own.encode(texts)) == [library.encode(t) for t in texts]
+    long = ["".join(r.choice(c) for _ in range(n)) for c, n in (("abcdefghijklmnopqrstuvwxyz", 20_000), ("ab", 9000), ("thein", 9000), ("0123456789", 9000), ("aAeé日本▁ the", 9000), ("TGCA", 9000))]
+    long += ["a" * 100_001, "aab" * 5000, "\u4e2d\u56fd" * 4000, "-=" * 4000, "ing" * 3500 + "x" + "ation" * 2500]
+    assert list(own.encode(long)) == [library.encode(t) for t in long]
     ids = [[r.randrange(32000) if r.random() < 0.5 else r.randrange(3, 259) for _ in range(r.randint(0, 8))] for _ in range(500)]
     assert [own.decode(i) for i in ids] == [library.decode(i) for i in ids]
 

@@ -7,8 +7,8 @@ all words at once and compacts the array, until no pair is left. All occurrences
 merged piece can't be part of an equally good or better pair; else only the leftmost does, as the library would.
 
 Edge cases: null and empty texts have no ids and decode to the empty string; characters outside the vocabulary become
-byte pieces; a word of over LONG symbols is merged by a heap in n log n instead of round by round; rows repeat as they
-are; extra columns are kept by `encoded`; an empty table gives an empty result.
+byte pieces; a word of over LONG symbols has rounds of its own, which take near-linear time; rows repeat as they are;
+extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -125,29 +125,76 @@ class Codec:
             sym, word = sym[stay], word[stay]
         return done
 
-    def _heap(self, word: str) -> list[int]:
-        sym = [self.symbols.get(c, self.other) for c in word]
-        after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
-        heap: list = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < len(sym) and (hit := self.pairs.get(int(sym[i] * self.base + sym[j]))):
-                heapq.heappush(heap, (hit[0], i, j, sym[i], sym[j], hit[1]))
-
-        for i in range(len(sym)):
-            offer(i)
-        while heap:
-            _, i, j, left, right, into = heapq.heappop(heap)
-            if sym[i] != left or after[i] != j or sym[j] != right:
+    def _long_rounds(self, word: str) -> list[int]:
+        """The symbols of one long word after all merges.
+
+        Again each round merges all pairs of the least rank, leftmost first, but the places of each rank are kept from
+        round to round and neighbours are linked, so a round costs what it merges and not the length of the word.
+        """
+        get, n = self.symbols.get, len(word)
+        sym = np.fromiter((get(c, self.other) for c in word), np.int64, n)
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def pairs_at(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return self._lookup(sym[at], sym[after[at]])
+
+        def offer(at: np.ndarray) -> None:
+            at = at[(at >= 0) & (at < n)]
+            at = at[alive[at] & (after[at] < n)]
+            rank = pairs_at(at)[0]
+            at, rank = at[rank != NEVER], rank[rank != NEVER]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            starts = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(at) else at
+            for k, part in zip(rank[starts].tolist(), np.split(at, starts[1:]) if len(at) else []):
+                if k not in places:
+                    places[k] = []
+                    heapq.heappush(ranks, k)
+                places[k].append(part)
+
+        def merge(at: np.ndarray, into: np.ndarray) -> None:
+            gone = after[at]
+            sym[at], alive[gone], after[at] = into, False, after[gone]
+            right = after[at]
+            before[right[right < n]] = at[right < n]
+
+        offer(np.arange(n))
+        while ranks:
+            least = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(places.pop(least)))
+            at = at[alive[at] & (after[at] < n)]
+            rank, into = pairs_at(at)
+            at, into = at[rank == least], into[rank == least]
+            if not len(at):
                 continue
-            sym[i], sym[j], after[i] = into, None, after[j]
-            if after[j] < len(sym):
-                before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return [s for s in sym if s is not None]
+            if self.eager[into].all() and (into == into[0]).all():
+                run_start = np.r_[True, after[at[:-1]] != at[1:]]
+                begun = np.maximum.accumulate(np.where(run_start, np.arange(len(at)), 0))
+                pick = (np.arange(len(at)) - begun) % 2 == 0
+                at, into = at[pick], into[pick]
+                merge(at, into)
+                offer(np.concatenate([at, before[at]]))
+                continue
+            # a merged piece may be part of an equally good or better pair: leftmost by leftmost
+            ready, others = [(least, i) for i in at.tolist()], []
+            while ready:
+                k, i = heapq.heappop(ready)
+                if not alive[i] or after[i] >= n:
+                    continue
+                hit = self.pairs.get(int(sym[i] * self.base + sym[after[i]]))
+                if hit is None or hit[0] != k:
+                    continue
+                merge(np.array([i]), np.array([hit[1]]))
+                for j in (i, int(before[i])):
+                    if j >= 0 and after[j] < n and (new := self.pairs.get(int(sym[j] * self.base + sym[after[j]]))):
+                        if new[0] <= least:
+                            heapq.heappush(ready, (new[0], j))
+                        else:
+                            others.append(j)
+            offer(np.array(others, np.int64))
+        return sym[alive].tolist()
 
     def _ids(self, word: str, symbols: list[int]) -> tuple[int, ...]:
         if all(s < self.n for s in symbols):
@@ -175,7 +222,7 @@ class Codec:
                 self.known[w] = self._ids(w, symbols)
         for w in new:
             if len(w) > LONG:
-                self.known[w] = self._ids(w, self._heap(w))
+                self.known[w] = self._ids(w, self._long_rounds(w))
 
     @staticmethod
     def split(text: str) -> list[str]:
