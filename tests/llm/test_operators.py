@@ -383,6 +383,33 @@ def test_toxicity(spark, empty):
     assert toxicity.query(spark, df, labels.limit(0)).count() == 902
 
 
+def test_toxicity_learns_from_positives_and_unlabelled_text_alone(spark):
+    r = np.random.default_rng(19)
+    text = lambda k: " ".join([*(f"{WORDS[i]}{r.integers(0, 40)}" for i in r.integers(0, len(WORDS), 30)), *(["vilest"] if k % 8 == 0 else [])])
+    df = spark.createDataFrame([(k, text(k)) for k in range(600)] + [(700, " ".join(f"long{k}" for k in range(200_000))), (None, "vilest of all"), (None, None)], "doc_id long, text string")
+    share = lambda flip: spark.createDataFrame([(k, int(k % 8 == 0)) for k in range(600) if k % 8 == 0 or (k % 3 == flip)], "doc_id long, toxic int")
+    a, b = (toxicity.fit(df, share(flip).union(spark.createDataFrame([(k, 0) for k in range(10_000, 10_100)], "doc_id long, toxic int"))) for flip in (0, 1))
+    assert set(a.weights) == set(b.weights)  # which texts are labelled 0 plays no part, only how many
+    out = {x["doc_id"]: x["predicted"] for x in toxicity.query(spark, df, share(0)).collect() if x["doc_id"] is not None}
+    assert np.mean([out[k] == (k % 8 == 0) for k in range(600)]) > 0.97 and out[700] == 0
+    again = {x["doc_id"]: x["score"] for x in toxicity.query(spark, df.repartition(7), share(0)).collect()}
+    first = {x["doc_id"]: x["score"] for x in toxicity.query(spark, df.repartition(2), share(0)).collect()}
+    assert all(math.isclose(again[k], first[k], rel_tol=1e-9) for k in first if k is not None)
+
+
+def test_nnpu_minimises_the_corrected_risk():
+    xp, xu, n = np.array([[1.0, 0], [1, 1]]), np.array([[1.0, 0], [0, 1], [0, 0], [1, 1]]), np.array([5.0, 40, 50, 5])
+    w = toxicity.nnpu(xp, xu, n, 0.1, steps=3000, rate=0.01, l2=1e-2)
+
+    def risk(w):
+        z = lambda x: np.c_[x, np.ones(len(x))] @ w
+        up, down = np.logaddexp(0, -z(xp)).mean(), np.logaddexp(0, z(xp)).mean()
+        return 0.1 * up + max(0.0, (n / n.sum()) @ np.logaddexp(0, z(xu)) - 0.1 * down) + 5e-3 * (w[:-1] @ w[:-1])
+
+    r = np.random.default_rng(0)
+    assert all(risk(w) <= risk(w + 0.05 * r.standard_normal(3)) + 1e-6 for _ in range(200))
+
+
 def brute_lines(rows):
     key = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
     holders = defaultdict(set)

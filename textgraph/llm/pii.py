@@ -38,6 +38,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+# an address has 64 characters before its sign and 63 in a label at most, a number of any kind fewer than 26 digits
 PROPOSALS = {
     "spelled": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?[\[({] ?at ?[\])}] ?| at |@ | @ | @)[A-Za-z0-9-]{1,63}+(?:(?: ?[\[({] ?dot ?[\])}] ?| dot |\.)[A-Za-z0-9-]{2,63}+){1,4}+",
     "digits": r"(?<![A-Za-z0-9.,/$-])(?:00 ?|\()?[0-9](?:[ ().\x2D/]{0,2}[0-9]){6,24}+(?![A-Za-z0-9])",
@@ -49,15 +50,31 @@ SPAN = "struct<k:int,s:int,e:int,m:string,b:string,a:string>"
 NONE = f"cast(array() as array<{SPAN}>)"
 
 
+def _scanned(df: DataFrame, values: str, to: str, zero: str, op: str) -> DataFrame:
+    """df with an array `to`: op over all values before each, from zero on (op is SQL of t and x, which must be associative).
+
+    An array that grows by one copies itself each time, so the values are cut into about as many blocks as a block has
+    values: n values take in the order of n ** 1.5 steps and not n * n.
+    """
+    blocks, each, n = f"{to}__b", f"{to}__o", f"size({values})"
+    run = "aggregate({of}, named_struct('t', {start}, 'o', cast(array() as array<int>)), (a, y) -> named_struct('t', {op}, 'o', array_append(a.o, a.t)), a -> a.o)"
+    step = op.replace("t", "a.t", 1).replace("x", "y", 1) if op == "t + x" else op.replace("(t, x)", "(a.t, y)")
+    df = df.withColumn(blocks, F.expr(f"CASE WHEN {n} > 0 THEN transform(sequence(0, {n} - 1, cast(ceil(sqrt({n})) as int)), p -> slice({values}, p + 1, cast(ceil(sqrt({n})) as int))) END"))
+    df = df.withColumn(each, F.expr(run.format(of=f"transform({blocks}, b -> aggregate(b, {zero}, (t, x) -> {op}))", start=zero, op=step)))
+    inner = run.format(of="b", start="s", op=step)
+    return df.withColumn(to, F.expr(f"CASE WHEN {n} > 0 THEN flatten(zip_with({blocks}, {each}, (b, s) -> {inner})) END")).drop(blocks, each)
+
+
 def _found(df: DataFrame, text: str, pattern: str, kind: int, to: str, when: Column) -> DataFrame:
     """df with the matches of pattern in column `to`: kind, start, end, match and what stands before and after."""
-    hits, gaps = f"{to}__m", f"{to}__g"
+    hits, gaps, lens, at = (f"{to}__{c}" for c in "mglp")
     df = df.withColumn(hits, F.when(when, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))))
     df = df.withColumn(gaps, F.when(F.size(hits) > 0, F.split(F.col(text), pattern, -1)))
-    m, g = f"`{hits}`[i - 1]", f"`{gaps}`[i - 1]"
-    span = f"named_struct('k', {kind}, 's', t.p + length({g}), 'e', t.p + length({g}) + length({m}), 'm', {m}, 'b', right({g}, 24), 'a', left(`{gaps}`[i], 8))"
-    fold = f"aggregate(sequence(1, size(`{hits}`)), named_struct('p', 0, 'o', {NONE}), (t, i) -> named_struct('p', t.p + length({g}) + length({m}), 'o', concat(t.o, array({span}))), t -> t.o)"
-    return df.withColumn(to, F.expr(f"CASE WHEN size(`{hits}`) > 0 THEN {fold} ELSE {NONE} END")).drop(hits, gaps)
+    df = df.withColumn(lens, F.expr(f"CASE WHEN size(`{hits}`) > 0 THEN zip_with(slice(`{gaps}`, 1, size(`{hits}`)), `{hits}`, (g, m) -> length(g) + length(m)) END"))
+    df = _scanned(df, lens, at, "0", "t + x")
+    m, g, p = f"`{hits}`[i - 1]", f"`{gaps}`[i - 1]", f"`{at}`[i - 1]"
+    span = f"named_struct('k', {kind}, 's', {p} + length({g}), 'e', {p} + length({g}) + length({m}), 'm', {m}, 'b', right({g}, 24), 'a', left(`{gaps}`[i], 8))"
+    return df.withColumn(to, F.expr(f"CASE WHEN size(`{hits}`) > 0 THEN transform(sequence(1, size(`{hits}`)), i -> {span}) ELSE {NONE} END")).drop(hits, gaps, lens, at)
 
 
 def _luhn(digits: str) -> str:
@@ -255,12 +272,24 @@ def with_spans(docs: DataFrame) -> DataFrame:
         df = df.withColumn(f"b__{kind}", F.expr(f"filter(b__{kind}, x -> {VALID[kind]})"))
     df = df.withColumn("base", F.expr("transform(concat(" + ", ".join(f"b__{k}" for k in KINDS) + "), x -> named_struct('k', x.k, 's', x.s, 'e', x.e))")).drop(*(f"b__{k}" for k in KINDS))
     df = _proposed(df, text)
-    apart = "filter(p__all, x -> NOT exists(base, y -> x.s < y.e AND y.s < x.e))"
+    # a proposal meets a base span where one that starts no later ends beyond its start, or the next one starts before its end
+    # (arrays meet in arrays_zip and not by index in a lambda, where a plan may compute them anew for each element)
+    df = df.withColumn("p__both", F.expr("CASE WHEN size(p__all) > 0 THEN array_sort(concat(transform(base, x -> named_struct('s', x.s, 'p', 0, 'e', x.e, 'i', -1, 'x', p__none)), transform(p__all, (x, i) -> named_struct('s', x.s, 'p', 1, 'e', x.e, 'i', i, 'x', x)))) END".replace("p__none", f"cast(null as {SPAN})")))
+    df = df.withColumn("p__ends", F.expr("transform(p__both, x -> CASE WHEN x.p = 0 THEN x.e ELSE 0 END)")).withColumn("p__starts", F.expr("reverse(transform(p__both, x -> CASE WHEN x.p = 0 THEN x.s ELSE 2147483647 END))"))
+    df = _scanned(_scanned(df, "p__ends", "p__before", "0", "greatest(t, x)"), "p__starts", "p__next", "2147483647", "least(t, x)").withColumn("p__after", F.reverse("p__next"))
+    apart = "transform(filter(arrays_zip(p__both, p__before, p__after), z -> z.p__both.p = 1 AND z.p__before <= z.p__both.s AND z.p__after >= z.p__both.e), z -> z.p__both.x)"
     logits = [f"named_struct('l', ({models[kind][0].sql('v.f')}) - {np.log(models[kind][1] / max(1e-9, 1 - models[kind][1])):.6f}D, 'k', {k})" for k, kind in enumerate(KINDS)]
     df = df.withColumn("p__values", F.expr(f"transform({apart}, x -> named_struct('s', x.s, 'e', x.e, 'f', {_values('x')}))"))
-    df = df.withColumn("p__best", F.expr(f"transform(p__values, v -> named_struct('best', array_max(array({', '.join(logits)})), 's', v.s, 'e', v.e))"))
-    taken = "aggregate(array_sort(filter(p__best, v -> v.best.l >= 0), (u, v) -> CASE WHEN u.best.l > v.best.l THEN -1 WHEN u.best.l < v.best.l THEN 1 WHEN u.s < v.s THEN -1 WHEN u.s > v.s THEN 1 WHEN u.e > v.e THEN -1 WHEN u.e < v.e THEN 1 ELSE 0 END), base, (t, v) -> CASE WHEN exists(t, y -> v.s < y.e AND y.s < v.e) THEN t ELSE concat(t, array(named_struct('k', v.best.k, 's', v.s, 'e', v.e))) END)"
-    return df.select("p__row.*", F.col("base").alias(free_name(docs, "base")), F.expr(f"array_sort({taken})").alias(free_name(docs, "spans")))
+    df = df.withColumn("p__best", F.expr(f"filter(transform(p__values, v -> named_struct('best', array_max(array({', '.join(logits)})), 's', v.s, 'e', v.e)), v -> v.best.l >= 0)"))
+    # they come in order of their starts: those that overlap are cut apart from the rest, and the best of each such group is taken first
+    df = _scanned(df.withColumn("p__e", F.expr("transform(p__best, v -> v.e)")), "p__e", "p__reach", "0", "greatest(t, x)")
+    firsts = "filter(transform(arrays_zip(p__best, p__reach), (z, i) -> CASE WHEN z.p__reach <= z.p__best.s THEN i ELSE -1 END), i -> i >= 0)"
+    df = df.withColumn("p__first", F.expr(f"CASE WHEN size(p__best) > 0 THEN {firsts} END")).withColumn("p__last", F.expr("concat(slice(p__first, 2, size(p__first)), array(size(p__best)))"))
+    groups = "transform(arrays_zip(p__first, p__last), z -> slice(p__best, z.p__first + 1, z.p__last - least(z.p__first, size(p__best))))"
+    order = "(u, v) -> CASE WHEN u.best.l > v.best.l THEN -1 WHEN u.best.l < v.best.l THEN 1 WHEN u.s < v.s THEN -1 WHEN u.s > v.s THEN 1 WHEN u.e > v.e THEN -1 WHEN u.e < v.e THEN 1 ELSE 0 END"
+    taken = f"aggregate(array_sort(g, {order}), cast(array() as array<struct<k:int,s:int,e:int>>), (t, v) -> CASE WHEN exists(t, y -> v.s < y.e AND y.s < v.e) THEN t ELSE array_append(t, named_struct('k', v.best.k, 's', v.s, 'e', v.e)) END)"
+    df = df.withColumn("p__taken", F.expr(f"coalesce(flatten(transform({groups}, g -> {taken})), cast(array() as array<struct<k:int,s:int,e:int>>))"))
+    return df.select("p__row.*", F.col("base").alias(free_name(docs, "base")), F.expr("array_sort(concat(base, p__taken))").alias(free_name(docs, "spans")))
 
 
 def listed(column: str) -> Column:
@@ -272,9 +301,12 @@ def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets."""
     df, base, spans = with_spans(docs), free_name(docs, "base"), free_name(docs, "spans")
     names = "array(" + ", ".join(f"'[{k}]'" for k in KINDS) + ")"
-    order = f"array_sort(transform({spans}, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k)))"
-    fold = f"aggregate({order}, named_struct('p', 0, 'o', ''), (t, x) -> named_struct('p', x.e, 'o', concat(t.o, substr(text, t.p + 1, x.s - t.p), {names}[x.k])), t -> concat(t.o, substr(text, t.p + 1)))"
-    return df.withColumn("text", F.expr(f"CASE WHEN size({spans}) > 0 THEN {fold} ELSE text END")).drop(base, spans)
+    # spans of two kinds may overlap: each piece starts where all spans before have ended
+    df = df.withColumn("r__x", F.expr(f"array_sort(transform({spans}, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k)))"))
+    df = _scanned(df.withColumn("r__e", F.expr("transform(r__x, x -> x.e)")), "r__e", "r__p", "0", "greatest(t, x)")
+    pieces = f"transform(r__x, (x, i) -> concat(substr(text, r__p[i] + 1, greatest(x.s - r__p[i], 0)), {names}[x.k]))"
+    whole = f"concat(array_join({pieces}, ''), substr(text, greatest(element_at(r__p, -1), element_at(r__x, -1).e) + 1))"
+    return df.withColumn("text", F.expr(f"CASE WHEN size(r__x) > 0 THEN {whole} ELSE text END")).drop(base, spans, "r__x", "r__e", "r__p")
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -1,16 +1,21 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Positives are rows whose label says toxic; the unlabelled are texts of the corpus at large. A logistic model over the
-presence of words and word prefixes is fitted in numpy by minimising the class-prior-corrected risk
+Positives are rows whose label says toxic; the unlabelled are all texts of the learning folds, whatever their label. A
+logistic model over the presence of words and word prefixes is fitted in numpy by minimising the class-prior-corrected risk
     pi * E_p[l(+)] + max(0, E_u[l(-)] - pi * E_p[l(-)])
-and, when the second term falls below zero, by stepping against it. The prior pi is the toxic share of the labelled rows.
-Candidate words are those whose document frequency among the positives exceeds that among the unlabelled by a z-score.
-A monotone calibration on the training labels maps the logit to a probability, THRESHOLD at the cut of the best F1.
+and, when the second term falls below zero, by stepping against it. The prior pi is the toxic share of the labelled rows;
+nothing else is learned from labels of 0. Marks are the words and prefixes whose document frequency among the positives
+exceeds that among all texts by a z-score; all that pass are kept. The unlabelled rows are dealt by a hash of their ids
+into groups of about GROUP_ROWS, each is fitted on its own patterns of marks, and the weights are averaged by rows.
+
+THRESHOLD is put at the cut with the best F1 as estimated from positives that the fit didn't see, the logits of all
+unlabelled rows and the prior (`cut_of`).
 
 Only rows whose crc32(doc_id) modulo 3 is not 1 are learned from; lang, source, labels and ids are no inputs of a score.
-Fitting takes at most POSITIVES, UNLABELLED and CALIBRATION rows and runs on the driver; every row is scored, whole.
+At most POSITIVES labelled rows are used; marks and patterns come from all rows, and every row is scored, whole.
 Edge cases: a null or empty text has the score of no word; without positives every score is the prior, 0 at least;
-a repeated doc_id with different labels counts as toxic; an empty table gives an empty result; other columns aren't read.
+a repeated doc_id with different labels counts as toxic; rows without a doc_id are unlabelled text of fold 0; repeated
+rows count each; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -26,24 +31,29 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chosen, documents, remainder
+from .common import chosen, documents, one_thread, remainder, written
 
-POSITIVES, UNLABELLED, CALIBRATION = 3_000, 6_000, 4_000
-WORDS_KEPT, Z_LEAST, SHARE_LEAST = 200, 4.0, 0.01
+#: Rows labelled toxic that are learned from, at most.
+POSITIVES = 3_000
+#: Unlabelled rows of a group.
+GROUP_ROWS = 40_000
+Z_LEAST, SHARE_LEAST = 4.0, 0.01
 THRESHOLD = 0.7
+#: Recall from which on the prior is estimated.
+ENOUGH = 0.7
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6, 7)
 
 
 def marks(word: str) -> list[int]:
-    """What a word shows: itself and its prefixes, each as a 32-bit hash. Prefixes catch inflected forms."""
-    return [xxhash.xxh32_intdigest(word), *(xxhash.xxh32_intdigest(f"{word[:k]}-") for k in PREFIXES if len(word) >= k)]
+    """What a word shows: itself and its prefixes, each as a 64-bit hash. Prefixes catch inflected forms."""
+    return [xxhash.xxh3_64_intdigest(word), *(xxhash.xxh3_64_intdigest(f"{word[:k]}-") for k in PREFIXES if len(word) >= k)]
 
 
 def word_hashes(text: str) -> np.ndarray:
     """The distinct marks of the lower-cased letter runs, sorted."""
     found = [h for w in set(WORD.findall(text.lower())) for h in marks(w)]
-    return np.unique(np.array(found, np.uint32))
+    return np.unique(np.array(found, np.uint64))
 
 
 @dataclass(frozen=True)
@@ -57,105 +67,161 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * logits + self.offset, -30, 30)))
 
 
-def _presence(rows: list[np.ndarray], words: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(rows), len(words)), np.float32)
-    for k, r in enumerate(rows):
-        at = np.searchsorted(words, r)
-        at[at == len(words)] = 0
-        out[k, at[words[at] == r]] = 1
-    return out
-
-
-def select_words(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """The words that mark positives most clearly, sorted by hash."""
-    p, pn = np.unique(np.concatenate(positive), return_counts=True)
-    u, un = np.unique(np.concatenate([*unlabelled, p]), return_counts=True)
-    base = (un[np.searchsorted(u, p)] - 1) / max(1, len(unlabelled))
-    share = pn / len(positive)
-    z = (share - base) / np.sqrt(np.maximum(base, 1 / max(1, len(unlabelled))) * (1 - base) / len(positive) + 1e-12)
-    keep = np.flatnonzero((z > Z_LEAST) & (pn >= max(2, SHARE_LEAST * len(positive))))
-    return np.sort(p[keep[np.argsort(-z[keep], kind="stable")[:WORDS_KEPT]]])
-
-
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 1000, rate: float = 0.05, l2: float = 1e-4, seed: int = 3) -> tuple[np.ndarray, float]:
-    """Weights and bias of the non-negative risk, by Adam on mini-batches; logistic loss."""
-    chance = np.random.default_rng(seed)
-    w = np.zeros(xp.shape[1] + 1)
+def nnpu(xp: np.ndarray, xu: np.ndarray, nu: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> np.ndarray:
+    """Weights, and bias last, of the non-negative risk over the rows xp and the patterns xu (of nu rows each): Adam on the whole of both; logistic loss."""
+    xp, xu = (np.c_[x, np.ones(len(x))].astype(np.float64) for x in (xp, xu))
+    share = nu / nu.sum()
+    w = np.zeros(xp.shape[1])
     m, v = np.zeros_like(w), np.zeros_like(w)
-    xp, xu = np.c_[xp, np.ones(len(xp))], np.c_[xu, np.ones(len(xu))]
     for t in range(1, steps + 1):
-        bp, bu = (x[chance.integers(len(x), size=min(len(x), 1024))] for x in (xp, xu))
-        sp, su = _sigmoid(bp @ w), _sigmoid(bu @ w)
-        on_positive = bp.T @ (sp - 1) / len(bp)
+        zp, zu = xp @ w, xu @ w
+        sp, su = _sigmoid(zp), _sigmoid(zu)
+        on_positive = xp.T @ (sp - 1) / len(xp)
         # the risk of calling unlabelled rows positive, less the part that truly is positive
-        negative = np.logaddexp(0, bu @ w).mean() - prior * np.logaddexp(0, bp @ w).mean()
-        on_negative = bu.T @ su / len(bu) - prior * (bp.T @ sp) / len(bp)
+        negative = share @ np.logaddexp(0, zu) - prior * np.logaddexp(0, zp).mean()
+        on_negative = xu.T @ (su * share) - prior * (xp.T @ sp) / len(xp)
         grad = prior * on_positive + on_negative if negative >= 0 else -on_negative
         grad = grad + l2 * np.r_[w[:-1], 0]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], float(w[-1])
-
-
-def calibrate(logits: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope (positive) and offset of a sigmoid: the slope is Platt's, by Newton steps on smoothed targets; the offset puts THRESHOLD at the cut of the best F1."""
-    n1, n0 = toxic.sum(), (~toxic).sum()
-    if not n1 or not n0:
-        return 1.0, 0.0
-    y = np.where(toxic, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.c_[logits, np.ones(len(logits))]
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
-        s = _sigmoid(x @ w)
-        h = (x * (s * (1 - s))[:, None]).T @ x + 1e-6 * np.eye(2)
-        w = w - np.clip(np.linalg.solve(h, x.T @ (s - y)), -2, 2)
-    slope = float(w[0]) if w[0] > 0 else 1.0
-    order = np.argsort(-logits, kind="stable")
-    down, hits = logits[order], np.cumsum(toxic[order])
-    # a cut lies between two different logits, nearer to the toxic side
-    ends = np.flatnonzero(np.diff(down, append=-np.inf) < 0)
-    f1 = 2 * hits[ends] / (ends + 1 + n1)
-    k = ends[int(np.argmax(f1))]
-    cut = (3 * down[k] + down[k + 1]) / 4 if k + 1 < len(down) else down[k] - 1.0
-    return slope, float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * cut)
-
-
-def _hashed(rows: DataFrame, extra: str, kind: str) -> list[tuple]:
-    """(extra, word hashes) of a bounded number of rows, on the driver."""
+    return w
+
+
+def cut_of(positive: np.ndarray, levels: np.ndarray, rows: np.ndarray, prior: float) -> float:
+    """The logit to cut at, from positives, the prior and the logits of unlabelled rows (`rows` of them at each of `levels`) alone.
+
+    Recall is the positives' share above a cut, precision prior * recall / (share of the unlabelled above it). No precision
+    exceeds 1, so the prior is at most the least of share / recall, taken where recall is ENOUGH or more. The cut has the
+    best F1 and lies at a quarter of the gap between two levels, nearer to the upper one.
+    """
+    order = np.argsort(-levels, kind="stable")
+    down, above = levels[order], np.cumsum(rows[order]) / rows.sum()
+    recall = (positive[:, None] >= down[None]).mean(0)
+    prior = min(prior, float((above / np.maximum(recall, 1e-12))[recall >= ENOUGH].min()))
+    precision = np.minimum(1.0, prior * recall / above)
+    k = int(np.argmax(2 * precision * recall / np.maximum(precision + recall, 1e-12)))
+    return float((3 * down[k] + down[k + 1]) / 4 if k + 1 < len(down) else down[k] - 1.0)
+
+
+def _texts(docs: DataFrame, extra: list[str]) -> DataFrame:
+    return docs.select(*extra, F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _marked(rows: DataFrame, extra: dict[str, str], wanted: np.ndarray | None = None) -> DataFrame:
+    """The extra columns and `marks` of each row: all of its text, or the positions in `wanted` of those that are there."""
+    sent = rows.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches):
+        known, shown = sent.value, {}
+        position = {int(h): k for k, h in enumerate(known)} if known is not None else None
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part, made = batch.slice(k, 500), []
+                for text in part.column("text").to_pylist():
+                    if position is None:
+                        made.append(word_hashes(text).view(np.int64))
+                        continue
+                    distinct = set(WORD.findall(text.lower()))
+                    new = distinct.difference(shown)
+                    if len(shown) + len(new) > 300_000:
+                        shown.clear()
+                        new = distinct
+                    for w in new:
+                        shown[w] = tuple(position[h] for h in marks(w) if h in position)
+                    made.append(np.array(sorted({p for w in distinct for p in shown[w]}), np.int64))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in extra), pa.array(made, pa.list_(pa.int64()))], names=[*extra, "marks"])
+
+    schema = ", ".join([*(f"{c} {t}" for c, t in extra.items()), "marks array<long>"])
+    return _texts(rows, list(extra)).mapInArrow(run, schema)
+
+
+def _counted(rows: DataFrame, width: int) -> np.ndarray:
+    """How many rows hold each of `width` marks: added up in each task before anything is shuffled."""
 
     def run(batches):
+        n = np.zeros(width, np.int64)
         for batch in batches:
-            made = [word_hashes(t or "").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(extra), pa.array(made, pa.binary())], names=["doc_id", extra, "words"])
+            held = batch.column("marks").flatten().to_numpy()
+            n += np.bincount(held, minlength=width)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["mark", "n"])
+
+    found = rows.select("marks").mapInArrow(run, "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(width, np.int64)
+    out[found["mark"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return out
 
-    found = rows.select("doc_id", extra, "text").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {extra} {kind}, words binary")
-    return [(r[extra], np.frombuffer(r["words"], np.uint32)) for r in found.orderBy("doc_id", "words").limit(POSITIVES + UNLABELLED + CALIBRATION).collect()]
+
+def _dense(rows: list, width: int) -> np.ndarray:
+    out = np.zeros((len(rows), width), np.float32)
+    for k, r in enumerate(rows):
+        out[k, np.asarray(r, np.int64)] = 1
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of at most POSITIVES rows labelled toxic and of all rows of the learning folds as unlabelled text."""
     learned = remainder(F.col("doc_id"), 3) != 1
     known = labels.filter("toxic is not null").filter(learned).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    text = docs.select("doc_id", "text")
-    positive = _hashed(chosen(text, known.filter("toxic = 1"), POSITIVES, 1), "toxic", "int")
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
-    if not positive or not 0 < share < 1:
-        return Model({}, 0.0, 1.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    ids = docs.select("doc_id").filter(learned).distinct().withColumn("toxic", F.lit(0))
-    unlabelled = _hashed(chosen(text, ids, UNLABELLED, 2), "toxic", "int")
+    nothing = Model({}, 0.0, 1.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
+    if not 0 < share < 1:
+        return nothing
+    text = docs.select("doc_id", "text")
     # copies of one text would make its rare words look like marks
-    xs, us = list({w.tobytes(): w for _, w in positive}.values()), [w for _, w in unlabelled]
-    words = select_words(xs, us)
-    if not len(words):
-        return Model({}, 0.0, 1.0, float(np.log(share / (1 - share))))
-    w, bias = nnpu(_presence(xs, words), _presence(us, words), share)
-    held = _hashed(chosen(text, known, CALIBRATION, 3), "toxic", "int")
-    logits = _presence([h for _, h in held], words) @ w + bias
-    slope, offset = calibrate(logits, np.array([y == 1 for y, _ in held]))
-    return Model(dict(zip(words.tolist(), w.tolist(), strict=True)), bias, slope, offset)
+    positive = chosen(text, known.filter("toxic = 1"), POSITIVES, 1).groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    positive = written(positive.select(F.coalesce("text", F.lit("")).alias("text"), (F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(5)) == 0).alias("kept_out")), "toxic-positive")
+    n_fit, n_out = (positive.filter(c).count() for c in ("not kept_out", "kept_out"))
+    if not n_fit:
+        return nothing
+    if n_out < 20:  # too few to find a cut by
+        positive, n_fit = positive.withColumn("kept_out", F.lit(False)), n_fit + n_out
+    # a mark of one in a hundred positives at least, so that there are no more than a hundred times those of one text
+    each = _marked(positive.filter("not kept_out"), {}).select(F.explode("marks").alias("mark"))
+    least = max(2, int(np.ceil(SHARE_LEAST * n_fit)))
+    found = each.groupBy("mark").agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy("mark").toPandas()
+    candidates, pn = found["mark"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.float64)
+    if not len(candidates):
+        return nothing
+    unlabelled = text.filter(learned)
+    n_all = max(1, unlabelled.count())
+    base = _counted(_marked(unlabelled, {}, candidates), len(candidates)) / n_all
+    frequency = pn / n_fit
+    z = (frequency - base) / np.sqrt(np.maximum(base, 1 / n_all) * (1 - base) / n_fit + 1e-12)
+    wanted = candidates[z > Z_LEAST]
+    if not len(wanted):
+        return nothing
+    # rows that show the same marks are one pattern; patterns are dealt into groups by their hash, each group with its share of every pattern
+    groups = max(1, round(n_all / GROUP_ROWS))
+    place = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(groups)).cast("int").alias("part")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shown = _marked(unlabelled, {"doc_id": kind}, wanted).groupBy(place, "marks").agg(F.count("*").alias("n"))
+    shown = written(shown, "toxic-patterns")
+    seen = _marked(positive, {"kept_out": "boolean"}, wanted).orderBy("kept_out", "marks").collect()
+    xp = _dense([r["marks"] for r in seen if not r["kept_out"]], len(wanted))
+    sent = docs.sparkSession.sparkContext.broadcast(xp)
+
+    def one(table: pa.Table) -> pa.Table:
+        one_thread()
+        rows = sorted(zip(table.column("marks").to_pylist(), table.column("n").to_pylist()))
+        w = nnpu(sent.value, _dense([m for m, _ in rows], sent.value.shape[1]), np.array([n for _, n in rows], float), share)
+        return pa.table({"used": pa.array([sum(n for _, n in rows)], pa.int64()), "w": pa.array([w], pa.list_(pa.float64()))})
+
+    made = shown.groupBy("part").applyInArrow(one, "used long, w array<double>")
+    mean = made.select("used", F.posexplode("w").alias("k", "v")).groupBy("k").agg((F.sum(F.col("v") * F.col("used")) / F.sum("used")).alias("v")).orderBy("k").toPandas()
+    w = mean["v"].round(9).to_numpy(float)
+    weights = dict(zip(wanted.tolist(), w[:-1].tolist(), strict=True))
+    # the logits of all unlabelled rows, in steps of a hundredth
+    values = F.array(*map(F.lit, w[:-1].tolist()))
+    logit = F.aggregate("marks", F.lit(float(w[-1])), lambda t, k: t + F.element_at(values, (k + 1).cast("int")))
+    levels = shown.groupBy(F.round(logit, 2).alias("z")).agg(F.sum("n").alias("n")).orderBy("z").toPandas()
+    held = _dense([r["marks"] for r in seen if r["kept_out"] or n_out < 20], len(wanted)) @ w[:-1] + w[-1]
+    cut = cut_of(np.round(held, 2), levels["z"].to_numpy(float), levels["n"].to_numpy(float), share)
+    return Model(weights, float(w[-1]), 1.0, float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut))
 
 
 def scorer(model: Model):
