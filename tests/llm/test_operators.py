@@ -101,6 +101,27 @@ def test_quality_query(spark, docs, labels, empty):
     assert quality_rules.query(spark, docs, labels.limit(0)).count() == len(out)
 
 
+def test_quality_brute_force(spark, docs, labels):
+    """Every column of the result: the counts by their definition, the verdict by the rules one by one."""
+    rules = quality_rules.fit(docs, labels)
+    rules = rules or [(quality_rules.Condition("symbols", True, 30.0), quality_rules.Condition("n_words", False, 500.0)), (quality_rules.Condition("repeats", True, 900.0),)]
+    columns = ["doc_id", *quality_rules.COUNTS]
+    found = quality_rules.with_statistics(docs, ["doc_id"]).withColumn("kept", quality_rules.verdict(rules)).select(*columns, "kept").collect()
+    assert len(found) == docs.count()
+    text = text_of(docs)
+    for r in found:
+        t = text[r["doc_id"]]
+        words, lines = tokens(t), [x for x in t.split("\n") if tokens(x)]
+        windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        repeated = len({i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)})
+        want = {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": sum(c in "#*$%&|<>" for c in t), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": repeated, "n_digits": sum(c in "0123456789" for c in t), "n_lines": len(lines), "n_distinct": len(set(words))}
+        assert {k: r[k] for k in want} == want
+        ratio = lambda a, b: want[a] * 1000 / want[b] if want[b] else 0.0
+        value = {f: ratio(a, b) if b else want[a] for f, (a, b) in quality_rules.FEATURES.items()}
+        rejected = any(all(value[c.feature] >= c.cut if c.at_least else value[c.feature] <= c.cut for c in rule) for rule in rules)
+        assert r["kept"] == (not rejected)
+
+
 def test_sharding(spark, docs, empty):
     out = rows_of(sharding.query(spark, docs))
     assert len(out) == docs.count()
@@ -118,6 +139,33 @@ def test_sharding(spark, docs, empty):
     assert sharding.query(spark, empty).count() == 0
 
 
+def brute_places(rows, shards):
+    """(doc_id, shard, slot) of rows of (doc_id, text, source), by the definition."""
+    strata = defaultdict(list)
+    for d, t, src in rows:
+        crc = zlib.crc32((t or "").encode())
+        digest = hashlib.md5(f"{sharding.SEED}:{'' if d is None else d}:{crc}".encode()).hexdigest()
+        strata["null" if src is None else f"s:{src}"].append((int(digest[:15], 16), d is not None, d or 0, crc, d))
+    order = sorted(((2 * r + 1) / (2 * len(v)), s, r, x[4]) for s, v in strata.items() for r, x in enumerate(sorted(v)))
+    n = len(order)
+    return sorted(((x[3], g * shards // n, g - -(-(g * shards // n * n) // shards)) for g, x in enumerate(order)), key=repr)
+
+
+def test_sharding_brute_force_and_hot_ids(spark, docs, monkeypatch):
+    import duckdb
+
+    monkeypatch.setattr(sharding, "COPIES", 70)
+    place = lambda df: sorted(((r["doc_id"], r["shard"], r["slot"]) for r in sharding.query(spark, df).collect()), key=repr)
+    plain = lambda df: [(r["doc_id"], r["text"], r["source"]) for r in df.select("doc_id", "text", "source").collect()]
+    assert place(docs) == brute_places(plain(docs), sharding.SHARDS)
+    hot = spark.createDataFrame([(None, f"t{k % 150}", "a") for k in range(300)] + [(7, "same", "a")] * 300 + [(k, f"x{k}", f"s{k % 3}") for k in range(300)], "doc_id long, text string, source string")
+    assert place(hot) == brute_places(plain(hot), sharding.SHARDS)
+    con = duckdb.connect()
+    con.register("documents", hot.toPandas().astype({"doc_id": "Int64"}))
+    columns = "doc_id, size, text_crc32, law, shard, slot, grown_shard"
+    assert sorted(con.sql(f"SELECT {columns} FROM ({sharding.SQL})").fetchall(), key=repr) == sorted(map(tuple, sharding.query(spark, hot).selectExpr(*columns.split(", ")).collect()), key=repr)
+
+
 def shingles(text):
     w = tokens(lower(text or ""))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()

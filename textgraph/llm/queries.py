@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lsh_forest_near_dedup": near_dedup.SQL, "op8_line_dedup_runs": line_dedup.SQL, "op10_containment_search": decontamination.SQL}
+    return {"op2_proportional_interleaving": sharding.SQL, "op3_lsh_forest_near_dedup": near_dedup.SQL, "op8_line_dedup_runs": line_dedup.SQL, "op10_containment_search": decontamination.SQL}
