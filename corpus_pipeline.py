@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and reread as the next one's input."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and reread as the next one's input.
+
+Edge cases, in every stage: a null or empty text is a document without words, lines but one, or ids, and stays; a null
+doc_id is an id of its own below all others, except that no benchmark item is looked for in rows without an id, since
+such a document can't be named; rows that repeat are each a document, until the near-duplicate stage keeps one of those
+that share an id and a text; columns beyond doc_id and text are kept by all stages but the last, whatever their names;
+texts of any length are taken whole; empty tables go through as empty tables.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +17,7 @@ from textgraph.llm.common import documents, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold, by a model of the labels."""
+    """Documents that score below the threshold, by a model of the labels; all, where nothing is labelled toxic."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, documents(spark, sf_dir, "labels")))
 
 
@@ -24,12 +31,12 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the one with the smallest id. A document without words is no one's copy."""
     return near_dedup.deduplicated(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; those without an id stay."""
     return decontamination.decontaminate(docs, documents(spark, sf_dir, "benchmark"))
 
 

@@ -81,6 +81,21 @@ def test_graph(spark):
     assert [roots[k] for k in "abc"] == ["d"] * 3 and roots["p"] == roots["q"] == "p"
     commits = spark.createDataFrame([("c1", None), ("c2", "c1"), ("c3", "c2"), ("s1", "c1")], "id string, parent string")
     assert graph.ancestry(commits).count() == 8 and ids(graph.first_parent_chain(commits, "c3")) == ["c1", "c2", "c3"]
+    long = spark.range(1000).selectExpr("concat('k', id) as id", "if(id > 0, concat('k', id - 1), null) as parent")
+    chain = graph.first_parent_chain(long, "k999", "k3").collect()
+    assert [(r["id"], r["position"]) for r in chain] == [(f"k{k}", k - 3) for k in range(3, 1000)]
+    counts = spark.createDataFrame([("a", 1), ("b", 2), ("d", 5), ("p", 7)], "id string, appearance_count long")
+    assert {r["id"]: r["appearance_count"] for r in graph.merged_entities(counts, merges.filter("absorbed < 'p'")).collect()} == {"d": 8, "p": 7}
+
+
+def test_search_operators(spark, tmp_path):
+    texts = {"1": "cat dog", "2": "cat bird", "3": "dog zebra", "4": "cat, zebra dog", "5": "nothing"}
+    chunks = spark.createDataFrame([(u, "c", t) for u, t in texts.items()], "location_uri string, corpus_id string, content string")
+    index = search.Postings.build(chunks, f"{tmp_path}/index")
+    want = {"cat NOT dog": {"2"}, "dog cat OR zebra": {"1", "3", "4"}, "cat AND dog NOT zebra": {"1"}, "zebra OR cat NOT dog": {"2", "3", "4"}, "NOT dog": set(), "dog NOT": {"1", "3", "4"}, "OR": set(), "cat dog AND zebra": {"4"}, "not": set(), "cat NOT dog zebra": {"1", "2"}}
+    for q, uris in want.items():
+        one, two = ([tuple(r) for r in x.collect()] for x in (search.keyword(chunks, q), index.keyword(q)))
+        assert one == two and {r[0] for r in one} == uris, q
 
 
 def entity_table(spark, *rows):
@@ -118,8 +133,10 @@ def test_artifacts(spark):
     assert {(r["entity_id"], r["model"]) for r in artifacts.best_of(t, ["entity_id"]).collect()} == {("e", "m-sonnet"), ("f", "m-x"), ("g", "m-opus")}
     assert [(r["entity_id"], r["model"]) for r in artifacts.inconsistencies(t).collect()] == [("e", "m-sonnet"), ("f", "m-x"), ("g", "m-haiku")]
     lit = F.lit
-    tier = lambda **k: one(spark, artifacts.routed_tier(*(lit(v) for v in ({"unsafe": False, "fallible": False, "public": False, "panics": 0, "i": 0, "o": 0, "kind": "function", "lines": 1} | k).values())))
+    tier = lambda **k: one(spark, artifacts.routed_tier(*(lit(v) for v in ({"unsafe": False, "fallible": False, "public": False, "mutating": False, "panics": 0, "debt": False, "i": 0, "o": 0, "kind": "function", "lines": 1} | k).values())))
     assert tier(unsafe=True) == "opus" and tier(i=20, fallible=True) == "sonnet" and tier(i=21, fallible=True) == "opus" and tier(lines=151) == "sonnet" and tier() == "haiku"
+    assert tier(mutating=True, fallible=True) == tier(panics=1) == tier(debt=True) == tier(kind="class") == tier(public=True, fallible=True) == "sonnet" and tier(mutating=True) == "haiku"
+    assert tier(public=True, panics=4) == tier(kind="module", o=16) == "opus" and one(spark, artifacts.routed_tier(*[lit(True)] * 10, enabled=False, default="sonnet")) == "sonnet"
     hits, misses = artifacts.cached(spark.createDataFrame([("k1",), ("k2",)], "cache_key string"), spark.createDataFrame([("k1", '{"a":1}'), ("k2", "oops {")], "cache_key string, payload string"))
     assert ids(hits, "cache_key") == ["k1"] and ids(misses, "cache_key") == ["k2"]
 

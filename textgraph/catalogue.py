@@ -127,9 +127,9 @@ def unreachable(m):
     return graph.unreached(m.plain_entities, m.edges, "contains").select("id")
 
 
-@query("SELECT e.id FROM plain_entities e WHERE e.kind <> 'interface' AND NOT EXISTS (SELECT 1 FROM edges x WHERE x.kind = 'verified_by' AND x.to_entity_id = e.id)", "plain_entities", "edges")
+@query("SELECT e.id FROM plain_entities e WHERE NOT EXISTS (SELECT 1 FROM edges x WHERE x.kind = 'verified_by' AND x.to_entity_id = e.id)", "plain_entities", "edges")
 def untested(m):
-    return graph.unreached(m.plain_entities.filter("kind <> 'interface'"), m.edges, "verified_by").select("id")
+    return graph.unreached(m.plain_entities, m.edges, "verified_by").select("id")
 
 
 @query("SELECT id, kind FROM edges WHERE from_entity_id IN (SELECT id FROM plain_entities) AND to_entity_id IN (SELECT id FROM plain_entities WHERE kind <> 'module')", "edges", "plain_entities")
@@ -182,7 +182,7 @@ SELECT id, min(depth) AS depth FROM w GROUP BY id"""
 @query(_WALK, "edges")
 def explain_bfs_depth(m):
     seeds = m.spark.sql("SELECT 'customer:5' AS id")
-    return graph.walk(m.edges, seeds, ["placed", "contains", "verified_by", "supplied_by", "located_in"])
+    return graph.walk(m.edges, seeds, ["placed", "contains", "verified_by", "supplied_by", "located_in"]).select("id", "depth")
 
 
 _SAME = """WITH RECURSIVE l AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM (SELECT doc_id, sha256(text) AS h FROM documents) a JOIN (SELECT doc_id, sha256(text) AS h FROM documents) b ON a.h = b.h AND a.doc_id <> b.doc_id),
@@ -216,16 +216,31 @@ def commit_ancestry(m):
     return graph.ancestry(_commits(m))
 
 
-@query("SELECT 'c' || n_nationkey AS id, n_nationkey::BIGINT AS position FROM nation WHERE n_nationkey <= 9")
+@query("SELECT 'k' || c_custkey AS id, c_custkey - (SELECT min(c_custkey) FROM customer) AS position FROM customer WHERE c_custkey <= 140")
 def first_parent_chain(m):
-    return graph.first_parent_chain(_commits(m), "c9").select("id", F.col("position").cast("long").alias("position"))
+    k = F.col("c_custkey")
+    customers = m.raw("customer")
+    root = customers.agg(F.min(k)).first()[0]
+    commits = customers.select(F.concat(F.lit("k"), k).alias("id"), F.when(k > root, F.concat(F.lit("k"), k - 1)).alias("parent"))
+    return graph.first_parent_chain(commits, "k140").select("id", F.col("position").cast("long").alias("position"))
 
 
-@query("SELECT id, 'supplier:' || (CASE WHEN replace(to_entity_id, 'supplier:', '')::BIGINT % 2 = 1 THEN replace(to_entity_id, 'supplier:', '')::BIGINT - 1 ELSE replace(to_entity_id, 'supplier:', '')::BIGINT END) AS to_entity_id FROM edges WHERE kind = 'supplied_by'", "edges")
-def entity_merge_edges(m):
+_KEPT = "CASE WHEN {0} LIKE 'supplier:%' THEN 'supplier:' || (replace({0}, 'supplier:', '')::BIGINT - replace({0}, 'supplier:', '')::BIGINT % 2) ELSE {0} END"
+
+
+def _pairs_of_suppliers(m):
     k = F.col("s_suppkey")
-    merges = m.raw("supplier").filter(k % 2 == 1).select(F.concat(F.lit("supplier:"), k).alias("absorbed"), F.concat(F.lit("supplier:"), k - 1).alias("canonical"))
-    return graph.merged_edges(m.edges.filter("kind = 'supplied_by'"), merges).select("id", "to_entity_id")
+    return m.raw("supplier").filter(k % 2 == 1).select(F.concat(F.lit("supplier:"), k).alias("absorbed"), F.concat(F.lit("supplier:"), k - 1).alias("canonical"))
+
+
+@query(f"SELECT id, {_KEPT.format('from_entity_id')} AS from_entity_id, {_KEPT.format('to_entity_id')} AS to_entity_id FROM edges", "edges")
+def entity_merge_edges(m):
+    return graph.merged_edges(m.edges, _pairs_of_suppliers(m)).select("id", "from_entity_id", "to_entity_id")
+
+
+@query(f"SELECT e.id, g.n AS appearance_count FROM (SELECT {_KEPT.format('id')} AS id, sum(appearance_count)::BIGINT AS n FROM entities GROUP BY 1) g JOIN entities e USING (id)", "entities")
+def entity_merge_counts(m):
+    return graph.merged_entities(m.entities, _pairs_of_suppliers(m)).select("id", "appearance_count")
 
 
 # artifacts
@@ -251,23 +266,26 @@ def inconsistencies(m):
 
 @query("SELECT model_tier, count(*) AS n FROM artifacts GROUP BY 1", "artifacts")
 def tier_distribution(m):
-    return m.artifacts.groupBy("model_tier").agg(F.count("*").alias("n"))
+    return art.tier_counts(m.artifacts)
 
 
 _ROUTER = """WITH d AS (SELECT e.id, e.kind, coalesce(i.n, 0) AS i, coalesce(o.n, 0) AS o FROM plain_entities e LEFT JOIN (SELECT to_entity_id AS id, count(*) n FROM edges GROUP BY 1) i ON i.id = e.id LEFT JOIN (SELECT from_entity_id AS id, count(*) n FROM edges GROUP BY 1) o ON o.id = e.id)
-SELECT id, CASE WHEN i > 20 AND kind <> 'class' THEN 'opus' WHEN kind = 'class' AND o > 3 THEN 'opus' WHEN kind = 'module' AND o > 15 THEN 'opus' WHEN i > 10 THEN 'sonnet' WHEN kind <> 'class' AND kind = 'class' THEN 'sonnet' WHEN o * 10 > 150 THEN 'sonnet' ELSE 'haiku' END AS tier FROM d"""
+SELECT id, CASE WHEN k % 97 = 5 THEN 'opus' WHEN i > 20 AND k % 3 = 0 THEN 'opus' WHEN k % 2 = 0 AND greatest(k % 9 - 3, 0) > 3 THEN 'opus' WHEN kind = 'module' AND i > 15 THEN 'opus'
+  WHEN k % 2 = 0 AND k % 3 = 0 THEN 'sonnet' WHEN k % 5 = 0 AND k % 3 = 0 THEN 'sonnet' WHEN greatest(k % 9 - 3, 0) > 0 THEN 'sonnet' WHEN k % 11 = 0 THEN 'sonnet' WHEN kind IN ('class', 'module') THEN 'sonnet' WHEN i > 10 THEN 'sonnet' WHEN k % 200 > 150 THEN 'sonnet' ELSE 'haiku' END AS tier FROM (SELECT *, split_part(id, ':', 2)::BIGINT AS k FROM d)"""
 
 
 @query(_ROUTER, "plain_entities", "edges")
 def tier_router(m):
     d = graph.degrees(m.plain_entities, m.edges).join(m.plain_entities.select("id", "kind"), "id")
-    public = F.col("kind") == "class"
-    return d.select("id", art.routed_tier(F.lit(False), ~public, public, F.col("out_degree"), F.col("in_degree"), F.col("out_degree"), F.col("kind"), F.col("out_degree") * 10).alias("tier"))
+    k = F.split_part(F.col("id"), F.lit(":"), F.lit(2)).cast("long")
+    # modules have no outbound edges in these tables: their inbound ones stand in
+    signals = [k % 97 == 5, k % 3 == 0, k % 2 == 0, k % 5 == 0, F.greatest(k % 9 - 3, F.lit(0)), k % 11 == 0, F.col("in_degree"), F.col("in_degree"), F.col("kind"), k % 200]
+    return d.select("id", art.routed_tier(*signals).alias("tier"))
 
 
-@query("SELECT first_uri AS uri, sha256(string_agg(id, chr(10) ORDER BY id) || chr(10)) AS shape FROM (SELECT DISTINCT location_uri AS first_uri, to_entity_id AS id FROM edges WHERE kind = 'contains') GROUP BY 1", "edges")
+@query("SELECT first_uri AS uri, sha256(string_agg(id, chr(10) ORDER BY id) || chr(10)) AS shape FROM (SELECT DISTINCT location_uri AS first_uri, to_entity_id AS id FROM edges) GROUP BY 1", "edges")
 def file_shape_hash(m):
-    return art.file_shapes(m.edges.filter("kind = 'contains'").select(F.col("to_entity_id").alias("id"), F.col("location_uri").alias("first_location_uri")))
+    return art.file_shapes(m.edges.select(F.col("to_entity_id").alias("id"), F.col("location_uri").alias("first_location_uri")))
 
 
 @query("SELECT 'conv/' || conv_id AS source, sha256(string_agg(text, '' ORDER BY turn, text)) AS hash FROM conversations GROUP BY 1")
@@ -281,23 +299,27 @@ def tree_version(m):
     return art.tree_version(m.raw("pages").select(F.col("url").alias("path"), F.sha2("html", 256).alias("hash")))
 
 
-_THEMES = "SELECT t.id, t.confidence, e.edge_kind, e.from_entity_id FROM (SELECT 'nation:' || n_nationkey AS id, n_nationkey / 100.0::DOUBLE AS confidence FROM nation) t LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY to_entity_id, edge_kind ORDER BY id) AS k FROM (SELECT id, to_entity_id, from_entity_id, CASE WHEN from_entity_id LIKE 'customer:%' THEN 'upheld_by' ELSE 'violated_by' END AS edge_kind FROM edges WHERE kind = 'located_in')) e ON e.to_entity_id = t.id AND e.k <= 20"
+_THEMES = "SELECT t.id, t.confidence, e.edge_kind, e.from_entity_id FROM (SELECT 'nation:' || n_nationkey AS id, n_nationkey / 100.0::DOUBLE AS confidence FROM nation) t LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY to_entity_id, edge_kind ORDER BY id) AS k FROM (SELECT id, to_entity_id, from_entity_id, CASE WHEN from_entity_id LIKE 'customer:%' THEN 'upheld_by' ELSE 'violated_by' END AS edge_kind FROM edges WHERE kind = 'located_in')) e ON e.to_entity_id = t.id AND e.k <= 200"
 
 
 @query(_THEMES, "edges")
 def theme_edges_topn(m):
     themes = m.raw("nation").select(F.concat(F.lit("nation:"), "n_nationkey").alias("id"), (F.col("n_nationkey") / F.lit(100.0)).alias("confidence"))
     edges = m.edges.filter("kind = 'located_in'").withColumn("kind", F.when(F.col("from_entity_id").startswith("customer:"), "upheld_by").otherwise("violated_by"))
-    return art.themes_with_edges(themes, edges, 20).select("id", "confidence", "edge_kind", "from_entity_id")
+    return art.themes_with_edges(themes, edges).select("id", "confidence", "edge_kind", "from_entity_id")
 
 
 # search
 
 
+def _bm25_term(k: int) -> str:
+    return f"greatest(ln((n - df{k} + 0.5) / (df{k} + 0.5)), 1e-6) * tf{k} * 2.2 / (tf{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))"
+
+
 def _bm25(terms: list[str], joined: str) -> str:
     tf = ", ".join(f"len(list_filter(w, lambda x: x = '{t}'))::DOUBLE AS tf{k}" for k, t in enumerate(terms))
     df = ", ".join(f"count(*) FILTER (WHERE tf{k} > 0)::DOUBLE AS df{k}" for k in range(len(terms)))
-    score = " + ".join(f"greatest(ln((n - df{k} + 0.5) / (df{k} + 0.5)), 1e-6) * tf{k} * 2.2 / (tf{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k in range(len(terms)))
+    score = " + ".join(map(_bm25_term, range(len(terms))))
     hit = joined.join(f" tf{k} > 0 " for k in range(len(terms)))
     return f"w AS (SELECT location_uri, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM chunks), r AS (SELECT location_uri, len(w)::DOUBLE AS dl, {tf} FROM w), s AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl, {df} FROM r), k AS (SELECT location_uri AS uri, round({score}, 6) AS score FROM r, s WHERE {hit})"
 
@@ -315,6 +337,20 @@ def keyword_search_scoped(m):
     return search.keyword(m.chunks, "trash OR license OR stupid", 30, "text://src5")
 
 
+_MIXED = _bm25(["trash", "stupid", "the", "license"], "OR").replace("WHERE  tf0 > 0 OR tf1 > 0 OR tf2 > 0 OR tf3 > 0 ", "WHERE (tf0 > 0 AND NOT tf3 > 0) OR (tf1 > 0 AND tf2 > 0)").replace(f" + {_bm25_term(3)}", "")
+
+
+@query(f"WITH {_MIXED}, t AS (SELECT * FROM k ORDER BY score DESC, uri LIMIT 40) SELECT uri, score, {_NORMAL} FROM t", "chunks")
+def keyword_search_mixed(m):
+    return search.keyword(m.chunks, "trash NOT license OR stupid AND the", 40)
+
+
+@query(f"WITH {_bm25(['the', 'and'], 'AND')}, t AS (SELECT * FROM k ORDER BY score DESC, uri LIMIT 20) SELECT uri, score, {_NORMAL} FROM t", "chunks")
+def keyword_search_postings(m):
+    """As keyword_search_bm25, from a search index that is built once for the tables in a session."""
+    return m.postings.keyword("The, and!")
+
+
 _COS = "round(greatest(0, least(1, list_cosine_similarity(e.embedding::DOUBLE[], q.v))), 6)"
 _VEC = "'vec/' || lpad(vec_id::VARCHAR, 8, '0')"
 
@@ -399,12 +435,13 @@ def collection_resolve_corpora(m):
 
 def _links(m):
     k = F.col("p_partkey")
-    s = m.raw("part").filter(k < 40).select(F.concat(F.lit("part:"), k).alias("a"), F.concat(F.lit("part:"), k + 10).alias("b"), F.lit("same_as").alias("link_kind"))
-    i = m.raw("part").filter((k < 40) & (k % 4 == 0)).select(F.concat(F.lit("part:"), k).alias("a"), F.concat(F.lit("part:"), k + 1).alias("b"), F.lit("implements").alias("link_kind"))
+    # classes of three
+    s = m.raw("part").filter(F.expr("p_partkey div 10 % 3 < 2")).select(F.concat(F.lit("part:"), k).alias("a"), F.concat(F.lit("part:"), k + 10).alias("b"), F.lit("same_as").alias("link_kind"))
+    i = m.raw("part").filter(k % 4 == 0).select(F.concat(F.lit("part:"), k).alias("a"), F.concat(F.lit("part:"), k + 1).alias("b"), F.lit("implements").alias("link_kind"))
     return s.union(i)
 
 
-_LINKS = "SELECT 'part:' || p_partkey AS a, 'part:' || (p_partkey + 10) AS b, 'same_as' AS link_kind FROM part WHERE p_partkey < 40 UNION ALL SELECT 'part:' || p_partkey, 'part:' || (p_partkey + 1), 'implements' FROM part WHERE p_partkey < 40 AND p_partkey % 4 = 0"
+_LINKS = "SELECT 'part:' || p_partkey AS a, 'part:' || (p_partkey + 10) AS b, 'same_as' AS link_kind FROM part WHERE p_partkey // 10 % 3 < 2 UNION ALL SELECT 'part:' || p_partkey, 'part:' || (p_partkey + 1), 'implements' FROM part WHERE p_partkey % 4 = 0"
 
 
 @query(f"SELECT count(DISTINCT n_nationkey) AS corpora, count(c_custkey) AS customer_count, (SELECT to_json(map_from_entries(list((link_kind, n) ORDER BY link_kind)))::VARCHAR FROM (SELECT link_kind, count(*) AS n FROM ({_LINKS}) GROUP BY 1)) AS links FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey")
@@ -528,14 +565,14 @@ def manifest_diff(m):
     return reindex.dirty(old, new)
 
 
-_CASCADE = "WITH d AS (SELECT 'text://star/order/' || o_orderkey AS u FROM orders WHERE o_orderpriority LIKE '1%'), e AS (SELECT to_entity_id AS id, min(location_uri) AS a, max(location_uri) AS b FROM edges WHERE kind = 'contains' GROUP BY 1), g AS (SELECT id FROM e WHERE a IN (FROM d) OR b IN (FROM d)), x AS (SELECT id FROM edges WHERE kind <> 'located_in' AND (from_entity_id IN (FROM g) OR to_entity_id IN (FROM g) OR location_uri IN (FROM d))) SELECT (SELECT count(*) FROM g) AS entities, (SELECT count(*) FROM x) AS edges"
+_CASCADE = "WITH d AS (SELECT 'text://star/order/' || o_orderkey AS u FROM orders WHERE o_orderpriority LIKE '1%'), e AS (SELECT to_entity_id AS id, min(location_uri) AS a, max(location_uri) AS b FROM edges WHERE kind = 'contains' GROUP BY 1), g AS (SELECT id FROM e WHERE a IN (FROM d) OR b IN (FROM d)), x AS (SELECT id FROM edges WHERE (from_entity_id IN (FROM g) OR to_entity_id IN (FROM g) OR location_uri IN (FROM d))) SELECT (SELECT count(*) FROM g) AS entities, (SELECT count(*) FROM x) AS edges"
 
 
 @query(_CASCADE, "edges")
 def cascade_sweep_counts(m):
     dirty = m.raw("orders").filter(F.col("o_orderpriority").startswith("1")).select(F.concat(F.lit("text://star/order/"), "o_orderkey").alias("uri"))
     entities = m.edges.filter("kind = 'contains'").groupBy(F.col("to_entity_id").alias("id")).agg(F.min("location_uri").alias("first_location_uri"), F.max("location_uri").alias("last_location_uri"))
-    gone, edges = history.cascade(entities, m.edges.filter("kind <> 'located_in'"), dirty)
+    gone, edges = history.cascade(entities, m.edges, dirty)
     return gone.agg(F.count("*").alias("entities")).crossJoin(edges.agg(F.count("*").alias("edges")))
 
 
@@ -575,7 +612,7 @@ def link_extract(m):
     return ext.hrefs(m.raw("pages"), "page_id")
 
 
-@query("SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')) AS mention FROM documents")
+@query("SELECT DISTINCT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[\\x{C0}-\\x{24F}]', '0', 'g'), '\\b[A-Z][a-z]+(?:\\s[A-Z][a-z]+)+\\b')) AS mention FROM documents")
 def mention_extract(m):
     return ext.mentions(m.chunks, "doc_id")
 
@@ -586,10 +623,10 @@ def debt_markers(m):
     return m.chunks.select("doc_id", F.size(ext.debt_markers(c)).cast("long").alias("n_markers"), ext.occurrences(c, "Licensed").cast("long").alias("n_licensed"))
 
 
-@query("SELECT page_id, regexp_matches(html, '\\bthrow\\b|Promise<|\\basync\\b') AS is_fallible, contains(html, '@deprecated') AS is_deprecated, regexp_matches(html, '\\b(?:describe|it|test)\\(') AS is_test FROM pages WHERE page_id % 2 = 0")
+@query("SELECT page_id, regexp_matches(html, '\\bthrow\\b|Promise<|\\basync\\b') AS is_fallible, contains(html, '@deprecated') AS is_deprecated, regexp_matches(html, '\\b(?:describe|it|test)\\(') AS is_test FROM pages")
 def ts_signals(m):
     s = ext.typescript_signals(F.col("html"))
-    return m.raw("pages").filter("page_id % 2 = 0").select("page_id", *(s[c].alias(c) for c in ("is_fallible", "is_deprecated", "is_test")))
+    return m.raw("pages").select("page_id", *(s[c].alias(c) for c in ("is_fallible", "is_deprecated", "is_test")))
 
 
 @query("SELECT item_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '-', 'g'), '-') AS slug FROM benchmark")
@@ -633,11 +670,18 @@ def scene_fold(m):
     return books.text_chunks(made).select("corpus_id", "path", "parent_path", "kind", F.octet_length("content").alias("bytes"))
 
 
-@query()
+_NARRATIVE = """WITH s AS (SELECT to_entity_id AS id, row_number() OVER (ORDER BY id) AS k FROM edges WHERE from_entity_id = 'customer:5' AND kind = 'placed' QUALIFY k <= 50)
+SELECT '# Diegesis of ' || c.canonical_name || chr(10) || chr(10) || '## ' || c.canonical_name || ' (`character`)' || chr(10) || 'buys' || chr(10) || '  1. one: first' || chr(10) || '  2. two: second' || chr(10)
+  || (SELECT coalesce(string_agg(chr(10) || '  ## ' || e.canonical_name || ' (`interface`)' || chr(10) || '  about ' || e.id || chr(10), '' ORDER BY s.k), '') FROM s JOIN plain_entities e ON e.id = s.id).rtrim(chr(10)) AS narrative
+FROM plain_entities c WHERE c.id = 'customer:5'"""
+
+
+@query(_NARRATIVE, "edges", "plain_entities")
 def narrative(m):
-    nodes = graph.walk(m.edges, m.spark.sql("SELECT 'customer:5' AS id"), ["placed", "contains"], 2).join(m.plain_entities, "id")
-    nodes = nodes.select(F.concat_ws("/", F.lpad(F.col("depth").cast("string"), 3, "0"), "id").alias("position"), F.col("canonical_name").alias("name"), "depth", F.col("kind").alias("purpose"), F.lit(None).cast("array<string>").alias("blocks"))
-    return graph.narrative(nodes, "customer:5")
+    nodes = graph.walk(m.edges, m.spark.sql("SELECT 'customer:5' AS id"), ["placed"], 1).join(m.plain_entities, "id")
+    seed = F.col("depth") == 0
+    told = [F.when(seed, "buys").alias("purpose"), F.when(~seed, F.concat(F.lit("about "), "id")).alias("summary"), F.when(seed, F.array(F.lit("one: first"), F.lit("two: second"))).alias("blocks")]
+    return graph.narrative(nodes.select("depth", "position", F.col("canonical_name").alias("name"), "kind", *told))
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
@@ -668,3 +712,7 @@ def alias_overlay(m):
     gone = who.select(F.lit("alias_remove").alias("type"), "entity_id", F.lit("error").alias("alias"), F.lit("2").alias("applied_at"), F.col("event_id").alias("id"))
     out = overlay.apply_aliases(entities, added.union(gone))
     return out.select("id", F.array_join(F.array_sort("aliases"), ",").alias("aliases")).filter("aliases <> ''")
+
+
+# the queries of the tools and of single functions register themselves here too
+from . import catalogue_tools as catalogue_tools  # noqa: E402

@@ -32,15 +32,21 @@ def inconsistencies(contracts: DataFrame) -> DataFrame:
     return best_with_ties(contracts, "entity_id").filter(odd).orderBy("entity_id", "model")
 
 
-def routed_tier(unsafe: Column, fallible: Column, public: Column, panics: Column, in_degree: Column, out_degree: Column, kind: Column, lines: Column) -> Column:
-    """The model tier that an entity's signals ask for; all comparisons are strict."""
+def routed_tier(unsafe: Column, fallible: Column, public: Column, mutating: Column, panics: Column, debt: Column, in_degree: Column, out_degree: Column, kind: Column, lines: Column, enabled: bool = True, default: str = "haiku") -> Column:
+    """The model tier that an entity's signals ask for; all comparisons are strict. A router that isn't enabled gives the default."""
+    if not enabled:
+        return F.lit(default)
     return (
         F.when(unsafe, "opus").when((in_degree > OPUS_IN_DEGREE) & fallible, "opus").when(public & (panics > OPUS_PANICS), "opus")
-        .when((kind == "module") & (out_degree > OPUS_MODULE_OUT), "opus").when(in_degree > SONNET_IN_DEGREE, "sonnet").when(fallible & public, "sonnet")
-        .when(lines > SONNET_LINES, "sonnet").otherwise("haiku")
+        .when((kind == "module") & (out_degree > OPUS_MODULE_OUT), "opus").when(public & fallible, "sonnet").when(mutating & fallible, "sonnet").when(panics > 0, "sonnet").when(debt, "sonnet")
+        .when(kind.isin("class", "module"), "sonnet").when(in_degree > SONNET_IN_DEGREE, "sonnet").when(lines > SONNET_LINES, "sonnet").otherwise("haiku")
     )
 
 
+def tier_counts(artifacts: DataFrame) -> DataFrame:
+    return artifacts.groupBy("model_tier").agg(F.count("*").alias("n"))
+
+
 def file_shapes(entities: DataFrame) -> DataFrame:
     """(uri, shape): SHA-256 over the sorted distinct entity ids of a file, each with a newline."""
     ids = F.array_sort(F.collect_set("id"))

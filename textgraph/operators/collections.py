@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalise_name
-from .graph import components, locations_of
+from ..storage import written
+from .graph import components
 
 
 def resolved(members: DataFrame, collection: str) -> DataFrame:
-    """(corpus_id, position): the corpora below a collection, depth first, members by name, each once; cycles are cut."""
-    spark = members.sparkSession
-    members.createOrReplaceTempView("collection_edges")
-    sql = f"""WITH RECURSIVE below(id, type, path) AS (
-      SELECT '{collection}', 'collection', array('{collection}')
-      UNION ALL SELECT m.member_id, m.member_type, array_append(b.path, m.member_id) FROM collection_edges m JOIN below b
-        ON b.type = 'collection' AND m.collection_id = b.id WHERE NOT array_contains(b.path, m.member_id))
-      SELECT id AS corpus_id, min(path) AS path FROM below WHERE type = 'corpus' GROUP BY id"""
-    return spark.sql(sql).select("corpus_id", (F.row_number().over(Window.orderBy("path")) - 1).alias("position"))
+    """(corpus_id, position): the corpora below a collection, depth first, members by name, each once; cycles are cut. Collections are named by people, so few."""
+    spark, found = members.sparkSession, []
+    level = spark.createDataFrame([(collection, [collection])], "id string, path array<string>")
+    while True:
+        below = members.join(level, members["collection_id"] == level["id"]).filter(~F.array_contains("path", F.col("member_id")))
+        below = written(below.select("member_id", "member_type", F.array_append("path", F.col("member_id")).alias("path")), "collection-level")
+        if below.isEmpty():
+            break
+        found.append(below.filter("member_type = 'corpus'").select(F.col("member_id").alias("corpus_id"), "path"))
+        level = below.filter("member_type = 'collection'").select(F.col("member_id").alias("id"), "path")
+    every = reduce(DataFrame.union, found) if found else spark.createDataFrame([], "corpus_id string, path array<string>")
+    first = every.groupBy("corpus_id").agg(F.min("path").alias("path"))
+    return first.select("corpus_id", (F.row_number().over(Window.orderBy("path")) - 1).alias("position"))
 
 
 def same_as(links: DataFrame) -> DataFrame:
@@ -66,11 +73,21 @@ def meet_across(edges: DataFrame, a: DataFrame, b: DataFrame, links: DataFrame)
     return side(a).intersect(side(b))
 
 
+def deletions(name: Column) -> Column:
+    """name and what is left of it after deleting any one or two characters."""
+    n = F.length(name)
+    cut = lambda s, k: F.concat(F.substr(s, F.lit(1), k), F.substr(s, k + 2))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    one = F.transform(places, lambda k: cut(name, k))
+    two = F.flatten(F.transform(places, lambda k: F.transform(F.filter(places, lambda j: j < k), lambda j: cut(cut(name, k), j))))
+    return F.array_distinct(F.concat(F.array(name), one, two))
+
+
 def link_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     """(id_a, id_b, confidence): HIGH for equal normalised names, MEDIUM for names at most two edits apart within one abstract kind.
 
-    Two strings at distance 2 at most share one of the three parts that either is cut into, shifted by two at most; the
-    parts are the join key, so a kind's names aren't compared all with all.
+    Two names at most two edits apart, and no others but a few, are equal after deleting two characters at most from
+    each; what is left is the join key, so a kind's names aren't compared all with all. Each name is looked up once.
     """
 
     def side(df, s):
@@ -79,22 +96,18 @@ def link_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
 
     left, right = side(a, "a"), side(b, "b")
     high = left.join(right, F.col("name_a") == F.col("name_b")).select("id_a", "id_b", F.lit("HIGH").alias("confidence"))
-    parts = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.struct(k.alias("k"), (F.floor(F.length("name_b") * k / 3) + 1).cast("int").alias("at"), (F.floor(F.length("name_b") * (k + 1) / 3) - F.floor(F.length("name_b") * k / 3)).cast("int").alias("n"), F.length("name_b").alias("len")))
-    cut = right.filter("kind_b <> ''").select("*", F.explode(parts).alias("x")).select("id_b", "kind_b", "name_b", F.col("x.len").alias("len"), F.col("x.k").alias("k"), F.expr("substr(name_b, x.at, x.n)").alias("part"))
-    # where each part of a name of length len may stand in the other name
-    tries = left.filter("kind_a <> ''").select("*", F.explode(F.sequence(F.greatest(F.length("name_a") - 2, F.lit(1)), F.length("name_a") + 2)).alias("len"), F.lit(0).alias("z"))
-    tries = tries.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).select("*", F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("d"))
-    at = F.expr("cast(floor(len * k / 3) + 1 + d as int)")
-    tries = tries.withColumn("at", at).filter("at >= 1").withColumn("part", F.expr("substr(name_a, at, cast(floor(len * (k + 1) / 3) - floor(len * k / 3) as int))"))
-    near = tries.join(cut, (F.col("kind_a") == F.col("kind_b")) & (tries["len"] == cut["len"]) & (tries["k"] == cut["k"]) & (tries["part"] == cut["part"]))
-    near = near.filter(F.col("name_a") != F.col("name_b")).filter(F.levenshtein("name_a", "name_b", 2) >= 0)
-    return high.union(near.select("id_a", "id_b", F.lit("MEDIUM").alias("confidence"))).distinct()
+
+    def keys(df, s):
+        names = df.filter(f"kind_{s} <> ''").select(f"kind_{s}", f"name_{s}").distinct()
+        return names.select(f"kind_{s}", f"name_{s}", F.explode(deletions(F.col(f"name_{s}"))).alias(f"key_{s}"))
+
+    x, y = keys(left, "a"), keys(right, "b")
+    near = x.join(y, (F.col("kind_a") == F.col("kind_b")) & (F.col("key_a") == F.col("key_b"))).filter(F.col("name_a") != F.col("name_b"))
+    near = near.filter(F.levenshtein("name_a", "name_b", 2) >= 0).select(F.col("kind_a").alias("kind"), "name_a", "name_b").distinct()
+    near = near.join(left.withColumnRenamed("kind_a", "kind"), ["kind", "name_a"]).join(right.withColumnRenamed("kind_b", "kind"), ["kind", "name_b"])
+    return high.union(near.select("id_a", "id_b", F.lit("MEDIUM").alias("confidence")))
 
 
 def best_search(hits: DataFrame, limit: int = 20) -> DataFrame:
     """Hits of several corpora (corpus_id, uri, score), the best first."""
     return hits.orderBy(F.desc("score"), "corpus_id", "uri").limit(limit)
-
-
-def meet_locations(edges: DataFrame, ids: list[str]) -> DataFrame:
-    return locations_of(edges, ids)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import heading_slug
 
-#: ASCII only, so that any regular expression engine finds the same.
-MENTION = r"[A-Z][a-z]+(?: [A-Z][a-z]+)+"
+# fixed value: capitalised words in a row; (?U) counts letters of all scripts as parts of words, as the pattern's own engine does
+MENTION = r"(?U)\b[A-Z][a-z]+(?:\s[A-Z][a-z]+)+\b"
 WIKI_LINK = r"\[\[([^\]|#]+)(?:#[^\]|]*)?(?:\|[^\]]*)?\]\]"
 MARKDOWN_LINK = r"\[[^\]]*\]\(([^)\s]+)\)"
 HREF = r"href=\"([^\"]+)\""

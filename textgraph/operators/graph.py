@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
+from .artifacts import best_of
 
 
 def unreached(entities: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
@@ -21,6 +22,12 @@ def guarded(edges: DataFrame, entities: DataFrame) -> DataFrame:
     return source.join(ids.withColumnRenamed("id", "to_entity_id"), "to_entity_id", "left_semi").select(*edges.columns)
 
 
+def to_fallible(edges: DataFrame, contracts: DataFrame) -> DataFrame:
+    """Edges whose target's best contract says that it may fail."""
+    best = best_of(contracts, ["entity_id"]).filter("is_fallible").select(F.col("entity_id").alias("to_entity_id"))
+    return edges.join(best, "to_entity_id", "left_semi").select(*edges.columns)
+
+
 def degrees(entities: DataFrame, edges: DataFrame) -> DataFrame:
     into = edges.groupBy(F.col("to_entity_id").alias("id")).agg(F.count("*").alias("in_degree"))
     out = edges.groupBy(F.col("from_entity_id").alias("id")).agg(F.count("*").alias("out_degree"))
@@ -42,11 +49,12 @@ def meet(edges: DataFrame, a: list[str], b: list[str]) -> DataFrame:
 
 
 def related(edges: DataFrame, uri: str, most: int = 10) -> DataFrame:
-    """Other locations by the Jaccard index of their entity sets: an equi-join on the entities of one location."""
-    pairs = ends(edges)
-    own = pairs.filter(F.col("location_uri") == uri).select("entity_id")
-    shared = pairs.filter(F.col("location_uri") != uri).join(own, "entity_id").groupBy("location_uri").agg(F.count("*").alias("overlap"))
-    sizes = pairs.join(shared.select("location_uri"), "location_uri", "left_semi").groupBy("location_uri").agg(F.count("*").alias("n"))
+    """Other locations by the Jaccard index of their entity sets: only edges that touch the entities of one location are looked at."""
+    own = written(ends(edges.filter(F.col("location_uri") == uri)).select("entity_id"), "related-own")
+    others = edges.filter(F.col("location_uri") != uri)
+    touched = [others.join(own, others[c] == own["entity_id"]).select("location_uri", "entity_id") for c in ("from_entity_id", "to_entity_id")]
+    shared = written(touched[0].union(touched[1]).distinct().groupBy("location_uri").agg(F.count("*").alias("overlap")), "related-shared")
+    sizes = ends(edges.join(shared.select("location_uri"), "location_uri", "left_semi")).groupBy("location_uri").agg(F.count("*").alias("n"))
     size = own.agg(F.count("*").alias("n_own"))
     scored = shared.join(sizes, "location_uri").join(F.broadcast(size))  # one row
     score = F.col("overlap") / (F.col("n") + F.col("n_own") - F.col("overlap"))
@@ -54,17 +62,20 @@ def related(edges: DataFrame, uri: str, most: int = 10) -> DataFrame:
 
 
 def walk(edges: DataFrame, seeds: DataFrame, kinds: list[str], max_depth: int = 3, fan_out: int = 50) -> DataFrame:
-    """(id, depth): what the seeds reach along outbound edges, fan_out targets a node at most (in order of edge id), visited once."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("from_entity_id").orderBy("id")
-    steps = edges.filter(F.col("kind").isin(kinds)).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= fan_out)
-    steps = written(steps.select(F.col("from_entity_id").alias("id"), F.col("to_entity_id").alias("next")), "walk-steps")
-    seen = written(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "walk")
+    """(id, depth, position): what the seeds reach along outbound edges, fan_out targets a node at most (in order of edge id), visited once.
+
+    In the order of depth and position nodes come as from a queue: seeds by id, then the targets of each in turn. Each
+    round joins the edges with its frontier alone.
+    """
+    order = Window.partitionBy("from_entity_id").orderBy("edge")
+    steps = edges.filter(F.col("kind").isin(kinds)).select("from_entity_id", F.col("id").alias("edge"), F.col("to_entity_id").alias("next"))
+    seen = written(seeds.select("id").distinct().select("id", F.lit(0).alias("depth"), F.col("id").alias("position")), "walk")
     edge = seen
     for depth in range(1, max_depth + 1):
-        ahead = edge.join(steps, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti")
-        edge = written(ahead.withColumn("depth", F.lit(depth)), "walk")
+        near = steps.join(edge.select(F.col("id").alias("from_entity_id"), "position"), "from_entity_id")
+        near = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= fan_out)
+        ahead = near.groupBy(F.col("next").alias("id")).agg(F.min(F.concat("position", F.lit("/"), F.lpad(F.col("k").cast("string"), 6, "0"))).alias("position"))
+        edge = written(ahead.join(seen, "id", "left_anti").select("id", F.lit(depth).alias("depth"), "position"), "walk")
         if edge.isEmpty():
             break
         seen = seen.unionByName(edge)
@@ -109,14 +120,27 @@ def merged_edges(edges: DataFrame, merges: DataFrame) -> DataFrame:
     return out.select(*edges.columns)
 
 
-def narrative(nodes: DataFrame, title: str) -> DataFrame:
-    """One text from nodes (position, name, depth, purpose, blocks): a heading, then each node indented by depth."""
+def merged_entities(entities: DataFrame, merges: DataFrame) -> DataFrame:
+    """Entities without the absorbed ones, whose appearances are added to those of what absorbed them."""
+    to = roots(merges)
+    gone = entities.join(to, F.col("id") == F.col("absorbed"))
+    more = gone.groupBy(F.col("root").alias("id")).agg(F.sum("appearance_count").alias("more"))
+    kept = entities.join(to.select(F.col("absorbed").alias("id")), "id", "left_anti").join(more, "id", "left")
+    return kept.withColumn("appearance_count", F.col("appearance_count") + F.coalesce("more", F.lit(0))).select(*entities.columns)
+
+
+def narrative(nodes: DataFrame) -> DataFrame:
+    """One text from nodes (depth, position, name, kind, purpose, summary, blocks) in order: a heading of the first's name, then each node indented by depth."""
     pad = F.repeat(F.lit("  "), F.col("depth"))
-    blocks = F.transform(F.coalesce("blocks", F.array().cast("array<string>")), lambda b, k: F.concat(pad, (k + 1).cast("string"), F.lit(". "), b))
-    lines = F.concat(F.array(F.concat(pad, F.lit("## "), F.col("name")), F.concat(pad, F.coalesce("purpose", F.lit("")))), blocks)
-    parts = nodes.agg(F.array_sort(F.collect_list(F.struct("position", F.array_join(lines, "\n").alias("t")))).alias("parts"))
-    body = F.array_join(F.transform("parts", lambda p: p["t"]), "\n\n")
-    return parts.select(F.rtrim(F.concat(F.lit(f"# Diegesis of {title}\n\n"), body)).alias("narrative"))
+    line = lambda *parts: F.concat(pad, *parts, F.lit("\n"))
+    blocks = F.transform(F.coalesce("blocks", F.array().cast("array<string>")), lambda b, k: line(F.lit("  "), (k + 1).cast("string"), F.lit(". "), b))
+    head = line(F.lit("## "), F.col("name"), F.lit(" (`"), F.col("kind"), F.lit("`)"))
+    told = [F.coalesce(line(F.col(c)), F.lit("")) for c in ("purpose", "summary")]
+    text = F.concat(head, *told, F.array_join(blocks, ""), F.lit("\n"))
+    parts = nodes.agg(F.array_sort(F.collect_list(F.struct("depth", "position", F.col("name").alias("n"), text.alias("t")))).alias("parts"))
+    body = F.array_join(F.transform("parts", lambda p: p["t"]), "")
+    # fixed value: the heading
+    return parts.filter(F.size("parts") > 0).select(F.regexp_replace(F.concat(F.lit("# Diegesis of "), F.col("parts")[0]["n"], F.lit("\n\n"), body), r"\s+$", "").alias("narrative"))
 
 
 def ancestry(commits: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -134,12 +158,25 @@ def ancestry(commits: DataFrame, max_rounds: int = 40) -> DataFrame:
     return paths
 
 
-def first_parent_chain(commits: DataFrame, head: Column | str) -> DataFrame:
-    """The commits from head back to the root along first parents, oldest first, with their position; by recursion."""
-    spark = commits.sparkSession
-    commits.createOrReplaceTempView("chain_commits")
-    sql = f"""WITH RECURSIVE chain(id, parent, back) AS (
-      SELECT id, parent, 0 FROM chain_commits WHERE id = '{head}'
-      UNION ALL SELECT c.id, c.parent, chain.back + 1 FROM chain_commits c JOIN chain ON c.id = chain.parent)
-      SELECT id, (max(back) OVER ()) - back AS position FROM chain"""
-    return spark.sql(sql).orderBy("position")
+def first_parent_chain(commits: DataFrame, head: str, start: str | None = None) -> DataFrame:
+    """The commits (id, position) from start, or the root, to head along first parents (id, parent), oldest first.
+
+    Jumps double each round, so a chain of n commits takes log2(n) rounds.
+    """
+    jumps = written(commits.filter("parent is not null").groupBy("id").agg(F.min("parent").alias("up")), "chain-jumps")
+    chain = written(commits.filter(F.col("id") == head).select("id", F.lit(0).cast("long").alias("back")).distinct(), "chain")
+    for k in range(62):
+        ahead = chain.join(jumps, "id").select(F.col("up").alias("id"), (F.col("back") + (1 << k)).alias("back"))
+        longer = written(chain.union(ahead), "chain")
+        if ahead.isEmpty():
+            break
+        chain = longer
+        far = jumps.select(F.col("id").alias("via"), F.col("up").alias("far"))
+        jumps = written(jumps.join(far, jumps["up"] == far["via"]).select("id", F.col("far").alias("up")), "chain-jumps")
+    if start is not None:
+        end = chain.filter(F.col("id") == start).select("back").first()
+        if end is None:
+            raise ValueError(f"{start} is not on the first-parent chain of {head}")
+        chain = chain.filter(F.col("back") <= end[0])
+    last = chain.agg(F.max("back").alias("last"))
+    return chain.crossJoin(F.broadcast(last)).select("id", (F.col("last") - F.col("back")).alias("position")).orderBy("position")  # one row

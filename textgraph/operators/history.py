@@ -12,9 +12,6 @@ def effective_sha(sha: Column, version: Column) -> Column:
     return F.coalesce(F.nullif(sha, F.lit("")), version, F.lit(""))
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    return reduce(Column.__and__, (a[k].eqNullSafe(b[k]) for k in keys))
-
 
 def superseded(head: DataFrame, incoming: DataFrame, keys: list[str], version: str = "derived_at_version") -> DataFrame:
     """Head rows that incoming rows of another version replace, with the version that did; unversioned rows leave none."""
@@ -128,3 +125,18 @@ def touched(chunks: DataFrame, version: str, message: str | None, author: str |
         return F.coalesce(F.lit(value).cast("string"), F.col(old)).alias(old)
 
     return chunks.withColumn("introduced_at_version", F.coalesce("introduced_at_version", F.lit(version))).withColumn("last_modified_at_version", F.lit(version)).withColumn("last_modified_commit_message", new(message, "last_modified_commit_message")).withColumn("last_modified_author", new(author, "last_modified_author"))
+
+
+def at_version(head: DataFrame, past: DataFrame, version: str) -> DataFrame:
+    """The rows of head and history whose version is exactly this one; history may lack columns."""
+    own = F.col("derived_at_version") == version
+    return head.filter(own).unionByName(past.filter(own).select(*[c for c in past.columns if c in head.columns]), allowMissingColumns=True)
+
+
+def below_paths(chunks: DataFrame, gone: DataFrame) -> DataFrame:
+    """Chunks whose path starts with one of the paths (path) that are gone, joined by prefixes of the lengths that occur."""
+    known = gone.select(F.col("path").alias("prefix")).filter("prefix <> ''").distinct()
+    lengths = known.select(F.length("prefix").alias("n")).distinct()
+    cut = chunks.select("path").distinct().join(F.broadcast(lengths), F.length("path") >= F.col("n"))  # no more rows than a path has characters
+    hit = cut.select("path", F.expr("substr(path, 1, n)").alias("prefix")).join(known, "prefix", "left_semi").select("path").distinct()
+    return chunks.join(hit, "path", "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,56 @@ def unprocessed(chunks: DataFrame) -> DataFrame:
     return chunks.filter(~F.coalesce("semantic_processed", F.lit(False))).orderBy("location_uri")
 
 
+def chunk_sources(chunks: DataFrame) -> DataFrame:
+    """(id, source_hash), '' where none is known."""
+    return chunks.select("id", F.coalesce("source_hash", F.lit("")).alias("source_hash"))
+
+
+def resumed(chunks: DataFrame, position: str, last: str) -> DataFrame:
+    """The chunks from the one with the id `last` on, in the order of position; none where it isn't there."""
+    at = chunks.filter(F.col("id") == last).agg(F.min(position).alias("from"))
+    return chunks.crossJoin(F.broadcast(at)).filter(F.col(position) >= F.col("from")).drop("from")  # one row
+
+
+def edges_of_corpus(edges: DataFrame, corpus: str) -> DataFrame:
+    return edges.filter(F.col("corpus_id") == corpus).orderBy("id")
+
+
+def of_model(artifacts: DataFrame, model: str, **key: str) -> DataFrame:
+    """The artifact of one model for one key, not the best of all."""
+    found = artifacts.filter(F.col("model") == model)
+    for column, value in key.items():
+        found = found.filter(F.col(column) == value)
+    return found
+
+
+def listed(artifacts: DataFrame, kind: str) -> DataFrame:
+    """Summaries, purposes, contracts, blocks or themes in their own order."""
+    order = {"summaries": ["generated_at", "id"], "entity_purposes": ["entity_id", "model"], "entity_contracts": ["entity_id", "model"], "entity_blocks": ["position", "id"], "themes": [F.desc("confidence"), "id"]}
+    return artifacts.orderBy(*order[kind])
+
+
+def corrections_of(corrections: DataFrame, corpus: str | None = None, collection: str | None = None) -> DataFrame:
+    """The corrections of a corpus, of a collection, or all, as they were applied."""
+    own = corrections.filter(F.col("corpus_id") == corpus) if corpus else corrections
+    own = own.filter(F.col("collection_id") == collection) if collection else own
+    return own.orderBy("applied_at", "id")
+
+
+def tombstones(dead: DataFrame) -> DataFrame:
+    return dead.orderBy(F.desc("created_at"), F.desc("artifact_id"))
+
+
+def with_kind(hits: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Hits (uri, ...) with the kind of their chunk, `chunk` where none is known."""
+    return hits.join(kinds.select("uri", "kind"), "uri", "left").withColumn("kind", F.coalesce("kind", F.lit("chunk")))
+
+
+def classified_target(target: Column, corpus: Column, scheme: str) -> Column:
+    """What a correction is about: a chunk by its location, the corpus by its id, else an entity."""
+    return F.when(target.startswith(scheme), "chunk").when(target == corpus, "corpus").otherwise("entity")
+
+
 def children(chunks: DataFrame, parent: str) -> DataFrame:
     return chunks.filter(F.col("parent_path") == parent).orderBy("location_uri")
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import clamped_cosine, sanitize_query
+from ..functions import clamped_cosine
+from ..storage import written
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -16,46 +22,120 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def query_terms(df: DataFrame, query: str) -> list[str]:
-    """The distinct terms of a query, in order; uppercase OR between words makes any of them enough."""
-    clean = df.sparkSession.range(1).select(sanitize_query(F.lit(query))).first()[0]
-    words = [w.lower() for part in clean.split() if part not in ("OR", "AND", "NOT", "NEAR") for w in part.replace("-", "_").split("_")]
-    return list(dict.fromkeys(w for w in words if w))
+@dataclass(frozen=True)
+class Query:
+    """A parsed query: any of `either` must hold, each a list of (words that must all be there, words that mustn't all be there)."""
+
+    either: tuple[tuple[tuple[tuple[str, ...], tuple[tuple[str, ...], ...]], ...], ...]
+
+    @property
+    def terms(self) -> list[str]:
+        """The distinct words that count for the rank, in order."""
+        return list(dict.fromkeys(w for group in self.either for have, _ in group for w in have))
+
+    @property
+    def words(self) -> list[str]:
+        return list(dict.fromkeys([*self.terms, *(w for group in self.either for _, no in group for n in no for w in n)]))
+
+    def holds(self, has: Callable[[str], Column]) -> Column:
+        every = lambda words: reduce(Column.__and__, map(has, words))
+        one = lambda have, no: reduce(Column.__and__, [every(have), *(~every(n) for n in no)])
+        return reduce(Column.__or__, [reduce(Column.__and__, [one(*x) for x in group]) for group in self.either])
+
+
+def parse_query(query: str) -> Query:
+    """Words side by side must all be there; then NOT binds tightest, then AND, then OR (all uppercase). Operators without a side are dropped."""
+    groups: list[list[tuple[list[str], list[list[str]]]]] = [[([], [])]]
+    into = groups[0][0][0]
+    for part in re.sub("[^A-Za-z0-9_-]+", " ", query).split():
+        if part == "OR":
+            groups.append([([], [])])
+            into = groups[-1][-1][0]
+        elif part == "AND":
+            groups[-1].append(([], []))
+            into = groups[-1][-1][0]
+        elif part == "NOT":
+            groups[-1][-1][1].append([])
+            into = groups[-1][-1][1][-1]
+        else:
+            into += [w for w in part.lower().replace("-", "_").split("_") if w]
+    kept = [[(tuple(have), tuple(tuple(n) for n in no if n)) for have, no in group if have] for group in groups]
+    return Query(tuple(tuple(group) for group in kept if group))
 
 
 def keyword(chunks: DataFrame, query: str, limit: int = 20, position: str | None = None, corpus: str | None = None, within: DataFrame | None = None) -> DataFrame:
-    """(uri, score, relevance): the best `limit` chunks by BM25 that hold all terms (any, with OR), by rank; those after position are then dropped.
+    """(uri, score, relevance): the best `limit` chunks by BM25 that the query holds for, by rank; those after position are then dropped.
 
     Only the terms of the query leave the scan: a chunk contributes one row, its length and the counts of the terms, so
     the statistics are one aggregate over all corpora and nothing else is shuffled.
     """
-    terms = query_terms(chunks, query)
-    if not terms:
+    asked = parse_query(query)
+    if not asked.either:
         return chunks.select(F.col("location_uri").alias("uri"), F.lit(0.0).alias("score"), F.lit(0.0).alias("relevance")).limit(0)
+    terms, number = asked.terms, {w: k for k, w in enumerate(asked.words)}
     words = chunks.select("location_uri", "corpus_id", tokens(F.col("content")).alias("w"))
-    def frequency(term: str):
-        return F.size(F.filter("w", lambda x: x == term))
 
-    tf = [frequency(t).alias(f"tf{k}") for k, t in enumerate(terms)]
-    rows = words.select("location_uri", "corpus_id", F.size("w").alias("dl"), *tf)
-    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{k}") > 0).cast("long")).alias(f"df{k}") for k in range(len(terms))))
-    scored = rows.crossJoin(F.broadcast(stats))  # one row of statistics
+    def frequency(word: str) -> Column:
+        return F.size(F.filter("w", lambda x: x == word))
+
+    tf = [frequency(w).alias(f"tf{k}") for w, k in number.items()]
+    rows = written(words.select("location_uri", "corpus_id", F.size("w").alias("dl"), *tf), "search-counts")
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{number[t]}") > 0).cast("long")).alias(f"df{number[t]}") for t in terms))
+    return _ranked(rows, stats, asked, number, limit, position, corpus, within)
+
+
+def _ranked(rows: DataFrame, stats: DataFrame, asked: Query, number: dict[str, int], limit: int, position: str | None, corpus: str | None, within: DataFrame | None) -> DataFrame:
+    scored = rows.filter(asked.holds(lambda w: F.col(f"tf{number[w]}") > 0)).crossJoin(F.broadcast(stats))  # one row of statistics
     score = F.lit(0.0)
-    for k in range(len(terms)):
+    for k in (number[t] for t in asked.terms):
         f, df = F.col(f"tf{k}").cast("double"), F.col(f"df{k}").cast("double")
         idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    held = [F.col(f"tf{k}") > 0 for k in range(len(terms))]
-    hit = held[0]
-    for h in held[1:]:
-        hit = (hit | h) if " OR " in f" {query} " else (hit & h)
-    found = scored.filter(hit)
-    found = found.filter(F.col("corpus_id") == corpus) if corpus else found
+    found = scored.filter(F.col("corpus_id") == corpus) if corpus else scored
     found = found.join(within, "corpus_id", "left_semi") if within is not None else found
     top = found.select(F.col("location_uri").alias("uri"), F.round(score, 6).alias("score")).orderBy(F.desc("score"), "uri").limit(limit)
     return scoped(normalised(top), position)
 
 
+class Postings:
+    """A search index in a folder: postings (part, term, location_uri, corpus_id, tf, dl) by hash of the term, and one row of statistics.
+
+    A search reads the parts and row groups of its own words alone.
+    """
+
+    PARTS = 64
+
+    def __init__(self, spark: SparkSession, at: str):
+        self.spark, self.at = spark, at.rstrip("/")
+
+    @classmethod
+    def build(cls, chunks: DataFrame, at: str) -> Postings:
+        out = cls(chunks.sparkSession, at)
+        words = chunks.select("location_uri", "corpus_id", tokens(F.col("content")).alias("w")).withColumn("dl", F.size("w"))
+        each = words.select("location_uri", "corpus_id", "dl", F.explode("w").alias("term")).groupBy("location_uri", "corpus_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+        part = F.pmod(F.hash("term"), F.lit(cls.PARTS)).alias("part")
+        # a common word may be in a third of all chunks: its postings are dealt over several files, each in order
+        dealt = each.select("*", part).repartition(cls.PARTS, "part", F.pmod(F.hash("location_uri"), F.lit(4)))
+        dealt.sortWithinPartitions("part", "term").write.partitionBy("part").mode("overwrite").parquet(f"{out.at}/postings")
+        words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{out.at}/statistics")
+        return out
+
+    def keyword(self, query: str, limit: int = 20, position: str | None = None, corpus: str | None = None, within: DataFrame | None = None) -> DataFrame:
+        """As the function `keyword`, for queries in which each alternative asks for a word, which all do."""
+        asked = parse_query(query)
+        postings = self.spark.read.parquet(f"{self.at}/postings")
+        if not asked.either:
+            return postings.select(F.col("location_uri").alias("uri"), F.lit(0.0).alias("score"), F.lit(0.0).alias("relevance")).limit(0)
+        number = {w: k for k, w in enumerate(asked.words)}
+        part = self.spark.range(1).select(*(F.pmod(F.hash(F.lit(w)), F.lit(self.PARTS)) for w in number)).first()
+        own = postings.filter(F.col("part").isin(sorted(set(part))) & F.col("term").isin(list(number)))
+        tf = [F.sum(F.when(F.col("term") == w, F.col("tf")).otherwise(0)).alias(f"tf{k}") for w, k in number.items()]
+        rows = own.groupBy("location_uri", "corpus_id", "dl").agg(*tf)
+        df = own.agg(*(F.sum((F.col("term") == t).cast("long")).alias(f"df{number[t]}") for t in asked.terms))
+        stats = self.spark.read.parquet(f"{self.at}/statistics").crossJoin(df)  # one row each
+        return _ranked(rows, stats, asked, number, limit, position, corpus, within)
+
+
 def normalised(top: DataFrame) -> DataFrame:
     """relevance: scores scaled to [0, 1] over the rows at hand, 1 where all are equal."""
     ends = top.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))

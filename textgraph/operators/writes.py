@@ -65,9 +65,6 @@ def stamped(table: DataFrame, corpora: DataFrame) -> DataFrame:
     return table.join(last, "corpus_id", "left").withColumn("derived_at_version", F.coalesce("derived_at_version", "last_indexed_version")).select(*table.columns)
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(Column.__or__, conditions, F.lit(False))
-
 
 def free_id(corpora: DataFrame, wanted: str) -> str:
     """wanted, or wanted-2, wanted-3, ... where it is taken."""

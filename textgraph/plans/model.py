@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import content_hash, edge_id, location_uri, model_tier
 
 STAR = "star"
+_INDEXES: dict = {}
 
 
 def _id(kind: str, key: Column | str) -> Column:
@@ -23,6 +25,15 @@ class Model:
     def raw(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{table}.parquet")
 
+    @property
+    def postings(self):
+        """The search index of the chunks; built once for a folder of tables in an application."""
+        from ..operators.search import Postings
+        from ..storage import shared_dir
+
+        at = f"{shared_dir(self.spark)}/postings-{hashlib.sha256(self.dir.encode()).hexdigest()[:16]}"
+        return _INDEXES.get(at) or _INDEXES.setdefault(at, Postings.build(self.chunks, at))
+
     @cached_property
     def corpora(self) -> DataFrame:
         books = self.raw("documents").select(F.col("source").alias("id"), F.lit("book").alias("kind")).distinct()
@@ -107,7 +118,7 @@ SQL = {
       UNION ALL SELECT 'customer:' || c_custkey, c_name, 'character' FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, s_name, 'class' FROM supplier
       UNION ALL SELECT 'part:' || p_partkey, p_name, 'function' FROM part UNION ALL SELECT 'nation:' || n_nationkey, n_name, 'module' FROM nation)""",
     "entities": "SELECT p.*, coalesce(n, 0) AS appearance_count FROM plain_entities p LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT from_entity_id AS id FROM edges UNION ALL SELECT to_entity_id FROM edges) GROUP BY id) USING (id)",
-    "taxonomy": "SELECT * FROM (VALUES ('function','code','process'),('class','code','component'),('module','code','component'),('interface','code','component'),('character','book','person'),('location','book','place'),('faction','book','organization'),('concept','wiki','concept')) t(concrete_kind, corpus_kind, abstract_kind)",
+    "taxonomy": "SELECT * FROM (VALUES ('function','code','process'),('class','code','component'),('module','code','component'),('interface','code','component'),('character','book','person'),('location','book','place'),('faction','book','organization'),('concept','book','concept')) t(concrete_kind, corpus_kind, abstract_kind)",
     "artifacts": """SELECT *, CASE WHEN model LIKE '%opus%' THEN 'opus' WHEN model LIKE '%sonnet%' THEN 'sonnet' WHEN model LIKE '%haiku%' THEN 'haiku' ELSE 'unknown' END AS model_tier,
       CASE WHEN model LIKE '%opus%' THEN 3 WHEN model LIKE '%sonnet%' THEN 2 WHEN model LIKE '%haiku%' THEN 1 ELSE 0 END AS tier_rank FROM (
       SELECT event_id, 'user:' || user_id AS entity_id, CASE event_type WHEN 'purchase' THEN 'opus-1' WHEN 'signup' THEN 'sonnet-1' WHEN 'click' THEN 'haiku-1' ELSE event_type END AS model,

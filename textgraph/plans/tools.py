@@ -91,7 +91,7 @@ class Tools:
             joined = self.t("embeddings", corpus_id).select("chunk_id", "vector").join(chunks.select(F.col("id").alias("chunk_id"), F.col("location_uri").alias("uri")), "chunk_id")
             own = chunks.filter(F.col("corpus_id") == corpus_id)
             hits = search.semantic(joined, vector, limit, position) if mode == "semantic" else search.hybrid(own, joined, query, vector, limit, alpha, position)
-        return ok(hits.join(kinds, "uri", "left").withColumn("kind", F.coalesce("kind", F.lit("chunk"))).orderBy(F.desc("score"), "uri"))
+        return ok(lookups.with_kind(hits, kinds).orderBy(F.desc("score"), "uri"))
 
     def _resolve(self, corpus: str, name: str, kind: str | None = None) -> DataFrame:
         merges = self._corrections.filter((F.col("corpus_id") == corpus) & (F.col("type") == "merge")).select("absorbed", "canonical")
@@ -130,11 +130,16 @@ class Tools:
         if depth not in ("summary", "scenes", "full"):
             raise ValueError(f"no such depth: {depth}")
         chunk = self.t("chunks").filter(F.col("location_uri") == uri)
+        own = chunk.select("corpus_id").first()
+        if own is None:
+            return Result("not_found", message=f"no chunk at {uri}")
         out = chunk.select("location_uri", "kind", "corpus_id", *(["content"] if depth == "full" else []))
-        here = lookups.entities_at(self.t("entities"), uri).agg(F.array_sort(F.collect_set("canonical_name")).alias("entities"))
-        below = self.t("chunks").filter(F.col("parent_path") == (uri if depth != "summary" else "")).agg(F.array_sort(F.collect_list("location_uri")).alias("children"))
-        text = art.best_of(self.t("summaries").filter((F.col("target_kind") == "chunk") & (F.col("target_id") == uri)), ["target_id"]).agg(F.first("text").alias("summary"))
-        return found(out.crossJoin(here).crossJoin(below).crossJoin(text), uri)  # one row each
+        seen = lookups.entities_at(self.t("entities", own[0]), uri)
+        seen = overlay.apply_corrections(seen, self.t("corrections").filter(F.col("corpus_id") == own[0]))
+        here = seen.agg(F.array_sort(F.collect_set("canonical_name")).alias("entities"))
+        below = lookups.children(self.t("chunks", own[0]), uri).agg(F.array_sort(F.collect_list("location_uri")).alias("children"))
+        text = self._summary(own[0], "chunk", uri).agg(F.first("text").alias("summary"))
+        return ok(out.crossJoin(here).crossJoin(below).crossJoin(text))  # one row each
 
     def _summary(self, corpus: str, kind: str, target: str) -> DataFrame:
         here = (F.col("target_kind") == kind) & (F.col("target_id") == target)
@@ -236,8 +241,15 @@ class Tools:
         seen = graph.walk(self.t("edges", corpus_id), seeds, ["calls"], max_depth)
         purpose = art.best_of(self.t("entity_purposes", corpus_id), ["entity_id"]).select(F.col("entity_id").alias("id"), "purpose")
         blocks = self.t("entity_blocks", corpus_id).groupBy(F.col("entity_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "label", "description"))), lambda b: F.concat_ws(": ", b["label"], b["description"])).alias("blocks"))
-        nodes = seen.join(e.select("id", F.col("canonical_name").alias("name")), "id").join(purpose, "id", "left").join(blocks, "id", "left")
-        return found(nodes.withColumn("position", F.concat_ws("/", F.lpad(F.col("depth").cast("string"), 4, "0"), "id")).orderBy("position"), entity_id or module_prefix)
+        told = art.best_of(self.t("summaries", corpus_id).filter("target_kind = 'entity'"), ["target_id"]).select(F.col("target_id").alias("id"), F.col("text").alias("summary"))
+        names = e.select("id", F.col("canonical_name").alias("name"), "kind")
+        nodes = seen.join(names, "id").join(purpose, "id", "left").join(told, "id", "left").join(blocks, "id", "left")
+        return found(nodes.orderBy("depth", "position"), entity_id or module_prefix)
+
+    def explained(self, corpus_id: str, entity_id: str | None = None, module_prefix: str | None = None, max_depth: int = 3) -> Result:
+        """The same nodes as one text."""
+        nodes = self.tool_explain_component(corpus_id, entity_id, module_prefix, max_depth)
+        return ok(graph.narrative(nodes.data)) if nodes.status == "ok" else nodes
 
     def tool_entity_search_by_abstract_kind(self, corpus_ids: list[str], abstract_kind: str, limit: int = 50) -> Result:
         return ok(lookups.of_abstract_kind(self.t("entities"), abstract_kind, corpus_ids, limit))

@@ -32,8 +32,7 @@ VERSIONED = {"entities": ["id"], "edges": ["id"], "entity_purposes": ["entity_id
 SUPERSEDED = "superseded_at_version string, superseded_at string, superseded_at_sha string"
 
 #: fixed values: concrete kind, corpus kind, abstract kind
-TAXONOMY = [("function", "code", "process"), ("class", "code", "component"), ("module", "code", "component"), ("interface", "code", "component"), ("character", "book", "person"), ("location", "book", "place"), ("faction", "book", "organization"), ("concept", "wiki", "concept")]
-LINK_KINDS = ["same_as", "implements", "exemplifies", "references", "contrasts"]
+TAXONOMY = [("function", "code", "process"), ("class", "code", "component"), ("module", "code", "component"), ("interface", "code", "component"), ("character", "book", "person"), ("location", "book", "place"), ("faction", "book", "organization"), ("concept", "book", "concept")]
 
 
 def schema(table: str) -> StructType:

@@ -9,19 +9,19 @@ from ..functions import code_entity_id, edge_id, language_of, location_uri, matc
 
 LEAST, MOST, PART_LINES, PASSTHROUGH = 100, 4000, 100, 256 * 1024
 # fixed values
-EXCLUDED = ["**/target/**", "**/node_modules/**", "**/.git/**", "**/dist/**", "**/build/**", "**/vendor/**", "**/.venv/**", "**/__pycache__/**", "**/*.min.js", "**/*.lock"]
+EXCLUDED = [".git/**", ".claude/**", "vendor/**", "node_modules/**", "storage/**", "bootstrap/cache/**", "public/build/**", "target/**", "dist/**", "build/**"]
 TEXT_TYPES = ["json", "yaml", "yml", "toml", "tf", "sql", "html", "sh", "css", "md"]
 #: Item heads of languages that have no parser here, at the start of a line.
 HEADS = r"(?m)^(?:export\s+|pub(?:\([^)]*\))?\s+|default\s+|async\s+|abstract\s+|final\s+|unsafe\s+|public\s+|private\s+|protected\s+|static\s+)*(fn|function|func|class|struct|enum|trait|interface|impl|mod|type)\s+\*?(?:\([^)]*\)\s*)?([A-Za-z_]\w*)"
 KINDS = {"fn": "function", "function": "function", "func": "function", "class": "class", "struct": "class", "enum": "class", "impl": "class", "trait": "interface", "interface": "interface", "type": "interface", "mod": "module"}
 
 
-def read_files(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] = EXCLUDED) -> DataFrame:
-    """(path, content) below root, by globs of the relative path."""
+def read_files(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """(path, content) below root, by globs of the relative path; those to exclude come on top of EXCLUDED."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base, name = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/"), root.rstrip("/")
-    rel = F.when(base.startswith(f"{name}/"), F.substring(base, len(name) + 2, 4096)).otherwise(base)
-    out = files.select(rel.alias("path"), F.decode("content", "UTF-8").alias("content")).filter(~matches_any(F.col("path"), exclude))
+    rel = F.when(base.startswith(f"{name}/"), F.substr(base, F.lit(len(name) + 2))).otherwise(base)
+    out = files.select(rel.alias("path"), F.decode("content", "UTF-8").alias("content")).filter(~matches_any(F.col("path"), [*EXCLUDED, *(exclude or [])]))
     return out.filter(matches_any(F.col("path"), include)) if include else out
 
 
