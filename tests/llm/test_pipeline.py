@@ -80,3 +80,32 @@ def test_run_and_empty(spark, sf_dir, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_edges(spark, sf_dir, tmp_path):
+    """Null ids, repeated rows, columns with the names of helpers, very long texts: each stage by its definition."""
+    long = prose(7, 30_000)
+    clean = [(k, prose(1000 + k, 40)) for k in range(40)]
+    rows = [*clean, (50, long), (51, f"{long} {prose(8, 20)}"), (52, "w" * 200_000), (None, prose(60, 50)), (None, prose(60, 50)), (None, None), (None, prose(321, 40)), (53, prose(61, 50)), (53, prose(61, 50)), (54, f"{prose(62, 30)} {prose(321, 40)}"), (55, "")]
+    rows += [(60 + k, f"{prose(70 + k, 30)}\n{LINE}") for k in range(6)]
+    more = "near_mark string, drop_keys string, held_lines string, n_dropped string, p__text string, gone_id string, score double, marks string, hash string"
+    df = spark.createDataFrame([(*r, "en", "s", len(r[1] or ""), *("abcdef"), 0.5, "m", "h") for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {more}")
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").filter("true" if t == "benchmark" else "toxic = 0").write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = corpus_pipeline.documents(spark, str(tmp_path))
+    seen = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), f"edge-{name}")
+        assert out.dtypes == docs.dtypes
+        docs = out
+        seen.append([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert sorted(seen[0], key=repr) == sorted(rows, key=repr)  # nothing is labelled toxic
+    lines = [(d, t.replace(f"\n{LINE}", "") if t and d is not None and 60 <= d < 65 else t) for d, t in rows]
+    assert sorted(seen[1], key=repr) == sorted(lines, key=repr)
+    once = [r for r in lines if r[0] != 51]
+    once.remove((None, prose(60, 50)))
+    once.remove((53, prose(61, 50)))
+    assert sorted(seen[2], key=repr) == sorted(once, key=repr)
+    assert sorted(seen[3], key=repr) == sorted([r for r in once if r[0] != 54], key=repr)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(seen[3])
