@@ -27,7 +27,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +35,9 @@ from .common import chosen, documents, one_thread, remainder, written
 #: Rows labelled toxic that are learned from, at most.
 POSITIVES = 3_000
 #: Unlabelled rows of a group.
-GROUP_ROWS = 40_000
+GROUP_ROWS = 10_000
+#: Words whose marks a worker remembers; beyond, it starts anew.
+REMEMBERED = 100_000
 Z_LEAST, SHARE_LEAST = 4.0, 0.01
 THRESHOLD = 0.7
 #: Recall from which on the prior is estimated.
@@ -45,20 +46,38 @@ WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6, 7)
 
 
-def marks(word: str) -> list[int]:
-    """What a word shows: itself and its prefixes, each as a 64-bit hash. Prefixes catch inflected forms."""
-    return [xxhash.xxh3_64_intdigest(word), *(xxhash.xxh3_64_intdigest(f"{word[:k]}-") for k in PREFIXES if len(word) >= k)]
+def marks(word: str) -> list[str]:
+    """What a word shows: itself and its prefixes, these with a dash. Prefixes catch inflected forms."""
+    return [word, *(f"{word[:k]}-" for k in PREFIXES if len(word) >= k)]
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """The distinct marks of the lower-cased letter runs, sorted."""
-    found = [h for w in set(WORD.findall(text.lower())) for h in marks(w)]
-    return np.unique(np.array(found, np.uint64))
+class Finder:
+    """The positions, in a list of marks, of those that texts show; remembers what words show."""
+
+    def __init__(self, wanted: list[str]):
+        self.whole = {m: k for k, m in enumerate(wanted) if m[-1] != "-"}
+        self.prefix = {m[:-1]: k for k, m in enumerate(wanted) if m[-1] == "-"}
+        self.shown: dict[str, tuple[int, ...]] = {}
+
+    def __call__(self, text: str | None) -> set[int]:
+        words = set(WORD.findall((text or "").lower()))
+        shown, whole, prefix = self.shown, self.whole.get, self.prefix.get
+        if len(shown) > REMEMBERED:
+            shown.clear()
+        found: set[int] = set()
+        for w in words:
+            at = shown.get(w)
+            if at is None:
+                each = (whole(w), *(prefix(w[:k]) for k in PREFIXES if len(w) >= k))
+                at = shown[w] = tuple(k for k in each if k is not None)
+            if at:
+                found.update(at)
+        return found
 
 
 @dataclass(frozen=True)
 class Model:
-    weights: dict[int, float]
+    weights: dict[str, float]
     bias: float
     slope: float
     offset: float
@@ -111,31 +130,23 @@ def _texts(docs: DataFrame, extra: list[str]) -> DataFrame:
     return docs.select(*extra, F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _marked(rows: DataFrame, extra: dict[str, str], wanted: np.ndarray | None = None) -> DataFrame:
+def _marked(rows: DataFrame, extra: dict[str, str], wanted: list[str] | None = None) -> DataFrame:
     """The extra columns and `marks` of each row: all of its text, or the positions in `wanted` of those that are there."""
     sent = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
-        known, shown = sent.value, {}
-        position = {int(h): k for k, h in enumerate(known)} if known is not None else None
+        find = Finder(sent.value) if sent.value is not None else None
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
-                part, made = batch.slice(k, 500), []
-                for text in part.column("text").to_pylist():
-                    if position is None:
-                        made.append(word_hashes(text).view(np.int64))
-                        continue
-                    distinct = set(WORD.findall(text.lower()))
-                    new = distinct.difference(shown)
-                    if len(shown) + len(new) > 300_000:
-                        shown.clear()
-                        new = distinct
-                    for w in new:
-                        shown[w] = tuple(position[h] for h in marks(w) if h in position)
-                    made.append(np.array(sorted({p for w in distinct for p in shown[w]}), np.int64))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in extra), pa.array(made, pa.list_(pa.int64()))], names=[*extra, "marks"])
-
-    schema = ", ".join([*(f"{c} {t}" for c, t in extra.items()), "marks array<long>"])
+                part = batch.slice(k, 500)
+                texts = part.column("text").to_pylist()
+                if find is None:
+                    made = pa.array([sorted({m for w in set(WORD.findall(t.lower())) for m in marks(w)}) for t in texts], pa.list_(pa.string()))
+                else:
+                    made = pa.array([sorted(find(t)) for t in texts], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in extra), made], names=[*extra, "marks"])
+
+    schema = ", ".join([*(f"{c} {t}" for c, t in extra.items()), f"marks array<{'string' if wanted is None else 'long'}>"])
     return _texts(rows, list(extra)).mapInArrow(run, schema)
 
 
@@ -184,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     each = _marked(positive.filter("not kept_out"), {}).select(F.explode("marks").alias("mark"))
     least = max(2, int(np.ceil(SHARE_LEAST * n_fit)))
     found = each.groupBy("mark").agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy("mark").toPandas()
-    candidates, pn = found["mark"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.float64)
+    candidates, pn = found["mark"].tolist(), found["n"].to_numpy(np.float64)
     if not len(candidates):
         return nothing
     unlabelled = text.filter(learned)
@@ -192,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     base = _counted(_marked(unlabelled, {}, candidates), len(candidates)) / n_all
     frequency = pn / n_fit
     z = (frequency - base) / np.sqrt(np.maximum(base, 1 / n_all) * (1 - base) / n_fit + 1e-12)
-    wanted = candidates[z > Z_LEAST]
+    wanted = [candidates[k] for k in np.flatnonzero(z > Z_LEAST)]
     if not len(wanted):
         return nothing
     # rows that show the same marks are one pattern; patterns are dealt into groups by their hash, each group with its share of every pattern
@@ -214,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     made = shown.groupBy("part").applyInArrow(one, "used long, w array<double>")
     mean = made.select("used", F.posexplode("w").alias("k", "v")).groupBy("k").agg((F.sum(F.col("v") * F.col("used")) / F.sum("used")).alias("v")).orderBy("k").toPandas()
     w = mean["v"].round(9).to_numpy(float)
-    weights = dict(zip(wanted.tolist(), w[:-1].tolist(), strict=True))
+    weights = dict(zip(wanted, w[:-1].tolist(), strict=True))
     # the logits of all unlabelled rows, in steps of a hundredth
     values = F.array(*map(F.lit, w[:-1].tolist()))
     logit = F.aggregate("marks", F.lit(float(w[-1])), lambda t, k: t + F.element_at(values, (k + 1).cast("int")))
@@ -225,22 +236,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def scorer(model: Model):
-    """Scores lists of texts; remembers what words show."""
-    shown: dict[str, tuple[int, ...]] = {}
+    """Scores lists of texts."""
+    find, weights = Finder(list(model.weights)), list(model.weights.values())
 
     def score(texts: list[str | None]) -> np.ndarray:
-        logits = []
-        for text in texts:
-            distinct = set(WORD.findall((text or "").lower()))
-            new = distinct.difference(shown)
-            if len(shown) + len(new) > 300_000:
-                shown.clear()
-                new = distinct
-            for w in new:
-                shown[w] = tuple(h for h in marks(w) if h in model.weights)
-            # in order of weight, so that equal texts have equal scores on any executor
-            seen = {h for w in distinct for h in shown[w]}
-            logits.append(model.bias + sum(sorted(map(model.weights.__getitem__, seen))))
+        # in order of weight, so that equal texts have equal scores on any executor
+        logits = [model.bias + sum(sorted(map(weights.__getitem__, find(t)))) for t in texts]
         return model.scores(np.array(logits, float))
 
     return score
