@@ -276,6 +276,8 @@ def _over(docs: DataFrame, path: str | None, fields: str, make) -> DataFrame:
                 made = [make(own, ids) for ids in own.encode(texts)]
                 columns = [pa.array(c) for c in zip(*made)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", *(f.split()[0] for f in fields.split(", "))])
+        # the codec stays with the worker; what it remembers would burden the tasks that follow
+        own.known.clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {fields}")
 

@@ -150,19 +150,21 @@ def _marked(rows: DataFrame, extra: dict[str, str], wanted: list[str] | None = N
     return _texts(rows, list(extra)).mapInArrow(run, schema)
 
 
-def _counted(rows: DataFrame, width: int) -> np.ndarray:
-    """How many rows hold each of `width` marks: added up in each task before anything is shuffled."""
+def _counted(rows: DataFrame, wanted: list[str]) -> np.ndarray:
+    """How many rows show each of the wanted marks: added up in each task before anything is shuffled."""
+    sent = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
-        n = np.zeros(width, np.int64)
+        find, n = Finder(sent.value), np.zeros(len(sent.value), np.int64)
         for batch in batches:
-            held = batch.column("marks").flatten().to_numpy()
-            n += np.bincount(held, minlength=width)
+            for k in range(0, batch.num_rows, 500):
+                for text in batch.slice(k, 500).column("text").to_pylist():
+                    n[list(find(text))] += 1
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["mark", "n"])
 
-    found = rows.select("marks").mapInArrow(run, "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(width, np.int64)
+    found = rows.select("text").mapInArrow(run, "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(len(wanted), np.int64)
     out[found["mark"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return out
 
@@ -200,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return nothing
     unlabelled = text.filter(learned)
     n_all = max(1, unlabelled.count())
-    base = _counted(_marked(unlabelled, {}, candidates), len(candidates)) / n_all
+    base = _counted(unlabelled, candidates) / n_all
     frequency = pn / n_fit
     z = (frequency - base) / np.sqrt(np.maximum(base, 1 / n_all) * (1 - base) / n_fit + 1e-12)
     wanted = [candidates[k] for k in np.flatnonzero(z > Z_LEAST)]
