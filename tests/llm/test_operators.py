@@ -566,3 +566,13 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.query(spark, empty, bench).count() == 0 and decontamination.query(spark, docs, bench.limit(0)).count() == 0
     clean = decontamination.decontaminate(docs, bench)
     assert clean.columns == docs.columns and clean.count() == docs.filter("doc_id is null or doc_id not in (3, 4, 8, 9)").count()
+
+
+def test_toxicity_marks_found_as_defined():
+    texts = [None, "", "Straße_été 3x ΣΑΣ’Σ İstanbul naïve½ª ²x日本 語_aͅb", "a-b idiots\x85idiotic IDIO Kelvin", "x" * 50_000 + " idiot", "idiot " * 20_000]
+    shown = lambda t: {m for w in set(toxicity.WORD.findall((t or "").lower())) for m in toxicity.marks(w)}
+    wanted = sorted({m for t in texts for m in shown(t)})
+    for own in (wanted, wanted[::2], []):
+        find = toxicity.Finder(own)
+        for text in texts * 2:
+            assert {own[k] for k in find(text)} == shown(text) & set(own)

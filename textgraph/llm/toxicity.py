@@ -36,13 +36,15 @@ from .common import chosen, documents, one_thread, remainder, written
 POSITIVES = 3_000
 #: Unlabelled rows of a group.
 GROUP_ROWS = 10_000
-#: Words whose marks a worker remembers; beyond, it starts anew.
+#: Beginnings of words whose marks a worker remembers; beyond, it starts anew.
 REMEMBERED = 100_000
 Z_LEAST, SHARE_LEAST = 4.0, 0.01
 THRESHOLD = 0.7
 #: Recall from which on the prior is estimated.
 ENOUGH = 0.7
 WORD = re.compile(r"[^\W\d_]+")
+#: Blanks all of ASCII but its letters.
+_BLANK = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 PREFIXES = (3, 4, 5, 6, 7)
 
 
@@ -52,26 +54,39 @@ def marks(word: str) -> list[str]:
 
 
 class Finder:
-    """The positions, in a list of marks, of those that texts show; remembers what words show."""
+    """The positions, in a list of marks, of those that texts show; remembers what beginnings of words show."""
 
     def __init__(self, wanted: list[str]):
         self.whole = {m: k for k, m in enumerate(wanted) if m[-1] != "-"}
         self.prefix = {m[:-1]: k for k, m in enumerate(wanted) if m[-1] == "-"}
-        self.shown: dict[str, tuple[int, ...]] = {}
+        self.words = {m.encode() for m in self.whole if m.isascii()}
+        self.heads = {m[: PREFIXES[0]].encode() for m in self.prefix if m.isascii()}
+        self.shown: dict[bytes, tuple[int, ...]] = {}
+
+    def _of(self, start: bytes) -> tuple[int, ...]:
+        """The prefixes of an ASCII word that starts so, with PREFIXES[-1] letters if it has as many."""
+        if start[: PREFIXES[0]] not in self.heads:
+            return ()
+        w = start.decode()
+        return tuple(self.prefix[w[:n]] for n in PREFIXES if len(w) >= n and w[:n] in self.prefix)
 
     def __call__(self, text: str | None) -> set[int]:
-        words = set(WORD.findall((text or "").lower()))
-        shown, whole, prefix = self.shown, self.whole.get, self.prefix.get
+        # no word goes across what is blanked; a run with letters beyond ASCII may hold several
+        plain = (text or "").lower()
+        runs, odd = set(plain.encode().translate(_BLANK).split()), ()
+        if not plain.isascii():
+            odd = {w for r in runs if not r.isascii() for w in WORD.findall(r.decode())}
+            runs = {r for r in runs if r.isascii()}
+        starts = {r[: PREFIXES[-1]] for r in runs}
+        shown, whole = self.shown, self.whole
         if len(shown) > REMEMBERED:
             shown.clear()
-        found: set[int] = set()
-        for w in words:
-            at = shown.get(w)
-            if at is None:
-                each = (whole(w), *(prefix(w[:k]) for k in PREFIXES if len(w) >= k))
-                at = shown[w] = tuple(k for k in each if k is not None)
-            if at:
-                found.update(at)
+        for start in starts.difference(shown):
+            shown[start] = self._of(start)
+        found = set().union(*filter(None, map(shown.__getitem__, starts)))
+        found.update(whole[w.decode()] for w in self.words & runs)
+        for w in odd:
+            found.update(k for k in (whole.get(w), *(self.prefix.get(w[:n]) for n in PREFIXES if len(w) >= n)) if k is not None)
         return found
 
 
@@ -159,7 +174,8 @@ def _counted(rows: DataFrame, wanted: list[str]) -> np.ndarray:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 for text in batch.slice(k, 500).column("text").to_pylist():
-                    n[list(find(text))] += 1
+                    shown = find(text)
+                    n[np.fromiter(shown, np.int64, len(shown))] += 1
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["mark", "n"])
 
