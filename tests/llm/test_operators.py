@@ -355,6 +355,45 @@ def test_language_model_scores_like_a_plain_recurrence_and_whatever_the_partitio
         assert math.isclose(model.log10([np.array(doc)])[0], total, rel_tol=1e-4)
 
 
+def test_language_model_reads_documents_once_and_hashes_endings_once(monkeypatch):
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            reads.append(1)
+            return super().__getitem__(at)
+
+    reads, hashed, classes = [], [], language_model.rare_class
+    model = language_model.Model([f"w{k}" for k in range(30)], np.arange(30, 0, -1.0), np.ones(language_model.RARE), 5)
+    model.train([np.append(np.arange(50, 70), 0)] * 300)
+    before, r = model.vector(), np.random.default_rng(2)
+    docs = [np.append(r.integers(1, 79, n), 0) for n in (900, 0, 400, 33, 64, 1)]
+    alone = [model.log10([d])[0] for d in docs]
+    assert np.allclose(model.log10([d.view(Counted) for d in docs], batch=4), alone, rtol=1e-5)
+    assert len(reads) <= len(docs) and (model.vector() == before).all()
+    monkeypatch.setattr(language_model, "rare_class", lambda w: hashed.append(w) or classes(w))
+    words = [f"{k}{e}" for k in range(100) for e in ("ab", "cd", "ñ")] + ["w3", "z"]
+    assert language_model._symbols(model, words).tolist() == [model.index.get(w) or 1 + classes(w) for w in words]
+    assert len(hashed) <= 2 + 10 + 1
+
+
+def test_language_model_gives_the_same_by_folded_and_by_added_biases():
+    model = language_model.Model([f"w{k}" for k in range(200)], np.arange(200, 0, -1.0), np.ones(language_model.RARE), 5)
+    r = np.random.default_rng(3)
+    for w in ("wc", "ww"):
+        model.p[w] += r.standard_normal(model.p[w].shape).astype(np.float32) * 0.3
+    h, s = np.tanh(r.standard_normal((700, language_model.HIDDEN))).astype(np.float32), r.integers(0, 249, 700)
+    logp, gh, g = model.output(h, s, grad=True)
+    # a softmax is the same when all its logits grow by as much
+    model.p["bc"] += 55
+    model.p["bw"] += 55
+    logp2, gh2, g2 = model.output(h, s, grad=True)
+    assert np.allclose(logp, logp2, atol=1e-4) and np.allclose(logp, model.output(h, s), atol=1e-4) and np.allclose(gh, gh2, atol=1e-6)
+    assert all(np.allclose(g[k], g2[k], atol=1e-6) for k in g)
+    step = np.zeros_like(h)
+    step[:, 5] = 0.01
+    slope = (model.output(h - step, s) - model.output(h + step, s)) / (0.02 * len(h))
+    assert np.allclose(slope, gh[:, 5], atol=2e-5)
+
+
 def test_sentencepiece(spark, docs, empty):
     import sentencepiece
 

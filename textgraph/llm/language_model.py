@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import pickle
 import zlib
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +61,8 @@ def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        ids: dict[bytes, int] = {}
+        fresh = lambda: defaultdict(count().__next__)
+        ids: dict[bytes, int] = fresh()
         own, marks, keep, at, held = [], [], [], [], 0
 
         def row():
@@ -73,13 +76,14 @@ def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
                 [pa.array([(part << 32) + seq], pa.int64()), pa.array([b" ".join(ids).decode()]), pa.array([n], pa.list_(pa.int64())), pa.array([flat.astype("<u4").tobytes()], pa.binary()), pa.array([lens.tobytes()], pa.binary()), pa.array([np.array(keep, np.uint8).tobytes()], pa.binary()), pa.array([np.array(marks, "<i8").tobytes()], pa.binary()), pa.array([own], pa.list_(batch.schema.field("doc_id").type))],
                 names=["chunk", "words", "n_train", "flat", "lens", "train", "marks", "ids"],
             )
-            seq, ids, own, marks, keep, at, held = seq + 1, {}, [], [], [], [], 0
+            seq, ids, own, marks, keep, at, held = seq + 1, fresh(), [], [], [], [], 0
             return made
 
         for batch in batches:
-            for doc_id, mark, train, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "train", "text")), strict=True):
-                words = (text or "").encode().translate(_LOWER).split()
-                at.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.uint32, len(words)))
+            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+            for doc_id, mark, train, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "train")), texts, strict=True):
+                words = (text or b"").translate(_LOWER).split()
+                at.append(np.fromiter(map(ids.__getitem__, words), np.uint32, len(words)))
                 own.append(doc_id)
                 marks.append(mark)
                 keep.append(train)
@@ -96,6 +100,13 @@ def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
 # the network
 
 
+def by_gate(a: np.ndarray) -> np.ndarray:
+    """(n, 3 * HIDDEN) as (3, n, HIDDEN); those of z and r with the sign that their exponential takes."""
+    made = np.array(a.reshape(-1, 3, HIDDEN).swapaxes(0, 1), order="C")
+    np.negative(made[:2], out=made[:2])
+    return made
+
+
 class Model:
     """Symbols 0: end, 1 .. RARE: rare classes, then words by falling count."""
 
@@ -125,90 +136,98 @@ class Model:
         self.steps = 0
 
     def table(self) -> np.ndarray:
-        """What each symbol adds to the gates."""
-        return self.p["emb"] @ self.p["wx"] + self.p["b"]
+        """What each symbol adds to the gates (gate, symbol, HIDDEN)."""
+        made = np.matmul(self.p["emb"], by_gate(self.p["wx"]))
+        made += by_gate(self.p["b"][None])
+        return made
 
     @staticmethod
-    def step(gates: np.ndarray, h: np.ndarray, wh: np.ndarray):
-        u = h @ wh
-        zr = gates[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN]
-        np.negative(zr, out=zr)
+    def step(gates: np.ndarray, h: np.ndarray, wh: np.ndarray, u: np.ndarray, n: np.ndarray, new: np.ndarray) -> None:
+        """One step from h into new; u gets z, r and what r is multiplied by, n the candidate. gates and wh are by_gate."""
+        np.matmul(h, wh, out=u)
+        zr = u[:2]
+        zr += gates[:2]
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r, un = zr[:, :HIDDEN], zr[:, HIDDEN:], u[:, 2 * HIDDEN :]
-        n = r * un
-        n += gates[:, 2 * HIDDEN :]
+        np.multiply(u[1], u[2], out=n)
+        n += gates[2]
         np.tanh(n, out=n)
-        new = h - n
-        new *= z
+        np.subtract(h, n, out=new)
+        new *= u[0]
         new += n
-        return new, z, r, n, un
 
     def output(self, h: np.ndarray, symbols: np.ndarray, grad: bool = False):
         """ln P of each symbol; with grad, also the gradients of its mean negative: of h, and of the output weights.
 
-        States lie between -1 and 1, so the sum of the weights bounds the logits; only where that leaves the range of
-        32-bit exponentials are they clipped.
+        States lie between -1 and 1, so the sum of the weights bounds the logits. Up to a bound of 40, biases are factors
+        of the sums of exponentials and not added to each logit; beyond, they are added, and logits are clipped at 80.
         """
-        clip = max(float((np.abs(self.p[w]).sum(-2) + self.p[b]).max()) for w, b in (("wc", "bc"), ("ww", "bw"))) > 80
-        p, kls, slot = self.p, self.kls[symbols], self.slot[symbols]
-        ones, each = np.ones(max(self.n_classes, self.size), np.float32), np.ones(len(h), np.float32)
+        p, real = self.p, np.arange(self.size) < np.array(self.width)[:, None]
+        bound = max(float((np.abs(p["wc"]).sum(0) + np.abs(p["bc"])).max()), float((np.abs(p["ww"]).sum(1) + np.abs(p["bw"]))[real].max()))
+        plain = bound > 40
+        bc, bw = (np.zeros_like(p["bc"]), np.zeros_like(p["bw"])) if plain else (p["bc"], p["bw"])
+        fc, fw = np.exp(bc), np.exp(bw)
+        kls = self.kls.take(symbols)
+        # all that follows is in the order of the classes
+        order = np.argsort(kls, kind="stable")
+        kls, slot, h = kls.take(order), self.slot.take(symbols).take(order), h.take(order, 0)
+        bounds = np.searchsorted(kls, np.arange(self.n_classes + 1))
         rows = np.arange(len(h))
         ea = h @ p["wc"]
-        ea += p["bc"]
-        if clip:
+        if plain:
+            ea += p["bc"]
             np.minimum(ea, 80, out=ea)
-        logp = ea[rows, kls]
+        flat, own = ea.reshape(-1), rows * self.n_classes + kls
+        logp = flat.take(own) + bc.take(kls)
         np.exp(ea, out=ea)
-        sa = ea @ ones[: self.n_classes]
+        sa = ea @ fc
         logp -= np.log(sa)
         if grad:
-            ea *= (1 / (sa * len(h)))[:, None]
-            ea[rows, kls] -= np.float32(1 / len(h))
-            g = {"wc": h.T @ ea, "bc": each @ ea, "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-            gh = ea @ p["wc"].T
-        order = np.argsort(kls, kind="stable")
-        bounds = np.searchsorted(kls[order], np.arange(self.n_classes + 1))
-        h_in, slot_in = h[order], slot[order]
-        within = np.empty(len(h), np.float32)
-        gh_in = np.empty_like(h) if grad else None
-        for c in range(self.n_classes):
+            flat[own] -= sa / fc.take(kls)
+            sa = 1 / (sa * len(h))
+            g = {"wc": ((h * sa[:, None]).T @ ea) * fc, "bc": (sa @ ea) * fc, "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
+            gh, within = (ea @ (p["wc"] * fc).T) * sa[:, None], p["ww"] * fw[:, None]
+        room = np.empty(int(np.diff(bounds).max(initial=0)) * self.size, np.float32)
+        for c, width in enumerate(self.width):
             at = slice(bounds[c], bounds[c + 1])
-            hc, sc = h_in[at], slot_in[at]
+            hc, sc = h[at], slot[at]
             if not len(hc):
                 continue
-            ww = p["ww"][c, :, : self.width[c]]
-            e = hc @ ww
-            e += p["bw"][c, : self.width[c]]
-            if clip:
+            flat = room[: len(hc) * width]
+            e = np.matmul(hc, p["ww"][c, :, :width], out=flat.reshape(len(hc), width))
+            if plain:
+                e += p["bw"][c, :width]
                 np.minimum(e, 80, out=e)
-            k = rows[: len(hc)]
-            own = e[k, sc]
+            own = rows[: len(hc)] * width + sc
+            of_own = flat.take(own) + bw[c].take(sc)
             np.exp(e, out=e)
-            se = e @ ones[: self.width[c]]
-            within[at] = own - np.log(se)
+            se = e @ fw[c, :width]
+            logp[at] += of_own - np.log(se)
             if grad:
-                e *= (1 / (se * len(h)))[:, None]
-                e[k, sc] -= np.float32(1 / len(h))
-                g["ww"][c, :, : self.width[c]], g["bw"][c, : self.width[c]] = hc.T @ e, each[: len(e)] @ e
-                gh_in[at] = e @ ww.T
-        logp[order] += within
+                flat[own] -= se / fw[c].take(sc)
+                se = 1 / (se * len(h))
+                g["ww"][c, :, :width], g["bw"][c, :width] = (hc * se[:, None]).T @ e, se @ e
+                gh[at] += (e @ within[c, :, :width].T) * se[:, None]
+        back = np.empty_like(order)
+        back[order] = rows
         if not grad:
-            return logp
-        gh[order] += gh_in
-        return logp, gh, g
+            return logp.take(back)
+        g["ww"] *= fw[:, None]
+        g["bw"] *= fw
+        return logp.take(back), gh.take(back, 0), g
 
     def window(self, symbols: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray):
         """One truncated window (steps, streams): mean loss, gradients and the state after it. fresh marks a document's start."""
         p, (steps, streams) = self.p, symbols.shape
-        x = p["emb"][symbols]
-        gates = x @ p["wx"] + p["b"]
+        flat_symbols, wh = symbols.reshape(-1), by_gate(p["wh"])
+        gates = self.table().take(flat_symbols, 1).reshape(3, steps, streams, HIDDEN)
         carry = (~fresh).astype(np.float32)[:, :, None]
-        befores, states, zs, rs, ns, us = (np.empty((steps, streams, HIDDEN), np.float32) for _ in range(6))
+        befores, states, ns = (np.empty((steps, streams, HIDDEN), np.float32) for _ in range(3))
+        zs, rs, us = u = np.empty((3, steps, streams, HIDDEN), np.float32)
         for t in range(steps):
-            befores[t] = h * carry[t]
-            states[t], zs[t], rs[t], ns[t], us[t] = self.step(gates[t], befores[t], p["wh"])
+            np.multiply(h, carry[t], out=befores[t])
+            self.step(gates[:, t], befores[t], wh, u[:, t], ns[t], states[t])
             h = states[t]
         logp, gout, g = self.output(states.reshape(-1, HIDDEN), targets.reshape(-1), grad=True)
         gout = gout.reshape(steps, streams, HIDDEN)
@@ -230,12 +249,12 @@ class Model:
         flat_gu = gu.reshape(-1, 3 * HIDDEN)
         g["wh"] = befores.reshape(-1, HIDDEN).T @ flat_gu
         gu[:, :, 2 * HIDDEN :] = to_n
-        g |= {"wx": x.reshape(-1, EMBED).T @ flat_gu, "b": np.ones(len(flat_gu), np.float32) @ flat_gu}
-        gx, flat_symbols = flat_gu @ p["wx"].T, symbols.reshape(-1).astype(np.uint16)
-        order = np.argsort(flat_symbols, kind="stable")
-        first = np.flatnonzero(np.r_[True, flat_symbols[order][1:] != flat_symbols[order][:-1]])
+        g |= {"wx": p["emb"].take(flat_symbols, 0).T @ flat_gu, "b": np.ones(len(flat_gu), np.float32) @ flat_gu}
+        order = np.argsort(flat_symbols.astype(np.uint16), kind="stable")
+        ordered = flat_symbols.take(order)
+        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         g["emb"] = np.zeros_like(p["emb"])
-        g["emb"][flat_symbols[order][first]] = np.add.reduceat(gx[order], first)
+        g["emb"][ordered[first]] = np.add.reduceat((flat_gu @ p["wx"].T).take(order, 0), first)
         return -float(logp.mean()), g, states[-1]
 
     def train(self, documents: list[np.ndarray]) -> int:
@@ -269,36 +288,45 @@ class Model:
                 m += np.float32(0.1) * (a - m)
                 a *= a
                 a -= v
-                v += np.float32(0.01) * a
-                self.p[k] -= rate * m / (np.sqrt(v) + np.float32(1e-8) * unbias)
+                a *= np.float32(0.01)
+                v += a
+                np.sqrt(v, out=a)
+                a += np.float32(1e-8) * unbias
+                np.divide(m, a, out=a)
+                a *= rate
+                self.p[k] -= a
         return len(flat)
 
     def log10(self, documents: list[np.ndarray], batch: int = 1024, window: int = 32) -> np.ndarray:
         """log10 P of each document of symbols, whole."""
-        total = np.zeros(len(documents))
-        table, wh = self.table(), self.p["wh"]
-        longest = sorted(range(len(documents)), key=lambda k: -len(documents[k]))
+        lens = np.array([len(d) for d in documents], np.int64)
+        total, longest = np.zeros(len(documents)), np.argsort(-lens, kind="stable")
+        if not lens.any():
+            return total
+        flat, ends = np.concatenate([documents[k] for k in longest]), np.cumsum(lens[longest])
+        table, wh = self.table(), by_gate(self.p["wh"])
         for k in range(0, len(longest), batch):
             own = longest[k : k + batch]
-            lens = np.array([len(documents[d]) for d in own])
+            size = lens[own]
+            start = ends[k : k + batch] - size
             h, last = np.zeros((len(own), HIDDEN), np.float32), np.zeros(len(own), np.int64)
-            for t in range(0, int(lens[0]), window):
-                live = int((lens > t).sum())
-                states, targets, whose = [], [], []
-                part = np.zeros((live, window), np.int64)
-                for j in range(live):
-                    piece = documents[own[j]][t : t + window]
-                    part[j, : len(piece)] = piece
-                for s in range(min(window, int(lens[0]) - t)):
-                    live = int((lens > t + s).sum())
-                    h, last = h[:live], last[:live]
-                    h = self.step(table[last], h, wh)[0]
-                    last = part[:live, s]
-                    states.append(h)
-                    targets.append(last)
-                    whose.append(np.arange(live))
-                logp = self.output(np.concatenate(states), np.concatenate(targets))
-                total[own] += np.bincount(np.concatenate(whose), logp, len(own))
+            for t in range(0, int(size[0]), window):
+                steps = np.arange(t, min(t + window, int(size[0])))
+                # documents are as long as that or longer, the longest first
+                lives = np.searchsorted(-size, -steps)
+                part = flat.take(start[: lives[0]] + steps[:, None], mode="clip").astype(np.int64)
+                inside = np.arange(lives[0]) < lives[:, None]
+                states, at, live = np.empty((int(lives.sum()), HIDDEN), np.float32), 0, -1
+                for s, now in enumerate(lives.tolist()):
+                    if now != live:
+                        live = now
+                        gates, u, n = np.empty((3, live, HIDDEN), np.float32), np.empty((3, live, HIDDEN), np.float32), np.empty((live, HIDDEN), np.float32)
+                    table.take(last[:live], 1, out=gates, mode="clip")
+                    self.step(gates, h[:live], wh, u, n, states[at : at + live])
+                    h, last = states[at : at + live], part[s]
+                    at += live
+                logp = self.output(states, part[inside])
+                total[own] += np.bincount(np.nonzero(inside)[1], logp, len(own))
         return total / np.log(10)
 
     def vector(self) -> np.ndarray:
@@ -312,9 +340,17 @@ class Model:
             at += n
 
 
+class Rare(dict):
+    """Symbols of rare words, by their last two letters."""
+
+    def __missing__(self, letters: str) -> int:
+        self[letters] = found = 1 + rare_class(letters)
+        return found
+
+
 def _symbols(model: Model, words: list[str]) -> np.ndarray:
-    get = model.index.get
-    return np.array([get(w) or 1 + rare_class(w) for w in words], np.int64)
+    get, rare = model.index.get, Rare()
+    return np.fromiter((get(w) or rare[w[-2:]] for w in words), np.int64, len(words))
 
 
 def _documents(symbols: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> list[np.ndarray]:
