@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_model, line_dedup, near_dedup, pii, quality_rules, sentencepiece_codec, sharding, token_store, toxicity
+from . import decontamination, language_model, line_dedup, near_dedup, packing, pii, prefix_trie, quality_rules, sentencepiece_codec, sharding, token_store, toxicity, whitening
 from .common import documents
 
 
@@ -22,8 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup_runs": lambda s, d: line_dedup.query(s, documents(s, d)),
         "op9_addressable_token_files": lambda s, d: token_store.query(s, documents(s, d)),
         "op10_containment_search": lambda s, d: decontamination.query(s, documents(s, d), documents(s, d, "benchmark")),
+        "op11_power_of_two_packing": lambda s, d: packing.query(s, documents(s, d)),
+        "op12_two_pass_whitening": lambda s, d: whitening.query(s, documents(s, d, "embeddings")),
+        "op13_radix_prefix_trie": lambda s, d: prefix_trie.query(s, documents(s, d, "conversations")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_proportional_interleaving": sharding.SQL, "op3_lsh_forest_near_dedup": near_dedup.SQL, "op8_line_dedup_runs": line_dedup.SQL, "op10_containment_search": decontamination.SQL}
+    return {"op2_proportional_interleaving": sharding.SQL, "op3_lsh_forest_near_dedup": near_dedup.SQL, "op8_line_dedup_runs": line_dedup.SQL, "op10_containment_search": decontamination.SQL, "op13_radix_prefix_trie": prefix_trie.SQL}

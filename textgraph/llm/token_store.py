@@ -10,13 +10,15 @@ and ceil(n / 512) u64 directory entries. Files are cells of a Parquet table (fil
 store that Spark writes can hold and whose commit survives lost executors. They follow each other in ascending doc_id.
 
 Edge cases: a null or empty text has only the end id; a null doc_id comes first; rows of equal doc_id follow each other,
-ordered by text; an empty table gives no files; other columns aren't stored. Added tokens of the tokenizer file
+ordered by text; an empty table gives no files; other columns aren't stored;
+texts of any length, such as millions of spaces, are encoded whole. Added tokens of the tokenizer file
 (<|endoftext|>) that occur in a text get their own ids, as in the tokenizers library, or without `added` are ordinary text.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -26,13 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slots, written
+from .common import partitions, written
 
 END = 2
 FILE_TOKENS = 1 << 20
+#: Documents of one range of ids, which one task encodes.
+RANGE_DOCS = 1 << 15
 #: Starts of this many files at most are broadcast; beyond, the join shuffles.
 BROADCAST_FILES = 500_000
 BLOCK = 512
+#: Runs of so much white space are cut before the pattern sees them.
+WHITE_RUN = 10_000
+# fixed values: what the pattern takes for white space
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_WHITE = re.compile(f"[{WHITE}]{{{WHITE_RUN},}}")
 # fixed values: the word pattern of byte-level BPE
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -120,7 +129,7 @@ def encoding(spec: str):
 
     whole = json.loads(spec)
     model, tokens = whole["model"], whole.get("added_tokens") or []
-    if any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip")):
+    if any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip")) or any(c in WHITE for t in tokens for c in t["content"]):
         raise ValueError("added tokens that take in or depend on what surrounds them aren't supported")
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
@@ -129,6 +138,25 @@ def encoding(spec: str):
     return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in tokens})
 
 
+def token_ids(own, text: str, added: bool = True) -> np.ndarray:
+    """The ids of a text of any length.
+
+    The pattern's look-ahead runs out of stack on some 700,000 characters of white space. A long run is cut as the
+    pattern would cut it: all but its last character before other text, the whole run before an added token or the end.
+    """
+    allowed = "all" if added else set()
+    plain = lambda t: own.encode_to_numpy(t, allowed_special=allowed, disallowed_special=())
+    if len(text) < WHITE_RUN or not LONG_WHITE.search(text):
+        return np.asarray(plain(text), np.uint32)
+    out, at, tokens = [], 0, tuple(own.special_tokens_set) if added else ()
+    for run in LONG_WHITE.finditer(text):
+        end = run.end()
+        stop = end if end == len(text) or tokens and text.startswith(tokens, end) else end - 1
+        out += [plain(text[at : run.start()]), own._encode_single_piece(text[run.start() : stop].encode())]
+        at = stop
+    return np.concatenate([np.asarray(x, np.uint32) for x in [*out, plain(text[at:])]])
+
+
 def write_files(docs: DataFrame, path: str | None = None, end: int = END, file_tokens: int = FILE_TOKENS, added: bool = True) -> DataFrame:
     """The table of files (file_no, n_tokens, first_token, data) in ascending doc_id order."""
     with open(path or default_tokenizer(), encoding="utf-8") as f:
@@ -137,7 +165,7 @@ def write_files(docs: DataFrame, path: str | None = None, end: int = END, file_t
     def run(batches):
         from pyspark import TaskContext
 
-        own, allowed = encoding(spec.value), "all" if added else set()
+        own = encoding(spec.value)
         part, seq = TaskContext.get().partitionId(), 0
         ids, docs_in, held = [], [], 0
 
@@ -151,7 +179,7 @@ def write_files(docs: DataFrame, path: str | None = None, end: int = END, file_t
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                x = np.append(np.asarray(own.encode_to_numpy(text or "", allowed_special=allowed, disallowed_special=()), np.uint32), np.uint32(end))
+                x = np.append(token_ids(own, text or "", added), np.uint32(end))
                 ids.append(x)
                 docs_in.append(doc_id)
                 held += len(x)
@@ -161,7 +189,7 @@ def write_files(docs: DataFrame, path: str | None = None, end: int = END, file_t
             yield file()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange(slots(docs.sparkSession) * 2, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(partitions(rows, RANGE_DOCS), "doc_id").sortWithinPartitions("doc_id", "text")
     files = written(ordered.mapInArrow(run, "file_no long, n_tokens long, data binary"), "token-files")
     # the tokens before each partition of documents, and before each file within its partition
     sizes = files.select("file_no", "n_tokens", F.shiftright("file_no", 32).alias("part"))
