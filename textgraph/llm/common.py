@@ -53,9 +53,9 @@ def slots(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def partitions(df: DataFrame, rows: int) -> int:
-    """Partitions for a shuffle of df: so many that each has about `rows` of its rows, and two a slot at least."""
-    return max(2 * slots(df.sparkSession), -(-df.count() // rows))
+def partitions(df: DataFrame, rows: int, least: int = 2) -> int:
+    """Partitions for a shuffle of df: so many that each has about `rows` of its rows, and `least` a slot."""
+    return max(least * slots(df.sparkSession), -(-df.count() // rows))
 
 
 def chosen(docs: DataFrame, ids: DataFrame, most: int, seed: int = 0) -> DataFrame:

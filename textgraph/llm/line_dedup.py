@@ -7,26 +7,30 @@ runs is compacted into one run of the next level, so there are only O(fanout * l
 
 Edge cases: a null or empty text is one empty line and never dropped; rows that share a doc_id count as one document;
 a null doc_id counts as one document, below every other; extra columns are kept, and a new column whose name is taken gets
-a trailing underscore; an empty table gives an empty result.
+a trailing underscore; an empty table gives an empty result. The cost of a text is linear in its lines, however many of
+them go. Nothing stays in the catalog, and runs that were merged into others are deleted.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
-from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..storage import Folder, bucketed, reopened, shared_dir, sorted_scans, written
-from .common import SPACE, ascii_lower, free_name, slots
+from .common import SPACE, ascii_lower, free_name, partitions, slots
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 BATCHES = 4
 FANOUT = 3
+#: (document, line) pairs for each bucket of a run.
+BUCKET_ROWS = 1 << 20
 
 
 def lines(text: Column) -> Column:
@@ -38,8 +42,8 @@ def line_key(line: Column) -> Column:
 
 
 def key_hash(key: Column) -> Column:
-    """128 bits, so that equal hashes mean equal keys at any size of corpus."""
-    return F.unhex(F.md5(key))
+    """128 bits in hexadecimal, so that equal hashes mean equal keys at any size of corpus."""
+    return F.md5(key.cast("binary"))
 
 
 class LineRuns:
@@ -48,14 +52,15 @@ class LineRuns:
     A run is a table in buckets by key, sorted in each: merges of runs and batches neither shuffle nor sort the runs.
     """
 
-    def __init__(self, spark: SparkSession, at: str | None = None, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels, self.version = spark, fanout, [[]], 0
+    def __init__(self, spark: SparkSession, at: str | None = None, fanout: int = FANOUT, buckets: int | None = None):
+        self.spark, self.fanout, self.levels, self.version, self._merged, self._before = spark, fanout, [[]], 0, [], []
         self.folder = Folder(spark, at or f"{shared_dir(spark)}/line-runs-{uuid.uuid4().hex}")
-        self.buckets, self.kind = slots(spark), None
+        self.buckets, self.kind = buckets or slots(spark), None
         versions = [n for n in self.folder.names() if n.startswith("levels-")]
         if versions:
             known = json.loads(self.folder.get(versions[-1]))
             self.version, self.buckets, self.kind, self.fanout = int(versions[-1].split("-")[1]), known["buckets"], known["kind"], known["fanout"]
+            self._before = known.get("merged", [])
             self.levels = [[(path, reopened(spark, path, self._columns(), "key", self.buckets)) for path in level] for level in known["levels"]]
 
     def _columns(self) -> str:
@@ -65,14 +70,14 @@ class LineRuns:
         return [run for level in self.levels for _, run in level]
 
     def add(self, pairs: DataFrame) -> DataFrame:
-        """pairs (doc, key), of documents below all that earlier batches had: adds their run and returns it.
+        """pairs (doc, key), of documents below all that earlier batches had: adds their run and returns it, readable until the next batch.
 
         A merge anti-join against the runs tells which keys are new to the store (fresh). The largest document that
         holds a key is the largest of the batch where it was fresh, and needn't be looked at again.
         """
         self.kind = self.kind or pairs.schema["doc"].dataType.simpleString()
         own = pairs.distinct().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc").alias("last_doc"))
-        own = self._table(own, "line-batch")[1]
+        batch, own = self._table(own, "line-batch")
         with sorted_scans(self.spark):
             fresh = own.select("key")
             for run in self.runs():
@@ -81,6 +86,10 @@ class LineRuns:
             made = self._table(marked.select("key", "n_docs", F.when(F.col("fresh"), F.col("last_doc")).alias("holder"), "fresh"), "line-run")
         self._push(0, made)
         self._save()
+        # what the version before had merged has no reader by now
+        for path in [batch, *self._before]:
+            self.folder.remove(path.rsplit("/", 1)[-1])
+        self._before, self._merged = self._merged, []
         return made[1]
 
     def _table(self, rows: DataFrame, name: str) -> tuple[str, DataFrame]:
@@ -93,11 +102,12 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             merged = self._table(self._merge([path for path, _ in self.levels[level]]), "line-run")
+            self._merged += [path for path, _ in self.levels[level]]
             self.levels[level] = []
             self._push(level + 1, merged)
 
     def _save(self) -> None:
-        known = {"buckets": self.buckets, "kind": self.kind, "fanout": self.fanout, "levels": [[path for path, _ in level] for level in self.levels]}
+        known = {"buckets": self.buckets, "kind": self.kind, "fanout": self.fanout, "merged": self._merged, "levels": [[path for path, _ in level] for level in self.levels]}
         self.version += 1
         if not self.folder.put(f"levels-{self.version:09}", json.dumps(known)):
             raise RuntimeError(f"another writer changed {self.folder.at}")
@@ -116,7 +126,20 @@ def line_pairs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     keys = F.transform(lines(F.col("text")), line_key)
     long = F.filter(keys, lambda k: F.length(k) >= min_chars)
     rows = docs.select(F.col("doc_id").alias("doc"), F.array_distinct(F.transform(long, key_hash)).alias("keys"))
-    return rows.select("doc", F.explode("keys").alias("key"))
+    return rows.select("doc", F.explode("keys").alias("key")).withColumn("key", F.unhex("key"))
+
+
+def without_lines(text: str, drop: list, min_chars: int) -> tuple[str, int]:
+    """text without the lines whose keys' hashes are in drop, and how many these were."""
+    gone, kept, n = set(drop), [], 0
+    for line in text.split("\n"):
+        key = line.strip(SPACE)
+        # bytes.lower changes A-Z alone
+        if len(key) >= min_chars and hashlib.md5(key.encode().lower()).digest() in gone:
+            n += 1
+        else:
+            kept.append(line)
+    return "\n".join(kept), n
 
 
 def id_batches(docs: DataFrame, batches: int):
@@ -143,7 +166,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     spark = docs.sparkSession
     drop, held, whose, n_lines, n_dropped = (free_name(docs, c) for c in ("drop_keys", "held_lines", "drop_doc", "n_lines", "n_dropped"))
     pairs = written(line_pairs(docs, min_chars), "line-pairs")
-    store = LineRuns(spark)
+    store = LineRuns(spark, buckets=partitions(pairs, BUCKET_ROWS, 1))
     for batch in id_batches(docs, batches):
         store.add(pairs.filter(batch(F.col("doc"))))
     shared = written(store.totals().filter(F.col("n_docs") >= min_docs).select("key", F.col("holder").alias("last_doc")), "line-shared")
@@ -151,10 +174,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     lost = pairs.join(shared, "key").filter(F.coalesce(F.col("doc") < F.col("last_doc"), F.col("last_doc").isNotNull()))
     lost = lost.groupBy(F.col("doc").alias(whose)).agg(F.collect_set("key").alias(drop))
     joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost[whose]), "left").drop(whose)
-    kept = F.when(F.col(drop).isNull(), F.col(held)).otherwise(F.filter(F.col(held), lambda x: ~F.array_contains(F.col(drop), key_hash(line_key(x))) | (F.length(line_key(x)) < min_chars)))
-    out = joined.withColumn(held, lines(F.col("text"))).withColumn(n_lines, F.size(held).cast("long")).withColumn(held, kept)
-    out = out.withColumn(n_dropped, F.col(n_lines) - F.size(held))
-    return out.withColumn("text", F.when(F.col(n_dropped) > 0, F.array_join(held, "\n")).otherwise(F.col("text"))).drop(held, drop)
+
+    @F.arrow_udf("text string, n long")
+    def shortened(texts: pa.Array, drops: pa.Array) -> pa.Array:
+        rows = [without_lines(t, d, min_chars) if d else (None, 0) for t, d in zip(texts.to_pylist(), drops.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["text", "n"])
+
+    # texts that lose nothing don't go to Python
+    affected = F.col(drop).isNotNull() & F.col("text").isNotNull()
+    out = joined.withColumn(held, shortened(F.when(affected, F.col("text")), F.when(affected, F.col(drop))))
+    out = out.withColumn(n_lines, F.size(lines(F.col("text"))).cast("long")).withColumn(n_dropped, F.coalesce(F.col(f"{held}.n"), F.lit(0).cast("long")))
+    return out.withColumn("text", F.when(F.col(n_dropped) > 0, F.col(f"{held}.text")).otherwise(F.col("text"))).drop(held, drop)
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
