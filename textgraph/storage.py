@@ -52,14 +52,21 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int, order: bool = Fal
     path, table = path or f"{shared_dir(df.sparkSession)}/{made}", made.replace("-", "_")
     writer = df.write.format("parquet").bucketBy(buckets, key)
     (writer.sortBy(key) if order else writer).option("path", path).saveAsTable(table)
-    return df.sparkSession.table(table)
+    return _unlisted(df.sparkSession, table)
+
+
+def _unlisted(spark: SparkSession, table: str) -> DataFrame:
+    """A table of files at a path of its own, without its entry in the catalog: what is read stays readable, in buckets, while the files do."""
+    df = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return df
 
 
 def reopened(spark: SparkSession, path: str, columns: str, key: str, buckets: int) -> DataFrame:
     """A table that `bucketed` wrote in order, with the names and types of its columns."""
     table = f"{path.rstrip('/').rsplit('/', 1)[-1]}-{uuid.uuid4().hex}".replace("-", "_")
     spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
-    return spark.table(table)
+    return _unlisted(spark, table)
 
 
 @contextmanager
@@ -98,6 +105,10 @@ class Folder:
             self._files.delete(temporary, False)
         return done
 
+    def remove(self, name: str) -> None:
+        """Deletes a file or folder, if there."""
+        self._files.delete(self._path(f"{self.at}/{name}"), True)
+
     def get(self, name: str) -> str:
         source, to = self._files.open(self._path(f"{self.at}/{name}")), self._buffer()
         self._read.copyBytes(source, to, 4096, True)
