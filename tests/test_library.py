@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textgraph import functions as fn
-from textgraph.operators import artifacts, extraction, graph, history, lookups, overlay, search
+from textgraph.operators import artifacts, extraction, graph, history, lookups, overlay, postings, search
 from textgraph.operators import collections as coll
 from textgraph.plans import passes, tools
 from textgraph.plans.provider import DryRun, TokenBudget
@@ -91,7 +91,7 @@ def test_graph(spark):
 def test_search_operators(spark, tmp_path):
     texts = {"1": "cat dog", "2": "cat bird", "3": "dog zebra", "4": "cat, zebra dog", "5": "nothing"}
     chunks = spark.createDataFrame([(u, "c", t) for u, t in texts.items()], "location_uri string, corpus_id string, content string")
-    index = search.Postings.build(chunks, f"{tmp_path}/index")
+    index = postings.Postings.build(chunks, f"{tmp_path}/index")
     want = {"cat NOT dog": {"2"}, "dog cat OR zebra": {"1", "3", "4"}, "cat AND dog NOT zebra": {"1"}, "zebra OR cat NOT dog": {"2", "3", "4"}, "NOT dog": set(), "dog NOT": {"1", "3", "4"}, "OR": set(), "cat dog AND zebra": {"4"}, "not": set(), "cat NOT dog zebra": {"1", "2"}}
     for q, uris in want.items():
         one, two = ([tuple(r) for r in x.collect()] for x in (search.keyword(chunks, q), index.keyword(q)))

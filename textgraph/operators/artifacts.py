@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tier_rank
+from .hashes import running_sha256
 
 # fixed values: thresholds of the router
 OPUS_IN_DEGREE, OPUS_PANICS, OPUS_MODULE_OUT = 20, 3, 15
@@ -55,14 +56,15 @@ def file_shapes(entities: DataFrame) -> DataFrame:
 
 def source_hashes(chunks: DataFrame, source: str, position: str) -> DataFrame:
     """(source, hash): SHA-256 over a source's chunks, in order."""
-    parts = F.array_sort(F.collect_list(F.struct(position, "content")))
-    return chunks.groupBy(source).agg(F.sha2(F.array_join(F.transform(parts, lambda p: p["content"]), ""), 256).alias("hash"))
+    return running_sha256(chunks, source, position, "content")
 
 
 def tree_version(files: DataFrame) -> DataFrame:
     """One row: the version of a tree of (path, hash)."""
-    rows = F.array_sort(F.collect_list(F.concat(F.col("path"), F.lit("\0"), F.col("hash"), F.lit("\n"))))
-    return files.agg(F.concat(F.lit("v1-tree:"), F.sha2(F.array_join(rows, ""), 256)).alias("version"))
+    line = F.concat(F.col("path"), F.lit("\0"), F.col("hash"), F.lit("\n"))
+    whole = running_sha256(files.select(F.lit(1).alias("tree"), "path", line.alias("line")), "tree", "path", "line")
+    found = F.coalesce(F.max("hash"), F.sha2(F.lit(""), 256))
+    return whole.agg(F.concat(F.lit("v1-tree:"), found).alias("version"))
 
 
 def cached(wanted: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -28,6 +28,21 @@ def resolved(members: DataFrame, collection: str) -> DataFrame:
     return first.select("corpus_id", (F.row_number().over(Window.orderBy("path")) - 1).alias("position"))
 
 
+def corpora_below(members: DataFrame) -> DataFrame:
+    """(collection_id, corpus_id): the corpora below each collection, once each; all collections take each step together."""
+    nested = members.filter("member_type = 'collection'").select(F.col("collection_id").alias("node"), "member_id")
+    seen = written(members.select("collection_id", F.col("collection_id").alias("node")).distinct(), "nested")
+    step = seen
+    while True:
+        ahead = step.join(nested, "node").select("collection_id", F.col("member_id").alias("node")).distinct()
+        step = written(ahead.join(seen, ["collection_id", "node"], "left_anti"), "nested-step")
+        if step.isEmpty():
+            break
+        seen = written(seen.union(step), "nested")
+    own = members.filter("member_type = 'corpus'").select(F.col("collection_id").alias("node"), F.col("member_id").alias("corpus_id"))
+    return seen.join(own, "node").select("collection_id", "corpus_id").distinct()
+
+
 def same_as(links: DataFrame) -> DataFrame:
     """(node, label) over the same_as links (a, b, link_kind)."""
     return components(links.filter("link_kind = 'same_as'").select("a", "b"))

@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import VERSIONED
+from .ancestry import Labels, ancestors, descendants
 
 def effective_sha(sha: Column, version: Column) -> Column:
     return F.coalesce(F.nullif(sha, F.lit("")), version, F.lit(""))
 
-
-
 def superseded(head: DataFrame, incoming: DataFrame, keys: list[str], version: str = "derived_at_version") -> DataFrame:
     """Head rows that incoming rows of another version replace, with the version that did; unversioned rows leave none."""
     new = incoming.select(*(F.col(k).alias(f"new_{k}") for k in keys), F.col(version).alias("superseded_at_version"))
@@ -35,6 +35,49 @@ def archived(history: DataFrame, rows: DataFrame, identity: list[str]) -> DataFr
     return history.unionByName(new.select(*history.columns))
 
 
+def not_archived(history: DataFrame, rows: DataFrame, identity: list[str]) -> DataFrame:
+    """The rows, once each, that history doesn't have by their identity."""
+    return rows.dropDuplicates(identity).join(history.select(*identity), identity, "left_anti").select(*rows.columns)
+
+
+def differing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of new that old lacks or holds with other values."""
+    rest = [c for c in new.columns if c not in keys]
+    had = old.select(*keys, F.struct(*rest).alias("old__row"))
+    return new.join(had, keys, "left").filter(~F.col("old__row").eqNullSafe(F.struct(*rest)) | F.col("old__row").isNull()).select(*new.columns)
+
+
+def stamped_as_superseded(rows: DataFrame, version: str, at: str | None = None) -> DataFrame:
+    """Rows as history keeps them, superseded by a version."""
+    return rows.withColumns({"superseded_at_version": F.lit(version), "superseded_at": F.lit(at or version), "superseded_at_sha": F.lit(version)})
+
+
+def cascade_all(tables: dict[str, DataFrame], corpus: str, dirty: DataFrame) -> dict[str, DataFrame]:
+    """What goes from each of the tables of a corpus when its chunks of dirty (id) change.
+
+    Entities first or last seen in such a chunk go, with the edges, purposes, contracts, blocks and summaries that hang on
+    them; then the chunks, with their summaries and embeddings.
+    """
+    t = {n: df.filter(F.col("corpus_id") == corpus) for n, df in tables.items()}
+    chunks = t["chunks"].join(dirty.select("id").distinct(), "id", "left_semi").select(*t["chunks"].columns)
+    entities, _ = cascade(t["entities"], t["edges"], chunks.select(F.col("location_uri").alias("uri")).distinct())
+    ids = entities.select("id")
+    of = lambda name, column, keys: t[name].join(keys.withColumnRenamed("id", column), column, "left_semi").select(*t[name].columns)
+    edges = of("edges", "from_entity_id", ids).union(of("edges", "to_entity_id", ids)).dropDuplicates(["id"])
+    out = {"chunks": chunks, "entities": entities, "edges": edges, "summaries": of("summaries", "target_id", ids.union(chunks.select("id")).distinct()), "embeddings": of("embeddings", "chunk_id", chunks.select("id"))}
+    return out | {n: of(n, "entity_id", ids) for n in ("entity_purposes", "entity_contracts", "entity_blocks")}
+
+
+def swept(catalog, corpus: str, dirty: DataFrame, version: str, at: str | None = None) -> int:
+    """cascade_all on a catalog: rows go from their tables into the histories, all in one version; a Conflict where one of the tables has changed meanwhile."""
+    work = catalog.reading()
+    gone = cascade_all({n: work.table(n) for n in VERSIONED}, corpus, dirty)
+    past = {n: stamped_as_superseded(rows, version, at) for n, rows in gone.items()}
+    past = {n: rows.withColumn("derived_at_sha", effective_sha(F.col("derived_at_sha"), F.col("derived_at_version"))) for n, rows in past.items()}
+    new = {f"{n}_history": not_archived(work.table(f"{n}_history"), rows, [*VERSIONED[n], "derived_at_kind", "derived_at_sha"]) for n, rows in past.items()}
+    return work.commit(changed={n: (None, rows.select(*VERSIONED[n]).distinct()) for n, rows in gone.items()}, appended=new)
+
+
 def dirty_chunks(chunks: DataFrame, dirty: DataFrame, path: Column) -> DataFrame:
     """Chunks whose source path is among the dirty (path)."""
     return chunks.withColumn("source__path", path).join(dirty.select(F.col("path").alias("source__path")).distinct(), "source__path", "left_semi").select(*chunks.columns)
@@ -51,13 +94,17 @@ def cascade(entities: DataFrame, edges: DataFrame, dirty_uris: DataFrame) -> tup
     return gone, reduce(DataFrame.union, touched).dropDuplicates(["id"])
 
 
-def present_at(head: DataFrame, history: DataFrame, tombstones: DataFrame, ancestry: DataFrame, target: str, keys: list[str]) -> DataFrame:
+def present_at(head: DataFrame, history: DataFrame, tombstones: DataFrame, ancestry: DataFrame | Labels, target: str, keys: list[str]) -> DataFrame:
     """Rows valid at a commit: of a sha that the target descends from (or, for a range, that descends from it), the head
-    row before the latest of history, without what a commit before the target buried. ancestry: (ancestor, descendant)."""
+    row before the latest of history, without what a commit before the target buried. ancestry: labels, or pairs (ancestor, descendant)."""
+    if isinstance(ancestry, Labels):
+        own = head.sparkSession.range(1).select(F.lit(target).alias("sha"))
+        up, down = (way(ancestry, target).union(own).distinct() for way in (ancestors, descendants))
+    else:
+        up = ancestry.filter(F.col("descendant") == target).select(F.col("ancestor").alias("sha")).union(ancestry.sparkSession.range(1).select(F.lit(target))).distinct()
+        down = ancestry.filter(F.col("ancestor") == target).select(F.col("descendant").alias("sha")).union(ancestry.sparkSession.range(1).select(F.lit(target))).distinct()
     both = head.withColumn("rank", F.lit(None).cast("string")).unionByName(history.select(*head.columns, F.col("superseded_at").alias("rank")))
     both = both.withColumn("sha", effective_sha(F.col("derived_at_sha"), F.col("derived_at_version")))
-    up = ancestry.filter(F.col("descendant") == target).select(F.col("ancestor").alias("sha")).union(ancestry.sparkSession.range(1).select(F.lit(target))).distinct()
-    down = ancestry.filter(F.col("ancestor") == target).select(F.col("descendant").alias("sha")).union(ancestry.sparkSession.range(1).select(F.lit(target))).distinct()
     range_like = F.col("derived_at_kind") == "range_predating"
     valid = both.filter(~range_like).join(up, "sha", "left_semi").unionByName(both.filter(range_like).join(down, "sha", "left_semi"))
     order = Window.partitionBy(*keys).orderBy(F.col("rank").isNull().desc(), F.desc("rank"), F.desc("sha"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clamped_cosine
@@ -79,12 +79,12 @@ def keyword(chunks: DataFrame, query: str, limit: int = 20, position: str | None
         return F.size(F.filter("w", lambda x: x == word))
 
     tf = [frequency(w).alias(f"tf{k}") for w, k in number.items()]
-    rows = written(words.select("location_uri", "corpus_id", F.size("w").alias("dl"), *tf), "search-counts")
+    rows = words.select("location_uri", "corpus_id", F.size("w").alias("dl"), *tf)
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{number[t]}") > 0).cast("long")).alias(f"df{number[t]}") for t in terms))
-    return _ranked(rows, stats, asked, number, limit, position, corpus, within)
+    return ranked(rows, written(stats, "search-statistics"), asked, number, limit, position, corpus, within)
 
 
-def _ranked(rows: DataFrame, stats: DataFrame, asked: Query, number: dict[str, int], limit: int, position: str | None, corpus: str | None, within: DataFrame | None) -> DataFrame:
+def ranked(rows: DataFrame, stats: DataFrame, asked: Query, number: dict[str, int], limit: int, position: str | None, corpus: str | None, within: DataFrame | None) -> DataFrame:
     scored = rows.filter(asked.holds(lambda w: F.col(f"tf{number[w]}") > 0)).crossJoin(F.broadcast(stats))  # one row of statistics
     score = F.lit(0.0)
     for k in (number[t] for t in asked.terms):
@@ -97,45 +97,6 @@ def _ranked(rows: DataFrame, stats: DataFrame, asked: Query, number: dict[str, i
     return scoped(normalised(top), position)
 
 
-class Postings:
-    """A search index in a folder: postings (part, term, location_uri, corpus_id, tf, dl) by hash of the term, and one row of statistics.
-
-    A search reads the parts and row groups of its own words alone.
-    """
-
-    PARTS = 64
-
-    def __init__(self, spark: SparkSession, at: str):
-        self.spark, self.at = spark, at.rstrip("/")
-
-    @classmethod
-    def build(cls, chunks: DataFrame, at: str) -> Postings:
-        out = cls(chunks.sparkSession, at)
-        words = chunks.select("location_uri", "corpus_id", tokens(F.col("content")).alias("w")).withColumn("dl", F.size("w"))
-        each = words.select("location_uri", "corpus_id", "dl", F.explode("w").alias("term")).groupBy("location_uri", "corpus_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-        part = F.pmod(F.hash("term"), F.lit(cls.PARTS)).alias("part")
-        # a common word may be in a third of all chunks: its postings are dealt over several files, each in order
-        dealt = each.select("*", part).repartition(cls.PARTS, "part", F.pmod(F.hash("location_uri"), F.lit(4)))
-        dealt.sortWithinPartitions("part", "term").write.partitionBy("part").mode("overwrite").parquet(f"{out.at}/postings")
-        words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{out.at}/statistics")
-        return out
-
-    def keyword(self, query: str, limit: int = 20, position: str | None = None, corpus: str | None = None, within: DataFrame | None = None) -> DataFrame:
-        """As the function `keyword`, for queries in which each alternative asks for a word, which all do."""
-        asked = parse_query(query)
-        postings = self.spark.read.parquet(f"{self.at}/postings")
-        if not asked.either:
-            return postings.select(F.col("location_uri").alias("uri"), F.lit(0.0).alias("score"), F.lit(0.0).alias("relevance")).limit(0)
-        number = {w: k for k, w in enumerate(asked.words)}
-        part = self.spark.range(1).select(*(F.pmod(F.hash(F.lit(w)), F.lit(self.PARTS)) for w in number)).first()
-        own = postings.filter(F.col("part").isin(sorted(set(part))) & F.col("term").isin(list(number)))
-        tf = [F.sum(F.when(F.col("term") == w, F.col("tf")).otherwise(0)).alias(f"tf{k}") for w, k in number.items()]
-        rows = own.groupBy("location_uri", "corpus_id", "dl").agg(*tf)
-        df = own.agg(*(F.sum((F.col("term") == t).cast("long")).alias(f"df{number[t]}") for t in asked.terms))
-        stats = self.spark.read.parquet(f"{self.at}/statistics").crossJoin(df)  # one row each
-        return _ranked(rows, stats, asked, number, limit, position, corpus, within)
-
-
 def normalised(top: DataFrame) -> DataFrame:
     """relevance: scores scaled to [0, 1] over the rows at hand, 1 where all are equal."""
     ends = top.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
@@ -155,9 +116,14 @@ def semantic(vectors: DataFrame, query: list[float], limit: int = 20, position:
 
 
 def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], limit: int = 20, alpha: float = 0.5, position: str | None = None) -> DataFrame:
+    """blended, of the chunks' own keyword hits."""
+    return blended(keyword(chunks, query, OVER_FETCH * limit, position), vectors, query_vector, limit, alpha, position)
+
+
+def blended(hits: DataFrame, vectors: DataFrame, query_vector: list[float], limit: int = 20, alpha: float = 0.5, position: str | None = None) -> DataFrame:
     """alpha * semantic + (1 - alpha) * keyword relevance, over four times the limit of each; a missing side counts 0."""
     a = min(1.0, max(0.0, alpha))
-    words = keyword(chunks, query, OVER_FETCH * limit, position).select("uri", F.col("relevance").alias("kw"))
+    words = hits.select("uri", F.col("relevance").alias("kw"))
     near = semantic(vectors, query_vector, OVER_FETCH * limit, position).select("uri", F.col("score").alias("sem"))
     both = words.join(near, "uri", "full_outer")
     score = a * F.coalesce("sem", F.lit(0.0)) + (1 - a) * F.coalesce("kw", F.lit(0.0))

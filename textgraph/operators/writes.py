@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import PIPELINE_VERSION
+
 
 def inserted(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """table with the rows whose key it lacks: insert-or-ignore, also for repeated rows."""
@@ -76,9 +78,6 @@ def free_id(corpora: DataFrame, wanted: str) -> str:
     return out
 
 
-PIPELINE_VERSION = 3
-
-
 def upgraded(corpora: DataFrame, corpus: str, steps: dict[int, object] | None = None) -> DataFrame:
     """A corpus brought to PIPELINE_VERSION: each step from its own version on runs once, in order."""
     row = corpora.filter(F.col("id") == corpus).select("pipeline_version").first()

@@ -28,7 +28,7 @@ class Model:
     @property
     def postings(self):
         """The search index of the chunks; built once for a folder of tables in an application."""
-        from ..operators.search import Postings
+        from ..operators.postings import Postings
         from ..storage import shared_dir
 
         at = f"{shared_dir(self.spark)}/postings-{hashlib.sha256(self.dir.encode()).hexdigest()[:16]}"

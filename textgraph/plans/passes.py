@@ -95,12 +95,3 @@ def embedded(chunks: DataFrame, embeddings: DataFrame, provider) -> DataFrame:
             yield pdf[["chunk_id"]].assign(model=provider.model, vector=[provider.embed(t) for t in pdf["content"]])
 
     return todo.mapInPandas(run, "chunk_id string, model string, vector array<float>")
-
-
-def resolved_names(names: DataFrame, entities: DataFrame, most: int = 20) -> DataFrame:
-    """(key, name, id): for each name the entities that contain it, by appearances, most of them; names are few and broadcast below Spark's threshold."""
-    from pyspark.sql import Window
-
-    hits = names.join(entities.select("id", "canonical_name", "appearance_count"), F.lower("canonical_name").contains(F.lower("name")))
-    k = F.row_number().over(Window.partitionBy("key", "name").orderBy(F.desc("appearance_count"), "id"))
-    return hits.withColumn("k", k).filter(F.col("k") <= most).select("key", "name", "id")

@@ -12,6 +12,7 @@ from ..functions import NUMBER_WORDS, SCHEME
 from ..operators import artifacts as art
 from ..operators import collections as coll
 from ..operators import graph, lookups, overlay, search
+from ..operators.postings import Postings
 from ..storage import Catalog
 
 
@@ -43,6 +44,22 @@ class Tools:
         df = self.catalog.table(name)
         return df.filter(F.col("corpus_id") == corpus) if corpus else df
 
+    def index(self) -> Postings:
+        """The search index of the catalog's chunks, after what changed since it was last used has been put in.
+
+        It lies beside the tables and is shared by all tools over the catalog. Chunks are told apart by their location.
+        """
+        at, now = f"{self.catalog.root}/_search", self.catalog.changed_at("chunks")
+        own = Postings(self.catalog.spark, at)
+        was = own.state["source"]
+        if was is None:
+            return Postings.build(self.t("chunks"), at, str(now))
+        if was != str(now):
+            old, new = self.catalog.table("chunks", int(was)).select("location_uri", "id"), self.t("chunks")
+            fresh = new.join(old, ["location_uri", "id"], "left_anti").select("location_uri", "corpus_id", "content")
+            own.change(fresh, old.join(new, "location_uri", "left_anti").select("location_uri"), str(now))
+        return own
+
     @cached_property
     def _corrections(self) -> DataFrame:
         return overlay.parsed(self.t("corrections"))
@@ -86,11 +103,11 @@ class Tools:
         kinds = chunks.select(F.col("location_uri").alias("uri"), "kind")
         vector = self.embed(query) if self.embed and mode != "keyword" else None
         if vector is None:
-            hits = search.keyword(chunks, query, limit, position, corpus_id)
+            hits = self.index().keyword(query, limit, position, corpus_id)
         else:
             joined = self.t("embeddings", corpus_id).select("chunk_id", "vector").join(chunks.select(F.col("id").alias("chunk_id"), F.col("location_uri").alias("uri")), "chunk_id")
-            own = chunks.filter(F.col("corpus_id") == corpus_id)
-            hits = search.semantic(joined, vector, limit, position) if mode == "semantic" else search.hybrid(own, joined, query, vector, limit, alpha, position)
+            words = lambda: self.index().keyword(query, search.OVER_FETCH * limit, position, corpus_id)
+            hits = search.semantic(joined, vector, limit, position) if mode == "semantic" else search.blended(words(), joined, vector, limit, alpha, position)
         return ok(lookups.with_kind(hits, kinds).orderBy(F.desc("score"), "uri"))
 
     def _resolve(self, corpus: str, name: str, kind: str | None = None) -> DataFrame:
@@ -160,7 +177,7 @@ class Tools:
         number = NUMBER_WORDS.index(word) + 1 if word in NUMBER_WORDS else int(word) if word.isdigit() else None
         if number:
             return self.tool_read(f"{SCHEME}{corpus_id}/ch/{number}")
-        hits = search.keyword(self.t("chunks"), chapter, 5, corpus=corpus_id).join(self.t("chunks").filter("kind = 'chapter'").select(F.col("location_uri").alias("uri")), "uri", "left_semi")
+        hits = self.index().keyword(chapter, 5, corpus=corpus_id).join(self.t("chunks").filter("kind = 'chapter'").select(F.col("location_uri").alias("uri")), "uri", "left_semi")
         first = hits.orderBy(F.desc("score"), "uri").first()
         return self.tool_read(first["uri"]) if first else Result("not_found", message=f"{chapter} not found")
 
@@ -180,10 +197,8 @@ class Tools:
         members = self.t("collection_members")
         direct = members.groupBy(F.col("collection_id").alias("id")).agg(F.count("*").alias("member_count"))
         out = self.t("collections").join(direct, "id", "left").withColumn("member_count", F.coalesce("member_count", F.lit(0)))
-        # collections are few and named by people
-        sizes = [(r[0], coll.resolved(members, r[0]).count()) for r in self.t("collections").select("id").collect()]
-        counts = self.catalog.spark.createDataFrame(sizes, "id string, corpus_count long")
-        return ok(out.join(counts, "id", "left").orderBy("id"))
+        counts = coll.corpora_below(members).groupBy(F.col("collection_id").alias("id")).agg(F.count("*").alias("corpus_count"))
+        return ok(out.join(counts, "id", "left").withColumn("corpus_count", F.coalesce("corpus_count", F.lit(0))).orderBy("id"))
 
     def tool_collection_overview(self, collection_id: str) -> Result:
         counts = lookups.counts(self.t("corpora").select("id"), chunk=self.t("chunks"), entity=self.t("entities"), edge=self.t("edges"))
@@ -195,7 +210,7 @@ class Tools:
     def tool_collection_search(self, collection_id: str, query: str, limit: int = 20) -> Result:
         """The best first, over all corpora of the collection: the statistics are those of all chunks anyway."""
         own = self._below(collection_id)
-        hits = search.keyword(self.t("chunks"), query, limit, within=own.select("corpus_id"))
+        hits = self.index().keyword(query, limit, within=own.select("corpus_id"))
         where = self.t("chunks").select(F.col("location_uri").alias("uri"), "corpus_id")
         return ok(coll.best_search(hits.join(where, "uri"), limit))
 
@@ -264,6 +279,6 @@ class Tools:
         if (corpus_id is None) == (collection_id is None):
             raise ValueError("exactly one of corpus_id and collection_id is needed")
         new = self.catalog.spark.createDataFrame([(id, corpus_id, collection_id, kind, payload, applied_at)], self.t("corrections").schema)
-        self.catalog.commit(corrections=self.t("corrections").unionByName(new))
+        self.catalog.write(appended={"corrections": new})
         self.__dict__.pop("_corrections", None)
         return ok(new)

@@ -29,6 +29,8 @@ HEAD = {
 
 #: Head tables whose rows are archived when a newer version replaces them, with their keys.
 VERSIONED = {"entities": ["id"], "edges": ["id"], "entity_purposes": ["entity_id", "model"], "entity_contracts": ["entity_id", "model"], "entity_blocks": ["id"], "summaries": ["corpus_id", "target_kind", "target_id", "model"], "chunks": ["id"], "themes": ["id"], "embeddings": ["id"]}
+#: The version of this data model.
+PIPELINE_VERSION = 3
 SUPERSEDED = "superseded_at_version string, superseded_at string, superseded_at_sha string"
 
 #: fixed values: concrete kind, corpus kind, abstract kind
