@@ -228,6 +228,18 @@ def test_line_dedup_is_linear_and_leaves_nothing_in_the_catalog(spark):
         assert (out[k]["n_lines"], out[k]["n_dropped"]) == (200_001, 0 if k == 4 else 200_000) and out[k]["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest()
 
 
+def test_rarest_shingles_both_ways(spark, monkeypatch):
+    from textgraph.llm import near_dedup
+
+    r = np.random.default_rng(4)
+    sets = spark.createDataFrame([(bytes([k]), sorted({int(v) for v in r.integers(0, 40 + 3 * k, 5 + k)})) for k in range(60)] + [(b"z", [1])], "digest binary, shingles array<long>").repartition(3)
+    found = []
+    for most in (100_000, -1):
+        monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", most)
+        found.append(sorted((x["key"], bytes(x["digest"])) for x in near_dedup.prefixes(sets).collect()))
+    assert found[0] == found[1] and len(found[0]) > 100
+
+
 def test_merged_line_runs_are_deleted(spark, tmp_path):
     import os
 

@@ -266,10 +266,31 @@ def across(placed: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """(key, digest): the rarest shingles of each set, of which two sets of similarity PERCENT have one in common."""
+    """(key, digest): the rarest shingles of each set, of which two sets of similarity PERCENT have one in common.
+
+    How many sets hold a shingle is looked up for shingles that several hold; up to BROADCAST_ROWS of them go to every task, beyond, a join tells it.
+    """
     each = sets.select("digest", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
     held = written(each.groupBy("key").agg(F.count("*").alias("held")), "near-held")
-    # a shingle of one set alone can't be shared; it takes its place in the prefix all the same
+    several = held.filter("held > 1")
+    if several.count() <= BROADCAST_ROWS:
+        known = several.orderBy("key").toPandas()
+        sent = sets.sparkSession.sparkContext.broadcast((known["key"].to_numpy(np.int64), known["held"].to_numpy(np.int64)))
+
+        def run(batches):
+            names, counts = sent.value
+            for batch in batches:
+                for digest, row in zip(batch.column("digest"), batch.column("shingles"), strict=True):
+                    keys = row.values.to_numpy()
+                    at = np.searchsorted(names, keys)
+                    shared = (at < len(names)) & (names[np.minimum(at, max(len(names) - 1, 0))] == keys) if len(names) else np.zeros(len(keys), bool)
+                    order = np.lexsort((keys, np.where(shared, counts[at * shared] if len(names) else 1, 1)))
+                    # a shingle of one set alone can't be shared; it takes its place in the prefix all the same
+                    order = order[: len(keys) - -(-len(keys) * PERCENT // 100) + 1]
+                    order = order[shared[order]]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[order]), pa.array([digest.as_py()] * len(order), pa.binary())], names=["key", "digest"])
+
+        return sets.select("digest", "shingles").mapInArrow(run, "key long, digest binary")
     order = Window.partitionBy("digest").orderBy("held", "key")
     ranked = each.join(held, "key").withColumn("rank", F.row_number().over(order))
     return ranked.filter((F.col("held") > 1) & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).select("key", "digest")
