@@ -240,7 +240,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         w = nnpu(sent.value, _dense([m for m, _ in rows], sent.value.shape[1]), np.array([n for _, n in rows], float), share)
         return pa.table({"used": pa.array([sum(n for _, n in rows)], pa.int64()), "w": pa.array([w], pa.list_(pa.float64()))})
 
-    made = shown.groupBy("part").applyInArrow(one, "used long, w array<double>")
+    # groups are small in bytes but long to fit: adaptive execution would put them into few tasks
+    made = shown.repartition(groups, "part").groupBy("part").applyInArrow(one, "used long, w array<double>")
     mean = made.select("used", F.posexplode("w").alias("k", "v")).groupBy("k").agg((F.sum(F.col("v") * F.col("used")) / F.sum("used")).alias("v")).orderBy("k").toPandas()
     w = mean["v"].round(9).to_numpy(float)
     weights = dict(zip(wanted, w[:-1].tolist(), strict=True))
