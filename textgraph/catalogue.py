@@ -12,6 +12,7 @@ from .operators import artifacts as art
 from .operators import collections as coll
 from .operators import extraction as ext
 from .operators import graph, history, lookups, overlay, search
+from .operators.ancestry import labelled
 from .plans.model import Model, with_tables
 from .sources import books, code, exports
 from .streaming import reindex
@@ -45,9 +46,10 @@ def corpus_overview_top_entities(m):
     return lookups.top_entities(m.entities).select("id", "canonical_name", "appearance_count")
 
 
-@query("SELECT * FROM taxonomy", "taxonomy")
+@query("SELECT * FROM taxonomy UNION ALL SELECT DISTINCT lower(p_type), 'catalog', 'product' FROM part", "taxonomy")
 def taxonomy_list(m):
-    return m.taxonomy.orderBy("corpus_kind", "concrete_kind")
+    """The fixed rows, and a corpus kind of its own for the types of parts."""
+    return lookups.taxonomy(m.taxonomy.union(m.part_kinds))
 
 
 _ABSTRACT = "SELECT e.*, coalesce(t.abstract_kind, '') AS abstract_kind FROM entities e LEFT JOIN corpora c ON c.id = e.corpus_id LEFT JOIN taxonomy t ON t.concrete_kind = e.kind AND t.corpus_kind = c.kind"
@@ -299,13 +301,13 @@ def tree_version(m):
     return art.tree_version(m.raw("pages").select(F.col("url").alias("path"), F.sha2("html", 256).alias("hash")))
 
 
-_THEMES = "SELECT t.id, t.confidence, e.edge_kind, e.from_entity_id FROM (SELECT 'nation:' || n_nationkey AS id, n_nationkey / 100.0::DOUBLE AS confidence FROM nation) t LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY to_entity_id, edge_kind ORDER BY id) AS k FROM (SELECT id, to_entity_id, from_entity_id, CASE WHEN from_entity_id LIKE 'customer:%' THEN 'upheld_by' ELSE 'violated_by' END AS edge_kind FROM edges WHERE kind = 'located_in')) e ON e.to_entity_id = t.id AND e.k <= 200"
+_THEMES = "SELECT t.id, t.confidence, e.edge_kind, e.from_entity_id FROM (SELECT 'nation:' || n_nationkey AS id, n_nationkey / 100.0::DOUBLE AS confidence FROM nation) t LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY to_entity_id, edge_kind ORDER BY id) AS k FROM (SELECT id, to_entity_id, from_entity_id, CASE WHEN from_entity_id LIKE 'customer:%' THEN 'upheld_by' ELSE 'violated_by' END AS edge_kind FROM edges)) e ON e.to_entity_id = t.id AND e.k <= 200"
 
 
 @query(_THEMES, "edges")
 def theme_edges_topn(m):
     themes = m.raw("nation").select(F.concat(F.lit("nation:"), "n_nationkey").alias("id"), (F.col("n_nationkey") / F.lit(100.0)).alias("confidence"))
-    edges = m.edges.filter("kind = 'located_in'").withColumn("kind", F.when(F.col("from_entity_id").startswith("customer:"), "upheld_by").otherwise("violated_by"))
+    edges = m.edges.withColumn("kind", F.when(F.col("from_entity_id").startswith("customer:"), "upheld_by").otherwise("violated_by"))
     return art.themes_with_edges(themes, edges).select("id", "confidence", "edge_kind", "from_entity_id")
 
 
@@ -503,11 +505,11 @@ def snapshot_on_change(m):
     return history.superseded(one(a.filter("day <= '15'")), one(a.filter("day > '15'")), ["entity_id", "model"]).select("event_id", "superseded_at_version")
 
 
-@query("WITH h AS (SELECT user_id AS id, min(event_id) AS v FROM events WHERE event_type = 'view' GROUP BY 1), n AS (SELECT user_id AS id, max(event_id) AS v FROM events WHERE event_type = 'click' GROUP BY 1) SELECT id, coalesce(n.v, h.v) AS value FROM h FULL JOIN n USING (id)")
+@query("WITH h AS (SELECT user_id AS id, min(event_id) AS v FROM events WHERE event_type <> 'click' GROUP BY 1), n AS (SELECT user_id AS id, max(event_id) AS v FROM events WHERE event_type = 'click' GROUP BY 1) SELECT id, coalesce(n.v, h.v) AS value FROM h FULL JOIN n USING (id)")
 def upsert(m):
     e = m.raw("events")
     version = F.lit("1").alias("derived_at_version")
-    head = e.filter("event_type = 'view'").groupBy(F.col("user_id").alias("id")).agg(F.min("event_id").alias("value")).withColumn("derived_at_version", version)
+    head = e.filter("event_type <> 'click'").groupBy(F.col("user_id").alias("id")).agg(F.min("event_id").alias("value")).withColumn("derived_at_version", version)
     new = e.filter("event_type = 'click'").groupBy(F.col("user_id").alias("id")).agg(F.max("event_id").alias("value")).withColumn("derived_at_version", F.lit(None).cast("string"))
     return history.upserted(head, new, ["id"]).select("id", "value")
 
@@ -518,10 +520,8 @@ def _presence(m):
     columns = ["id", "event_id", "derived_at_version", "derived_at_sha", "derived_at_kind"]
     head = v.filter("superseded_at is null").select(*columns)
     past = v.filter("superseded_at is not null").select(*columns, "superseded_at")
-    days = v.select(F.col("derived_at_version").alias("d")).distinct()
-    ancestry = days.alias("a").join(days.alias("b"), F.col("a.d") <= F.col("b.d")).select(F.col("a.d").alias("ancestor"), F.col("b.d").alias("descendant"))
     dead = m.artifacts.filter("event_type = 'error' and value > 300").select(F.concat_ws("/", "entity_id", F.lit("view")).alias("artifact_id"), F.col("day").alias("derived_at_sha"))
-    return head, past, dead, ancestry
+    return head, past, dead
 
 
 _AT = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, model ORDER BY superseded_at IS NULL DESC, superseded_at DESC) AS k FROM (SELECT * FROM v WHERE day <= '12')) WHERE k = 1"
@@ -529,8 +529,10 @@ _AT = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, model
 
 @query(f"WITH v AS ({_VERSIONS}), p AS ({_AT}) SELECT entity_id || '/' || model AS id, event_id FROM p WHERE NOT (model = 'view' AND entity_id IN (SELECT entity_id FROM artifacts WHERE event_type = 'error' AND value > 300 AND day <= '12'))", "artifacts")
 def point_in_time(m):
-    head, past, dead, ancestry = _presence(m)
-    return history.present_at(head, past, dead, ancestry, "12", ["id"]).select("id", "event_id")
+    """By labels of the days as commits, each after the one before."""
+    head, past, dead = _presence(m)
+    days = m.artifacts.select(F.col("day").alias("id")).distinct().withColumn("parent", F.lag("id").over(Window.orderBy("id")))
+    return history.present_at(head, past, dead, labelled(days), "12", ["id"]).select("id", "event_id")
 
 
 @query("SELECT DISTINCT entity_id FROM artifacts WHERE entity_id NOT IN (SELECT entity_id FROM artifacts WHERE event_type = 'error' AND value > 250 AND day <= '10')", "artifacts")
@@ -565,13 +567,13 @@ def manifest_diff(m):
     return reindex.dirty(old, new)
 
 
-_CASCADE = "WITH d AS (SELECT 'text://star/order/' || o_orderkey AS u FROM orders WHERE o_orderpriority LIKE '1%'), e AS (SELECT to_entity_id AS id, min(location_uri) AS a, max(location_uri) AS b FROM edges WHERE kind = 'contains' GROUP BY 1), g AS (SELECT id FROM e WHERE a IN (FROM d) OR b IN (FROM d)), x AS (SELECT id FROM edges WHERE (from_entity_id IN (FROM g) OR to_entity_id IN (FROM g) OR location_uri IN (FROM d))) SELECT (SELECT count(*) FROM g) AS entities, (SELECT count(*) FROM x) AS edges"
+_CASCADE = "WITH d AS (SELECT 'text://star/order/' || o_orderkey AS u FROM orders WHERE o_orderpriority LIKE '1%'), e AS (SELECT to_entity_id AS id, min(location_uri) AS a, max(location_uri) AS b FROM edges GROUP BY 1), g AS (SELECT id FROM e WHERE a IN (FROM d) OR b IN (FROM d)), x AS (SELECT id FROM edges WHERE (from_entity_id IN (FROM g) OR to_entity_id IN (FROM g) OR location_uri IN (FROM d))) SELECT (SELECT count(*) FROM g) AS entities, (SELECT count(*) FROM x) AS edges"
 
 
 @query(_CASCADE, "edges")
 def cascade_sweep_counts(m):
     dirty = m.raw("orders").filter(F.col("o_orderpriority").startswith("1")).select(F.concat(F.lit("text://star/order/"), "o_orderkey").alias("uri"))
-    entities = m.edges.filter("kind = 'contains'").groupBy(F.col("to_entity_id").alias("id")).agg(F.min("location_uri").alias("first_location_uri"), F.max("location_uri").alias("last_location_uri"))
+    entities = m.edges.groupBy(F.col("to_entity_id").alias("id")).agg(F.min("location_uri").alias("first_location_uri"), F.max("location_uri").alias("last_location_uri"))
     gone, edges = history.cascade(entities, m.edges, dirty)
     return gone.agg(F.count("*").alias("entities")).crossJoin(edges.agg(F.count("*").alias("edges")))
 
@@ -714,5 +716,6 @@ def alias_overlay(m):
     return out.select("id", F.array_join(F.array_sort("aliases"), ",").alias("aliases")).filter("aliases <> ''")
 
 
-# the queries of the tools and of single functions register themselves here too
+# the queries of the tools, of single functions and of indexing register themselves here too
+from . import catalogue_index as catalogue_index  # noqa: E402
 from . import catalogue_tools as catalogue_tools  # noqa: E402

@@ -51,7 +51,7 @@ def _tables(m) -> dict:
     ends = m.edges.select(F.col("from_entity_id").alias("id"), "location_uri").union(m.edges.select("to_entity_id", "location_uri"))
     places = ends.groupBy("id").agg(F.count("*").alias("appearance_count"), F.min("location_uri").alias("first_location_uri"), F.max("location_uri").alias("last_location_uri"))
     typed = lookups.with_abstract_kind(m.plain_entities, m.corpora, m.taxonomy).join(places, "id", "left")
-    n = m.raw("nation")
+    n, regions, region = m.raw("nation"), m.raw("region"), F.concat(F.lit("region:"), "r_regionkey")
     members = [("all", "langs", "collection"), ("all", "star", "corpus"), ("langs", "chat", "corpus"), ("langs", "all", "collection"), ("other", "web", "corpus")]
     edits = last.filter("event_type = 'error'").select(named("x").alias("id"), star, null().alias("collection_id"), F.lit("edit_summary").alias("kind"), F.to_json(F.struct(F.lit("edit_summary").alias("type"), F.lit("entity").alias("target_kind"), who.alias("target_id"), named("edit ").alias("text"))).alias("payload"), at.alias("applied_at"))
     links = m.raw("part").filter("p_partkey div 10 % 3 < 2").select(F.concat(F.lit("l"), "p_partkey").alias("id"), null().alias("corpus_id"), F.lit("all").alias("collection_id"), F.lit("entity_link").alias("kind"), F.to_json(F.struct(F.lit("entity_link").alias("type"), F.concat(F.lit("part:"), "p_partkey").alias("a"), F.concat(F.lit("part:"), F.col("p_partkey") + 10).alias("b"), F.lit("same_as").alias("link_kind"))).alias("payload"), F.lit("2024").alias("applied_at"))
@@ -67,9 +67,9 @@ def _tables(m) -> dict:
         "entity_contracts": said.select(who.alias("entity_id"), star, *(v.alias(k) for k, v in flags.items()), F.lit(0).cast("long").alias("panic_call_count"), none.alias("debt_markers"), none.alias("assumptions"), F.when(F.col("value") > 200, F.array(F.lit("high"))).otherwise(none).alias("risks"), F.when(F.col("value").between(40, 41), "gap").alias("intent_gap"), null().alias("caller_notes"), *of_model, *version),
         "entity_blocks": n.select(F.concat(F.lit("b"), "n_nationkey").alias("id"), star, F.concat(F.lit("nation:"), "n_nationkey").alias("entity_id"), F.col("n_name").alias("label"), F.col("n_name").alias("description"), F.lit(0).cast("long").alias("position"), *version),
         "themes": n.select(F.concat(F.lit("nation:"), "n_nationkey").alias("id"), star, F.col("n_name").alias("title"), F.col("n_name").alias("statement"), (F.col("n_nationkey") / F.lit(100.0)).alias("confidence"), F.lit("opus-1").alias("model"), F.lit("opus").alias("model_tier"), F.lit("2024").alias("generated_at"), *version),
-        "kind_taxonomy": m.taxonomy,
-        "collections": s.createDataFrame([("all", "All", "set", "1"), ("langs", "Languages", "set", "2"), ("other", "Other", "set", "3")], "id string, name string, kind string, created_at string"),
-        "collection_members": s.createDataFrame(members, "collection_id string, member_id string, member_type string"),
+        "kind_taxonomy": m.taxonomy.union(m.part_kinds),
+        "collections": s.createDataFrame([("all", "All", "set", "1"), ("langs", "Languages", "set", "2"), ("other", "Other", "set", "3"), ("world", "World", "set", "4")], "id string, name string, kind string, created_at string").union(regions.select(region, "r_name", F.lit("region"), F.lit("5"))),
+        "collection_members": s.createDataFrame(members, "collection_id string, member_id string, member_type string").union(regions.select(F.lit("world"), region, F.lit("collection"))).union(n.select(F.concat(F.lit("region:"), "n_regionkey"), F.concat(F.lit("nation:"), "n_nationkey"), F.lit("corpus"))),
         "corrections": edits.union(links).select("id", "corpus_id", "collection_id", "kind", "payload", "applied_at"),
     }
 
@@ -136,7 +136,7 @@ def tool_character_profile(m):
     return tools(m).tool_character_profile("star", "customer:5").data.select("id", "canonical_name", F.size("edges").cast("long").alias("n_edges"), "summary")
 
 
-@query("SELECT * FROM (VALUES ('all', 2, 2), ('langs', 2, 2), ('other', 1, 1)) t(id, member_count, corpus_count)")
+@query("SELECT * FROM (VALUES ('all', 2, 2), ('langs', 2, 2), ('other', 1, 1)) t(id, member_count, corpus_count) UNION ALL SELECT 'world', (SELECT count(*) FROM region)::INTEGER, (SELECT count(*) FROM nation)::INTEGER UNION ALL SELECT 'region:' || r_regionkey, count(n_nationkey)::INTEGER, count(n_nationkey)::INTEGER FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")
 def tool_collection_list(m):
     return tools(m).tool_collection_list().data.select("id", F.col("member_count").cast("int").alias("member_count"), F.col("corpus_count").cast("int").alias("corpus_count"))
 
@@ -156,6 +156,42 @@ def tool_entity_contracts(m):
     return tools(m).tool_entity_contracts("customer:5").data.select("entity_id", "model", "purpose")
 
 
+@query("SELECT id, canonical_name, kind FROM plain_entities WHERE contains(lower(canonical_name), 'widget') AND kind = 'function' ORDER BY id LIMIT 1000", "plain_entities")
+def inspect_entities(m):
+    return tools(m).inspect_entities("star", "Widget", "function", 0.5, 1000).select("id", "canonical_name", "kind")
+
+
+@query("SELECT 'same_as' AS link_kind, 'part:' || p_partkey AS a, 'part:' || (p_partkey + 10) AS b FROM part WHERE p_partkey // 10 % 3 < 2")
+def inspect_links(m):
+    return tools(m).inspect_links("all", "same_as")
+
+
+@query("SELECT 'chunk' AS record, NULL AS id, NULL AS text FROM part WHERE false UNION ALL SELECT 'entity', id, canonical_name FROM plain_entities UNION ALL SELECT 'edge', id, kind FROM edges UNION ALL SELECT 'summary', id, text FROM told", "plain_entities", "edges", "said", "best_said", "edited", "told")
+def export_records(m):
+    """What an export of the order corpus writes, summaries as people edited them."""
+    out, rows = tools(m).exported("star"), None
+    for record, (key, text) in {"chunk": ("id", "content"), "entity": ("id", "canonical_name"), "edge": ("id", "kind"), "summary": ("target_id", "text")}.items():
+        own = out[record].select(F.lit(record).alias("record"), F.col(key).alias("id"), F.col(text).alias("text"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
+@query("SELECT 'nation:' || n_nationkey AS id, n_name AS name, 0 AS depth, n_name || ': ' || n_name AS blocks FROM nation")
+def tool_explain_component(m):
+    """Every nation as a module whose name begins alike, with its blocks."""
+    prefix = m.raw("nation").agg(F.min("n_name"), F.max("n_name")).first()
+    shared = next((prefix[0][:k] for k in range(len(prefix[0]), 0, -1) if prefix[1].startswith(prefix[0][:k])), "")
+    found = tools(m).tool_explain_component("star", module_prefix=shared or prefix[0])
+    return found.data.select("id", "name", F.col("depth").cast("int").alias("depth"), F.array_join("blocks", "; ").alias("blocks"))
+
+
+@query("SELECT canonical_name FROM (SELECT p.canonical_name, p.id, coalesce(s.appearance_count, 0) AS n FROM plain_entities p LEFT JOIN seen s ON s.id = p.id WHERE contains(lower(p.canonical_name), 'customer#00000000') ORDER BY n DESC, p.id LIMIT 20)", "plain_entities", "edges", "seen")
+def tool_entity_suggestions(m):
+    """The names that an ambiguous one may mean."""
+    found = tools(m).tool_entity("star", "customer#00000000").suggestions
+    return m.spark.createDataFrame([(n,) for n in found], "canonical_name string")
+
+
 @query("SELECT id, confidence FROM (SELECT 'nation:' || n_nationkey AS id, n_nationkey / 100.0::DOUBLE AS confidence FROM nation)")
 def tool_corpus_themes(m):
     return tools(m).tool_corpus_themes("star").data.select("id", "confidence")
@@ -166,7 +202,7 @@ def tool_entity_search_by_abstract_kind(m):
     return tools(m).tool_entity_search_by_abstract_kind(["star"], "component").data.select("id", "canonical_name", "appearance_count")
 
 
-@query("SELECT * FROM taxonomy", "taxonomy")
+@query("SELECT * FROM taxonomy UNION ALL SELECT DISTINCT lower(p_type), 'catalog', 'product' FROM part", "taxonomy")
 def tool_list_abstract_kinds(m):
     return tools(m).tool_list_abstract_kinds().data
 
@@ -239,9 +275,9 @@ def embedding_counts(m):
     return m.raw("embeddings").select((F.col("vec_id") % 10).alias("corpus_id")).groupBy(F.col("corpus_id").alias("corpus")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'user:' || user_id AS artifact_id, event_type AS artifact_kind FROM events WHERE value > 100 ORDER BY ts DESC, 1 DESC")
+@query("SELECT 'user:' || user_id AS artifact_id, event_type AS artifact_kind FROM events ORDER BY ts DESC, 1 DESC")
 def tombstone_list(m):
-    dead = m.raw("events").filter("value > 100").select(F.concat(F.lit("user:"), "user_id").alias("artifact_id"), F.col("event_type").alias("artifact_kind"), F.col("ts").alias("created_at"))
+    dead = m.raw("events").select(F.concat(F.lit("user:"), "user_id").alias("artifact_id"), F.col("event_type").alias("artifact_kind"), F.col("ts").alias("created_at"))
     return lookups.tombstones(dead).select("artifact_id", "artifact_kind")
 
 
@@ -269,9 +305,9 @@ def correction_target(m):
 # joins and versions
 
 
-@query("WITH b AS (SELECT * FROM best_said WHERE value > 50) SELECT x.id, x.kind FROM edges x WHERE x.kind = 'placed' AND x.from_entity_id IN (SELECT id FROM b)", "edges", "said", "best_said")
+@query("WITH b AS (SELECT * FROM best_said WHERE value > 50) SELECT x.id, x.kind FROM edges x WHERE x.from_entity_id IN (SELECT id FROM b)", "edges", "said", "best_said")
 def edges_to_fallible(m):
-    turned = m.edges.filter("kind = 'placed'").select("id", "kind", F.col("from_entity_id").alias("to_entity_id"))
+    turned = m.edges.select("id", "kind", F.col("from_entity_id").alias("to_entity_id"))
     return graph.to_fallible(turned, tools(m).t("entity_contracts")).select("id", "kind")
 
 
@@ -319,10 +355,12 @@ def glob_match(m):
 _WORDS = ", ".join(f"('{w}', {k})" for k, w in enumerate(fn.NUMBER_WORDS, 1))
 
 
-@query(f"SELECT k, w.n FROM (SELECT range AS k FROM range(1, 41)) r LEFT JOIN (SELECT * FROM (VALUES {_WORDS}) t(w, n)) w ON w.n = r.k WHERE k <= 20")
+@query(f"SELECT p_partkey, coalesce(w.n, 0) AS n FROM part LEFT JOIN (SELECT * FROM (VALUES {_WORDS}) t(w, n)) w ON w.n = p_size")
 def word_number(m):
-    rows = m.spark.range(1, 21).withColumn("w", F.element_at(F.array(*map(F.lit, fn.NUMBER_WORDS)), F.col("id").cast("int")))
-    return rows.select(F.col("id").alias("k"), fn.word_number(F.initcap("w")).alias("n"))
+    """The sizes of parts, as words where there is one; 0 where none is."""
+    words = F.array(*map(F.lit, fn.NUMBER_WORDS))
+    named = F.coalesce(F.try_element_at(words, F.col("p_size")), F.concat(F.lit("size "), "p_size"))
+    return m.raw("part").select("p_partkey", F.coalesce(fn.word_number(F.initcap(named)), F.lit(0)).alias("n"))
 
 
 @query("SELECT p_partkey, ['rust', 'typescript', 'typescript', 'javascript', 'python', 'go', 'php', NULL][(p_partkey % 8 + 1)::INTEGER] AS language FROM part")

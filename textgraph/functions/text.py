@@ -13,7 +13,7 @@ SCHEME = "text://"
 
 # fixed values
 NUMBER_WORDS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty"]
-LANGUAGES = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "vue": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "go": "go", "php": "php"}
+LANGUAGES = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "vue": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "py": "python", "go": "go", "php": "php"}
 DOLLARS_IN, DOLLARS_OUT = 3.0, 15.0
 
 

@@ -163,3 +163,8 @@ def default_contracts(entities: DataFrame, model: str) -> DataFrame:
     flags = ["is_public", "is_fallible", "is_nullable", "mutates_state", "is_unsafe", "is_deprecated", "must_use", "is_incomplete", "is_test", "discards_result"]
     none = F.array().cast("array<string>")
     return entities.select(F.col("id").alias("entity_id"), "corpus_id", *(F.lit(False).alias(f) for f in flags), F.lit(0).cast("long").alias("panic_call_count"), *(none.alias(a) for a in ("debt_markers", "assumptions", "risks")), F.lit(model).alias("model"))
+
+
+def taxonomy(rows: DataFrame) -> DataFrame:
+    """Concrete kinds with the abstract one that each is of, by corpus kind."""
+    return rows.orderBy("corpus_kind", "concrete_kind")

@@ -82,6 +82,11 @@ class Model:
         values = ", ".join(map(repr, TAXONOMY))
         return self.spark.sql(f"SELECT * FROM VALUES {values} AS t(concrete_kind, corpus_kind, abstract_kind)")
 
+    @property
+    def part_kinds(self) -> DataFrame:
+        """Kinds that a corpus of parts would have."""
+        return self.raw("part").select(F.lower("p_type"), F.lit("catalog"), F.lit("product")).distinct()
+
     @cached_property
     def artifacts(self) -> DataFrame:
         """One row an event: what a model said about an entity, and when."""
@@ -125,7 +130,7 @@ SQL = {
       strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS generated_at, value, strftime(ts, '%d') AS day, event_type FROM events)""",
     "contracts": "SELECT entity_id, model, model_tier, tier_rank, generated_at, value < 1 AS is_incomplete, value > 50 AS is_fallible, CASE WHEN value > 200 THEN ['high'] ELSE [] END AS risks, CASE WHEN value BETWEEN 40 AND 41 THEN 'gap' END AS intent_gap, event_id FROM artifacts",
 }
-NEEDS = {"entities": ["plain_entities", "edges"], "contracts": ["artifacts"]}
+NEEDS = {"entities": ["plain_entities", "edges"], "contracts": ["artifacts"], "placed": ["edges", "swept"]}
 
 
 def with_tables(sql: str, *tables: str) -> str:

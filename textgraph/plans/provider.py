@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -26,6 +28,36 @@ class DryRun:
         return [1.0] + [0.0] * 7
 
 
+class Refused(RuntimeError):
+    """A provider asks to be left alone for some seconds."""
+
+    def __init__(self, seconds: float):
+        super().__init__(f"try again in {seconds} s")
+        self.seconds = seconds
+
+
+@dataclass(frozen=True)
+class Digest(DryRun):
+    """A dry run whose answers are digests of the prompts, so that what a model was asked can be checked; names it gives are words of the entity's own."""
+
+    model: str = "digest"
+
+    def complete(self, prompt: str) -> str:
+        said = hashlib.sha256(prompt.encode()).hexdigest()[:16]
+        if "JSON" not in prompt:
+            return said
+        words = (re.search(r"^Entity: (.*)$", prompt, re.M) or ["", ""])[1].split() or [""]
+        names = [line for line in prompt.splitlines() if line.startswith("- ")]
+        plain = [re.sub(r" \[[^\]]*\]( \(aliases: .*\))?$", "", n[2:]) for n in names]
+        top = prompt.splitlines()[-1].rsplit(" [", 1)[0]
+        return json.dumps({
+            "purpose": said, "blocks": [{"label": said[:4], "description": said[4:8]}] if "with two to five blocks" in prompt else [],
+            "assumptions": [], "risks": [], "verified_by_names": words[:1], "discards_result_callees": words[-1:],
+            "themes": [{"title": f"Of {top}", "statement": said, "confidence": 0.5, "upheld_by_entity_names": [top], "violated_by_entity_names": []}],
+            "merges": [{"keep": plain[0], "absorb": n, "reason": ""} for n in plain[1:] if n.lower() == plain[0].lower()],
+        })
+
+
 @dataclass
 class TokenBudget:
     """Admission by tokens a minute: mean and variance by Welford's rule, the 95th percentile of the last 100 calls, a slow start and a freeze after a refusal."""

@@ -270,7 +270,7 @@ class Tools:
         return ok(lookups.of_abstract_kind(self.t("entities"), abstract_kind, corpus_ids, limit))
 
     def tool_list_abstract_kinds(self) -> Result:
-        return ok(self.t("kind_taxonomy").orderBy("corpus_kind", "concrete_kind"))
+        return ok(lookups.taxonomy(self.t("kind_taxonomy")))
 
     def tool_list_scholia(self, corpus_id: str) -> Result:
         return ok(self.t("corrections", corpus_id).orderBy("applied_at", "id").select("id", "corpus_id", "kind", "applied_at"))
@@ -282,3 +282,32 @@ class Tools:
         self.catalog.write(appended={"corrections": new})
         self.__dict__.pop("_corrections", None)
         return ok(new)
+
+    # what an operator looks at, beside the tools
+
+    def inspect_entities(self, corpus_id: str, name: str | None = None, kind: str | None = None, min_confidence: float | None = None, limit: int = 50) -> DataFrame:
+        """Corrected entities by name or alias, kind and confidence, in the order of their ids."""
+        out = self._entities(corpus_id)
+        if name:
+            low = name.lower()
+            out = out.filter(F.lower("canonical_name").contains(low) | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(a).contains(low)))
+        out = out.filter(F.col("kind") == kind) if kind else out
+        out = out.filter(F.col("confidence") >= min_confidence) if min_confidence is not None else out
+        return out.orderBy("id").limit(limit)
+
+    def inspect_chunk(self, location: str) -> DataFrame:
+        """The chunk at a location, or none."""
+        return self.t("chunks").filter(F.col("location_uri") == location)
+
+    def inspect_links(self, collection_id: str, kind: str | None = None) -> DataFrame:
+        """The entity links of a collection by kind and ends."""
+        if self.t("collections").filter(F.col("id") == collection_id).isEmpty():
+            raise ValueError(f"no collection {collection_id}")
+        out = self._links(collection_id)
+        return (out.filter(F.col("link_kind") == kind) if kind else out).select("link_kind", "a", "b").orderBy("link_kind", "a", "b")
+
+    def exported(self, corpus_id: str) -> dict[str, DataFrame]:
+        """The records of a corpus for JSON lines: corrected entities, and summaries with what people made of them."""
+        edits = self._corrections.filter((F.col("corpus_id") == corpus_id) & (F.col("type") == "edit_summary")).select("target_kind", "target_id", "text", "applied_at", "id")
+        best = art.best_of(self.t("summaries", corpus_id), ["target_kind", "target_id"]).select("target_kind", "target_id", "text", "generated_at")
+        return {"chunk": self.t("chunks", corpus_id), "entity": self._entities(corpus_id), "edge": self.t("edges", corpus_id), "summary": overlay.overridden(best, edits)}

@@ -24,6 +24,7 @@ HEAD = {
     "corrections": "id string, corpus_id string, collection_id string, kind string, payload string, applied_at string",
     "runs": "id string, corpus_id string, pass string, started_at string, finished_at string, status string, stats string, provider string",
     "layer2_cache": "cache_key string, artifact_kind string, entity_id string, content_hash string, file_shape_hash string, model string, stable_sampling boolean, payload string, first_seen_at_sha string, created_at string, hit_count long",
+    "sources": "corpus_id string, path string, hash string",
     "tombstones": "corpus_id string, artifact_kind string, artifact_id string, derived_at_kind string, derived_at_sha string, reason string, created_at string",
 }
 

@@ -10,9 +10,7 @@ from ..functions import code_entity_id, edge_id, language_of, location_uri, matc
 LEAST, MOST, PART_LINES, PASSTHROUGH = 100, 4000, 100, 256 * 1024
 # fixed values
 EXCLUDED = [".git/**", ".claude/**", "vendor/**", "node_modules/**", "storage/**", "bootstrap/cache/**", "public/build/**", "target/**", "dist/**", "build/**"]
-TEXT_TYPES = ["json", "yaml", "yml", "toml", "tf", "sql", "html", "sh", "css", "md"]
-#: Item heads of languages that have no parser here, at the start of a line.
-HEADS = r"(?m)^(?:export\s+|pub(?:\([^)]*\))?\s+|default\s+|async\s+|abstract\s+|final\s+|unsafe\s+|public\s+|private\s+|protected\s+|static\s+)*(fn|function|func|class|struct|enum|trait|interface|impl|mod|type)\s+\*?(?:\([^)]*\)\s*)?([A-Za-z_]\w*)"
+TEXT_TYPES = ["json", "yaml", "yml", "toml", "tf", "tfvars", "hcl", "sql", "ftl", "html", "sh", "css", "scss", "md"]
 KINDS = {"fn": "function", "function": "function", "func": "function", "class": "class", "struct": "class", "enum": "class", "impl": "class", "trait": "interface", "interface": "interface", "type": "interface", "mod": "module"}
 
 
@@ -54,57 +52,61 @@ def line_parts(df: DataFrame, key: str, text: str, lines: int = PART_LINES) -> D
     return df.select(key, F.posexplode(F.transform(starts, lambda k: F.array_join(F.slice(each, k * lines + 1, lines), "\n"))).alias("part", "content"))
 
 
+STRUCTURE = "path string, symbol string, kind string, start int, end int, calls array<string>, imports array<string>, bases array<string>, implements array<string>, instantiates array<string>, owner string, doc string"
+
+
 def structure(files: DataFrame) -> DataFrame:
-    """(path, symbol, kind, start, end, calls, imports, bases, doc): top-level items; Python by its parser, others by patterns."""
+    """The file and its items as rows of STRUCTURE: Python by its parser, other languages by the lexer; methods have an owner. Files in no known language give none."""
 
     def run(batches):
         import ast
-        import re
 
         import pandas as pd
 
+        from ..functions.text import LANGUAGES as BY_ENDING
+        from .lexer import LANGUAGES, items
+
         def python(path, text):
             try:
                 tree = ast.parse(text)
-            except (SyntaxError, ValueError):
+            except (SyntaxError, ValueError, RecursionError):
                 return
             imports = [a.name for n in tree.body if isinstance(n, ast.Import) for a in n.names] + [n.module or "" for n in tree.body if isinstance(n, ast.ImportFrom)]
-            yield path, None, "file", 0, text.count("\n") + 1, [], imports, [], ast.get_docstring(tree)
+            inside = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+            calls = lambda nodes: list(dict.fromkeys(getattr(c.func, "id", getattr(c.func, "attr", "")) for n in nodes for c in ast.walk(n) if isinstance(c, ast.Call)))
+            yield path, None, "file", 0, text.count("\n") + 1, calls([n for n in tree.body if not isinstance(n, inside)]), imports, [], [], [], None, ast.get_docstring(tree)
             for n in tree.body:
-                if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                    called = [getattr(c.func, "id", getattr(c.func, "attr", "")) for c in ast.walk(n) if isinstance(c, ast.Call)]
+                if isinstance(n, inside):
                     bases = [ast.unparse(b) for b in n.bases] if isinstance(n, ast.ClassDef) else []
-                    yield path, n.name, "class" if isinstance(n, ast.ClassDef) else "function", n.lineno - 1, n.end_lineno, called, [], bases, ast.get_docstring(n)
-
-        def others(path, text):
-            imports = re.findall(r"(?m)^\s*(?:import\s.*?from\s+|import\s+|use\s+|require\s*\(?\s*)['\"(]*([\w./:@\\-]+)", text)
-            yield path, None, "file", 0, text.count("\n") + 1, [], imports, [], None
-            heads = list(re.finditer(HEADS, text))
-            for m, nxt in zip(heads, [*heads[1:], None]):
-                body = text[m.start() : nxt.start() if nxt else len(text)]
-                bases = re.findall(r"\b(?:extends|implements)\s+([A-Za-z_][\w\\]*)", body.split("{")[0])
-                at = text.count("\n", 0, m.start())
-                doc = re.search(r"((?:^[ \t]*(?:///|//|\*|/\*\*).*\n)+)\Z", text[: m.start()], re.M)
-                yield path, m[2], KINDS[m[1]], at, at + body.rstrip().count("\n") + 1, re.findall(r"\b([A-Za-z_]\w+)\s*\(", body[m.end() - m.start() :]), [], bases, doc[1].strip() if doc else None
+                    yield path, n.name, "class" if isinstance(n, ast.ClassDef) else "function", n.lineno - 1, n.end_lineno, calls([n]), [], bases, [], [], None, ast.get_docstring(n)
+
+        def rows(path, text):
+            language = BY_ENDING.get(path.rpartition(".")[2].lower())
+            if language == "python":
+                yield from python(path, text)
+            elif language in LANGUAGES:
+                for i in items(text, language):
+                    yield path, i.symbol, i.kind, i.start, i.end, i.calls, i.imports, i.extends, i.implements, i.instantiates if language == "php" else [], i.owner, i.doc
 
         for pdf in batches:
-            rows = [r for path, text in zip(pdf["path"], pdf["content"], strict=True) for r in (python if path.endswith(".py") else others)(path, text or "")]
-            made = pd.DataFrame(rows, columns=["path", "symbol", "kind", "start", "end", "calls", "imports", "bases", "doc"])
-            made["calls"] = [[c for c in dict.fromkeys(x) if len(c) >= 2 and not c[0].isdigit()] for x in made["calls"]]
-            yield made
+            made = [r for path, text in zip(pdf["path"], pdf["content"], strict=True) for r in rows(path, text or "")]
+            out = pd.DataFrame(made, columns=[c.split()[0] for c in STRUCTURE.split(", ")])
+            out["calls"] = [[c for c in dict.fromkeys(x) if len(c) >= 2 and not c[0].isdigit()] for x in out["calls"]]
+            yield out
 
-    return files.select("path", "content").mapInPandas(run, "path string, symbol string, kind string, start int, end int, calls array<string>, imports array<string>, bases array<string>, doc string")
+    return files.select("path", "content").mapInPandas(run, STRUCTURE)
 
 
 def file_chunks(files: DataFrame, corpus: str) -> DataFrame:
-    """file, symbol and part chunks of files in known languages; symbols under LEAST bytes go, those over MOST are parted by lines."""
-    known = files.withColumn("content", F.when(F.col("path").endswith(".vue"), F.concat(F.col("content"), F.lit(""))).otherwise(F.col("content"))).filter(language_of(F.col("path")).isNotNull())
+    """file, symbol and part chunks of files in known languages; symbols under LEAST bytes go, those over MOST are parted by lines. An item without a name goes by its line."""
+    known = files.filter(language_of(F.col("path")).isNotNull())
     where = F.concat(F.lit("src/"), "path")
     whole = known.select(F.lit(corpus).alias("corpus_id"), where.alias("path"), F.lit(None).cast("string").alias("parent_path"), F.lit("file").alias("kind"), "content")
     parsed = known.withColumn("content", F.when(F.col("path").endswith(".vue"), vue_script(F.col("content"))).otherwise(F.col("content")))
-    items = structure(parsed).filter("symbol is not null").join(parsed, "path")
+    items = structure(parsed).filter("kind <> 'file' and owner is null").join(parsed, "path")
     body = F.array_join(F.slice(F.split("content", "\n"), F.col("start") + 1, F.col("end") - F.col("start")), "\n")
-    items = items.select("path", F.concat(where, F.lit("#"), "symbol").alias("at"), "kind", body.alias("body")).filter(F.octet_length("body") >= LEAST)
+    name = F.coalesce("symbol", F.concat(F.lit("item_"), F.col("start")))
+    items = items.select("path", F.concat(where, F.lit("#"), name).alias("at"), "kind", body.alias("body")).filter(F.octet_length("body") >= LEAST)
     parent = location_uri(F.lit(corpus), where)
     short = items.filter(F.octet_length("body") <= MOST).select(F.lit(corpus), "at", parent, "kind", "body")
     long = items.filter(F.octet_length("body") > MOST).withColumn("key", F.struct("path", "at", "kind"))
@@ -112,26 +114,33 @@ def file_chunks(files: DataFrame, corpus: str) -> DataFrame:
     return whole.union(short).union(parts.select(F.lit(corpus), F.concat("key.at", F.lit("/part"), F.col("part") + 1), location_uri(F.lit(corpus), F.concat(F.lit("src/"), "key.path")), "key.kind", "content"))
 
 
+def _symbol() -> Column:
+    return F.coalesce("symbol", F.concat(F.lit("anonymous_"), F.col("start") + 1))
+
+
 def entities(items: DataFrame, corpus: str) -> DataFrame:
-    """File, symbol and import entities of structure()."""
+    """File, symbol, method and import entities of structure()."""
     c = F.lit(corpus)
     uri = location_uri(c, F.concat(F.lit("src/"), "path"))
     files = items.filter("kind = 'file'").select(code_entity_id(c, F.col("path")).alias("id"), F.col("path").alias("canonical_name"), "kind", uri.alias("first_location_uri"), F.lit(1.0).alias("confidence"))
-    symbols = items.filter("symbol is not null").select(code_entity_id(c, F.col("symbol")), "symbol", "kind", F.concat(uri, F.lit("#"), "symbol"), F.lit(0.9))
-    imports = items.select(F.explode("imports").alias("i"), uri.alias("u")).select(code_entity_id(c, F.col("i")), "i", F.lit("module"), "u", F.lit(0.95))
+    symbols = items.filter(OWN).select(code_entity_id(c, _symbol()), _symbol(), "kind", F.concat(uri, F.lit("#"), _symbol()), F.lit(0.9))
+    imports = items.select(F.explode("imports").alias("i"), uri.alias("u")).select(code_entity_id(c, F.col("i")), "i", F.lit("import"), "u", F.lit(0.95))
     every = files.union(symbols).union(imports)
     one = every.groupBy("id").agg(F.min_by(F.struct(*every.columns[1:]), F.struct(-F.col("confidence"), "first_location_uri", "canonical_name")).alias("r"), F.count("*").alias("appearance_count"))
     return one.select("id", c.alias("corpus_id"), "r.*", "appearance_count")
 
 
+#: Items, and the methods of PHP classes alone.
+OWN = "kind <> 'file' and (owner is null or lower(path) like '%.php')"
+
+
 def edges(items: DataFrame, corpus: str) -> DataFrame:
-    """defines, calls, imports and extends edges, with hashed ids."""
+    """defines, calls, imports, extends, implements and instantiates edges, with hashed ids."""
     c = F.lit(corpus)
     uri = location_uri(c, F.concat(F.lit("src/"), "path"))
-    own = code_entity_id(c, F.coalesce("symbol", "path"))
-    defines = items.filter("symbol is not null").select(code_entity_id(c, F.col("path")).alias("a"), own.alias("b"), F.lit("defines").alias("kind"), uri.alias("location_uri"))
-    out = defines
-    for column, kind in (("calls", "calls"), ("imports", "imports"), ("bases", "extends")):
+    own = code_entity_id(c, F.when(F.col("kind") == "file", F.col("path")).otherwise(_symbol()))
+    out = items.filter(OWN).select(code_entity_id(c, F.coalesce("owner", "path")).alias("a"), own.alias("b"), F.lit("defines").alias("kind"), uri.alias("location_uri"))
+    for column, kind in (("calls", "calls"), ("imports", "imports"), ("bases", "extends"), ("implements", "implements"), ("instantiates", "instantiates")):
         out = out.union(items.select(own.alias("a"), F.explode(column).alias("x"), uri.alias("u")).select("a", code_entity_id(c, F.col("x")), F.lit(kind), "u"))
     out = out.distinct()
     return out.select(edge_id(c, F.col("a"), F.col("b"), F.col("kind"), F.col("location_uri")).alias("id"), c.alias("corpus_id"), F.col("a").alias("from_entity_id"), F.col("b").alias("to_entity_id"), "kind", "location_uri", F.lit(0.9).alias("confidence"))

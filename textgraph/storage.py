@@ -127,6 +127,9 @@ class Folder:
         """Deletes a file or folder, if there."""
         self._files.delete(self._path(f"{self.at}/{name}"), True)
 
+    def exists(self) -> bool:
+        return self._files.exists(self._path(self.at))
+
     def size(self) -> int:
         """Bytes of all files below."""
         return self._files.getContentSummary(self._path(self.at)).getLength()
