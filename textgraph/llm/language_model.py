@@ -34,7 +34,7 @@ from .common import UPPER, bucketed, one_thread, remainder, slots, written
 TOP, RARE = 1500, 48
 EMBED, HIDDEN = 12, 24
 FIRST, CLASSES = 40, 20
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 2_500_000
 WINDOW, STREAMS = 16, 384
 TRAIN_SHARE = (0.05, 0.95)
 GROUP_TOKENS, BUFFER = 2_500_000, 500_000
