@@ -185,13 +185,13 @@ def talk():
         n = int(r.integers(1, 7)) if kind < 5 else int(r.integers(20, 60))
         for t in range(n):
             rows.append((c, t, ["user", "assistant"][t % 2], f"say {r.integers(0, 3)}" if t < 4 else f"then {r.integers(0, 2)} of  it"))
-    rows += [(2000 + k, t, "user", f"the same {t}") for k in range(300) for t in range(9)]  # copies
-    rows += [(3000 + k, t, "user", "again") for k in range(40) for t in range(k + 4)]  # each a prefix of the next
+    rows += [(2000 + k, t, "user", f"the same {t}") for k in range(200) for t in range(5)]  # copies
+    rows += [(3000 + k, t, "user", "again") for k in range(12) for t in range(k + 4)]  # each a prefix of the next
     rows += [(-7, 0, "user", "below zero"), (5, None, None, None), (5, None, "z", "a"), (5, 2, "user", ""), (5, 2, "user", ""), (None, 1, "user", "nobody's"), (41, None, "user", None), (7001, 0, "user", "goes"), (6, 1, "ab", "c"), (8, 1, "a", "bc")]
     return rows
 
 
-@pytest.mark.parametrize("local", [1, 16, 256])
+@pytest.mark.parametrize("local", [3, 256])
 def test_trie(spark, local):
     rows = talk()
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, seq string").repartition(5)
