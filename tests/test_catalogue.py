@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from textgraph import catalogue
@@ -22,7 +23,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
     return round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 

@@ -625,10 +625,35 @@ def debt_markers(m):
     return m.chunks.select("doc_id", F.size(ext.debt_markers(c)).cast("long").alias("n_markers"), ext.occurrences(c, "Licensed").cast("long").alias("n_licensed"))
 
 
-@query("SELECT page_id, regexp_matches(html, '\\bthrow\\b|Promise<|\\basync\\b') AS is_fallible, contains(html, '@deprecated') AS is_deprecated, regexp_matches(html, '\\b(?:describe|it|test)\\(') AS is_test FROM pages")
+_TS = {
+    "is_public": "regexp_matches(html, '(?m)^\\s*export\\b')", "is_fallible": "regexp_matches(html, '\\bthrow\\b|Promise<|\\basync\\b')", "is_nullable": "regexp_matches(html, '\\|\\s*(?:null|undefined)\\b')",
+    "mutates_state": "regexp_matches(html, 'this\\.\\w+\\s*=[^=]|\\$?emit\\(')", "is_deprecated": "contains(html, '@deprecated')", "is_incomplete": "regexp_matches(html, '[Nn]ot implemented')", "is_test": "regexp_matches(html, '\\b(?:describe|it|test)\\(')",
+    "panic_call_count": "len(regexp_extract_all(html, '\\w!\\.')) + len(regexp_extract_all(html, '\\bas any\\b'))", "branch_count": "len(regexp_extract_all(html, '\\b(?:if|for|while|switch|catch)\\s*\\('))",
+}
+
+
+@query(f"SELECT page_id, {', '.join(f'{v} AS {k}' for k, v in _TS.items())} FROM pages")
 def ts_signals(m):
     s = ext.typescript_signals(F.col("html"))
-    return m.raw("pages").select("page_id", *(s[c].alias(c) for c in ("is_fallible", "is_deprecated", "is_test")))
+    return m.raw("pages").select("page_id", *(s[c].alias(c) for c in _TS))
+
+
+#: What a bit of a part's number puts into its text, and the signal that this sets.
+_RUST = [
+    ("#[must_use]\n", "must_use"), ("#[deprecated]\n", "is_deprecated"), ("#[tokio::test]\n", "is_test"), ("pub ", "is_public"), ("fn f(&mut self) ", "mutates_state"), ("-> Result<A, B> ", "is_fallible"),
+    ("{ x.unwrap();\n", "has_panic_risk"), (" unsafe { y }\n", "is_unsafe"), (" todo!();\n", "is_incomplete"), ("-> Option<A>", "is_nullable"), ("-> !", "is_diverging"),
+]
+_BITS = ", ".join(f"(p_partkey >> {k}) & 1 = 1 AS {name}" for k, (_, name) in enumerate(_RUST))
+
+
+@query(f"SELECT p_partkey, {_BITS}, p_size AS branch_count, CASE WHEN p_size > 25 THEN 'Call' || p_size END AS discarded FROM part")
+def rust_signals(m):
+    """The thirteen signals and counts, from texts that each part's number makes."""
+    k = F.col("p_partkey")
+    parts = [F.when(F.shiftright(k, i).bitwiseAND(1) == 1, text).otherwise("") for i, (text, _) in enumerate(_RUST)]
+    text = F.concat(*parts, F.lit("\n"), F.repeat(F.lit("if a {}\n"), F.col("p_size")), F.when(F.col("p_size") > 25, F.concat(F.lit("let _ = own::Call"), "p_size", F.lit("(1);\n"))).otherwise(""))
+    s = ext.signals(F.lit("rust"), text)
+    return m.raw("part").select("p_partkey", *(s[name].alias(name) for _, name in _RUST), s["branch_count"].alias("branch_count"), F.array_join(s["discarded"], ",").alias("d")).withColumn("discarded", F.nullif("d", F.lit(""))).drop("d")
 
 
 @query("SELECT item_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '-', 'g'), '-') AS slug FROM benchmark")

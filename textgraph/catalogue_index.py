@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import _NORMAL, _bm25, query
 from .functions import language_of
-from .operators import ancestry, history, names
+from .operators import ancestry, history, names, writes
 from .operators import extraction as ext
 from .operators.postings import Postings
 from .plans import artifact_passes, walk
@@ -437,3 +437,85 @@ def watched_paths(m):
     out = watch.settled(stream, datetime.timedelta(hours=12)).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     out.awaitTermination()
     return spark.read.schema(watch.SETTLED).parquet(f"{at}/out").filter("path <> '~end'").select("path", "change", F.sha2("content", 256).alias("hash"))
+
+
+# writes: two halves of the events as a table and what comes to it
+
+
+def _halves(m):
+    """(users' first events until the fifteenth, their last ones after it), with versions."""
+    e = m.raw("events").withColumn("late", F.dayofmonth("ts") > 15)
+    one = lambda rows, pick: rows.groupBy("user_id").agg(pick("event_id").alias("event_id")).select(F.col("user_id").cast("string").alias("id"), F.lit("log").alias("corpus_id"), "event_id")
+    return one(e.filter("not late"), F.min), one(e.filter("late"), F.max)
+
+
+MODEL_SQL["old_half"] = "SELECT user_id::VARCHAR AS id, min(event_id) AS event_id FROM events WHERE day(ts) <= 15 GROUP BY 1"
+MODEL_SQL["new_half"] = "SELECT user_id::VARCHAR AS id, max(event_id) AS event_id FROM events WHERE day(ts) > 15 GROUP BY 1"
+
+
+@query("SELECT id, event_id FROM old_half UNION ALL SELECT id, event_id FROM new_half WHERE id NOT IN (SELECT id FROM old_half)", "old_half", "new_half")
+def writes_inserted(m):
+    old, new = _halves(m)
+    return writes.inserted(old, new.union(new), ["id"]).select("id", "event_id")
+
+
+@query("SELECT id, event_id FROM new_half UNION ALL SELECT id, event_id FROM old_half WHERE id NOT IN (SELECT id FROM new_half)", "old_half", "new_half")
+def writes_replaced(m):
+    old, new = _halves(m)
+    return writes.replaced(old, new, ["id"]).select("id", "event_id")
+
+
+@query("SELECT id, event_id FROM old_half WHERE id NOT IN (SELECT id FROM new_half WHERE event_id % 2 = 0)", "old_half", "new_half")
+def writes_deleted(m):
+    old, new = _halves(m)
+    return writes.deleted(old, new.filter("event_id % 2 = 0"), ["id"]).select("id", "event_id")
+
+
+@query("SELECT event_type AS id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def writes_last_wins(m):
+    return writes.last_wins(m.raw("events").select(F.col("event_type").alias("id"), "event_id", "value"), ["id"], "event_id")
+
+
+@query("SELECT o.id, o.event_id, coalesce(CASE WHEN o.event_id % 3 = 0 THEN NULL ELSE 'v' || o.event_id END, 'last') AS version FROM old_half o", "old_half")
+def writes_stamped(m):
+    """Missing versions, filled from the corpus."""
+    old, _ = _halves(m)
+    rows = old.withColumn("derived_at_version", F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("v"), "event_id")))
+    corpora = m.raw("region").agg(F.lit("log").alias("id"), F.lit("last").alias("last_indexed_version"))
+    return writes.stamped(rows, corpora).select("id", "event_id", F.col("derived_at_version").alias("version"))
+
+
+@query("SELECT source AS corpus_id, count(*) AS n FROM documents WHERE source <> 'src3' GROUP BY 1")
+def writes_without_corpus(m):
+    left = writes.without_corpus({"chunks": m.chunks, "corpora": m.corpora}, "src3")
+    return left["chunks"].groupBy("corpus_id").agg(F.count("*").alias("n")).join(left["corpora"].select(F.col("id").alias("corpus_id")), "corpus_id", "left_semi")
+
+
+@query("SELECT 'chunks' AS \"table\", (SELECT count(*) FROM documents WHERE source <> 'src3') AS n UNION ALL SELECT 'corpora', (SELECT count(DISTINCT source) FROM documents) + 2 UNION ALL SELECT 'layer2_cache', 0")
+def writes_wiped(m):
+    """A fresh start of one corpus: its rows and the memo go, its registration stays."""
+    none = F.lit(None).cast("string")
+    tables = {"chunks": m.chunks, "corpora": m.corpora.select("*", none.alias("last_indexed_version"), none.alias("backfill_cursor")), "layer2_cache": m.raw("nation")}
+    out = None
+    for name, df in writes.wiped(tables, "src3").items():
+        row = df.agg(F.lit(name).alias("table"), F.count("*").alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("SELECT event_id AS id FROM events WHERE (event_id % 3 = 0) <> (event_id % 5 = 0)")
+def writes_valid_corrections(m):
+    """Corrections that name a corpus or a collection, but not both or neither."""
+    e = F.col("event_id")
+    rows = m.raw("events").select(e.alias("id"), F.when(e % 3 == 0, "c").alias("corpus_id"), F.when(e % 5 == 0, "k").alias("collection_id"))
+    return writes.valid_corrections(rows).select("id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'v1' ELSE 'v2' END AS introduced, 'v2' AS modified, CASE WHEN doc_id % 2 = 0 THEN 'first' END AS message, 'me' AS author FROM documents")
+def chunk_stamps(m):
+    """A change at v2 without a message: where a chunk came in stays, when it changed last doesn't."""
+    even = F.col("doc_id") % 2 == 0
+    none = F.lit(None).cast("string")
+    rows = m.chunks.select("doc_id", F.when(even, "v1").alias("introduced_at_version"), none.alias("last_modified_at_version"), F.when(even, "first").alias("last_modified_commit_message"), none.alias("last_modified_author"))
+    out = history.touched(rows, "v2", None, "me")
+    return out.select("doc_id", F.col("introduced_at_version").alias("introduced"), F.col("last_modified_at_version").alias("modified"), F.col("last_modified_commit_message").alias("message"), F.col("last_modified_author").alias("author"))

@@ -87,6 +87,16 @@ def occurrences(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def _more(text: Column, **own: Column) -> list[Column]:
+    """The signals that a language may lack, by name, in the order that all share."""
+    none = {"must_use": F.lit(False), "is_unsafe": F.lit(False), "is_diverging": F.lit(False), "branch_count": F.lit(0).cast("long"), "discarded": F.array().cast("array<string>")}
+    return [*((own.get(k, v)).alias(k) for k, v in none.items()), (F.size(F.split(text, "\n")) - 1).cast("long").alias("body_lines")]
+
+
+def _flagged(text: Column, panics: Column, **more: Column) -> list[Column]:
+    return [panics.cast("long").alias("panic_call_count"), (panics > 0).alias("has_panic_risk"), debt_markers(text).alias("debt_markers"), *_more(text, **more)]
+
+
 def typescript_signals(text: Column) -> Column:
     return F.struct(
         text.rlike(r"(?m)^\s*export\b").alias("is_public"),
@@ -96,8 +106,7 @@ def typescript_signals(text: Column) -> Column:
         text.contains("@deprecated").alias("is_deprecated"),
         text.rlike(r"[Nn]ot implemented").alias("is_incomplete"),
         text.rlike(r"\b(?:describe|it|test)\(").alias("is_test"),
-        (occurrences(text, r"\w!\.") + occurrences(text, r"\bas any\b")).cast("long").alias("panic_call_count"),
-        debt_markers(text).alias("debt_markers"),
+        *_flagged(text, occurrences(text, r"\w!\.") + occurrences(text, r"\bas any\b"), branch_count=occurrences(text, r"\b(?:if|for|while|switch|catch)\s*\(").cast("long")),
     )
 
 
@@ -110,12 +119,12 @@ def php_signals(text: Column) -> Column:
         text.contains("@deprecated").alias("is_deprecated"),
         text.rlike(r"[Nn]ot implemented").alias("is_incomplete"),
         text.rlike(r"extends \w*TestCase|function test\w*\(").alias("is_test"),
-        (occurrences(text, r"OrFail\(") + occurrences(text, r"\b(?:die|exit)\(")).cast("long").alias("panic_call_count"),
-        debt_markers(text).alias("debt_markers"),
+        *_flagged(text, occurrences(text, r"OrFail\(") + occurrences(text, r"\b(?:die|exit)\("), branch_count=occurrences(text, r"\b(?:if|for|foreach|while|switch|match|catch)\s*\(").cast("long")),
     )
 
 
 def rust_signals(text: Column) -> Column:
+    lines = F.filter(F.transform(F.split(text, "\n"), discarded_callee), lambda c: c.isNotNull())
     return F.struct(
         text.rlike(r"(?m)^\s*pub\b").alias("is_public"),
         text.rlike(r"->\s*(?:\w+::)*Result\b").alias("is_fallible"),
@@ -124,9 +133,11 @@ def rust_signals(text: Column) -> Column:
         text.contains("#[deprecated").alias("is_deprecated"),
         text.rlike(r"\b(?:todo|unimplemented)!").alias("is_incomplete"),
         text.rlike(r"#\[(?:\w+::)?test\]").alias("is_test"),
-        occurrences(text, r"\.unwrap\(\)|\.expect\(|\bpanic!").cast("long").alias("panic_call_count"),
-        debt_markers(text).alias("debt_markers"),
-    )
+        *_flagged(
+            text, occurrences(text, r"\.unwrap\(\)|\.expect\(|\bpanic!"), must_use=text.contains("#[must_use"), is_unsafe=is_unsafe(text), is_diverging=text.rlike(r"->\s*!"),
+            branch_count=occurrences(text, r"\b(?:if|match|loop|for|while)\b").cast("long"), discarded=lines,
+        ),
+    )
 
 
 def signals(language: Column, text: Column) -> Column:

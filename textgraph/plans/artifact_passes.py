@@ -346,15 +346,29 @@ def _of_corpus(rows: DataFrame, kind: str, memo: DataFrame, setting: Setting) ->
 PASSES = {"aliases": aliases, "purpose": purposes, "contract": contracts, "theme": themes}
 
 
+def logged(catalog: Catalog, name: str, setting: Setting, status: str, done: int = 0) -> DataFrame:
+    """The row of the log of a run: running, finished or failed."""
+    row = (f"{setting.corpus}/{name}/{setting.at}", setting.corpus, name, setting.at, None if status == "running" else setting.at, status, f'{{"processed": {done}}}', ",".join(sorted(set(setting.tiers.values()))))
+    return catalog.spark.createDataFrame([row], "id string, corpus_id string, pass string, started_at string, finished_at string, status string, stats string, provider string")
+
+
 def run_pass(catalog: Catalog, name: str, setting: Setting, levels: tuple[str, ...] = ("scene", "chapter"), touched: DataFrame | None = None) -> int:
-    """Runs a pass on a catalog: its rows, what they replace as history, memo and log are one version; another writer's change of what it has read is a Conflict. How many things were done."""
-    work = catalog.reading()
-    out = summaries(work.table, setting, levels, touched) if name == "summarize" else PASSES[name](work.table, setting)
-    done = out["done"].count()
-    log = catalog.spark.createDataFrame([(f"{setting.corpus}/{name}/{setting.at}", setting.corpus, name, setting.at, setting.at, "finished", f'{{"processed": {done}}}', ",".join(sorted(set(setting.tiers.values()))))], "id string, corpus_id string, pass string, started_at string, finished_at string, status string, stats string, provider string")
-    gone, past = out.get("gone", {}), {}
-    for n, df in out["changed"].items():
-        old = history.superseded(work.table(n), df, VERSIONED[n]).withColumns({"superseded_at": F.lit(setting.at), "superseded_at_sha": F.col("superseded_at_version")})
-        past[f"{n}_history"] = history.not_archived(work.table(f"{n}_history"), old, [*VERSIONED[n], "derived_at_kind", "derived_at_sha", "derived_at_version"])
-    work.commit(changed={n: (df, gone.get(n)) for n, df in out["changed"].items()}, appended={**past, "layer2_cache": out["memo"], "runs": log})
+    """Runs a pass on a catalog: its rows, what they replace as history, memo and log are one version; another writer's change of what it has read is a Conflict. How many things were done.
+
+    The log says that it runs, and then that it has finished or failed.
+    """
+    catalog.write(changed={"runs": (logged(catalog, name, setting, "running"), None)})
+    try:
+        work = catalog.reading()
+        out = summaries(work.table, setting, levels, touched) if name == "summarize" else PASSES[name](work.table, setting)
+        done = out["done"].count()
+        gone, past = out.get("gone", {}), {}
+        for n, df in out["changed"].items():
+            old = history.superseded(work.table(n), df, VERSIONED[n]).withColumns({"superseded_at": F.lit(setting.at), "superseded_at_sha": F.col("superseded_at_version")})
+            past[f"{n}_history"] = history.not_archived(work.table(f"{n}_history"), old, [*VERSIONED[n], "derived_at_kind", "derived_at_sha", "derived_at_version"])
+        changed = {n: (df, gone.get(n)) for n, df in out["changed"].items()} | {"runs": (logged(catalog, name, setting, "finished", done), None)}
+        work.commit(changed=changed, appended={**past, "layer2_cache": out["memo"]})
+    except Exception:
+        catalog.write(changed={"runs": (logged(catalog, name, setting, "failed"), None)})
+        raise
     return done

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +36,7 @@ def register_or_find(catalog: Catalog, kind: str, name: str, source: str, at: st
         raise ValueError(f"no id can be made of {name!r}")
     own = writes.free_id(corpora, wanted)
     row = spark.createDataFrame([(own, name, kind, source, "{}", "registered", at, PIPELINE_VERSION)], "id string, name string, kind string, source string, config string, status string, created_at string, pipeline_version int")
-    work.commit(replaced={"corpora": corpora.unionByName(as_table(row, "corpora"))})
+    work.commit(changed={"corpora": (as_table(row, "corpora"), None)})
     return own
 
 
@@ -140,11 +138,10 @@ def reindex(catalog: Catalog, corpus: str, sources: DataFrame, adapter: SourceAd
     for n, (df, _) in {"chunks": (new.unionByName(kept), None), **made}.items():
         # what comes back in the same version isn't gone
         changed[n] = (df, changed[n][1].join(df.select(*VERSIONED[n]), VERSIONED[n], "left_anti"))
-    others = work.table("sources").filter(F.col("corpus_id") != corpus)
-    kept_sources = old.join(changes.select("path"), "path", "left_anti").select("corpus_id", "path", "hash")
     now_sources = given.join(changes.select("path"), "path", "left_semi").select(F.lit(corpus).alias("corpus_id"), "path", "hash")
-    table = reduce(DataFrame.unionByName, [others.select("corpus_id", "path", "hash"), kept_sources, now_sources])
-    work.commit(changed=changed, appended=appended, replaced={"sources": table, "corpora": writes.indexed(work.table("corpora"), corpus, at, version)})
+    lost_sources = changes.filter("change = 'deleted'").select(F.lit(corpus).alias("corpus_id"), "path")
+    own = writes.indexed(work.table("corpora").filter(F.col("id") == corpus), corpus, at, version)
+    work.commit(changed=changed | {"sources": (now_sources, lost_sources), "corpora": (own, None)}, appended=appended)
     return {k: counts.get(k, 0) for k in ("added", "modified", "deleted")}
 
 

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import content_hash, edge_id, location_uri, model_tier
+from ..storage import written
 
 STAR = "star"
 _INDEXES: dict = {}
+_EDGES: dict = {}
 
 
 def _id(kind: str, key: Column | str) -> Column:
@@ -59,7 +61,11 @@ class Model:
         for p in parts[1:]:
             every = every.union(p)
         every = every.distinct()
-        return every.select(edge_id(F.lit(STAR), F.col("from_entity_id"), F.col("to_entity_id"), F.col("kind"), F.col("location_uri")).alias("id"), F.lit(STAR).alias("corpus_id"), "*")
+        # written once for a folder of tables in an application; a query then reads the columns that it needs
+        at = (self.dir, self.spark.sparkContext.applicationId)
+        if at not in _EDGES:
+            _EDGES[at] = written(every.select(edge_id(F.lit(STAR), F.col("from_entity_id"), F.col("to_entity_id"), F.col("kind"), F.col("location_uri")).alias("id"), F.lit(STAR).alias("corpus_id"), "*"), "edges")
+        return _EDGES[at]
 
     @cached_property
     def plain_entities(self) -> DataFrame:

@@ -30,6 +30,8 @@ HEAD = {
 
 #: Head tables whose rows are archived when a newer version replaces them, with their keys.
 VERSIONED = {"entities": ["id"], "edges": ["id"], "entity_purposes": ["entity_id", "model"], "entity_contracts": ["entity_id", "model"], "entity_blocks": ["id"], "summaries": ["corpus_id", "target_kind", "target_id", "model"], "chunks": ["id"], "themes": ["id"], "embeddings": ["id"]}
+#: Tables whose rows are told apart by a key, so that a commit may change some of them.
+KEYS = VERSIONED | {"runs": ["id"], "corpora": ["id"], "collections": ["id"], "sources": ["corpus_id", "path"]}
 #: The version of this data model.
 PIPELINE_VERSION = 3
 SUPERSEDED = "superseded_at_version string, superseded_at string, superseded_at_sha string"

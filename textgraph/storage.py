@@ -13,7 +13,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .schema import HEAD, PIPELINE_VERSION, VERSIONED, schema
+from .schema import HEAD, KEYS, PIPELINE_VERSION, schema
 
 GONE = "delta__gone"
 
@@ -189,7 +189,7 @@ class Catalog:
         base = self._files([p for _, p, _ in entry["parts"]]) if entry["parts"] else self.spark.createDataFrame([], schema(name))
         if not entry["deltas"]:
             return base
-        keys, last = VERSIONED[name], self._last(name, entry["deltas"])
+        keys, last = KEYS[name], self._last(name, entry["deltas"])
         # deltas are small beside the base, or have become part of it
         kept = base.join(last.select(*keys), keys, "left_anti").select(*base.columns)
         return kept.unionByName(last.filter(~F.col(GONE)).drop(GONE), allowMissingColumns=True).select(*base.columns)
@@ -197,7 +197,7 @@ class Catalog:
     def _last(self, name: str, deltas: list) -> DataFrame:
         """The last row of each key among deltas."""
         every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [self.spark.read.parquet(p).withColumn("delta__no", F.lit(k)) for k, (_, p, _) in enumerate(deltas)])
-        order = Window.partitionBy(*VERSIONED[name]).orderBy(F.desc("delta__no"))
+        order = Window.partitionBy(*KEYS[name]).orderBy(F.desc("delta__no"))
         return every.withColumn("delta__k", F.row_number().over(order)).filter("delta__k = 1").drop("delta__k", "delta__no")
 
     # writing
@@ -222,7 +222,7 @@ class Catalog:
     def write(self, replaced: dict[str, DataFrame] | None = None, changed: dict[str, tuple[DataFrame | None, DataFrame | None]] | None = None, appended: dict[str, DataFrame] | None = None, base: int | None = None, reads: Iterable[str] = ()) -> int:
         """The next version: whole tables, changes (rows, keys that go) of tables with a key, and rows for tables that only grow.
 
-        With a base, a table that is read or written here and has changed since is a Conflict.
+        With a base, a table that is read or changed here and has changed since is a Conflict; rows that are appended, and the log, are none.
         """
         replaced, changed, appended = replaced or {}, changed or {}, appended or {}
         for name in [*replaced, *changed, *appended]:
@@ -230,7 +230,7 @@ class Catalog:
         made = {name: ("replaced", [0, *self._write(name, df)]) for name, df in replaced.items()}
         for name, (rows, gone) in changed.items():
             marked = [] if rows is None else [rows.withColumn(GONE, F.lit(False))]
-            marked += [] if gone is None else [gone.select(*VERSIONED[name]).withColumn(GONE, F.lit(True))]
+            marked += [] if gone is None else [gone.select(*KEYS[name]).withColumn(GONE, F.lit(True))]
             delta = [0, *self._write(name, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked))]
             if delta[2]:
                 made[name] = ("changed", delta)
@@ -238,7 +238,7 @@ class Catalog:
             part = [0, *self._write(name, df)]
             if part[2]:
                 made[name] = ("appended", part)
-        touched = {*made, *reads}
+        touched = ({n for n, (how, _) in made.items() if how != "appended"} | set(reads)) - {"runs"}
         while True:
             now = self.version()
             entries = dict(self._manifest(now))
