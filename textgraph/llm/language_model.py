@@ -22,6 +22,7 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections import defaultdict
+from contextlib import contextmanager
 from itertools import count
 
 import numpy as np
@@ -34,7 +35,7 @@ from .common import UPPER, bucketed, one_thread, remainder, slots, written
 TOP, RARE = 1500, 48
 EMBED, HIDDEN = 12, 24
 FIRST, CLASSES = 40, 20
-CHUNK_TOKENS = 2_500_000
+CHUNK_TOKENS = 3_000_000
 WINDOW, STREAMS = 16, 384
 TRAIN_SHARE = (0.05, 0.95)
 GROUP_TOKENS, BUFFER = 2_500_000, 500_000
@@ -502,7 +503,20 @@ def scores(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([r.column("ids")[0].values, pa.array(held), pa.array(lens + 1), pa.array(known), pa.array(np.full(m, n, np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     joined = table.select("chunk", "words", "n_train", "flat", "lens", "train", "ids").join(back, "chunk", "left")
-    return joined.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    with single_rows(spark):
+        return written(joined.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
+
+
+@contextmanager
+def single_rows(spark: SparkSession):
+    """Within, batches that go to Python hold one row: a chunk is many megabytes, and several of them would lie in memory twice."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
