@@ -124,6 +124,32 @@ def test_ingest_and_reindex(spark, tmp_path):
         plans.ingest(spark, Catalog(spark, str(tmp_path / "new")), "book", "y", str(root), passes="summarize")
 
 
+def test_changes_by_git_and_time(spark, tmp_path):
+    import subprocess
+
+    root = tmp_path / "repo"
+    root.mkdir()
+    git = lambda *what: subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@example.com", *what], check=True, capture_output=True)
+    for n in "abc":
+        (root / f"{n}.md").write_text(f"# {n}\none")
+    git("init", "-q")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    catalog, adapter = Catalog(spark, str(tmp_path / "catalog")), adapters.WikiAdapter()
+    corpus = plans.ingest(spark, catalog, "wiki", "w", str(root), at="2024-01-01T00:00:00+00:00")
+    (root / "a.md").write_text("# a\ntwo")
+    (root / "b.md").unlink()
+    (root / "d.md").write_text("# d\nnew")
+    how, sources, partial = plans.changed_since(spark, catalog, corpus, str(root), adapter, "HEAD")
+    assert how == "git" and partial and rows(sources, "path", "content") == [("a", "# a\ntwo"), ("b", None), ("d", "# d\nnew")]
+    assert plans.reindex(catalog, corpus, sources, adapter, "2024-01-02", partial=True) == {"added": 1, "modified": 1, "deleted": 1}
+    assert {r["path"] for r in catalog.table("sources").collect()} == {"a", "c", "d"}
+    assert plans.changed_since(spark, catalog, corpus, str(root), adapter)[0] == "mtime"
+    assert plans.changed_since(spark, catalog, corpus, str(root), adapter, "2999-01-01")[1].count() == 0
+    with pytest.raises(ValueError):
+        plans.changed_since(spark, catalog, corpus, str(root), adapter, "no-such-ref")
+
+
 def test_passes_ask_once(spark, tmp_path):
     root = tmp_path / "code"
     root.mkdir()

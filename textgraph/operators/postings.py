@@ -103,6 +103,9 @@ class Postings:
         uris = [df.select("location_uri") for df in (rows, gone) if df is not None]
         if not uris:
             return
+        # files of a manifest that two others have followed may be gone
+        if any(n > f"index-{self.state['number']:09}" for n in self.folder.names() if n.startswith("index-")):
+            raise Conflict(f"another writer changed {self.folder.at}")
         touched = reduce(DataFrame.union, uris).distinct()
         at = f"graves-{uuid.uuid4().hex}"
         touched.write.parquet(f"{self.folder.at}/{at}")

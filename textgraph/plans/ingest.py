@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from ..schema import PIPELINE_VERSION, VERSIONED
 from ..sources.adapters import Registry, SourceAdapter, default_registry
 from ..sources.books import identified
 from ..storage import Catalog, Folder, written
-from ..streaming.reindex import dirty, manifest
+from ..streaming.reindex import dirty, git_changes, manifest, modified_since, since_strategy
 from .artifact_passes import Setting, as_table, run_pass
 from .passes import missing_prerequisites, parse_passes
 from .provider import DryRun, Provider
@@ -145,6 +146,29 @@ def reindex(catalog: Catalog, corpus: str, sources: DataFrame, adapter: SourceAd
     return {k: counts.get(k, 0) for k in ("added", "modified", "deleted")}
 
 
+def changed_since(spark: SparkSession, catalog: Catalog, corpus: str, root: str, adapter: SourceAdapter, since: str | None = None) -> tuple[str, DataFrame, bool]:
+    """(strategy, sources, partial) for reindex: by time of change for a date, by git for a ref where there is a repository, else all.
+
+    Without since, that of the last index. Times tell nothing of deletions, git does: those come with a null content.
+    """
+    row = catalog.table("corpora").filter(F.col("id") == corpus).select("last_indexed_at").first()
+    if row is None:
+        raise ValueError(f"no corpus {corpus}")
+    how, at = since_strategy(since, row[0], os.path.isdir(f"{root}/.git"))
+    sources = adapter.discover(spark, root, corpus)
+    if how == "git":
+        changes = git_changes(spark, root, at).withColumn("path", adapter.source_of(F.col("path")))
+        gone = changes.filter("change = 'deleted'").select(F.lit(corpus).alias("corpus_id"), "path", F.lit(None).cast("string").alias("content"))
+        return how, sources.join(changes.filter("change <> 'deleted'").select("path").distinct(), "path", "left_semi").select("corpus_id", "path", "content").unionByName(gone), True
+    if how == "mtime":
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        base = root.rstrip("/").rpartition("/")[2]
+        rel = F.substring_index("path", f"/{base}/", -1)
+        touched = modified_since(files, at).select(adapter.source_of(rel).alias("path"))
+        return how, sources.join(touched.distinct(), "path", "left_semi").select("corpus_id", "path", "content"), True
+    return how, sources, False
+
+
 def _version(old: DataFrame, changes: DataFrame, given: DataFrame) -> str:
     """The version of the tree that the changes make."""
     from ..operators.artifacts import tree_version

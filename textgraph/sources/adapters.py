@@ -46,6 +46,10 @@ class SourceAdapter:
     def structure(self, sources: DataFrame) -> tuple[DataFrame, DataFrame] | None:
         return None
 
+    def source_of(self, file: Column) -> Column:
+        """A source's path, of the path of its file below the root."""
+        return file
+
     def format_location(self, corpus: Column, path: Column) -> Column:
         return location_uri(corpus, path)
 
@@ -84,6 +88,9 @@ class WikiAdapter(SourceAdapter):
     def discover(self, spark: SparkSession, source: str, corpus: str) -> DataFrame:
         return wiki.read_pages(spark, source, corpus)
 
+    def source_of(self, file: Column) -> Column:
+        return F.regexp_replace(file, r"\.md$", "")
+
     def chunks(self, sources: DataFrame) -> DataFrame:
         return wiki.page_chunks(sources)
 

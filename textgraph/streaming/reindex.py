@@ -39,6 +39,26 @@ def since_strategy(since: str | None, last_indexed_at: str | None, has_git: bool
     return ("git", given) if has_git else ("full", None)
 
 
+def git_changes(spark: SparkSession, root: str, since: str) -> DataFrame:
+    """(path, change) of a repository's working tree against a commit or ref: added, modified, deleted; a renamed file is both. New files that git doesn't track yet count as added.
+
+    The list of names is made on the driver; contents are not.
+    """
+    import subprocess
+
+    def git(*what: str) -> list[str]:
+        out = subprocess.run(["git", "-C", root, *what], capture_output=True, text=True)
+        if out.returncode:
+            raise ValueError(f"git {what[0]}: {out.stderr.strip()}")
+        return [x for x in out.stdout.split("\0") if x]
+
+    kinds = {"A": "added", "M": "modified", "T": "modified", "D": "deleted"}
+    fields = git("diff", "--name-status", "--no-renames", "--relative", "-z", since)
+    rows = [(path, kinds.get(status, "modified")) for status, path in zip(fields[::2], fields[1::2], strict=True)]
+    rows += [(path, "added") for path in git("ls-files", "--others", "--exclude-standard", "-z")]
+    return spark.createDataFrame(rows, "path string, change string")
+
+
 def reindexed(chunks: DataFrame, changed: DataFrame, fresh: DataFrame, path: str = "path") -> tuple[DataFrame, DataFrame]:
     """(chunks, orphans): the chunks of changed paths (path) give way to fresh ones; orphans are ids that are gone. Other paths keep theirs."""
     touched = chunks.join(changed.select(path).distinct(), path, "left_semi").select(*chunks.columns)
