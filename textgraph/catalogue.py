@@ -374,7 +374,10 @@ def hybrid_search(m):
     return search.hybrid(m.chunks, vectors, "the of", m.query_vector(), alpha=0.3)
 
 
-@query()
+_SNIPPET = f"WITH {_bm25(['trash'], 'AND')}, t AS (SELECT * FROM k ORDER BY score DESC, uri LIMIT 20), x AS (SELECT t.uri, c.content, greatest(instr(lower(c.content), 'trash') - 80, 1) AS a FROM t JOIN chunks c ON c.location_uri = t.uri) SELECT uri, CASE WHEN a > 1 THEN '...' ELSE '' END || substr(content, a, 160) || CASE WHEN a + 160 <= length(content) THEN '...' ELSE '' END AS snippet FROM x"
+
+
+@query(_SNIPPET, "chunks")
 def snippet(m):
     hits = search.keyword(m.chunks, "trash")
     return hits.join(m.chunks, hits["uri"] == m.chunks["location_uri"]).select("uri", fn.snippet(F.col("content"), F.lit("trash")).alias("snippet"))
@@ -684,11 +687,19 @@ def export_jsonl_counts(m):
     return lines.groupBy(F.get_json_object("line", "$.record_type").alias("record_type")).agg(F.count("*").alias("n"))
 
 
-@query()
+_SYMBOLS = """WITH e AS (SELECT p.id, p.kind, min(x.location_uri) AS first FROM edges x JOIN plain_entities p ON p.id = x.to_entity_id GROUP BY ALL),
+r AS (SELECT from_entity_id AS id, string_agg('calls>' || t, ',' ORDER BY t) AS relations FROM (SELECT DISTINCT from_entity_id, to_entity_id AS t FROM edges) GROUP BY 1)
+SELECT f.location_uri, e.id AS symbol, e.kind, r.relations FROM (SELECT DISTINCT location_uri FROM edges) f LEFT JOIN e ON e.first = f.location_uri LEFT JOIN r ON r.id = e.id"""
+
+
+@query(_SYMBOLS, "edges", "plain_entities")
 def export_symbol_index(m):
     files = m.edges.select(F.lit("file").alias("kind"), "location_uri").distinct()
     entities = m.plain_entities.join(m.edges.groupBy(F.col("to_entity_id").alias("id")).agg(F.min("location_uri").alias("first_location_uri")), "id")
-    return exports.symbol_index(files, entities, m.edges.withColumn("kind", F.lit("calls")))
+    out = exports.symbol_index(files, entities, m.edges.withColumn("kind", F.lit("calls")))
+    each = out.select("location_uri", F.explode_outer("occurrences").alias("o"))
+    relations = F.array_join(F.transform("o.relations", lambda r: F.concat_ws(">", r["kind"], r["target"])), ",")
+    return each.select("location_uri", "o.symbol", "o.kind", relations.alias("relations"))
 
 
 @query()

@@ -330,15 +330,15 @@ def search_index_statistics(m):
 
 
 def _event_commits(m):
-    """Events as commits: every seventh follows the seventh before, others the last; every eleventh merges the third before."""
+    """Events as commits: every seventh, the main line, follows the seventh before, and others the last; of those side branches each third comes back to the main line."""
     e = F.col("event_id")
     first = m.raw("events").select(e.alias("k"), F.when(e % 7 == 0, e - 7).otherwise(e - 1).alias("p"), F.lit(0).alias("nth"))
-    merged = m.raw("events").filter(e % 11 == 0).select(e, e - 3, F.lit(1))
+    merged = m.raw("events").filter(e % 21 == 0).select(e, e - 1, F.lit(1))
     rows = first.union(merged)
     return rows.select(F.concat(F.lit("e"), "k").alias("id"), F.when(F.col("p") >= 0, F.concat(F.lit("e"), "p")).alias("parent"), "nth")
 
 
-_UP = "WITH RECURSIVE links AS (SELECT event_id AS k, CASE WHEN event_id % 7 = 0 THEN event_id - 7 ELSE event_id - 1 END AS p FROM events UNION ALL SELECT event_id, event_id - 3 FROM events WHERE event_id % 11 = 0), "
+_UP = "WITH RECURSIVE links AS (SELECT event_id AS k, CASE WHEN event_id % 7 = 0 THEN event_id - 7 ELSE event_id - 1 END AS p FROM events UNION ALL SELECT event_id, event_id - 1 FROM events WHERE event_id % 21 = 0), "
 
 
 @query(f"{_UP} up(k) AS (SELECT max(event_id) FROM events UNION SELECT p FROM links JOIN up USING (k) WHERE p >= 0) SELECT 'e' || k AS sha FROM up")
@@ -347,10 +347,10 @@ def commit_ancestors_by_labels(m):
     return ancestry.ancestors(ancestry.labelled(_event_commits(m)), f"e{last}")
 
 
-@query(f"{_UP} down(k) AS (SELECT (max(event_id) - min(event_id)) // 2 + 3 FROM events UNION SELECT l.k FROM links l JOIN down ON l.p = down.k) SELECT 'e' || k AS sha FROM down")
+@query(f"{_UP} down(k) AS (SELECT (max(event_id) - min(event_id)) // 14 * 7 FROM events UNION SELECT l.k FROM links l JOIN down ON l.p = down.k) SELECT 'e' || k AS sha FROM down")
 def commit_descendants_by_labels(m):
     low, high = m.raw("events").agg(F.min("event_id"), F.max("event_id")).first()
-    return ancestry.descendants(ancestry.labelled(_event_commits(m)), f"e{(high - low) // 2 + 3}")
+    return ancestry.descendants(ancestry.labelled(_event_commits(m)), f"e{(high - low) // 14 * 7}")
 
 
 MODEL_SQL["swept"] = "SELECT 'text://star/order/' || o_orderkey AS uri, sha256('order ' || o_orderkey) AS chunk, o_orderpriority = '1-URGENT' AS dirty FROM orders"

@@ -3,8 +3,9 @@
 Each commit lies on one chain, at one position; all commits before it on its chain are its ancestors. The parent edges
 that don't follow a chain (forks and merges) are links: from a position on one chain to one on another. So what a commit
 descends from is, for each chain that it reaches, all up to one position, and what descends from it all from one position
-on. Both are found over the links alone, a row for each chain, in as many rounds as chains are passed through. The labels
-take a row a commit, and no pairs are ever written.
+on. Both are found over the links alone, a row for each chain. A round follows every link once, so there are as many as
+links that a path must follow one after another: few where side branches come back to a main line, but many where side
+branches merge into each other in a long row. The labels take a row a commit, and no pairs are ever written.
 """
 
 from __future__ import annotations
@@ -35,9 +36,10 @@ def labelled(commits: DataFrame) -> Labels:
     first = F.min_by("parent", "nth") if "nth" in commits.columns else F.min("parent")
     edges = written(edges.select("id", "parent", *(["nth"] if "nth" in commits.columns else [])).distinct(), "parent-edges")
     up = edges.groupBy("id").agg(first.alias("up"))
-    # of several commits on one first parent, one carries on its chain
-    heirs = up.groupBy("up").agg(F.min("id").alias("id"))
+    up = written(up, "first-parents")
     ids = commits.select("id").union(edges.select("parent")).distinct()
+    # of several commits on one first parent, that with most behind it carries on its chain, so that few chains lie between any commit and its root
+    heirs = up.join(_behind(ids, up), "id").groupBy("up").agg(F.max_by("id", F.struct("behind", "id")).alias("id"))
     hops = written(ids.join(heirs, "id", "left").select("id", F.coalesce("up", "id").alias("to"), F.col("up").isNotNull().cast("long").alias("pos")), "chain-hops")
     while True:
         far = hops.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("pos").alias("more"))
@@ -51,6 +53,19 @@ def labelled(commits: DataFrame) -> Labels:
     return Labels(places, written(links, "chain-links"))
 
 
+def _behind(ids: DataFrame, up: DataFrame) -> DataFrame:
+    """(id, behind): how many commits come after each along first parents, itself included; jumps double each round."""
+    sizes = written(ids.withColumn("behind", F.lit(1).cast("long")), "chain-sizes")
+    jumps = up
+    while not jumps.isEmpty():
+        # what lies within twice the distance: within the distance, and within it of those just that far behind
+        more = jumps.join(sizes, "id").groupBy(F.col("up").alias("id")).agg(F.sum("behind").alias("more"))
+        sizes = written(sizes.join(more, "id", "left").select("id", (F.col("behind") + F.coalesce("more", F.lit(0))).alias("behind")), "chain-sizes")
+        far = jumps.select(F.col("id").alias("up"), F.col("up").alias("far"))
+        jumps = written(jumps.join(far, "up").select("id", F.col("far").alias("up")), "chain-jumps")
+    return sizes
+
+
 def _spread(start: DataFrame, ahead, best) -> DataFrame:
     """(chain, pos) that no step of ahead improves any more."""
     reach = written(start, "reach")

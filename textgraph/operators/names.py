@@ -10,8 +10,12 @@ MOST = 20
 
 
 def grams(text: Column, n: int = GRAM) -> Column:
-    """The distinct runs of n characters of a text, none where it is shorter."""
-    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda k: F.substr(text, k, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    """The distinct runs of n characters of a text, none where it is shorter; linear in its length."""
+    chars = F.split(text, "")
+    runs = chars
+    for k in range(1, n):
+        runs = F.zip_with(runs, F.slice(chars, k + 1, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.filter(runs, lambda r: r.isNotNull() & (r != "")))
 
 
 def _containing(names: DataFrame, entities: DataFrame, n: int) -> DataFrame:
