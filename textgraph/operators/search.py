@@ -79,9 +79,10 @@ def keyword(chunks: DataFrame, query: str, limit: int = 20, position: str | None
         return F.size(F.filter("w", lambda x: x == word))
 
     tf = [frequency(w).alias(f"tf{k}") for w, k in number.items()]
-    rows = words.select("location_uri", "corpus_id", F.size("w").alias("dl"), *tf)
+    # texts are taken apart once: the counts serve the statistics and the ranks
+    rows = written(words.select("location_uri", "corpus_id", F.size("w").alias("dl"), *tf), "search-counts")
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{number[t]}") > 0).cast("long")).alias(f"df{number[t]}") for t in terms))
-    return ranked(rows, written(stats, "search-statistics"), asked, number, limit, position, corpus, within)
+    return ranked(rows, stats, asked, number, limit, position, corpus, within)
 
 
 def ranked(rows: DataFrame, stats: DataFrame, asked: Query, number: dict[str, int], limit: int, position: str | None, corpus: str | None, within: DataFrame | None) -> DataFrame:
