@@ -4,8 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from textgraph.operators import history
+from textgraph.operators import history, names
 from textgraph.plans import model
+from textgraph.storage import honest_sizes
 
 
 def _scans(df, column: str) -> int:
@@ -39,3 +40,27 @@ def test_a_cascade_reads_the_edges_once(spark, tmp_path):
     assert sorted(r.id for r in touched.select("id").collect()) == ["1", "2", "5"]
     assert touched.columns == edges.columns and _scans(touched, "from_entity_id") == 1
     assert touched.select("id").filter(F.col("id") == "5").count() == 1
+
+
+def test_names_are_looked_up_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(names, "BLOCK", 2)
+    texts = ["The quick brown fox", "a quick brown bird", "Brown", "", None, "ab", "The quick brown foxes jump"]
+    entities = spark.createDataFrame([(f"e{k}", t, k % 3) for k, t in enumerate(texts)], "id string, canonical_name string, appearance_count int")
+    asked = ["quick brown ", "the quick brown fox", "BROWN", "ab", "a", "q", "quick brown b", "none of these", "", None]
+    found = names.resolved(spark.createDataFrame([(k, n) for k, n in enumerate(asked)], "key int, name string"), entities, 2)
+    want = []
+    for k, n in enumerate(asked):
+        hits = sorted((-(e % 3), f"e{e}") for e, t in enumerate(texts) if n and t and n.lower() in t.lower())
+        want += [(k, n, e) for _, e in hits[:2]]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
+def test_a_pass_sends_no_table_for_its_small_file(spark, tmp_path):
+    spark.range(300000).select(F.col("id"), F.lit("x" * 1000).alias("content")).write.parquet(f"{tmp_path}/packed")
+    packed = spark.read.parquet(f"{tmp_path}/packed")
+    plan = lambda: spark.range(10**9).join(packed, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan()
+    with honest_sizes(spark):
+        packed = spark.read.parquet(f"{tmp_path}/packed")
+        assert "BroadcastHashJoin" not in plan()
+    assert spark.conf.get("spark.sql.sources.fileCompressionFactor") == "1.0"
