@@ -2,10 +2,13 @@
 
 import re
 
+import duckdb
+
 from pyspark.sql import functions as F
 
+from textgraph import catalogue
 from textgraph.operators import history, names
-from textgraph.plans import model
+from textgraph.plans import artifact_passes, model
 from textgraph.storage import honest_sizes
 
 
@@ -64,3 +67,16 @@ def test_a_pass_sends_no_table_for_its_small_file(spark, tmp_path):
         packed = spark.read.parquet(f"{tmp_path}/packed")
         assert "BroadcastHashJoin" not in plan()
     assert spark.conf.get("spark.sql.sources.fileCompressionFactor") == "1.0"
+
+
+def test_summaries_of_many_groups_are_those_of_the_sql(spark, tmp_path, monkeypatch):
+    """More groups than lines of a prompt, over several ranges: the groups are cut by position in the whole, and once."""
+    monkeypatch.setattr(artifact_passes, "LINES", 3)
+    monkeypatch.setattr(artifact_passes, "RANGE", 8)
+    turns = spark.range(40).select(F.col("id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("said "), "id").alias("text"))
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    found = catalogue.QUERIES["summarize_pass"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    sql = catalogue.SQL["summarize_pass"].replace("// 200", "// 3").replace("% 200", "% 3").replace("> 200", "> 3").replace("<= 200", "<= 3")
+    assert sorted(tuple(r) for r in found) == sorted(con.sql(sql).fetchall())
