@@ -1,5 +1,6 @@
 """Steps whose cost at size was found too high: what they write and how often they read, beside right results."""
 
+import os
 import re
 
 import duckdb
@@ -80,3 +81,12 @@ def test_summaries_of_many_groups_are_those_of_the_sql(spark, tmp_path, monkeypa
     con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     sql = catalogue.SQL["summarize_pass"].replace("// 200", "// 3").replace("% 200", "% 3").replace("> 200", "> 3").replace("<= 200", "<= 3")
     assert sorted(tuple(r) for r in found) == sorted(con.sql(sql).fetchall())
+
+
+def test_tools_write_what_they_read(spark, tmp_path):
+    """A list of blocks needs no edges, and writes none."""
+    for t in os.listdir("/root/testdata/sf0.001"):
+        os.symlink(f"/root/testdata/sf0.001/{t}", f"{tmp_path}/{t}")
+    assert catalogue.QUERIES["block_list"](spark, str(tmp_path)).count() == 25
+    assert (str(tmp_path), spark.sparkContext.applicationId) not in model._EDGES
+    assert catalogue.QUERIES["tool_corpus_list"](spark, str(tmp_path)).count()

@@ -29,8 +29,30 @@ MODEL_SQL |= {
 }
 
 
+class OnDemand(Catalog):
+    """A catalog whose tables are written whole, each when it is first read: a query pays for the tables that it reads, and for no others."""
+
+    def __init__(self, spark, root: str, tables: dict):
+        super().__init__(spark, root)
+        self._unwritten = tables
+
+    def _fill(self, name: str) -> None:
+        if name in self._unwritten:
+            table = self._unwritten[name]
+            self.commit(**{name: table() if callable(table) else table})
+            del self._unwritten[name]
+
+    def table(self, name: str, version: int | None = None):
+        self._fill(name)
+        return super().table(name, version)
+
+    def changed_at(self, name: str) -> int:
+        self._fill(name)
+        return super().changed_at(name)
+
+
 def _tables(m) -> dict:
-    """The tables of a catalog: the order schema as the corpus `star`, conversations as the book `chat`, events as what models said of customers."""
+    """The tables of a catalog, or functions that give them: the order schema as the corpus `star`, conversations as the book `chat`, events as what models said of customers."""
     s, null = m.spark, lambda kind="string": F.lit(None).cast(kind)
     version = [null().alias(c) for c in ("derived_at_version", "derived_at_kind", "derived_at_sha")]
     e = m.raw("events")
@@ -48,9 +70,12 @@ def _tables(m) -> dict:
     heads = c.select("conv_id").distinct().select(F.concat(F.lit("conversation number "), "conv_id").alias("content"), null().alias("parent_path"), F.lit("chapter").alias("kind"), chapter.alias("location_uri"), F.lit("chat").alias("corpus_id"))
     docs = m.chunks.select("content", null().alias("parent_path"), F.lit("chapter").alias("kind"), "location_uri", "corpus_id")
     chunks = turns.union(heads).union(docs)
-    ends = m.edges.select(F.col("from_entity_id").alias("id"), "location_uri").union(m.edges.select("to_entity_id", "location_uri"))
-    places = ends.groupBy("id").agg(F.count("*").alias("appearance_count"), F.min("location_uri").alias("first_location_uri"), F.max("location_uri").alias("last_location_uri"))
-    typed = lookups.with_abstract_kind(m.plain_entities, m.corpora, m.taxonomy).join(places, "id", "left")
+
+    def typed():
+        ends = m.edges.select(F.col("from_entity_id").alias("id"), "location_uri").union(m.edges.select("to_entity_id", "location_uri"))
+        places = ends.groupBy("id").agg(F.count("*").alias("appearance_count"), F.min("location_uri").alias("first_location_uri"), F.max("location_uri").alias("last_location_uri"))
+        return lookups.with_abstract_kind(m.plain_entities, m.corpora, m.taxonomy).join(places, "id", "left")
+
     n, regions, region = m.raw("nation"), m.raw("region"), F.concat(F.lit("region:"), "r_regionkey")
     members = [("all", "langs", "collection"), ("all", "star", "corpus"), ("langs", "chat", "corpus"), ("langs", "all", "collection"), ("other", "web", "corpus")]
     edits = last.filter("event_type = 'error'").select(named("x").alias("id"), star, null().alias("collection_id"), F.lit("edit_summary").alias("kind"), F.to_json(F.struct(F.lit("edit_summary").alias("type"), F.lit("entity").alias("target_kind"), who.alias("target_id"), named("edit ").alias("text"))).alias("payload"), at.alias("applied_at"))
@@ -60,8 +85,8 @@ def _tables(m) -> dict:
     return {
         "corpora": corpora.select("id", F.col("id").alias("name"), "kind", null().alias("source"), F.lit("{}").alias("config"), F.lit("ready").alias("status"), F.col("id").alias("created_at"), null().alias("last_indexed_at"), F.lit(3).alias("pipeline_version"), null().alias("last_indexed_version"), null().alias("backfill_cursor")),
         "chunks": chunks.select(F.sha2("content", 256).alias("id"), "corpus_id", "parent_path", "kind", "location_uri", "content", F.octet_length("content").cast("long").alias("byte_length"), F.lit("").alias("created_at"), (F.col("kind") == "scene").alias("semantic_processed"), F.when(F.col("kind") == "scene", F.sha2("parent_path", 256)).alias("source_hash"), *(null().alias(x) for x in ("introduced_at_version", "last_modified_at_version", "last_modified_commit_message", "last_modified_author")), *version, null().alias("file_shape_hash")),
-        "entities": typed.select("id", "corpus_id", "canonical_name", "kind", "abstract_kind", none.alias("aliases"), null().alias("description"), "first_location_uri", "last_location_uri", F.coalesce("appearance_count", F.lit(0)).alias("appearance_count"), F.lit(0.9).alias("confidence"), *version, F.lit("").alias("content_hash")),
-        "edges": m.edges.select("id", "corpus_id", "from_entity_id", "to_entity_id", "kind", "location_uri", F.lit(0.5).alias("confidence"), *version),
+        "entities": lambda: typed().select("id", "corpus_id", "canonical_name", "kind", "abstract_kind", none.alias("aliases"), null().alias("description"), "first_location_uri", "last_location_uri", F.coalesce("appearance_count", F.lit(0)).alias("appearance_count"), F.lit(0.9).alias("confidence"), *version, F.lit("").alias("content_hash")),
+        "edges": lambda: m.edges.select("id", "corpus_id", "from_entity_id", "to_entity_id", "kind", "location_uri", F.lit(0.5).alias("confidence"), *version),
         "summaries": said.select(named("s").alias("id"), star, F.lit("entity").alias("target_kind"), who.alias("target_id"), F.lit("summary").alias("depth"), named("summary ").alias("text"), *of_model, *version),
         "entity_purposes": said.select(who.alias("entity_id"), star, named("purpose ").alias("purpose"), *of_model, *version),
         "entity_contracts": said.select(who.alias("entity_id"), star, *(v.alias(k) for k, v in flags.items()), F.lit(0).cast("long").alias("panic_call_count"), none.alias("debt_markers"), none.alias("assumptions"), F.when(F.col("value") > 200, F.array(F.lit("high"))).otherwise(none).alias("risks"), F.when(F.col("value").between(40, 41), "gap").alias("intent_gap"), null().alias("caller_notes"), *of_model, *version),
@@ -75,12 +100,10 @@ def _tables(m) -> dict:
 
 
 def tools(m) -> Tools:
-    """The tools over a catalog of these tables, written once for a folder in an application."""
+    """The tools over a catalog of these tables, each written once for a folder in an application, when a tool reads it."""
     at = f"{shared_dir(m.spark)}/catalog-{hashlib.sha256(m.dir.encode()).hexdigest()[:16]}"
     if at not in _TOOLS:
-        catalog = Catalog(m.spark, at)
-        catalog.commit(**_tables(m))
-        _TOOLS[at] = Tools(catalog)
+        _TOOLS[at] = Tools(OnDemand(m.spark, at, _tables(m)))
     return _TOOLS[at]
 
 
