@@ -2,8 +2,10 @@
 
 import os
 import re
+from types import SimpleNamespace
 
 import duckdb
+import pandas as pd
 
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from textgraph import catalogue
 from textgraph.operators import history, names
 from textgraph.plans import artifact_passes, model
 from textgraph.storage import honest_sizes
+from textgraph.streaming import watch
 
 
 def _scans(df, column: str) -> int:
@@ -90,3 +93,74 @@ def test_tools_write_what_they_read(spark, tmp_path):
     assert catalogue.QUERIES["block_list"](spark, str(tmp_path)).count() == 25
     assert (str(tmp_path), spark.sparkContext.applicationId) not in model._EDGES
     assert catalogue.QUERIES["tool_corpus_list"](spark, str(tmp_path)).count()
+
+
+class _State:
+    """A value or list state that counts how often it is read."""
+
+    def __init__(self):
+        self.rows, self.reads = [], 0
+
+    def get(self):
+        self.reads += 1
+        return tuple(self.rows)
+
+    def exists(self):
+        return bool(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    update = put
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def clear(self):
+        self.rows = []
+
+
+class _Handle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getListState(self, name, schema):
+        return self.states.setdefault(name, _State())
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_a_path_with_many_events_is_decided_at_once():
+    """One timer a path, and its state is read once however many of its events are over; batches and order don't matter."""
+    at = [pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=10 * k - (7 if k % 5 == 4 else 0)) for k in range(1000)]
+    events = pd.DataFrame({"path": "a", "at": at, "content": [None if k % 7 == 0 else f"c{k % 3}" for k in range(1000)]})
+    found = []
+    for sizes in ([1000], [400, 600]):
+        handle, watcher, out = _Handle(), watch.Debounce(5000), []
+        watcher.init(handle)
+        own, k = events.sample(frac=1, random_state=len(sizes)), 0
+        for n in sizes:
+            watcher.handleInputRows(("a",), iter([own[k : k + n]]), None)
+            k += n
+            assert len(handle.timers) == 1
+        over = int(at[700].timestamp() * 1000) + 1
+        for now in (over, 1 << 50):
+            timers = SimpleNamespace(getCurrentWatermarkInMs=lambda now=now: now)
+            while handle.timers and min(handle.timers) <= now:
+                first = min(handle.timers)
+                out += list(watcher.handleExpiredTimer(("a",), timers, SimpleNamespace(getExpiryTimeInMs=lambda first=first: first)))
+                handle.timers.remove(first)
+        assert sum(s.reads for s in handle.states.values()) < 12 and not handle.timers
+        found.append([tuple(r) for p in out for r in p[["change", "content", "at"]].astype(object).where(lambda p: p.notna(), None).itertuples(index=False)])
+    last, want = None, []
+    for k, (t, c) in enumerate(zip(events["at"], events["content"])):
+        if not any(t < other <= t + pd.Timedelta(seconds=5) for other in at[max(0, k - 3) : k + 4]) and c != last:
+            want.append(("deleted" if c is None else "added" if last is None else "modified", c, t))
+            last = c
+    assert found[0] == found[1] == want

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 from collections.abc import Iterator
@@ -19,9 +20,10 @@ class Debounce(StatefulProcessor):
     """Of each path the content that it settles at: that of an event which none follows within the delay.
 
     State: the path's events whose delay isn't over, and the digest of what was given out last, none while the path isn't
-    there. Each event has a timer. When it fires, the watermark has passed the event's delay, so nothing that matters can
-    still come, and what is given out doesn't depend on how events fall into batches or in which order they come. Contents
-    that are what was given out last, and deletions of what never was, are nothing.
+    there. A path has one timer, for its earliest event. When it fires, all events whose delay the watermark has passed are
+    decided at once, so nothing that matters can still come, a path's state is read once however many they are, and what
+    is given out doesn't depend on how events fall into batches or in which order they come. Contents that are what was
+    given out last, and deletions of what never was, are nothing.
     """
 
     def __init__(self, delay_ms: int):
@@ -29,48 +31,65 @@ class Debounce(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getListState("events", "at timestamp, content string")
+        # times in microseconds
+        self.pending = handle.getListState("pending", "at long, content string")
         self.sent = handle.getValueState("sent", "digest string")
 
+    def _due(self, events: list[tuple[int, str | None]]) -> int:
+        return min(at for at, _ in events) // 1000 + self.delay_ms
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = list(self.events.get())
+        new = []
         for pdf in rows:
-            for at, content in zip(pdf["at"], pdf["content"], strict=True):
-                if at is not None and at == at:
-                    known.append((at.to_pydatetime(), content if isinstance(content, str) else None))
-                    self.handle.registerTimer(_ms(at) + self.delay_ms)
-        if known:
-            self.events.put(known)
+            own = pdf[pdf["at"].notna()]
+            new += [(at, content if isinstance(content, str) else None) for at, content in zip(_micros(own["at"]), own["content"], strict=True)]
+        if new:
+            old = list(self.pending.get())
+            due = self._due(new)
+            if not old or due < self._due(old):
+                if old:
+                    self.handle.deleteTimer(self._due(old))
+                self.handle.registerTimer(due)
+            self.pending.appendList(new)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        known = list(self.events.get())
-        own = [e for e in known if _ms(e[0]) == end - self.delay_ms]
-        later = [e for e in known if _ms(e[0]) > end - self.delay_ms]
-        if later:
-            self.events.put(later)
+        over = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) - self.delay_ms
+        # of one millisecond the latest counts, then what is there before what isn't
+        known = sorted(self.pending.get(), key=lambda e: (e[0], e[1] is not None, e[1] or ""))
+        times = [at // 1000 for at, _ in known]
+        n = bisect.bisect_right(times, over)
+        if n < len(known):
+            self.pending.put(known[n:])
+            self.handle.registerTimer(times[n] + self.delay_ms)
         else:
-            self.events.clear()
-        if not own or any(_ms(e[0]) <= end for e in later):
-            return
-        at, content = max(own, key=lambda e: (e[0], e[1] is not None, e[1] or ""))
-        digest = None if content is None else hashlib.sha256(content.encode()).hexdigest()
-        known = self.sent.get()[0] if self.sent.exists() else None
-        if digest is None:
+            self.pending.clear()
+        before = last = self.sent.get()[0] if self.sent.exists() else None
+        out = []
+        for k in range(n):
+            if k + 1 < len(times) and times[k + 1] <= times[k] + self.delay_ms:
+                continue
+            at, content = known[k]
+            digest = None if content is None else hashlib.sha256(content.encode()).hexdigest()
+            if digest != last:
+                out.append((key[0], "deleted" if digest is None else "added" if last is None else "modified", content, at))
+            last = digest
+        if last is None:
             self.sent.clear()
-        else:
-            self.sent.update((digest,))
-        if digest != known:
-            yield pd.DataFrame({"path": [key[0]], "change": ["deleted" if digest is None else "added" if known is None else "modified"], "content": [content], "at": [at]})
+        elif last != before:
+            self.sent.update((last,))
+        if out:
+            made = pd.DataFrame(out, columns=["path", "change", "content", "at"])
+            made["at"] = pd.to_datetime(made["at"], unit="us")
+            yield made
 
     def close(self) -> None:
         pass
 
 
-def _ms(at) -> int:
-    own = pd.Timestamp(at)
-    return int((own.tz_localize("UTC") if own.tzinfo is None else own).timestamp() * 1000)
+def _micros(at: pd.Series) -> list[int]:
+    own = at.dt.tz_convert("UTC").dt.tz_localize(None) if at.dt.tz is not None else at
+    return own.astype("datetime64[us]").astype("int64").tolist()
 
 
 def settled(events: DataFrame, delay: datetime.timedelta = datetime.timedelta(milliseconds=500), late: str = "10 seconds") -> DataFrame:
