@@ -615,3 +615,15 @@ def test_toxicity_marks_found_as_defined():
         find = toxicity.Finder(own)
         for text in texts * 2:
             assert {own[k] for k in find(text)} == shown(text) & set(own)
+
+
+def test_sentencepiece_merges_few_words_at_once(monkeypatch):
+    """However many new words a batch brings, what lies in memory beside their ids is bounded; ids are 32-bit numbers."""
+    own = sentencepiece_codec.Codec(sentencepiece_codec._read(sentencepiece_codec.default_model()))
+    sizes, rounds = [], own._rounds
+    monkeypatch.setattr(own, "_rounds", lambda words: sizes.append(len(words)) or rounds(words))
+    texts = [" ".join(f"w{k}x{k * k}é" for k in range(n, n + 5000)) for n in range(0, 25000, 5000)]
+    found = list(own.encode(texts))
+    assert sum(sizes) == 25000 and max(sizes) <= 10_000
+    assert all(len(ids) % 4 == 0 and isinstance(ids, bytes) for ids in own.known.values())
+    assert [own.decode(ids) for ids in found] == texts

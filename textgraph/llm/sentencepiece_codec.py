@@ -17,6 +17,7 @@ import codecs
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -29,6 +30,8 @@ MARK = "▁"
 LONG = 3000
 #: Distinct words whose ids a worker remembers; beyond, it starts anew.
 REMEMBERED = 400_000
+#: Words that are merged at once, and rows that are encoded at once: what lies in memory beside what is remembered.
+AT_ONCE, ROWS = 10_000, 200
 NEVER = np.int64(1) << 40
 
 codecs.register_error("one_by_one", lambda e: ("�", e.start + 1))
@@ -73,7 +76,8 @@ class Codec:
         self.text_of = [self._surface(library, i, p) for i, p in enumerate(pieces)]
         self.silent = {i for i in range(n) if library.is_control(i)}
         self.decimal = [str(i) for i in range(n)]
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: The ids of words, as 32-bit numbers.
+        self.known: dict[str, bytes] = {}
 
     @staticmethod
     def _surface(library, i: int, piece: str) -> bytes:
@@ -196,18 +200,18 @@ class Codec:
             offer(np.array(others, np.int64))
         return sym[alive].tolist()
 
-    def _ids(self, word: str, symbols: list[int]) -> tuple[int, ...]:
-        if all(s < self.n for s in symbols):
-            return tuple(symbols)
-        out, at = [], 0
+    def _ids(self, word: str, symbols: list[int]) -> bytes:
+        if max(symbols, default=0) < self.n:
+            return array("i", symbols).tobytes()
+        out, at = array("i"), 0
         for s in symbols:
             if s < self.n:
                 out.append(s)
                 at += len(self.text_of[s].decode())
             else:  # a character without a piece
-                out += [self.byte_ids[b] for b in word[at].encode()]
+                out.extend(self.byte_ids[b] for b in word[at].encode())
                 at += 1
-        return tuple(out)
+        return out.tobytes()
 
     def learn(self, words: set[str]) -> None:
         """Adds the ids of words to those known."""
@@ -216,8 +220,8 @@ class Codec:
             self.known.clear()
             new = list(words)
         short = [w for w in new if len(w) <= LONG]
-        for k in range(0, len(short), 50_000):
-            part = short[k : k + 50_000]
+        for k in range(0, len(short), AT_ONCE):
+            part = short[k : k + AT_ONCE]
             for w, symbols in zip(part, self._rounds(part), strict=True):
                 self.known[w] = self._ids(w, symbols)
         for w in new:
@@ -236,7 +240,7 @@ class Codec:
         parts = [self.split(t) for t in texts]
         self.learn(set(chain.from_iterable(parts)))
         for p in parts:
-            yield list(chain.from_iterable(map(self.known.__getitem__, p)))
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, p)), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.text_of.__getitem__, ids))
@@ -270,8 +274,8 @@ def _over(docs: DataFrame, path: str | None, fields: str, make) -> DataFrame:
     def run(batches):
         own = codec(model.value)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 made = [make(own, ids) for ids in own.encode(texts)]
                 columns = [pa.array(c) for c in zip(*made)]
