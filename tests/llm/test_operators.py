@@ -627,3 +627,21 @@ def test_sentencepiece_merges_few_words_at_once(monkeypatch):
     assert sum(sizes) == 25000 and max(sizes) <= 10_000
     assert all(len(ids) % 4 == 0 and isinstance(ids, bytes) for ids in own.known.values())
     assert [own.decode(ids) for ids in found] == texts
+
+
+def test_language_model_joins_counts_of_words_of_several_chunks(spark, monkeypatch):
+    """Words of one chunk alone keep its count; a word that other chunks train on is known where it is held out."""
+    monkeypatch.setattr(language_model, "CHUNK_TOKENS", 1)
+    monkeypatch.setattr(language_model.chunks, "__defaults__", (1,))
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 10 == 0)
+    train = [k for k in range(100) if zlib.crc32(str(k).encode()) % 10][:3]
+    df = spark.createDataFrame([(train[0], "alpha beta"), (train[1], "alpha gamma"), (train[2], "delta"), (held, "alpha beta omega")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_model.scores(df).collect()}
+    count, total = {"alpha": 2, "beta": 1, "gamma": 1, "delta": 1}, 8
+    for k, text in df.collect():
+        z = np.log10(total + 0.1 * 6)
+        base = sum(np.log10(count.get(w, 0) + 0.1) - z for w in text.split()) + np.log10(3 + 0.1) - z
+        assert abs(got[k]["base_score"] - base) < 1e-9
+        assert got[k]["n_known"] == sum(w in count for w in text.split()) + 1 and got[k]["train_tokens"] == total
+    table = language_model.chunks(df)
+    assert dict(table.dtypes)["n_train"] == "array<int>"

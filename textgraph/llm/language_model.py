@@ -74,7 +74,7 @@ def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
             n = np.bincount(flat[train], minlength=len(ids))
             # words hold no space
             made = pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + seq], pa.int64()), pa.array([b" ".join(ids).decode()]), pa.array([n], pa.list_(pa.int64())), pa.array([flat.astype("<u4").tobytes()], pa.binary()), pa.array([lens.tobytes()], pa.binary()), pa.array([np.array(keep, np.uint8).tobytes()], pa.binary()), pa.array([np.array(marks, "<i8").tobytes()], pa.binary()), pa.array([own], pa.list_(batch.schema.field("doc_id").type))],
+                [pa.array([(part << 32) + seq], pa.int64()), pa.array([b" ".join(ids).decode()]), pa.array([n.astype(np.int32)], pa.list_(pa.int32())), pa.array([flat.astype("<u4").tobytes()], pa.binary()), pa.array([lens.tobytes()], pa.binary()), pa.array([np.array(keep, np.uint8).tobytes()], pa.binary()), pa.array([np.array(marks, "<i8").tobytes()], pa.binary()), pa.array([own], pa.list_(batch.schema.field("doc_id").type))],
                 names=["chunk", "words", "n_train", "flat", "lens", "train", "marks", "ids"],
             )
             seq, ids, own, marks, keep, at, held = seq + 1, fresh(), [], [], [], [], 0
@@ -95,7 +95,7 @@ def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
             yield row()
 
     rows = docs.select("doc_id", F.xxhash64(F.lit(SEED), "doc_id").alias("mark"), (remainder(F.col("doc_id"), 10) != 0).alias("train"), "text")
-    return rows.mapInArrow(run, f"chunk long, words string, n_train array<long>, flat binary, lens binary, train binary, marks binary, ids array<{kind.simpleString()}>")
+    return rows.mapInArrow(run, f"chunk long, words string, n_train array<int>, flat binary, lens binary, train binary, marks binary, ids array<{kind.simpleString()}>")
 
 
 # the network
@@ -458,7 +458,8 @@ def scores(docs: DataFrame) -> DataFrame:
     # in buckets by chunk, so that the counts come to the chunks and not the other way
     table = bucketed(chunks(docs), "lm-chunks", "chunk", slots(spark))
     words = table.filter("words <> ''").select("chunk", F.posexplode(F.arrays_zip(F.split("words", " ").alias("w"), F.col("n_train").alias("n"))).alias("pos", "x")).select("chunk", "pos", F.col("x.w").alias("word"), F.col("x.n").alias("n"))
-    counts = written(words.filter("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
+    counted = written(words.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("chunks")).filter("c > 0"), "lm-counts")
+    counts = counted.select("word", "c")
     n_docs = docs.filter(remainder(F.col("doc_id"), 10) != 0).count()
     whole = counts.agg(F.count("*"), F.sum("c")).first()
     v, n = (whole[0] or 0) + (n_docs > 0), (whole[1] or 0) + n_docs
@@ -473,8 +474,8 @@ def scores(docs: DataFrame) -> DataFrame:
     # log10 of what the counts of each rare class are divided by
     below = np.log10(rare[:, 1] + 0.1 * (rare[:, 0] + 1))
     sent = spark.sparkContext.broadcast(pickle.dumps((model, below, n, v, n_docs)))
-    # most words are of one chunk alone, which knows their count
-    back = words.join(counts, "word").filter("c <> n").groupBy("chunk").agg(F.collect_list(F.struct("pos", "c")).alias("known"))
+    # most words are of one chunk alone, which knows their count: they are not joined
+    back = words.join(counted.filter("chunks > 1").select("word", "c"), "word").filter("c <> n").groupBy("chunk").agg(F.collect_list(F.struct("pos", "c")).alias("known"))
     back = back.select("chunk", F.col("known.pos").alias("pos"), F.col("known.c").alias("c"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
