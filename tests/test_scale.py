@@ -9,9 +9,10 @@ import pandas as pd
 
 from pyspark.sql import functions as F
 
-from textgraph import catalogue
+from textgraph import catalogue, catalogue_index
 from textgraph.operators import history, names
 from textgraph.plans import artifact_passes, model
+from textgraph.sources import code
 from textgraph.storage import honest_sizes
 from textgraph.streaming import watch
 
@@ -164,3 +165,14 @@ def test_a_path_with_many_events_is_decided_at_once():
             want.append(("deleted" if c is None else "added" if last is None else "modified", c, t))
             last = c
     assert found[0] == found[1] == want
+
+
+def test_code_edges_lex_once_over_all_tasks(spark):
+    """Six kinds of edges are taken from one reading of the items, and parts of one small file are dealt over all tasks."""
+    m = model.Model(spark, "/root/testdata/sf0.001")
+    files = catalogue_index._code_files(m)
+    assert files.rdd.getNumPartitions() == 4
+    out = code.edges(code.structure(files), "c")
+    assert len(re.findall(r"MapInArrow", out._jdf.queryExecution().optimizedPlan().toString())) == 1
+    none = spark.createDataFrame([], code.structure(files).schema)
+    assert code.edges(none, "c").count() == 0

@@ -139,9 +139,13 @@ def edges(items: DataFrame, corpus: str) -> DataFrame:
     c = F.lit(corpus)
     uri = location_uri(c, F.concat(F.lit("src/"), "path"))
     own = code_entity_id(c, F.when(F.col("kind") == "file", F.col("path")).otherwise(_symbol()))
-    out = items.filter(OWN).select(code_entity_id(c, F.coalesce("owner", "path")).alias("a"), own.alias("b"), F.lit("defines").alias("kind"), uri.alias("location_uri"))
+    edge = lambda a, b, kind: F.struct(a.alias("a"), b.alias("b"), F.lit(kind).alias("kind"))
+    none = F.array().cast("array<struct<a:string,b:string,kind:string>>")
+    # the items are read once: to lex them is what takes time
+    found = [F.when(F.expr(OWN), F.array(edge(code_entity_id(c, F.coalesce("owner", "path")), own, "defines"))).otherwise(none)]
     for column, kind in (("calls", "calls"), ("imports", "imports"), ("bases", "extends"), ("implements", "implements"), ("instantiates", "instantiates")):
-        out = out.union(items.select(own.alias("a"), F.explode(column).alias("x"), uri.alias("u")).select("a", code_entity_id(c, F.col("x")), F.lit(kind), "u"))
+        found.append(F.coalesce(F.transform(column, lambda x: edge(own, code_entity_id(c, x), kind)), none))
+    out = items.select(F.explode(F.concat(*found)).alias("e"), uri.alias("location_uri")).select("e.a", "e.b", "e.kind", "location_uri")
     out = out.distinct()
     return out.select(edge_id(c, F.col("a"), F.col("b"), F.col("kind"), F.col("location_uri")).alias("id"), c.alias("corpus_id"), F.col("a").alias("from_entity_id"), F.col("b").alias("to_entity_id"), "kind", "location_uri", F.lit(0.9).alias("confidence"))
 
