@@ -173,6 +173,6 @@ def test_code_edges_lex_once_over_all_tasks(spark):
     files = catalogue_index._code_files(m)
     assert files.rdd.getNumPartitions() == 4
     out = code.edges(code.structure(files), "c")
-    assert len(re.findall(r"MapInArrow", out._jdf.queryExecution().optimizedPlan().toString())) == 1
+    assert len(re.findall(r"MapIn(?:Arrow|Pandas)", out._jdf.queryExecution().optimizedPlan().toString())) == 1
     none = spark.createDataFrame([], code.structure(files).schema)
     assert code.edges(none, "c").count() == 0
