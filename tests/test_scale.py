@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from textgraph import catalogue, catalogue_index
-from textgraph.operators import history, names
+from textgraph.operators import graph, history, names
 from textgraph.plans import artifact_passes, model
 from textgraph.sources import code
 from textgraph.storage import honest_sizes
@@ -176,3 +176,13 @@ def test_code_edges_lex_once_over_all_tasks(spark):
     assert len(re.findall(r"MapIn(?:Arrow|Pandas)", out._jdf.queryExecution().optimizedPlan().toString())) == 1
     none = spark.createDataFrame([], code.structure(files).schema)
     assert code.edges(none, "c").count() == 0
+
+
+def test_a_location_groups_the_edges_of_its_own_entities_alone(spark):
+    edges = spark.sql("SELECT * FROM VALUES ('a', 'v'), ('a', 'u'), ('a', 'w'), ('b', 'v'), ('b', 'v'), ('c', 'w'), (NULL, 'v'), ('d', NULL), ('e', 'v'), ('e', 'x') t(to_entity_id, location_uri)")
+    found = graph.seen_with(edges, "v")
+    assert sorted(map(tuple, found.filter("id is not null").collect())) == [("a", "u", "w"), ("b", "v", "v"), ("e", "v", "x")]
+    assert graph.seen_with(edges, "none").isEmpty()
+    # which ones these are is a written table, so the edges meet it before they are grouped
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")
