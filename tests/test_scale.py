@@ -186,3 +186,11 @@ def test_a_location_groups_the_edges_of_its_own_entities_alone(spark):
     # which ones these are is a written table, so the edges meet it before they are grouped
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("LeftSemi")
+
+
+def test_degrees_meet_the_entities_in_one_join(spark):
+    entities = spark.sql("SELECT * FROM VALUES ('a', 'x'), ('b', 'y'), ('b', 'y'), ('c', 'z'), (NULL, 'z') t(id, kind)")
+    edges = spark.sql("SELECT * FROM VALUES ('a', 'b'), ('a', 'b'), ('b', 'b'), ('b', NULL), (NULL, 'a') t(from_entity_id, to_entity_id)")
+    found = graph.degrees(entities, edges)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([("a", "x", 1, 2), ("b", "y", 3, 2), ("b", "y", 3, 2), ("c", "z", 0, 0), (None, "z", 0, 0)], key=repr)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
