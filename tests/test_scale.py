@@ -194,3 +194,24 @@ def test_degrees_meet_the_entities_in_one_join(spark):
     found = graph.degrees(entities, edges)
     assert sorted(map(tuple, found.collect()), key=repr) == sorted([("a", "x", 1, 2), ("b", "y", 3, 2), ("b", "y", 3, 2), ("c", "z", 0, 0), (None, "z", 0, 0)], key=repr)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_places_are_cut_down_by_their_numbers(spark, tmp_path):
+    at = str(tmp_path)
+    keys = [3, 20, 100, 7, 19, 1000, -5, -10, -4, None]
+    spark.createDataFrame([(k, 7) for k in keys], "o_orderkey long, o_custkey long").write.parquet(f"{at}/orders.parquet")
+    spark.createDataFrame([(k, 2, 4 + (k or 0) % 2, "R" if k and k > 50 else "N") for k in keys], "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{at}/lineitem.parquet")
+    spark.sql("SELECT * FROM VALUES (7, 0), (40, 0), (CAST(NULL AS INT), 0) t(c_custkey, c_nationkey)").write.parquet(f"{at}/customer.parquet")
+    spark.sql("SELECT * FROM VALUES (4, 0), (CAST(NULL AS INT), 1) t(s_suppkey, s_nationkey)").write.parquet(f"{at}/supplier.parquet")
+    m = model.Model(spark, at)
+    edges = m.edges.select("from_entity_id", "to_entity_id", "kind", "location_uri").toPandas()
+    con = duckdb.connect()
+    con.register("edges", edges)
+    want = lambda sql: sorted(con.execute(sql).fetchall(), key=repr)
+    both = "SELECT id, count(*), min(u), max(u) FROM (SELECT to_entity_id AS id, location_uri AS u FROM edges UNION ALL SELECT from_entity_id, location_uri FROM edges) GROUP BY 1"
+    assert sorted(map(tuple, m.places().collect()), key=repr) == want(both)
+    into = "SELECT to_entity_id, count(*), min(location_uri), max(location_uri) FROM edges WHERE kind IN ('contains', 'verified_by') GROUP BY 1"
+    assert sorted(map(tuple, m.places(False, ("contains", "verified_by")).collect()), key=repr) == want(into)
+    # ends are met in a hash; only what is left of them is sorted
+    plan = m.places()._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("SortAggregate") < plan.index("HashAggregate") and plan.rindex("SortAggregate") < plan.index("HashAggregate")

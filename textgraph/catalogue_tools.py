@@ -72,9 +72,7 @@ def _tables(m) -> dict:
     chunks = turns.union(heads).union(docs)
 
     def typed():
-        ends = m.edges.select(F.col("from_entity_id").alias("id"), "location_uri").union(m.edges.select("to_entity_id", "location_uri"))
-        places = ends.groupBy("id").agg(F.count("*").alias("appearance_count"), F.min("location_uri").alias("first_location_uri"), F.max("location_uri").alias("last_location_uri"))
-        return lookups.with_abstract_kind(m.plain_entities, m.corpora, m.taxonomy).join(places, "id", "left")
+        return lookups.with_abstract_kind(m.plain_entities, m.corpora, m.taxonomy).join(m.places(), "id", "left")
 
     n, regions, region = m.raw("nation"), m.raw("region"), F.concat(F.lit("region:"), "r_regionkey")
     members = [("all", "langs", "collection"), ("all", "star", "corpus"), ("langs", "chat", "corpus"), ("langs", "all", "collection"), ("other", "web", "corpus")]
