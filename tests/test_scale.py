@@ -1,6 +1,7 @@
 """Steps whose cost at size was found too high: what they write and how often they read, beside right results."""
 
 import os
+import random
 import re
 from types import SimpleNamespace
 
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from textgraph import catalogue, catalogue_index
+from textgraph.operators import collections as coll
 from textgraph.operators import graph, history, names
 from textgraph.plans import artifact_passes, model
 from textgraph.sources import code
@@ -215,3 +217,25 @@ def test_places_are_cut_down_by_their_numbers(spark, tmp_path):
     # ends are met in a hash; only what is left of them is sorted
     plan = m.places()._jdf.queryExecution().sparkPlan().toString()
     assert plan.index("SortAggregate") < plan.index("HashAggregate") and plan.rindex("SortAggregate") < plan.index("HashAggregate")
+
+
+def test_link_candidates_meet_each_pair_once(spark):
+    r = random.Random(3)
+    made = lambda n: [(str(k), "".join(r.choice("abé") for _ in range(r.randint(0, 7))), r.choice(["x", "x", "y", "", None])) for k in range(n)]
+    a, b, types = made(120), [*made(120), ("t", "abéabé", "x"), ("u", "béabéa", "x")], "id string, canonical_name string, abstract_kind string"
+    found = coll.link_candidates(spark.createDataFrame(a, types), spark.createDataFrame(b, types))
+
+    def edits(s, t):
+        row = list(range(len(t) + 1))
+        for i, c in enumerate(s):
+            last, row = row, [i + 1]
+            for j, d in enumerate(t):
+                row.append(min(last[j] + (c != d), last[j + 1] + 1, row[j] + 1))
+        return row[-1]
+
+    pairs = [(x, y) for x in a for y in b if x[1] and y[1]]
+    want = [(x[0], y[0], "HIGH") for x, y in pairs if x[1] == y[1]] + [(x[0], y[0], "MEDIUM") for x, y in pairs if x[1] != y[1] and x[2] and x[2] == y[2] and edits(x[1], y[1]) <= 2]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    # pairs that differ at one or two places, nearly all of those of numbered names, are told apart by no step and looked up by none
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" in plan and plan.index("j#") < plan.index("levenshtein")

@@ -88,21 +88,41 @@ def meet_across(edges: DataFrame, a: DataFrame, b: DataFrame, links: DataFrame)
     return side(a).intersect(side(b))
 
 
-def deletions(name: Column) -> Column:
-    """name and what is left of it after deleting any one or two characters."""
-    n = F.length(name)
-    cut = lambda s, k: F.concat(F.substr(s, F.lit(1), k), F.substr(s, k + 2))
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    one = F.transform(places, lambda k: cut(name, k))
-    two = F.flatten(F.transform(places, lambda k: F.transform(F.filter(places, lambda j: j < k), lambda j: cut(cut(name, k), j))))
-    return F.array_distinct(F.concat(F.array(name), one, two))
+def _without(name: Column, *places: Column) -> Column:
+    """name without the characters at these places, which rise."""
+    parts, start = [], F.lit(0)
+    for k in places:
+        parts.append(F.substr(name, start + 1, k - start))
+        start = k + 1
+    return F.concat(*parts, F.substr(name, start + 1))
+
+
+def _at(name: Column, k: Column) -> Column:
+    return F.substr(name, k + 1, F.lit(1))
+
+
+def _cuts(names: DataFrame, name: str, first: bool, single: bool, double: bool) -> DataFrame:
+    """names, a row for each cut, with (i, j, key, gone): the name without one character (j is -1) or two. Of places in a run of one character only the first where `first` is true, as all give the same key."""
+    n, i, j, text = F.length(name), F.col("i"), F.col("j"), F.col(name)
+    # places are rows before anything is cut, so cutting is compiled
+    out = names.withColumn("i", F.explode(F.sequence(F.lit(0), n - 1)))
+    if first:
+        out = out.filter((i == 0) | (_at(text, i) != _at(text, i - 1)))
+    ahead = F.when(i < n - 1, F.sequence(i + 1, n - 1)).otherwise(F.array().cast("array<int>"))
+    alone = F.array(F.lit(-1))
+    out = out.withColumn("j", F.explode(F.concat(alone, ahead) if single and double else alone if single else ahead))
+    key = F.when(j < 0, _without(text, i)).otherwise(_without(text, i, j))
+    gone = F.when(j < 0, _at(text, i)).otherwise(F.concat(_at(text, i), _at(text, j)))
+    return out.withColumn("key", key).withColumn("gone", gone)
 
 
 def link_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     """(id_a, id_b, confidence): HIGH for equal normalised names, MEDIUM for names at most two edits apart within one abstract kind.
 
-    Two names at most two edits apart, and no others but a few, are equal after deleting two characters at most from
-    each; what is left is the join key, so a kind's names aren't compared all with all. Each name is looked up once.
+    A kind's names aren't compared all with all, and each name is looked up once:
+    - names of one length that differ at one or two places are equal without them and have others there, so each such pair is met once, at those places;
+    - others of one length are equal without one character each, and few pairs share two such keys;
+    - of different lengths, the longer without two characters is the shorter, or that without one. Only lengths that the other side has are cut.
     """
 
     def side(df, s):
@@ -112,14 +132,45 @@ def link_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     left, right = side(a, "a"), side(b, "b")
     high = left.join(right, F.col("name_a") == F.col("name_b")).select("id_a", "id_b", F.lit("HIGH").alias("confidence"))
 
-    def keys(df, s):
-        names = df.filter(f"kind_{s} <> ''").select(f"kind_{s}", f"name_{s}").distinct()
-        return names.select(f"kind_{s}", f"name_{s}", F.explode(deletions(F.col(f"name_{s}"))).alias(f"key_{s}"))
-
-    x, y = keys(left, "a"), keys(right, "b")
-    near = x.join(y, (F.col("kind_a") == F.col("kind_b")) & (F.col("key_a") == F.col("key_b"))).filter(F.col("name_a") != F.col("name_b"))
-    near = near.filter(F.levenshtein("name_a", "name_b", 2) >= 0).select(F.col("kind_a").alias("kind"), "name_a", "name_b").distinct()
-    near = near.join(left.withColumnRenamed("kind_a", "kind"), ["kind", "name_a"]).join(right.withColumnRenamed("kind_b", "kind"), ["kind", "name_b"])
+    tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), a.sparkSession.sparkContext.defaultParallelism)
+
+    def names(df, s):
+        """(kind, name, length, id, many): each name once, with its id, or one of many. The files are small and their keys are not, so they are dealt over all tasks."""
+        own = df.filter(f"kind_{s} <> ''").groupBy(F.col(f"kind_{s}").alias("kind"), F.col(f"name_{s}").alias("name")).agg(F.min(f"id_{s}").alias("id"), (F.count("*") > 1).alias("many"))
+        return written(own.withColumn("length", F.length("name")), "link-names").repartition(tasks)
+
+    x, y = names(left, "a"), names(right, "b")
+    lengths = {s: written(df.select("kind", "length").distinct(), "link-lengths") for s, df in (("a", x), ("b", y))}
+    other = {"a": "b", "b": "a"}
+    met = ["kind", *(f"{c}_{s}" for s in ("a", "b") for c in ("name", "id", "many"))]
+
+    def keys(df, s, more, cuts=None):
+        """(kind, i_s, j_s, key, gone_s, name_s, id_s, many_s) of the names that are `more` characters longer than some on the other side. No file tells how many these are, so none is broadcast."""
+        fit = lengths[other[s]].select("kind", (F.col("length") + more).alias("length"))
+        own = df.join(fit, ["kind", "length"], "left_semi").select("kind", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "id", "many")))
+        if cuts is None:
+            return own.withColumn("key", F.col(f"name_{s}")).hint("merge")
+        return _cuts(own, f"name_{s}", *cuts).withColumnsRenamed({c: f"{c}_{s}" for c in ("i", "j", "gone")}).hint("merge")
+
+    # of one length: other characters at one or two places
+    placed = lambda df, s: keys(df, s, 0, (False, True, True)).withColumnsRenamed({f"i_{s}": "i", f"j_{s}": "j"}).hint("merge")
+    apart = (_at(F.col("gone_a"), F.lit(0)) != _at(F.col("gone_b"), F.lit(0))) & ((F.col("j") < 0) | (_at(F.col("gone_a"), F.lit(1)) != _at(F.col("gone_b"), F.lit(1))))
+    replaced = placed(x, "a").join(placed(y, "b"), ["kind", "i", "j", "key"]).filter(apart).select(*met)
+    # of one length, and different at more places: one character moved, or two others at different ones
+    one = (True, True, False)
+    span = F.sequence(F.least("i_a", "i_b"), F.greatest("i_a", "i_b"))
+    differ = F.size(F.filter(span, lambda k: _at(F.col("name_a"), k) != _at(F.col("name_b"), k)))
+    shifted = keys(x, "a", 0, one).join(keys(y, "b", 0, one), ["kind", "key"]).filter((F.abs(F.col("i_a") - F.col("i_b")) > 1) & (differ > 2)).select(*met)
+    # of different lengths
+    two = (False, False, True)
+    pairs = [keys(x, "a", 1, two).join(keys(y, "b", -1, one), ["kind", "key"]), keys(x, "a", -1, one).join(keys(y, "b", 1, two), ["kind", "key"]), keys(x, "a", 2, two).join(keys(y, "b", -2), ["kind", "key"]), keys(x, "a", -2).join(keys(y, "b", 2, two), ["kind", "key"])]
+    unlike = reduce(DataFrame.union, [p.select(*met) for p in pairs]).filter(F.levenshtein("name_a", "name_b", 2) >= 0)
+    near = replaced.union(shifted.union(unlike).distinct())
+    for s, df, own in (("a", left, x), ("b", right, y)):
+        if not own.filter("many").isEmpty():
+            shared = own.filter("many").select(F.col("kind").alias(f"kind_{s}"), F.col("name").alias(f"name_{s}"))
+            every = df.join(shared, [f"kind_{s}", f"name_{s}"], "left_semi").select(F.col(f"kind_{s}").alias("kind"), f"name_{s}", F.col(f"id_{s}").alias("each"))
+            near = near.join(every, ["kind", f"name_{s}"], "left").withColumn(f"id_{s}", F.when(F.col(f"many_{s}"), F.col("each")).otherwise(F.col(f"id_{s}"))).drop("each")
     return high.union(near.select("id_a", "id_b", F.lit("MEDIUM").alias("confidence")))
 
 
