@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from textgraph import catalogue, catalogue_index
+from textgraph.operators import ancestry, graph, history, names
 from textgraph.operators import collections as coll
-from textgraph.operators import graph, history, names
 from textgraph.plans import artifact_passes, model
 from textgraph.sources import code
 from textgraph.storage import honest_sizes
@@ -239,3 +239,24 @@ def test_link_candidates_meet_each_pair_once(spark):
     # pairs that differ at one or two places, nearly all of those of numbered names, are told apart by no step and looked up by none
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "levenshtein" in plan and plan.index("j#") < plan.index("levenshtein")
+
+
+def test_what_is_behind_commits_comes_from_drawn_together_ones(spark, monkeypatch):
+    monkeypatch.setattr(ancestry, "FEW", 5)
+    monkeypatch.setattr(ancestry, "ROUNDS", 2)
+    r = random.Random(1)
+    up = {f"c{k}": f"c{r.randrange(max(0, k - 4), k)}" for k in range(1, 60)} | {"z1": "z0"}
+    nodes = set(up) | set(up.values()) | {"alone"}
+
+    def way(n):
+        k = 0
+        while n in up:
+            n, k = up[n], k + 1
+        return n, k
+
+    size = lambda n: 1 + sum(size(c) for c, p in up.items() if p == n)
+    edges = spark.createDataFrame(list(up.items()), "id string, up string")
+    found = ancestry._behind(spark.createDataFrame([(n,) for n in nodes], "id string"), edges)
+    assert sorted(map(tuple, found.collect())) == sorted((n, size(n)) for n in nodes)
+    ended = ancestry._ended(edges.select("id", F.col("up").alias("to"), F.lit(1).cast("long").alias("pos")))
+    assert sorted(map(tuple, ended.select("id", "to", "pos").collect())) == sorted((n, *way(n)) for n in up)

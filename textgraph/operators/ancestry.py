@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 
+#: Lists of up to so many hops are followed by doubling alone; of longer ones hops are first taken out in so many rounds.
+FEW, ROUNDS = 200_000, 8
+
 
 @dataclass
 class Labels:
@@ -29,8 +32,7 @@ class Labels:
 def labelled(commits: DataFrame) -> Labels:
     """Labels of commits (id, parent), a row for each parent and one with a null parent for a root; with a column nth, 0 tells the first parent, else it is the smallest.
 
-    Positions come from jumps that double each round, so a history of n commits takes log2(n) rounds. A parent that isn't
-    among the commits is taken as one of its own, without parents.
+    A parent that isn't among the commits is taken as one of its own, without parents.
     """
     edges = commits.filter("parent is not null")
     first = F.min_by("parent", "nth") if "nth" in commits.columns else F.min("parent")
@@ -40,29 +42,70 @@ def labelled(commits: DataFrame) -> Labels:
     ids = commits.select("id").union(edges.select("parent")).distinct()
     # of several commits on one first parent, that with most behind it carries on its chain, so that few chains lie between any commit and its root
     heirs = up.join(_behind(ids, up), "id").groupBy("up").agg(F.max_by("id", F.struct("behind", "id")).alias("id"))
-    hops = written(ids.join(heirs, "id", "left").select("id", F.coalesce("up", "id").alias("to"), F.col("up").isNotNull().cast("long").alias("pos")), "chain-hops")
-    while True:
-        far = hops.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("pos").alias("more"))
-        hops = written(hops.join(far, "to").select("id", F.col("far").alias("to"), (F.col("pos") + F.col("more")).alias("pos"), "more"), "chain-hops")
-        if hops.filter("more > 0").isEmpty():
-            break
-        hops = hops.drop("more")
-    places = hops.select("id", F.col("to").alias("chain"), "pos")
+    hops = _ended(heirs.select("id", F.col("up").alias("to"), F.lit(1).cast("long").alias("pos")))
+    places = written(ids.join(hops, "id", "left").select("id", F.coalesce("to", "id").alias("chain"), F.coalesce("pos", F.lit(0)).cast("long").alias("pos")), "chain-places")
     below, above = places.select("id", "chain", F.col("pos").alias("at")), places.select(F.col("id").alias("parent"), F.col("chain").alias("other"), F.col("pos").alias("upto"))
     links = edges.select("id", "parent").join(below, "id").join(above, "parent").filter("chain <> other").groupBy("chain", "at", "other").agg(F.max("upto").alias("upto"))
     return Labels(places, written(links, "chain-links"))
 
 
+def _ended(hops: DataFrame) -> DataFrame:
+    """hops (id, to, pos), each followed to its end, an id without a hop of its own; pos adds up on the way.
+
+    Of long lists some hops are first taken out, a quarter of them in each round, and looked up again at the end, so jumps
+    that double each round go over few, and what is moved is in proportion to the list.
+    """
+    live, out = written(hops, "chain-hops"), []
+    while len(out) < ROUNDS and live.count() > FEW:
+        coin = lambda c, k=len(out): F.pmod(F.xxhash64(F.lit(k), c), F.lit(2)) == 1
+        # of hops one after the other no two go at once
+        goes = coin("id") & ~coin("to")
+        gone = written(live.filter(goes), "chain-gone")
+        stay = live.filter(~goes)
+        near = gone.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("pos").alias("more"))
+        stepped = stay.filter(coin("to")).join(near, "to", "left").select("id", F.coalesce("far", "to").alias("to"), (F.col("pos") + F.coalesce("more", F.lit(0))).alias("pos"))
+        live = written(stay.filter(~coin("to")).union(stepped), "chain-hops")
+        out.append(gone)
+    while True:
+        far = live.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("pos").alias("more"))
+        step = written(live.join(far, "to", "left").select("id", F.coalesce("far", "to").alias("to"), (F.col("pos") + F.coalesce("more", F.lit(0))).alias("pos"), "more"), "chain-hops")
+        live = step.drop("more")
+        if step.filter("more is not null").isEmpty():
+            break
+    for gone in reversed(out):
+        far = live.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("pos").alias("more"))
+        found = gone.join(far, "to", "left").select("id", F.coalesce("far", "to").alias("to"), (F.col("pos") + F.coalesce("more", F.lit(0))).alias("pos"))
+        live = live.union(written(found, "chain-found"))
+    return live
+
+
 def _behind(ids: DataFrame, up: DataFrame) -> DataFrame:
-    """(id, behind): how many commits come after each along first parents, itself included; jumps double each round."""
-    sizes = written(ids.withColumn("behind", F.lit(1).cast("long")), "chain-sizes")
-    jumps = up
-    while not jumps.isEmpty():
-        # what lies within twice the distance: within the distance, and within it of those just that far behind
-        more = jumps.join(sizes, "id").groupBy(F.col("up").alias("id")).agg(F.sum("behind").alias("more"))
-        sizes = written(sizes.join(more, "id", "left").select("id", (F.col("behind") + F.coalesce("more", F.lit(0))).alias("behind")), "chain-sizes")
-        far = jumps.select(F.col("id").alias("up"), F.col("up").alias("far"))
-        jumps = written(jumps.join(far, "up").select("id", F.col("far").alias("up")), "chain-jumps")
+    """(id, behind): how many commits come after each along first parents, itself included.
+
+    Commits that are the only one on their parent are drawn together with it, then those that nothing follows are added to
+    their parents and leave, until none is left. Each time at most half as many ends are left. What a commit has behind it
+    is what the first of those drawn together has, less what lies between.
+    """
+    tree = written(ids.join(up, "id", "left").select("id", "up", F.lit(1).cast("long").alias("w")), "chain-tree")
+    levels = []
+    while True:
+        only = tree.filter("up is not null").groupBy("up").agg(F.count("*").alias("k"), F.min("id").alias("id")).filter("k = 1").select("id", F.col("up").alias("to"))
+        drawn = written(_ended(only.join(tree.select(F.col("id").alias("to"), F.col("w").alias("pos")), "to").select("id", "to", "pos")), "chain-drawn")
+        head = drawn.select("id", F.col("to").alias("head"))
+        whole = tree.join(head, "id", "left").groupBy(F.coalesce("head", "id").alias("id")).agg(F.sum("w").alias("w"), F.min(F.when(F.col("head").isNull(), F.col("up"))).alias("up"))
+        whole = written(whole.join(head.withColumnRenamed("id", "up"), "up", "left").select("id", F.coalesce("head", "up").alias("up"), "w"), "chain-tree")
+        inner = whole.filter("up is not null").select(F.col("up").alias("id")).distinct()
+        last = written(whole.join(inner, "id", "left_anti"), "chain-last")
+        levels.append((drawn, last.select("id", F.col("w").alias("behind"))))
+        more = last.filter("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("w").alias("more"))
+        tree = written(whole.join(inner, "id", "left_semi").join(more, "id", "left").select("id", "up", (F.col("w") + F.coalesce("more", F.lit(0))).alias("w")), "chain-tree")
+        if tree.isEmpty():
+            break
+    sizes = None
+    for drawn, last in reversed(levels):
+        first = last if sizes is None else last.union(sizes)
+        rest = drawn.join(first.select(F.col("id").alias("to"), "behind"), "to").select("id", (F.col("behind") - F.col("pos")).alias("behind"))
+        sizes = first.union(written(rest, "chain-sizes"))
     return sizes
 
 
