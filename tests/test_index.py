@@ -1,12 +1,14 @@
 """Ancestry labels, resolved names, running digests and the search index against brute force."""
 
 import hashlib
+import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from textgraph.operators import ancestry, hashes, names, search
+from textgraph.operators import ancestry, hashes, names, postings, search
 from textgraph.operators.postings import Postings
 from textgraph.storage import Conflict
 
@@ -88,3 +90,51 @@ def test_index_follows_changes(spark, tmp_path):
     plan = again.keyword("cat")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(part" in plan or "PartitionFilters: [(part" in plan or "part#" in plan.split("PartitionFilters: ")[1].split("]")[0]
     assert "EqualTo(term,cat)" in plan or "In(term" in plan
+
+
+def test_index_is_dealt_out_by_words_of_batches(spark, tmp_path):
+    """A row of postings is a word in all documents of a batch, whether it was just made or merged without what is buried."""
+    texts = {f"u{k}": " ".join(f"w{j}" for j in range(50) if j % 10 or k % 2) for k in range(400)}
+    table = lambda d: spark.createDataFrame([(u, "c", t) for u, t in d.items()], "location_uri string, corpus_id string, content string")
+    index = Postings.build(table(texts), f"{tmp_path}/index")
+    segment = lambda: spark.read.parquet(f"{tmp_path}/index/{index.state['segments'][-1]['at']}/postings")
+    assert segment().count() <= 50 * 8
+    for k in range(3):
+        index.change(table({f"u{j}": "new word" for j in range(k, 300, 3)}))
+    assert len(index.state["segments"]) == 1 and segment().count() <= 50 * 8 + 2 * 24
+    assert (index.state["n"], index.state["dl"]) == (400, 300 * 2 + sum(len(texts[f"u{k}"].split()) for k in range(300, 400)))
+    now = table({u: "new word" if int(u[1:]) < 300 else t for u, t in texts.items()})
+    for q in ("new", "w10 w1", "w3 NOT w20", "w7 OR word"):
+        assert rows(index.keyword(q, 500), "uri", "score", "relevance") == rows(search.keyword(now, q, 500), "uri", "score", "relevance")
+    assert not [n for n in index.folder.names() if n.startswith("made-")]
+
+
+def test_words_of_batches(spark):
+    r = random.Random(11)
+    odd = [None, "", " ", "a", "A", "é", "aé b", "\u212a\u0130\u017f", "x\x00y", "z" * 300, "0", "  a  ", "naïve-Café_9"]
+    texts = odd + ["".join(r.choice("abAB0 -é\n\u4e2d\U0001f600") for _ in range(r.randint(0, 60))) for _ in range(300)] + odd
+    data = [(f"u{k}", None if k % 7 == 0 else "c", t) for k, t in enumerate(texts)]
+    chunks = spark.createDataFrame(data, "location_uri string, corpus_id string, content string").repartition(3)
+    want = {r["location_uri"]: r["w"] for r in chunks.select("location_uri", search.tokens(F.coalesce("content", F.lit(""))).alias("w")).collect()}
+    assert all(w == re.findall("[a-z0-9]+", (texts[int(u[1:])] or "").lower()) for u, w in want.items())
+    for size in (1, 100, postings.BATCH):
+        out = postings.made(chunks, size).collect()
+        listed = {x["batch"]: x for x in out if x["term"] is None}
+        assert len(out) - len(listed) == len({(x["batch"], x["term"]) for x in out if x["term"] is not None})
+        assert sorted((u, c, n) for x in listed.values() for u, c, n in zip(x["location_uri"], [c or "" for c in x["corpus_id"]], x["dl"])) == sorted((u, c or "", len(want[u])) for u, c, _ in data)
+        found = sorted((listed[x["batch"]]["location_uri"][p], x["term"], n) for x in out if x["term"] is not None for p, n in zip(x["place"], x["tf"]))
+        assert found == sorted((u, t, w.count(t)) for u, w in want.items() for t in set(w))
+    assert postings.made(chunks.filter("false")).count() == 0
+
+
+def test_an_index_of_an_older_form_is_built_anew(spark, tmp_path):
+    (tmp_path / "segment-1").mkdir()
+    (tmp_path / "index-000000003").write_text(json.dumps({"number": 3, "segments": [{"at": "segment-1", "number": 3, "n": 1, "dl": 2}], "graves": [], "n": 1, "dl": 2, "old": [], "source": "4"}))
+    chunks = spark.createDataFrame([("u", "c", "cat dog")], "location_uri string, corpus_id string, content string")
+    was = Postings(spark, f"{tmp_path}")
+    assert was.state["source"] is None
+    for use in (lambda: was.change(chunks), lambda: was.keyword("cat")):
+        with pytest.raises(ValueError):
+            use()
+    index = Postings.build(chunks, f"{tmp_path}")
+    assert [x["uri"] for x in index.keyword("cat").collect()] == ["u"] and index.state["number"] == 4 and not (tmp_path / "segment-1").exists()
