@@ -6,6 +6,7 @@ import re
 from types import SimpleNamespace
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 from pyspark.sql import functions as F
@@ -65,6 +66,19 @@ def test_names_are_looked_up_in_blocks(spark, monkeypatch):
     assert sorted(tuple(r) for r in found.collect()) == sorted(want)
 
 
+def test_long_runs_are_looked_up_in_one_pass(spark, monkeypatch):
+    """By their hashes, across pieces, batches and characters of any width; runs that hash alike are told apart by what is asked."""
+    monkeypatch.setattr(names, "BLOCK", 2)
+    monkeypatch.setattr(names, "PIECE", 20)
+    texts = ["The quick brown fox jumps over the quick brown fox " * 3, None, "", "ab\U0001f600cdefghijkl\u00e9mnopqrstuvwxyz", "quick brown ", "elevenchars"]
+    asked = ["QUICK BROWN ", "over the qui", "\U0001f600cdefghijkl", "ghijkl\u00e9mnopq", "none of this", "mps over the"]
+    found = names.resolved(spark.createDataFrame([(k, n) for k, n in enumerate(asked)], "key int, name string"), spark.createDataFrame([(f"e{k}", t, k) for k, t in enumerate(texts)], "id string, canonical_name string, appearance_count int"))
+    assert found._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
+    assert sorted((r.key, r.id) for r in found.collect()) == sorted((k, f"e{e}") for k, n in enumerate(asked) for e, t in enumerate(texts) if t and n.lower() in t.lower())
+    monkeypatch.setattr(names, "hashes", lambda text, n: np.zeros(max(0, len(text) - n + 1), np.uint64))
+    assert names.runs_among(["abcdef", None], 4, np.zeros(1, np.uint64)) == [(0, "abcd"), (0, "bcde"), (0, "cdef")]
+
+
 def test_a_pass_sends_no_table_for_its_small_file(spark, tmp_path):
     spark.range(300000).select(F.col("id"), F.lit("x" * 1000).alias("content")).write.parquet(f"{tmp_path}/packed")
     packed = spark.read.parquet(f"{tmp_path}/packed")
