@@ -42,6 +42,25 @@ def test_edges_are_written_as_keys(spark, tmp_path):
     assert "id" not in stored.columns and {t for c, t in stored.dtypes if c in "xyz"} == {"int"}
 
 
+def test_ends_of_edges_are_joined_as_numbers(spark, tmp_path):
+    """Also where orders, parts or keys are missing; no text is put together below a join."""
+    at = str(tmp_path)
+    spark.sql("SELECT * FROM VALUES (1, 7), (2, 9), (NULL, 7), (3, NULL), (1, 7) t(o_orderkey, o_custkey)").write.parquet(f"{at}/orders.parquet")
+    spark.sql("SELECT * FROM VALUES (1, 2, 3, 'R'), (1, 2, 3, 'A'), (1, 5, 3, 'A'), (4, 2, 4, 'A'), (4, 2, 3, 'A'), (1, 2, NULL, NULL), (NULL, 2, 3, 'R') t(l_orderkey, l_partkey, l_suppkey, l_returnflag)").write.parquet(f"{at}/lineitem.parquet")
+    spark.sql("SELECT * FROM VALUES (7, 0, 'a'), (CAST(NULL AS INT), 0, 'b') t(c_custkey, c_nationkey, c_name)").write.parquet(f"{at}/customer.parquet")
+    spark.sql("SELECT * FROM VALUES (3, 0, 'a') t(s_suppkey, s_nationkey, s_name)").write.parquet(f"{at}/supplier.parquet")
+    spark.sql("SELECT * FROM VALUES (2, 'p') t(p_partkey, p_name)").write.parquet(f"{at}/part.parquet")
+    spark.sql("SELECT * FROM VALUES (0, 'n') t(n_nationkey, n_name)").write.parquet(f"{at}/nation.parquet")
+    m = model.Model(spark, at)
+    for without in ((), ("nation",)):
+        ends = m.plain_entities.filter("kind <> 'module'") if without else m.plain_entities
+        want = graph.guarded(m.edges, m.plain_entities).join(ends.select(F.col("id").alias("to_entity_id")), "to_entity_id", "left_semi").select(*m.edges.columns)
+        found = m.guarded_edges(without)
+        assert found.columns == want.columns and sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() == (6 if without else 8)
+    joins = re.findall(r"Join LeftSemi, (.*)", catalogue.QUERIES["edge_guard_semi"](spark, at)._jdf.queryExecution().optimizedPlan().toString())
+    assert len(joins) == 8 and all(re.fullmatch(r"\(([xy])#\d+L? = \1#\d+L?\)", j) for j in joins), joins
+
+
 def test_a_cascade_reads_the_edges_once(spark, tmp_path):
     edges = spark.sql("SELECT * FROM VALUES ('1', 'a', 'b', 'u'), ('2', 'b', 'a', 'v'), ('3', 'c', 'c', 'w'), ('4', NULL, NULL, NULL), ('5', 'c', 'c', 'u') t(id, from_entity_id, to_entity_id, location_uri)")
     edges.write.parquet(f"{tmp_path}/edges-once")
