@@ -12,11 +12,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from textgraph import catalogue, catalogue_index
+from textgraph import schema as schemas
+from textgraph.functions import edge_id
 from textgraph.operators import ancestry, graph, history, names
 from textgraph.operators import collections as coll
 from textgraph.plans import artifact_passes, model
 from textgraph.sources import code
-from textgraph.storage import honest_sizes
+from textgraph.schema import schema
+from textgraph.storage import Catalog, honest_sizes
 from textgraph.streaming import watch
 
 
@@ -72,6 +75,62 @@ def test_a_cascade_reads_the_edges_once(spark, tmp_path):
     assert touched.select("id").filter(F.col("id") == "5").count() == 1
 
 
+def test_rows_that_hold_values_are_told_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """By bits; what these tell wrong is known, and beyond the limits rows are joined."""
+    rows = spark.sql("SELECT id, IF(id % 7 = 0, NULL, CONCAT('v', id % 50)) AS a, CONCAT('v', id % 33) AS b FROM RANGE(300)")
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows, values = spark.read.parquet(f"{tmp_path}/rows"), spark.sql("SELECT CONCAT('v', id % 40) AS v FROM RANGE(3, 90, 4) UNION ALL SELECT NULL")
+    known = {r.v for r in values.collect()} - {None}
+    want = sorted((r.id, r.a in known or r.b in known) for r in rows.collect())
+    found = history.Held(values).marked(rows, "hit", "a", "b")
+    assert found.columns == ["id", "a", "b", "hit"] and sorted((r.id, r.hit) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and _scans(found, "b") == 1
+    assert not history.Held(values.filter("v = 'none'")).marked(rows, "hit", "a").filter("hit").count()
+    for name, value in (("_places", lambda h, n: [np.zeros(len(h), np.uint64)]), ("WRONG", 0), ("HELD", 0)):
+        monkeypatch.setattr(history, name, value)
+        assert sorted((r.id, r.hit) for r in history.Held(values).marked(rows, "hit", "a", "b").collect()) == want
+
+
+def test_rows_once_each(spark, monkeypatch):
+    rows = spark.createDataFrame([(k // 2 if k < 6 else k, None if k % 3 == 0 else "x") for k in range(20)] * 2 + [(99, "y")], "a int, b string")
+    want = sorted(map(repr, rows.dropDuplicates(["a", "b"]).collect()))
+    assert sorted(map(repr, history.once(rows, ["a", "b"]).collect())) == want
+    monkeypatch.setattr(history, "WRONG", 0)
+    assert sorted(map(repr, history.once(rows, ["a", "b"]).collect())) == want
+
+
+def test_a_sweep_rewrites_what_loses_many_rows(spark, tmp_path, monkeypatch):
+    """In both ways the same rows go and stay, those of other corpora too; edges are stored without ids that their columns give."""
+    def made(corpus, k):
+        u, e = f"{corpus}/u{k}", f"{corpus}:e{k}"
+        return {
+            "chunks": (f"{corpus}c{k}", corpus, u, "v1"), "entities": (e, corpus, u, f"{corpus}/u{k + 1}", "v1"), "summaries": (f"{corpus}s{k}", corpus, "chunk", f"{corpus}c{k}", "m", "v1"),
+            "edges": (f"{corpus}own{k}", corpus, e, f"{corpus}:e{k + 1}", "calls", u, "v1"), "embeddings": (f"{corpus}m{k}", corpus, f"{corpus}c{k}", "v1"), "entity_purposes": (e, corpus, "m", "v1"),
+        }
+    columns = {"chunks": "id corpus_id location_uri", "entities": "id corpus_id first_location_uri last_location_uri", "summaries": "id corpus_id target_kind target_id model", "edges": "id corpus_id from_entity_id to_entity_id kind location_uri", "embeddings": "id corpus_id chunk_id", "entity_purposes": "entity_id corpus_id model"}
+    every = [made(c, k) for c in ("c", "d") for k in range(12)]
+    tables = {n: artifact_passes.as_table(spark.createDataFrame([r[n] for r in every], ", ".join(f"{x} string" for x in (of + " derived_at_version").split())), n) for n, of in columns.items()}
+    given = edge_id(*(F.col(c) for c in columns["edges"].split()[1:]))
+    tables["edges"] = tables["edges"].withColumn("id", F.when(F.col("from_entity_id") == "c:e3", F.col("id")).otherwise(given))
+    dirty = spark.createDataFrame([("cc3",), ("cc3",), ("dc5",)], "id string")
+    gone = history.cascade_all({n: tables.get(n, spark.createDataFrame([], schema(n))) for n in schemas.VERSIONED}, "c", dirty)
+    for share in (10**6, 0):
+        monkeypatch.setattr(history, "REWRITTEN", share)
+        catalog = Catalog(spark, f"{tmp_path}/{share}")
+        catalog.commit(**tables)
+        assert history.swept(catalog, "c", dirty, "v2") == 2
+        entries = catalog._manifest(2)
+        assert bool(entries["edges"]["deltas"]) == (not share)
+        for n, df in tables.items():
+            keys = schemas.VERSIONED[n]
+            ids = lambda rows: sorted(map(tuple, rows.select(*keys).collect()))
+            assert ids(catalog.table(f"{n}_history")) == ids(gone[n]) and ids(gone[n])
+            assert ids(catalog.table(n)) == ids(df.join(gone[n], keys, "left_anti"))
+        stored = spark.read.parquet(*[p for _, p, _ in catalog._manifest(1)["edges"]["parts"]])
+        assert stored.filter("id is null").count() == 23 and stored.filter("id = 'cown3'").count() == 1
+
+
 def test_names_are_looked_up_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(names, "BLOCK", 2)
     texts = ["The quick brown fox", "a quick brown bird", "Brown", "", None, "ab", "The quick brown foxes jump"]
